@@ -11,7 +11,7 @@ Every window of ``length`` bytes is told by its least 32-byte gram. Consecutive
 3. the marks of a document are joined to its text.
 
 Grams with more than ``group_rows`` differing strings (say, of a passage in a third of all documents, with other words around it) are
-resolved window by window through an aggregation instead, so no task holds such a group.
+resolved window by window instead: each task tells equal windows of its own texts first, and only the first of them is compared with other tasks'.
 
 Defined cases: null is an empty text; texts shorter than ``length`` keep all bytes; null ids come before all others; among rows with equal ids, texts
 are ordered by their hash; rows equal in id and text are one document.
@@ -271,31 +271,50 @@ def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 20_000)
     asked = asked.join(large, "anchor", "left").select("d", "th", F.struct("packed", "anchor", F.coalesce("large", F.lit(False)).alias("large")).alias("ask"))
     wanted = docs.select("d", "th", "text").join(asked.groupBy("d", "th").agg(F.collect_list("ask").alias("asks")), ["d", "th"])
 
-    def fetch(large: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for d, th, text, asks in zip(*(batch[c].to_pylist() for c in ("d", "th", "text", "asks")), strict=True):
-                    raw = text.encode()
-                    for x in asks:
-                        if x["large"] == large:
-                            a = x["packed"] >> _START & ((1 << 40) - 1)
-                            size = (x["packed"] & ((1 << _START) - 1)) + length
-                            if large:
-                                rows += [(xxhash.xxh3_128_digest(raw[i : i + length]), d, th, i) for i in range(a, a + size - length + 1)]
-                            else:
-                                rows.append((x["anchor"], d, x["packed"], raw[a : a + size]))
-                    if len(rows) > 50_000:
-                        yield made(rows)
-                        rows = []
-                if rows:
-                    yield made(rows)
-
-        def made(rows: list[tuple]) -> pa.RecordBatch:
-            kinds = [("window", pa.binary()), ("d", pa.int64()), ("th", pa.int64()), ("a", pa.int64())] if large else [("anchor", pa.int64()), ("d", pa.int64()), ("packed", pa.int64()), ("string", pa.binary())]
-            return pa.RecordBatch.from_pydict({name: pa.array(x, kind) for (name, kind), x in zip(kinds, zip(*rows, strict=True), strict=True)})
-
-        return run
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for d, text, asks in zip(*(batch[c].to_pylist() for c in ("d", "text", "asks")), strict=True):
+                raw = text.encode()
+                for x in asks:
+                    if not x["large"]:
+                        a = x["packed"] >> _START & ((1 << 40) - 1)
+                        rows.append((x["anchor"], d, x["packed"], raw[a : a + length + (x["packed"] & ((1 << _START) - 1))]))
+            if rows:
+                yield pa.RecordBatch.from_pydict({name: pa.array(x, kind) for name, kind, x in zip(("anchor", "d", "packed", "string"), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), zip(*rows, strict=True), strict=True)})
+
+    def fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, rows = [], []
+            for d, th, text, asks in zip(*(batch[c].to_pylist() for c in ("d", "th", "text", "asks")), strict=True):
+                raw = text.encode()
+                for x in asks:
+                    if x["large"]:
+                        a = x["packed"] >> _START & ((1 << 40) - 1)
+                        for i in range(a, a + (x["packed"] & ((1 << _START) - 1)) + 1):
+                            digests.append(xxhash.xxh3_128_digest(raw[i : i + length]))
+                            rows.append((d, th << _HASH | i))
+            if not rows:
+                continue
+            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            d, packed = np.array(rows, np.int64).T
+            order = np.lexsort((packed, d, halves[:, 1], halves[:, 0]))
+            high, low, d, packed = halves[order, 0], halves[order, 1], d[order], packed[order]
+            first, again = _later(d, packed, high, low)
+            spread = np.where(again, _mixed((d * 31 + packed).view(np.uint64)).view(np.int64), high)
+            keep = first | again
+            yield pa.RecordBatch.from_pydict({"window": spread[keep], "low": low[keep], "d": d[keep], "packed": packed[keep], "kind": again[keep].astype(np.int8)})
+
+    def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_groups(["window"], 100_000)(batches):
+            window, low, d, packed, kind = (rows[c].to_numpy() for c in ("window", "low", "d", "packed", "kind"))
+            new = kind == 0
+            marked = np.zeros(len(kind), bool)
+            marked[np.flatnonzero(new)[_later(d[new], packed[new], window[new], low[new])[1]]] = True
+            marked |= ~new
+            d, packed = d[marked], packed[marked]
+            a = packed & ((1 << 40) - 1)
+            yield pa.RecordBatch.from_pydict({"d": d, "th": packed >> _HASH & 0x7FFF, "a": a, "b": a + length})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_groups(["anchor"], 6_000)(batches):
@@ -309,14 +328,13 @@ def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 20_000)
             base = packed[string] >> _START & ((1 << 40) - 1)
             yield pa.RecordBatch.from_pydict({"d": d[string], "th": packed[string] >> _HASH & 0x7FFF, "a": base + a, "b": base + b})
 
-    strings = wanted.mapInArrow(fetch(False), "anchor long, d long, packed long, string binary")
+    strings = wanted.mapInArrow(fetch, "anchor long, d long, packed long, string binary")
     indexed = strings.repartition("anchor").sortWithinPartitions("anchor", "d", "packed").mapInArrow(index, "d long, th long, a long, b long")
     spans = whole.unionByName(indexed)
     if large.limit(1).count():
-        windows = wanted.mapInArrow(fetch(True), "window binary, d long, th long, a long")
-        earliest = windows.groupBy("window").agg(F.min(F.struct("d", "th", "a")).alias("first"), F.count("*").alias("n")).where("n > 1").select("window", "first")
-        later = windows.join(written(earliest, "earliest"), "window").where(F.struct("d", "th", "a") != F.col("first"))
-        spans = spans.unionByName(later.select("d", "th", "a", (F.col("a") + length).alias("b")))
+        windows = wanted.mapInArrow(fetch_windows, "window long, low long, d long, packed long, kind byte")
+        later = windows.repartition("window").sortWithinPartitions("window", "low", "d", "packed").mapInArrow(later_windows, "d long, th long, a long, b long")
+        spans = spans.unionByName(later)
     return spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
