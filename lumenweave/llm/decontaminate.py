@@ -103,6 +103,18 @@ def prints(texts: list[bytes], short: list[int] | None) -> Iterator[tuple[int, n
     yield WINDOW, grams[at], text[at]
 
 
+def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive texts of about ``size`` bytes together, and the number of the first: what is laid out in arrays stays small."""
+    first, count = 0, 0
+    for i, text in enumerate(texts):
+        count += len(text) + 1
+        if count >= size:
+            yield first, texts[first : i + 1]
+            first, count = i + 1, 0
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def find_hits(doc: list[str], items: list[tuple[str, list[str]]]) -> tuple[int, list[str]]:
     """Hit words of ``doc``, and the ids of the items with a window in it."""
     hit, found, places = np.zeros(len(doc) + 1, np.int64), [], {}
@@ -128,8 +140,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["item_id"].to_pylist()
-            for length, hashes, text in prints([t.encode() for t in batch["text"].to_pylist()], None):
-                yield pa.RecordBatch.from_pydict({"length": pa.array([length] * len(text), pa.int32()), "hash": hashes.view(np.int64), "item_id": pa.array([ids[i] for i in text.tolist()], pa.string())})
+            for first, part in slices([t.encode() for t in batch["text"].to_pylist()]):
+                for length, hashes, text in prints(part, None):
+                    yield pa.RecordBatch.from_pydict({"length": pa.array([length] * len(text), pa.int32()), "hash": hashes.view(np.int64), "item_id": pa.array([ids[i + first] for i in text.tolist()], pa.string())})
 
     item_prints = items.mapInArrow(item_rows, "length int, hash long, item_id string").distinct()
     slots = item_prints.select("length", F.col("hash").bitwiseAND((1 << MAP_BITS) - 1).cast("int").alias("slot")).distinct().toPandas()
@@ -144,10 +157,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         known = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             ids, ths = batch["doc_id"], batch["th"]
-            for length, hashes, text in prints([(t or "").encode() for t in batch["text"].to_pylist()], short):
-                keep = known[(hashes & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)]
-                at = pa.array(text[keep])
-                yield pa.RecordBatch.from_pydict({"length": pa.array([length] * len(at), pa.int32()), "hash": hashes[keep].view(np.int64), "doc_id": ids.take(at), "th": ths.take(at)})
+            for first, part in slices([t.encode() for t in batch["text"].to_pylist()]):
+                for length, hashes, text in prints(part, short):
+                    keep = known[(hashes & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)]
+                    at = pa.array(text[keep] + first)
+                    yield pa.RecordBatch.from_pydict({"length": pa.array([length] * len(at), pa.int32()), "hash": hashes[keep].view(np.int64), "doc_id": ids.take(at), "th": ths.take(at)})
 
     kind = dict(docs.dtypes)["doc_id"]
     doc_prints = keyed.where("text IS NOT NULL").mapInArrow(doc_rows, f"length int, hash long, doc_id {kind}, th long")
