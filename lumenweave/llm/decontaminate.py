@@ -16,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 
 #: A word, after lower-casing A-Z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, GRAM, MAP_BITS = 13, 5, 22
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[48:58] = _IS_WORD[97:123] = _IS_WORD[128:] = True
+_APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=3) | 1 for b in range(256)], dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,6 +191,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"d": batch["doc_id"], "h": batch["th"], "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array(counts, pa.int64()), "items_sha256": shas})
 
     verdicts = keyed.join(asked, same).select("doc_id", "th", "text", "items").dropDuplicates(["doc_id", "th"]).mapInArrow(verify, f"d {kind}, h long, n_hit long, n_items long, items_sha256 string")
-    counted = docs.select("doc_id", F.xxhash64("text").alias("th"), F.coalesce(F.regexp_count("text", F.lit(_ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
+
+    @F.pandas_udf("long")
+    def n_words(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(t.encode().translate(_APART).split()) for t in texts], dtype="int64")
+
+    counted = docs.select("doc_id", F.xxhash64("text").alias("th"), n_words(F.coalesce("text", F.lit(""))).alias("n_words"))
     out = counted.join(verdicts, same, "left").select("doc_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), "th")
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "th")
