@@ -1,0 +1 @@
+"""Still-image codec analytics on Spark: blocks, coefficients, pixels and rate-distortion points as DataFrames."""

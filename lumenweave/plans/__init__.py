@@ -1,9 +1,11 @@
-"""Registered queries over the driver's tables."""
+"""Registered queries over the driver's tables, and their SQL."""
+
+from lumenweave.plans import blocks, scalars, tables
 
 
 def queries():
-    return {}
+    return blocks.QUERIES | scalars.QUERIES | tables.QUERIES
 
 
 def oracle_sql():
-    return {}
+    return blocks.SQL | scalars.SQL | tables.SQL
