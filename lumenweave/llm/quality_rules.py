@@ -21,11 +21,11 @@ from lumenweave.llm.common import SPACE_RUN, SPACES, UPPER, id_crc, let, written
 
 #: Each rule rejects texts above its cutoff.
 RULES = {
-    "symbol_share": F.col("n_symbols") / F.greatest("word_chars", F.lit(1)),
-    "capital_share": F.col("n_capitals") / F.greatest("word_chars", F.lit(1)),
-    "dup_line_share": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
-    "repeat_share": F.col("n_repeat_words") / F.greatest("n_words", F.lit(1)),
-    "mean_word": F.col("word_chars") / F.greatest("n_words", F.lit(1)),
+    "symbol_share": "n_symbols / greatest(word_chars, 1)",
+    "capital_share": "n_capitals / greatest(word_chars, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+    "mean_word": "word_chars / greatest(n_words, 1)",
 }
 QUANTILES = (0.9, 0.95, 0.98, 0.99, 0.995, 0.998, 0.999, 1.0)
 
@@ -114,7 +114,7 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = counted(docs).withColumn("base_failed", failed)
     for rule, share in RULES.items():
-        counts = counts.withColumn(rule, share.cast("double"))
+        counts = counts.withColumn(rule, F.expr(share).cast("double"))
     counts = written(counts, "counts")
     rules = certified(counts, labels, risk, error)
     rejected = reduce(lambda a, b: a | b, (F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES))
