@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 512)
-CACHE_PIECES = 300_000
+CACHE_PIECES = 100_000
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -154,7 +154,7 @@ class ByteBpe:
             else:
                 buckets.setdefault(next(b for b in BUCKETS if len(raw) <= b), []).append((piece, raw))
         for width, rows in buckets.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, (1 << 18) // width)
             for k in range(0, len(rows), step):
                 part = rows[k : k + step]
                 for (piece, _), ids in zip(part, self._merge_rows([r for _, r in part], width), strict=True):
@@ -162,8 +162,8 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
-        for k in range(0, len(texts), 500):
-            cut = [self.pattern.findall(t) for t in texts[k : k + 500]]
+        for k in range(0, len(texts), 200):
+            cut = [self.pattern.findall(t) for t in texts[k : k + 200]]
             self.learn(set().union(*cut))
             get = self.cache.__getitem__
             for pieces in cut:
