@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 NONE = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 512)
-CACHE_PIECES = 100_000
+CACHE_PIECES = 200_000
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -162,8 +162,8 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
-        for k in range(0, len(texts), 200):
-            cut = [self.pattern.findall(t) for t in texts[k : k + 200]]
+        for k in range(0, len(texts), 1_000):
+            cut = [self.pattern.findall(t) for t in texts[k : k + 1_000]]
             self.learn(set().union(*cut))
             get = self.cache.__getitem__
             for pieces in cut:
