@@ -1,11 +1,11 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from lumenweave.plans import blocks, scalars, tables
+from lumenweave.plans import blocks, frames, scalars, tables
 
 
 def queries():
-    return blocks.QUERIES | scalars.QUERIES | tables.QUERIES
+    return blocks.QUERIES | frames.QUERIES | scalars.QUERIES | tables.QUERIES
 
 
 def oracle_sql():
-    return blocks.SQL | scalars.SQL | tables.SQL
+    return blocks.SQL | frames.SQL | scalars.SQL | tables.SQL
