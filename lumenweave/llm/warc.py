@@ -145,11 +145,23 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                 rows.append((target, count, f"{target}.idx"))
             yield pa.RecordBatch.from_pydict({name: pa.array([x[i] for x in rows], kind) for i, (name, kind) in enumerate((("archive", pa.string()), ("records", pa.int64()), ("index", pa.string())))})
 
-    return written(archives.select("archive").repartition("archive").mapInArrow(run, "archive string, records long, index string"), "members")
+    return written(archives.select("archive").repartition(tasks(archives)).mapInArrow(run, "archive string, records long, index string"), "members")
+
+
+def tasks(archives: DataFrame, most: int = 10_000) -> int:
+    """A task an archive, ``most`` at most. A number of one's own, as names are too short for the engine to see how much is behind them."""
+    return max(1, min(most, archives.count()))
+
+
+def index_of(members: DataFrame, folder: str) -> DataFrame:
+    """archive, at, size of every record of ``members``; index files that lost attempts left in the folder are passed over."""
+    found = members.sparkSession.read.schema(INDEX_SCHEMA).json(f"{folder}/*.members.warc.gz.idx")
+    return found.join(members.select("archive"), "archive", "left_semi").repartition(tasks(members), "archive")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record that ``index`` (archive, at, size) has."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, url of every record that ``index`` (archive, at, size) has; an archive's
+    records should lie in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
@@ -171,7 +183,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
             kinds = (("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string()))
             yield pa.RecordBatch.from_pydict({n: pa.array([x[i] for x in rows], kind) for i, (n, kind) in enumerate(kinds)})
 
-    return index.repartition("archive").sortWithinPartitions("archive", "at").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
+    return index.sortWithinPartitions("archive", "at").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
@@ -190,4 +202,4 @@ def round_trip(pages: DataFrame, archive_bytes: int = 64 << 20) -> DataFrame:
     members = normalise(write_archives(with_revisits(pages), folder, archive_bytes), folder)
     if not members.limit(1).count():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-    return read_records(spark.read.schema(INDEX_SCHEMA).json(f"{folder}/*.members.warc.gz.idx"), folder)
+    return read_records(index_of(members, folder), folder)
