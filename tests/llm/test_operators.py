@@ -91,8 +91,12 @@ def test_bpe_matches_the_library(docs, empty):
     texts = [r.text or "" for r in docs.collect()] + ["z" * 700 + "\n" * 600, "<|endoftext|> ’’ 🙂🙂 ́̂", "ab" * 200]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert ids == library.encode_ordinary(text) and own.decode(ids) == text.encode()
-    for r in bpe.round_trip(docs, path, public_tokenizers.PATTERN).collect():
-        assert r.n_tokens >= 0 and len(r.ids_sha256) == 64
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = []
+    for r in docs.collect():
+        ids = library.encode_ordinary(r.text or "")
+        want.append((r.doc_id, len(ids), sha(" ".join(map(str, ids)).encode()), sha((r.text or "").encode())))
+    assert rows_of(bpe.round_trip(docs, path, public_tokenizers.PATTERN)) == sorted(want, key=lambda r: (r[0] is not None, r))
     assert bpe.encoded(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
@@ -142,6 +146,17 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_passes_over_what_lost_attempts_left(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}"
+    members = warc.normalise(warc.write_archives(warc.with_revisits(pages), folder, 500), folder)
+    one = next(tmp_path.glob("*.idx")).read_text().splitlines()[0]
+    (tmp_path / "lost.members.warc.gz.idx").write_text(one.replace('"archive": "', '"archive": "lost') + '\n{"archive": "cut')
+    got = warc.read_records(warc.index_of(members, folder), folder)
+    assert sorted(r.page_id for r in got.collect()) == list(range(20))
+    assert members.count() > 1 and got.rdd.getNumPartitions() == members.count()
+
+
 def test_inflate_needs_whole_streams():
     import io
 
@@ -161,6 +176,14 @@ def test_language_id(spark, docs, empty):
     assert language_id.with_language(docs, model).count() == sum(bool(language_id._LETTERS.search(r.text or "")) for r in docs.collect())
 
 
+def test_most_frequent_of_each_group(spark):
+    rows = [(lang, f"w{i}", i % 7) for lang in "ab" for i in range(200)]
+    for parts in (1, 8):
+        got = language_id.most_frequent(spark.createDataFrame(rows, "lang string, word string, n long"), ["lang"], "word", 30, parts)
+        want = [r for lang in "ab" for r in sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[2], r[1]))[:30]]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_class_lm(docs, empty):
     counts = class_lm.count_words(docs)
     model = class_lm.fit(docs, counts)
