@@ -75,6 +75,18 @@ class PairTable:
         return found
 
 
+def together(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
+    """Consecutive texts of about ``chars`` characters: however long texts are, the pieces held at once are those of so many characters, or of one text."""
+    first, count = 0, 0
+    for i, text in enumerate(texts):
+        count += len(text)
+        if count >= chars:
+            yield texts[first : i + 1]
+            first, count = i + 1, 0
+    if first < len(texts):
+        yield texts[first:]
+
+
 class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
@@ -162,8 +174,8 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text."""
-        for k in range(0, len(texts), 1_000):
-            cut = [self.pattern.findall(t) for t in texts[k : k + 1_000]]
+        for part in together(texts):
+            cut = [self.pattern.findall(t) for t in part]
             self.learn(set().union(*cut))
             get = self.cache.__getitem__
             for pieces in cut:
