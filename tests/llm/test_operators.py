@@ -100,6 +100,12 @@ def test_bpe_matches_the_library(docs, empty):
     assert bpe.encoded(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_texts_are_taken_together_by_length():
+    texts = ["a", "b" * 5, "", "c", "dd", ""]
+    assert list(bpe.together(texts, 3)) == [["a", "b" * 5], ["", "c", "dd"], [""]]
+    assert list(bpe.together([], 3)) == []
+
+
 def test_quality_counts(docs, empty, spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0), (3, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     got = rows_of(quality_rules.judged(docs, labels).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
@@ -169,8 +175,8 @@ def test_inflate_needs_whole_streams():
 
 def test_language_id(spark, docs, empty):
     model = language_id.fit(spark.createDataFrame([("the house and the tree", "en"), ("el árbol y la casa", "es"), (None, "en"), ("x", None)], "text string, lang string"))
-    names, scores = model.predict(["the tree", "la casa", "thehouse", None, "", "123 !!", "árboles"])
-    assert names == ["en", "es", "en", "und", "und", "und", "es"] and all(0 <= s <= 1 for s in scores)
+    names, scores = model.predict(["the tree", "la casa", "thehouse", None, "", "123 !!", "árboles", "² ½"])
+    assert names == ["en", "es", "en", "und", "und", "und", "es", "und"] and all(0 <= s <= 1 for s in scores)
     assert language_id.fit(empty).predict(["abc"]) == (["und"], [0.0])
     assert language_id.identified(docs, model).count() == docs.count() and language_id.identified(empty, model).count() == 0
     assert language_id.with_language(docs, model).count() == sum(bool(language_id._LETTERS.search(r.text or "")) for r in docs.collect())
