@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenweave.llm.common import by_bytes
+
 NONE = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 512)
 CACHE_PIECES = 200_000
@@ -206,7 +208,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(lines.value, pattern)
-        for batch in batches:
+        for batch in by_bytes(batches):
             texts = [t or "" for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": pa.array(list(bpe.encode(texts)), pa.list_(pa.int32()))})
 
@@ -221,7 +223,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(lines.value, pattern)
         decimal = bpe.decimal.__getitem__
-        for batch in batches:
+        for batch in by_bytes(batches):
             counts, ids_sha, text_sha = [], [], []
             for ids in bpe.encode([t or "" for t in batch["text"].to_pylist()]):
                 counts.append(len(ids))

@@ -58,7 +58,7 @@ def lowered(text: Column) -> Column:
 
 
 def by_groups(keys: list[str], rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Table]]:
-    """Deals a partition sorted by ``keys`` out in tables of about ``rows`` rows that never cut a group."""
+    """Deals a partition sorted by ``keys`` out in tables of ``rows`` rows at most that never cut a group; a larger group is a table of its own."""
     import numpy as np
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -81,11 +81,30 @@ def by_groups(keys: list[str], rows: int) -> Callable[[Iterator[pa.RecordBatch]]
                 rows_now = whole.combine_chunks()
                 held = rows_now.to_batches()
                 continue
-            cut = int(cuts[-1]) + 1
-            yield whole.slice(0, cut)
-            rest = whole.slice(cut).combine_chunks()
+            ends, done = cuts + 1, 0
+            while done < ends[-1]:
+                at = np.searchsorted(ends, done + rows, side="right") - 1
+                cut = int(ends[at]) if at >= 0 and ends[at] > done else int(ends[at + 1])
+                yield whole.slice(done, cut - done)
+                done = cut
+            rest = whole.slice(done).combine_chunks()
             held, count = rest.to_batches(), rest.num_rows
         if count:
             yield pa.Table.from_batches(held)
 
     return deal
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` bytes of ``text``, or of one row: what Python holds at once does not grow with the rows of a batch."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        first = 0
+        while first < batch.num_rows:
+            most = size + (int(ends[first - 1]) if first else 0)
+            last = max(first + 1, int(np.searchsorted(ends, most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last

@@ -28,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import by_groups, written
+from lumenweave.llm.common import by_bytes, by_groups, written
 
 GRAM, PIECE = 32, 1 << 19
+#: Strings that are indexed together. Larger groups are indexed alone, up to ``group_rows``; some 15 numbers a byte are held.
+INDEX_ROWS = 3_000
 NO_ID = -(1 << 63)
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=11) | 1 for b in range(256)], dtype=np.uint64)
 _ODD = 0x9E3779B97F4A7C15
@@ -204,7 +206,7 @@ def _found(docs: DataFrame, length: int) -> DataFrame:
     """d, packed, anchor, kind: 1, a string that repeats an earlier one as a whole; 2, a string to index."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             ids, ths = batch["d"].to_numpy(), batch["th"].to_numpy()
             parts = []
             for data, begins, lengths, doc, offset in _pieces([t.encode() for t in batch["text"].to_pylist()], length):
@@ -259,7 +261,7 @@ def _place(packed: str = "packed"):
     return F.shiftrightunsigned(p, _HASH).bitwiseAND(0x7FFF), F.shiftrightunsigned(p, _START).bitwiseAND((1 << 40) - 1), p.bitwiseAND((1 << _START) - 1)
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 20_000) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
     """d, th and spans (array of from, to; in bytes; unmerged) of the texts in ``keyed`` rows that have any to remove."""
     if not 64 <= length <= 112:
         raise ValueError("windows of 64 to 112 bytes")
@@ -272,7 +274,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 20_000)
     wanted = docs.select("d", "th", "text").join(asked.groupBy("d", "th").agg(F.collect_list("ask").alias("asks")), ["d", "th"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             rows = []
             for d, text, asks in zip(*(batch[c].to_pylist() for c in ("d", "text", "asks")), strict=True):
                 raw = text.encode()
@@ -284,7 +286,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 20_000)
                 yield pa.RecordBatch.from_pydict({name: pa.array(x, kind) for name, kind, x in zip(("anchor", "d", "packed", "string"), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), zip(*rows, strict=True), strict=True)})
 
     def fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             digests, rows = [], []
             for d, th, text, asks in zip(*(batch[c].to_pylist() for c in ("d", "th", "text", "asks")), strict=True):
                 raw = text.encode()
@@ -317,7 +319,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 20_000)
             yield pa.RecordBatch.from_pydict({"d": d, "th": packed >> _HASH & 0x7FFF, "a": a, "b": a + length})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_groups(["anchor"], 6_000)(batches):
+        for rows in by_groups(["anchor"], INDEX_ROWS)(batches):
             once = _later(rows["d"].to_numpy(), rows["d"].to_numpy(), *(rows[c].to_numpy() for c in ("anchor", "d", "packed")))[0]
             rows = rows.filter(pa.array(once))
             string, start = RunLengthIndex(rows["string"].to_pylist(), length).repeats()
@@ -362,12 +364,12 @@ def _kept_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode("utf-8")
 
 
-def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 20_000) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts = keyed(docs)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches):
             ids, texts, spans = (batch[c].to_pylist() for c in ("d", "text", "spans"))
             out: list[list] = [[], [], [], []]
             for text, own in zip(texts, spans, strict=True):
@@ -386,7 +388,7 @@ def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 20_000) -
     return joined.select("d", "text", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def with_kept_text(docs: DataFrame, length: int = 100, group_rows: int = 20_000) -> DataFrame:
+def with_kept_text(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
     """The rows of ``docs`` with ``text`` cut down to what is kept; null stays null."""
     texts = keyed(docs, row=True)
     spans = repeated_spans(texts, length, group_rows)

@@ -222,3 +222,16 @@ def test_pipeline_stages(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES[:4]:
         out = stage(spark, docs, sf_dir)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
+
+
+def test_groups_and_slices_are_bounded():
+    import pyarrow as pa
+
+    from lumenweave.llm.common import by_bytes, by_groups
+
+    keys = [1] * 3 + [2] * 9 + [3, 4, 5, 6, 7, 7]
+    batches = [pa.RecordBatch.from_pydict({"k": pa.array(part, pa.int64())}) for part in (keys[:4], [], keys[4:])]
+    assert [t["k"].to_pylist() for t in by_groups(["k"], 4)(batches)] == [[1] * 3, [2] * 9, [3, 4, 5, 6], [7, 7]]
+    assert list(by_groups(["k"], 4)([])) == []
+    texts = pa.RecordBatch.from_pydict({"text": ["a", None, "é" * 500, "b", ""]})
+    assert [b["text"].to_pylist() for b in by_bytes([texts, texts.slice(0, 0)], 200)] == [["a", None], ["é" * 500], ["b", ""]]
