@@ -1,8 +1,9 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 Training counts the lower-cased words (runs of letters) of every labelled text by language, and from these counts all character n-grams of the
-words. The model keeps the most frequent words of each language and n-grams of each length, by documented bounds. A word in the model adds
-its log frequency in each language; another word backs off to its longest n-grams that the model has, with the mean of their log frequencies.
+words. The model keeps the words and n-grams of each length that are among the most frequent of some language, by documented bounds, with their counts
+in every language. A word in the model adds its log frequency in each language; another word backs off to its longest n-grams that the model has, with
+the mean of their log frequencies.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; with no training text every text is; equal sums go to the
 language that comes first by name; rows with null ``lang`` are not learned from.
@@ -16,8 +17,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import by_bytes, written
@@ -91,17 +93,15 @@ class Model:
         return names, scores
 
 
-def _scores(rows, key: str, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+def _scores(rows: pd.DataFrame, key: str, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies, from rows of key, lang, n and the language's total; half a count where a language has none."""
-    place, totals, at = {}, {}, {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        place.setdefault(r[key], len(place))
-        totals[at[r["lang"]]] = r["total"]
+    codes, names = pd.factorize(rows[key])
+    at = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+    totals = dict(zip(at.tolist(), rows["total"].tolist(), strict=True))
     base = np.array([math.log(0.5 / totals.get(i, 1)) for i in range(len(langs))], np.float32)
-    out = np.tile(base, (max(1, len(place)), 1))
-    for r in rows:
-        out[place[r[key]], at[r["lang"]]] = math.log(r["n"] / r["total"])
-    return place, out
+    out = np.tile(base, (max(1, len(names)), 1))
+    out[codes, at] = np.log(rows["n"].to_numpy(np.float64) / rows["total"].to_numpy(np.float64))
+    return {x: i for i, x in enumerate(names)}, out
 
 
 def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, parts: int = 64) -> DataFrame:
@@ -123,17 +123,23 @@ def fit(train: DataFrame) -> Model:
     counts = train.where(F.col("lang").isin(langs)).select("lang", words.alias("word")).where(F.char_length("word").between(1, MAX_LETTERS)).groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = written(counts, "words")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    top = most_frequent(counts, ["lang"], "word", MAX_WORDS).join(totals, "lang").select("word", "lang", "n", "total").collect()
+    kept = most_frequent(counts, ["lang"], "word", MAX_WORDS).select("word").distinct()
+    top = counts.join(kept, "word", "left_semi").join(totals, "lang").select("word", "lang", "n", "total").toPandas()
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
-    cut = [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("word") + 3 - n)), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in LENGTHS]
+
+    def cut_to(n: int) -> Column:  # a second argument of the lambda would be the place in the array
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("word") + 3 - n)), lambda i: F.substring(padded, i, F.lit(n)))
+
+    cut = [cut_to(n) for n in LENGTHS]
     grams = counts.select("lang", "n", F.explode(F.flatten(F.array(*cut))).alias("gram")).where("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("length", F.char_length("gram"))
     grams = written(grams, "grams")
     totals = grams.groupBy("lang", "length").agg(F.sum("n").alias("total"))
-    common = most_frequent(grams, ["lang", "length"], "gram", MAX_GRAMS).join(totals, ["lang", "length"]).collect()
+    kept = most_frequent(grams, ["lang", "length"], "gram", MAX_GRAMS).select("gram").distinct()
+    common = grams.join(kept, "gram", "left_semi").join(totals, ["lang", "length"]).select("gram", "lang", "length", "n", "total").toPandas()
     word_place, word_scores = _scores(top, "word", langs)
     place, scores = {}, [np.zeros((0, len(langs)), np.float32)]
     for n in LENGTHS:
-        own, table = _scores([r for r in common if r["length"] == n], "gram", langs)
+        own, table = _scores(common[common["length"] == n], "gram", langs)
         if own:
             place |= {g: i + sum(map(len, scores)) for g, i in own.items()}
             scores.append(table)
@@ -160,8 +166,6 @@ def with_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFram
 
     @F.pandas_udf("boolean")
     def has(texts):
-        import pandas as pd
-
         own = shared.value
         if not own.langs:
             return pd.Series([bool(t) and any(map(has_letter, _LETTERS.findall(t))) for t in texts], dtype=bool)
