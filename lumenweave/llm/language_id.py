@@ -6,7 +6,8 @@ in every language. A word in the model adds its log frequency in each language;
 the mean of their log frequencies.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; with no training text every text is; equal sums go to the
-language that comes first by name; rows with null ``lang`` are not learned from.
+language that comes first by name; rows with null ``lang`` are not learned from, and a language whose texts have no letter is not learned. Runs above
+``MAX_LETTERS`` are no words of the model, but their n-grams are learned and looked up as all others'.
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm.common import by_bytes, written
 
-#: Languages, words a language, and n-grams a language and length that the model keeps; so many characters a word at most.
-MAX_LANGS, MAX_WORDS, MAX_GRAMS, MAX_LETTERS = 64, 20_000, 5_000, 40
+#: Words a language, and n-grams a language and length that the model keeps, for up to so many languages: the lists of more are shorter, as all scores of
+#: a model are one table of keys by languages. So many characters a word of the model at most.
+MANY_LANGS, MAX_WORDS, MAX_GRAMS, MAX_LETTERS = 64, 20_000, 5_000, 40
 LENGTHS = (5, 4, 3, 2, 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
@@ -65,12 +67,16 @@ class Model:
             if len(self.cache) > CACHE_WORDS:
                 self.cache.clear()
             known, rest = [], []
+            total = np.zeros(len(self.langs))
             get, look = self.words.get, self.cache.get
             for word in found:
                 i = get(word)
                 if i is not None:
                     known.append(i)
                     continue
+                if len(word) > MAX_LETTERS:  # too large to be held
+                    total += self.unseen(word)
+                    continue
                 j = look(word)
                 if j is None:
                     j = self.cache[word] = len(self.cache)
@@ -80,7 +86,6 @@ class Model:
                         self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
                     self.rows[j] = self.unseen(word)
                 rest.append(j)
-            total = np.zeros(len(self.langs))
             if known:
                 total += self.word_scores[known].sum(axis=0, dtype=np.float64)
             if rest:
@@ -94,12 +99,13 @@ class Model:
 
 
 def _scores(rows: pd.DataFrame, key: str, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies, from rows of key, lang, n and the language's total; half a count where a language has none."""
+    """Log frequencies, from rows of key, lang, n and the language's total; half a count of the largest total where a language has none, which is below
+    all real frequencies whatever the languages' sizes."""
+    if not len(rows):
+        return {}, np.zeros((1, len(langs)), np.float32)
     codes, names = pd.factorize(rows[key])
     at = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    totals = dict(zip(at.tolist(), rows["total"].tolist(), strict=True))
-    base = np.array([math.log(0.5 / totals.get(i, 1)) for i in range(len(langs))], np.float32)
-    out = np.tile(base, (max(1, len(names)), 1))
+    out = np.full((len(names), len(langs)), math.log(0.5 / rows["total"].max()), np.float32)
     out[codes, at] = np.log(rows["n"].to_numpy(np.float64) / rows["total"].to_numpy(np.float64))
     return {x: i for i, x in enumerate(names)}, out
 
@@ -116,25 +122,35 @@ def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, part
 def fit(train: DataFrame) -> Model:
     """A model from ``text`` and ``lang``. What reaches the driver is bounded by the model's own bounds."""
     train = train.where("text IS NOT NULL AND lang IS NOT NULL")
-    langs = sorted(r["lang"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect())
-    if not langs:
-        return Model([], {}, np.zeros((1, 0), np.float32), {}, np.zeros((1, 0), np.float32))
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
-    counts = train.where(F.col("lang").isin(langs)).select("lang", words.alias("word")).where(F.char_length("word").between(1, MAX_LETTERS)).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    counts = train.select("lang", words.alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = written(counts, "words")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return Model([], {}, np.zeros((1, 0), np.float32), {}, np.zeros((1, 0), np.float32))
+    fewer = min(1.0, (MANY_LANGS / len(langs)) ** 2)
+    most_words, most_grams = max(1, int(MAX_WORDS * fewer)), max(1, int(MAX_GRAMS * fewer))
+    short = F.char_length("word") <= MAX_LETTERS
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = most_frequent(counts, ["lang"], "word", MAX_WORDS).select("word").distinct()
+    kept = most_frequent(counts.where(short), ["lang"], "word", most_words).select("word").distinct()
     top = counts.join(kept, "word", "left_semi").join(totals, "lang").select("word", "lang", "n", "total").toPandas()
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
 
     def cut_to(n: int) -> Column:  # a second argument of the lambda would be the place in the array
         return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("word") + 3 - n)), lambda i: F.substring(padded, i, F.lit(n)))
 
-    cut = [cut_to(n) for n in LENGTHS]
-    grams = counts.select("lang", "n", F.explode(F.flatten(F.array(*cut))).alias("gram")).where("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("length", F.char_length("gram"))
+    def cut_long(n: int) -> Column:  # pieces of 40 places and what the last n-gram has beyond them
+        return F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_LETTERS), F.char_length("piece") + 1 - n)), lambda i: F.substring("piece", i, F.lit(n)))
+
+    pieces = F.regexp_extract_all(padded, F.lit(f"(.{{1,{MAX_LETTERS}}})(?=(.{{0,{max(LENGTHS) - 1}}}))"), F.lit(1))
+    beyond = F.regexp_extract_all(padded, F.lit(f"(.{{1,{MAX_LETTERS}}})(?=(.{{0,{max(LENGTHS) - 1}}}))"), F.lit(2))
+    long = counts.where(~short).select("lang", "n", F.explode(F.zip_with(pieces, beyond, lambda a, b: F.concat(a, b))).alias("piece"))
+    cut_pieces = [F.when(F.char_length("piece") >= n, cut_long(n)).otherwise(F.array().cast("array<string>")) for n in LENGTHS]
+    cut = counts.where(short).select("lang", "n", F.explode(F.flatten(F.array(*map(cut_to, LENGTHS)))).alias("gram")).union(long.select("lang", "n", F.explode(F.flatten(F.array(*cut_pieces))).alias("gram")))
+    grams = cut.where("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("length", F.char_length("gram"))
     grams = written(grams, "grams")
     totals = grams.groupBy("lang", "length").agg(F.sum("n").alias("total"))
-    kept = most_frequent(grams, ["lang", "length"], "gram", MAX_GRAMS).select("gram").distinct()
+    kept = most_frequent(grams, ["lang", "length"], "gram", most_grams).select("gram").distinct()
     common = grams.join(kept, "gram", "left_semi").join(totals, ["lang", "length"]).select("gram", "lang", "length", "n", "total").toPandas()
     word_place, word_scores = _scores(top, "word", langs)
     place, scores = {}, [np.zeros((0, len(langs)), np.float32)]

@@ -23,3 +23,26 @@ def test_every_language_s_own_count_is_scored(spark, monkeypatch):
             c.pop(" ", None)
         for gram in (g for g in model.grams if len(g) == n and all(g in c for c in counts)):
             assert np.allclose(model.gram_scores[model.grams[gram]], [math.log(c[gram] / c.total()) for c in counts]), gram
+
+
+def test_languages_without_counts_and_long_runs(spark):
+    run = "天地玄黃宇宙洪荒日月盈昃辰宿列張" * 5
+    rows = [("the house and the tree are here", "en"), ("el árbol y la casa", "es"), ("12 34 !!", "xx"), ("", "yy"), ("a b", "zz"), (run, "zh")]
+    model = language_id.fit(spark.createDataFrame(rows, SCHEMA))
+    assert model.langs == ["en", "es", "zh", "zz"]
+    names, _ = model.predict(["the house", "la casa", run, run[:20], "houses", "b a", "qqqqqqqqq"])
+    assert names[:6] == ["en", "es", "zh", "zh", "en", "zz"]
+    for n in language_id.LENGTHS:
+        padded = f" {run} "
+        counts = Counter(padded[j : j + n] for j in range(len(padded) - n + 1))
+        counts.pop(" ", None)
+        for gram, c in counts.items():
+            assert np.isclose(model.gram_scores[model.grams[gram], 2], math.log(c / counts.total()))
+
+
+def test_no_language_is_left_out(spark):
+    def word(i):
+        return "".join(chr(0x4E00 + 7 * i + j) for j in range(3))
+
+    model = language_id.fit(spark.createDataFrame([(word(i), f"l{i:03}") for i in range(70)], SCHEMA))
+    assert model.predict([word(i) for i in range(70)])[0] == [f"l{i:03}" for i in range(70)]
