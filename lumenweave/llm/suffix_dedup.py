@@ -13,32 +13,34 @@ Every window of ``length`` bytes is told by its least 32-byte gram. Consecutive
 Grams with more than ``group_rows`` differing strings (say, of a passage in a third of all documents, with other words around it) are
 resolved window by window instead: each task tells equal windows of its own texts first, and only the first of them is compared with other tasks'.
 
-Defined cases: null is an empty text; texts shorter than ``length`` keep all bytes; null ids come before all others; among rows with equal ids, texts
-are ordered by their hash; rows equal in id and text are one document.
+Defined cases: null is an empty text; texts shorter than ``length`` keep all bytes, and an empty table stays empty; every row is a document of its own. Rows are
+ordered by id, null first, and rows with equal ids by the xxhash64 of their texts, so that of repeated rows and of texts with no id all but the first
+lose what they share. Very long texts are cut into overlapping pieces of ``PIECE`` bytes. Other columns pass through under their names, whatever they are.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenweave.llm.common import by_bytes, by_groups, written
 
 GRAM, PIECE = 32, 1 << 19
 #: Strings that are indexed together. Larger groups are indexed alone, up to ``group_rows``; some 15 numbers a byte are held.
 INDEX_ROWS = 3_000
-NO_ID = -(1 << 63)
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=11) | 1 for b in range(256)], dtype=np.uint64)
 _ODD = 0x9E3779B97F4A7C15
 _MIX = [np.uint64(xxhash.xxh64_intdigest(bytes([b]), seed=13) | 1) for b in range(5)]
-# a string's place in a long: 15 bits of its text's hash, 40 of its start, 8 of its length beyond the window's
-_START, _HASH = 8, 48
+# a string's place in a long: its start, and in 8 bits its length beyond the window's
+_START = 8
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -195,160 +197,200 @@ def _spans(string: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarr
     return string[new], start[new], start[last] + length
 
 
-def keyed(docs: DataFrame, row: bool = False) -> DataFrame:
-    """d: the id, or NO_ID; th: 15 bits of the text's hash; text; with ``row``, also the whole row."""
-    text = F.coalesce("text", F.lit(""))
-    whole = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if row else []
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).bitwiseAND(0x7FFF).alias("th"), text.alias("text"), *whole)
+def keyed(docs: DataFrame) -> DataFrame:
+    """rid: a number for each row, ascending by id (null first), hash of the text, place in the input; row: the columns of ``docs`` but the text; text.
 
+    A written table: the number is a row's identity in all that follows, so that it must not be computed twice."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    order = ["d", "th", "at"]
+    rows = docs.select(F.struct(*rest).alias("row"), "text", F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.monotonically_increasing_id().alias("at"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return written(ranged.select(F.monotonically_increasing_id().alias("rid"), "row", "text"), "texts")
 
-def _found(docs: DataFrame, length: int) -> DataFrame:
-    """d, packed, anchor, kind: 1, a string that repeats an earlier one as a whole; 2, a string to index."""
+
+def _found(texts: DataFrame, length: int) -> DataFrame:
+    """rid, packed, anchor, kind: 1, a string that repeats an earlier one as a whole; 2, a string to index."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            ids, ths = batch["d"].to_numpy(), batch["th"].to_numpy()
+            ids = batch["rid"].to_numpy()
             parts = []
             for data, begins, lengths, doc, offset in _pieces([t.encode() for t in batch["text"].to_pylist()], length):
                 gram, content, text, start, size = strings_of(data, begins, lengths, length)
-                parts.append((gram, content, ids[doc[text]], ths[doc[text]] << _HASH | (start + offset[text]) << _START | (size - length)))
+                parts.append((gram, content, ids[doc[text]], (start + offset[text]) << _START | (size - length)))
             if not parts:
                 continue
-            gram, content, d, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
+            gram, content, rid, packed = (np.concatenate(x) for x in zip(*parts, strict=True))
             both = gram * 3 + content
             order = np.argsort(both, kind="stable")
             same = both[order][1:] == both[order][:-1]
             shared = order[np.r_[same, False] | np.r_[False, same]]
-            shared = shared[np.lexsort((packed[shared], d[shared], content[shared], gram[shared]))]
-            again = _later(d[shared], packed[shared], gram[shared], content[shared])[1]
+            shared = shared[np.lexsort((packed[shared], rid[shared], content[shared], gram[shared]))]
+            again = ~_first(gram[shared], content[shared])
             kind = np.zeros(len(gram), np.int8)
             kind[shared[again]] = 1
-            gram = np.where(kind == 1, _mixed((d * 31 + packed).view(np.uint64)).view(np.int64), gram)  # marked already: deal them out evenly
+            gram = np.where(kind == 1, _mixed((rid * 31 + packed).view(np.uint64)).view(np.int64), gram)  # marked already: deal them out evenly
             for k in range(0, len(gram), 50_000):
-                yield pa.RecordBatch.from_pydict({"anchor": gram[k : k + 50_000], "content": content[k : k + 50_000], "d": d[k : k + 50_000], "packed": packed[k : k + 50_000], "kind": kind[k : k + 50_000]})
+                yield pa.RecordBatch.from_pydict({"anchor": gram[k : k + 50_000], "content": content[k : k + 50_000], "rid": rid[k : k + 50_000], "packed": packed[k : k + 50_000], "kind": kind[k : k + 50_000]})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_groups(["anchor"], 100_000)(batches):
-            anchor, content, d, packed, kind = (rows[c].to_numpy() for c in ("anchor", "content", "d", "packed", "kind"))
+        told = Told()
+        for rows in batches:
+            anchor, content, rid, packed, kind = (rows[c].to_numpy() for c in ("anchor", "content", "rid", "packed", "kind"))
             done = kind == 1
-            out = [(d[done], packed[done], anchor[done], np.ones(int(done.sum()), np.int8))]
-            anchor, content, d, packed = (x[~done] for x in (anchor, content, d, packed))
-            if len(anchor):
-                first, again = _later(d, packed, anchor, content)
-                group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]]) - 1
-                several = np.bincount(group, weights=first) > 1
-                ask = first & several[group]
-                out += [(d[again], packed[again], anchor[again], np.ones(int(again.sum()), np.int8)), (d[ask], packed[ask], anchor[ask], np.full(int(ask.sum()), 2, np.int8))]
-            d, packed, anchor, kind = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield pa.RecordBatch.from_pydict({"d": d, "packed": packed, "anchor": anchor, "kind": kind})
-
-    strings = docs.mapInArrow(emit, "anchor long, content long, d long, packed long, kind byte")
-    return strings.repartition("anchor").sortWithinPartitions("anchor", "content", "d", "packed").mapInArrow(compare, "d long, packed long, anchor long, kind byte")
-
-
-def _later(d: np.ndarray, packed: np.ndarray, *equal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted rows: whether each is the first with its values, and whether it repeats the first at another place."""
-    if not len(d):
-        return np.zeros(0, bool), np.zeros(0, bool)
-    first = np.r_[True, np.any([x[1:] != x[:-1] for x in equal], axis=0)]
-    of = np.flatnonzero(first)[np.cumsum(first) - 1]
-    return first, (d != d[of]) | (packed != packed[of])
-
-
-def _place(packed: str = "packed"):
-    """th, start and length beyond the window's, as columns."""
-    p = F.col(packed)
-    return F.shiftrightunsigned(p, _HASH).bitwiseAND(0x7FFF), F.shiftrightunsigned(p, _START).bitwiseAND((1 << 40) - 1), p.bitwiseAND((1 << _START) - 1)
-
-
-def repeated_spans(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
-    """d, th and spans (array of from, to; in bytes; unmerged) of the texts in ``keyed`` rows that have any to remove."""
+            out = [(rid[done], packed[done], anchor[done], kind[done]), *told.next(*(x[~done] for x in (anchor, content, rid, packed)))]
+            rid, packed, anchor, kind = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_pydict({"rid": rid, "packed": packed, "anchor": anchor, "kind": kind})
+
+    strings = texts.where(F.octet_length("text") >= length).select("rid", "text").mapInArrow(emit, "anchor long, content long, rid long, packed long, kind byte")
+    return strings.repartition("anchor").sortWithinPartitions("anchor", "content", "rid", "packed").mapInArrow(compare, "rid long, packed long, anchor long, kind byte")
+
+
+def _first(*equal: np.ndarray) -> np.ndarray:
+    """Of sorted rows: whether each is the first with its values."""
+    if not len(equal[0]):
+        return np.zeros(0, bool)
+    return np.r_[True, np.any([x[1:] != x[:-1] for x in equal], axis=0)]
+
+
+class Told:
+    """Tells repeats in rows that come sorted by gram, content, rid and place, batch by batch. Of the rows before a batch only the last gram, the last content
+    and a first string that still waits for a second one of its gram are kept, whatever the size of a gram's group."""
+
+    def __init__(self) -> None:
+        self.last: tuple[int, int] | None = None
+        self.waits: tuple[int, int] | None = None
+
+    def next(self, anchor: np.ndarray, content: np.ndarray, rid: np.ndarray, packed: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """rid, packed, anchor, kind of what is decided by now."""
+        if not len(anchor):
+            return []
+        first, new = _first(anchor, content), _first(anchor)
+        if self.last is not None:
+            new[0] = anchor[0] != self.last[0]
+            first[0] = new[0] or content[0] != self.last[1]
+        run = np.cumsum(new)  # 0: the gram of the batch before
+        several = np.bincount(run, weights=first, minlength=run[-1] + 1) > 1
+        out = []
+        if not new[0] and (first & (run == 0)).any():
+            several[0] = True
+            if self.waits is not None:
+                out.append((np.array([self.waits[0]]), np.array([self.waits[1]]), anchor[:1], np.array([2], np.int8)))
+                self.waits = None
+        ask, again = first & several[run], ~first
+        out += [(rid[x], packed[x], anchor[x], np.full(int(x.sum()), kind, np.int8)) for x, kind in ((again, 1), (ask, 2))]
+        if run[-1]:
+            alone = np.flatnonzero(first)[-1] if not several[-1] else None
+            self.waits = None if alone is None else (int(rid[alone]), int(packed[alone]))
+        self.last = int(anchor[-1]), int(content[-1])
+        return out
+
+
+def _spread(rid: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    return _mixed((rid * 31 + packed).view(np.uint64)).view(np.int64)
+
+
+def repeated_spans(texts: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
+    """rid and spans (array of from, to; in bytes; unmerged) of the ``keyed`` texts that have any to remove."""
     if not 64 <= length <= 112:
         raise ValueError("windows of 64 to 112 bytes")
-    found = written(_found(docs.select("d", "th", "text"), length), "found")
-    th, start, more = _place()
-    whole = found.where("kind = 1").select("d", th.alias("th"), start.alias("a"), (start + more + length).alias("b"))
-    asked = found.where("kind = 2").select("d", th.alias("th"), "packed", "anchor")
+    found = written(_found(texts, length), "found")
+    start, more = F.shiftrightunsigned("packed", _START), F.col("packed").bitwiseAND((1 << _START) - 1)
+    whole = found.where("kind = 1").select("rid", start.alias("a"), (start + more + length).alias("b"))
+    asked = found.where("kind = 2").select("rid", "packed", "anchor")
     large = asked.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.lit(True).alias("large"))
-    asked = asked.join(large, "anchor", "left").select("d", "th", F.struct("packed", "anchor", F.coalesce("large", F.lit(False)).alias("large")).alias("ask"))
-    wanted = docs.select("d", "th", "text").join(asked.groupBy("d", "th").agg(F.collect_list("ask").alias("asks")), ["d", "th"])
+    asked = asked.join(large, "anchor", "left").select("rid", F.struct("packed", "anchor", F.coalesce("large", F.lit(False)).alias("large")).alias("ask"))
+    wanted = texts.select("rid", "text").join(asked.groupBy("rid").agg(F.collect_list("ask").alias("asks")), "rid")
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """rid, anchor, start, windows and bytes of the strings asked for."""
         for batch in by_bytes(batches):
-            rows = []
-            for d, text, asks in zip(*(batch[c].to_pylist() for c in ("d", "text", "asks")), strict=True):
-                raw = text.encode()
-                for x in asks:
-                    if not x["large"]:
-                        a = x["packed"] >> _START & ((1 << 40) - 1)
-                        rows.append((x["anchor"], d, x["packed"], raw[a : a + length + (x["packed"] & ((1 << _START) - 1))]))
-            if rows:
-                yield pa.RecordBatch.from_pydict({name: pa.array(x, kind) for name, kind, x in zip(("anchor", "d", "packed", "string"), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), zip(*rows, strict=True), strict=True)})
+            asks, ends = batch["asks"].flatten(), batch["asks"].offsets.to_numpy()
+            chosen = asks.field("large").to_numpy(zero_copy_only=False) == large
+            packed, anchor = asks.field("packed").to_numpy(), asks.field("anchor").to_numpy()
+            first = int(ends[0])
+            for i, rid in enumerate(batch["rid"].to_pylist()):
+                own = np.arange(int(ends[i]) - first, int(ends[i + 1]) - first)
+                own = own[chosen[own]]
+                if len(own):
+                    raw = batch["text"][i].as_py().encode()
+                    for at, a, m in zip(anchor[own].tolist(), (packed[own] >> _START).tolist(), (packed[own] & ((1 << _START) - 1)).tolist(), strict=True):
+                        yield rid, at, a, m + 1, raw[a : a + length + m]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batched(((at, rid, a, string) for rid, at, a, _, string in places(batches, False)), 20_000):
+            anchor, rid, a, string = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_pydict({"anchor": pa.array(anchor, pa.int64()), "rid": pa.array(rid, pa.int64()), "a": pa.array(a, pa.int64()), "string": pa.array(string, pa.binary())})
 
     def fetch_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
-            digests, rows = [], []
-            for d, th, text, asks in zip(*(batch[c].to_pylist() for c in ("d", "th", "text", "asks")), strict=True):
-                raw = text.encode()
-                for x in asks:
-                    if x["large"]:
-                        a = x["packed"] >> _START & ((1 << 40) - 1)
-                        for i in range(a, a + (x["packed"] & ((1 << _START) - 1)) + 1):
-                            digests.append(xxhash.xxh3_128_digest(raw[i : i + length]))
-                            rows.append((d, th << _HASH | i))
-            if not rows:
-                continue
-            halves = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            d, packed = np.array(rows, np.int64).T
-            order = np.lexsort((packed, d, halves[:, 1], halves[:, 0]))
-            high, low, d, packed = halves[order, 0], halves[order, 1], d[order], packed[order]
-            first, again = _later(d, packed, high, low)
-            spread = np.where(again, _mixed((d * 31 + packed).view(np.uint64)).view(np.int64), high)
-            keep = first | again
-            yield pa.RecordBatch.from_pydict({"window": spread[keep], "low": low[keep], "d": d[keep], "packed": packed[keep], "kind": again[keep].astype(np.int8)})
+        for rows in batched(places(batches, True), 2_000):
+            halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[i : i + length]) for _, _, _, n, s in rows for i in range(n)), "<i8").reshape(-1, 2)
+            n = np.array([x[3] for x in rows])
+            rid, a = np.repeat(np.array([x[0] for x in rows]), n), np.repeat(np.array([x[2] for x in rows]), n)
+            a += np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
+            order = np.lexsort((a, rid, halves[:, 1], halves[:, 0]))
+            high, low, rid, a = halves[order, 0], halves[order, 1], rid[order], a[order]
+            first = _first(high, low)
+            # windows that repeat one of this task go on as spans, dealt out evenly
+            span, begin, end = _spans(*_in_order(rid[~first], a[~first]), length)
+            yield pa.RecordBatch.from_pydict({"window": np.r_[high[first], _spread(span, begin)], "low": np.r_[low[first], end], "rid": np.r_[rid[first], span], "a": np.r_[a[first], begin], "kind": np.r_[np.zeros(int(first.sum()), np.int8), np.ones(len(span), np.int8)]})
 
     def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in by_groups(["window"], 100_000)(batches):
-            window, low, d, packed, kind = (rows[c].to_numpy() for c in ("window", "low", "d", "packed", "kind"))
-            new = kind == 0
-            marked = np.zeros(len(kind), bool)
-            marked[np.flatnonzero(new)[_later(d[new], packed[new], window[new], low[new])[1]]] = True
-            marked |= ~new
-            d, packed = d[marked], packed[marked]
-            a = packed & ((1 << 40) - 1)
-            yield pa.RecordBatch.from_pydict({"d": d, "th": packed >> _HASH & 0x7FFF, "a": a, "b": a + length})
+        last = None
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            window, low, rid, a, kind = (rows[c].to_numpy() for c in ("window", "low", "rid", "a", "kind"))
+            done, new = kind == 1, kind == 0
+            again = ~_first(window[new], low[new])
+            if len(again):
+                again[0] = last == (window[new][0], low[new][0])
+                last = window[new][-1], low[new][-1]
+            begin = np.r_[a[done], a[new][again]]
+            yield pa.RecordBatch.from_pydict({"rid": np.r_[rid[done], rid[new][again]], "a": begin, "b": np.r_[low[done], a[new][again] + length]})
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_groups(["anchor"], INDEX_ROWS)(batches):
-            once = _later(rows["d"].to_numpy(), rows["d"].to_numpy(), *(rows[c].to_numpy() for c in ("anchor", "d", "packed")))[0]
-            rows = rows.filter(pa.array(once))
             string, start = RunLengthIndex(rows["string"].to_pylist(), length).repeats()
             if not len(string):
                 continue
-            d, packed = rows["d"].to_numpy(), rows["packed"].to_numpy()
+            rid, base = rows["rid"].to_numpy(), rows["a"].to_numpy()
             string, a, b = _spans(string, start, length)
-            base = packed[string] >> _START & ((1 << 40) - 1)
-            yield pa.RecordBatch.from_pydict({"d": d[string], "th": packed[string] >> _HASH & 0x7FFF, "a": base + a, "b": base + b})
+            yield pa.RecordBatch.from_pydict({"rid": rid[string], "a": base[string] + a, "b": base[string] + b})
 
-    strings = wanted.mapInArrow(fetch, "anchor long, d long, packed long, string binary")
-    indexed = strings.repartition("anchor").sortWithinPartitions("anchor", "d", "packed").mapInArrow(index, "d long, th long, a long, b long")
+    strings = wanted.mapInArrow(fetch, "anchor long, rid long, a long, string binary")
+    indexed = strings.repartition("anchor").sortWithinPartitions("anchor", "rid", "a").mapInArrow(index, "rid long, a long, b long")
     spans = whole.unionByName(indexed)
     if large.limit(1).count():
-        windows = wanted.mapInArrow(fetch_windows, "window long, low long, d long, packed long, kind byte")
-        later = windows.repartition("window").sortWithinPartitions("window", "low", "d", "packed").mapInArrow(later_windows, "d long, th long, a long, b long")
+        windows = wanted.mapInArrow(fetch_windows, "window long, low long, rid long, a long, kind byte")
+        later = windows.repartition("window").sortWithinPartitions("window", "low", "rid", "a").mapInArrow(later_windows, "rid long, a long, b long")
         spans = spans.unionByName(later)
-    return spans.groupBy("d", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return spans.groupBy("rid").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
 
+def _in_order(*columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.lexsort(columns[::-1])
+    return tuple(x[order] for x in columns)
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+
+def merged(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Spans as they cover the text together; those that touch are one."""
+    if not len(a):
+        return []
+    a, b = _in_order(a, b)
+    reach = np.maximum.accumulate(b)
+    new = np.r_[True, a[1:] > reach[:-1]]
+    return list(zip(a[new].tolist(), reach[np.r_[new[1:], True]].tolist(), strict=True))
+
+
+def _with_cuts(batch: pa.RecordBatch) -> Iterator[tuple[str | None, list[tuple[int, int]]]]:
+    """Text and merged spans of each row."""
+    spans = batch["spans"]
+    a, b = (spans.flatten().field(i).to_numpy() for i in range(2))
+    sizes = np.array([0 if x is None else x for x in spans.value_lengths().to_pylist()], np.int64)
+    ends = np.cumsum(sizes)
+    for i, text in enumerate(batch["text"].to_pylist()):
+        yield text, merged(a[ends[i] - sizes[i] : ends[i]], b[ends[i] - sizes[i] : ends[i]])
 
 
 def _kept_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
@@ -366,38 +408,34 @@ def _kept_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
 
 def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    texts = keyed(docs)
+    texts, kind = keyed(docs.select("doc_id", "text")), dict(docs.dtypes)["doc_id"]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            ids, texts, spans = (batch[c].to_pylist() for c in ("d", "text", "spans"))
             out: list[list] = [[], [], [], []]
-            for text, own in zip(texts, spans, strict=True):
-                raw = text.encode()
-                cut = merged([(x["a"], x["b"]) for x in own]) if own else []
-                at, digest = 0, hashlib.sha256()
+            for text, cut in _with_cuts(batch):
+                raw, at, digest = (text or "").encode(), 0, hashlib.sha256()
                 for a, b in cut:
                     digest.update(raw[at:a])
                     at = b
                 digest.update(raw[at:])
                 for column, value in zip(out, (len(raw), sum(b - a for a, b in cut), len(cut), digest.hexdigest()), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([None if d == NO_ID else d for d in ids], pa.int64())} | {name: pa.array(x, pa.string() if name == "kept_sha256" else pa.int64()) for name, x in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), out, strict=True)})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {name: pa.array(x, pa.string() if name == "kept_sha256" else pa.int64()) for name, x in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), out, strict=True)})
 
-    joined = texts.join(repeated_spans(texts, length, group_rows), ["d", "th"], "left")
-    return joined.select("d", "text", "spans").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = texts.select("rid", F.col("row.doc_id").alias("doc_id"), "text").join(repeated_spans(texts, length, group_rows), "rid", "left")
+    return joined.select("doc_id", "text", "spans").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def with_kept_text(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
     """The rows of ``docs`` with ``text`` cut down to what is kept; null stays null."""
-    texts = keyed(docs, row=True)
-    spans = repeated_spans(texts, length, group_rows)
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
+    texts = keyed(docs)
 
-        return pd.Series([t if s is None or not len(s) else _kept_text(t.encode(), merged([(x["a"], x["b"]) for x in s])) for t, s in zip(text, spans, strict=True)], dtype=object)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            kept = [_kept_text(text.encode(), own) if own else text for text, own in _with_cuts(batch)]
+            yield pa.RecordBatch.from_pydict({"row": batch["row"], "text": pa.array(kept, pa.string())})
 
-    joined = texts.join(spans, ["d", "th"], "left").select("row", F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(cut("text", "spans")).alias("kept"))
-    return joined.select(*(F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    joined = texts.join(repeated_spans(texts, length, group_rows), "rid", "left").select("row", "text", "spans")
+    cuts = joined.mapInArrow(cut, T.StructType([texts.schema["row"], T.StructField("text", T.StringType())]))
+    return cuts.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -41,9 +41,9 @@ def contamination(text, items):
 
 
 def repeats(rows, length=100):
-    """doc_id -> n_bytes, n_removed, n_spans, sha256 of what is kept; rows of (doc_id, text) with distinct ids."""
-    seen, out = set(), {}
-    for doc_id, text in sorted(rows):
+    """(doc_id, n_bytes, n_removed, n_spans, sha256 of what is kept) of each row of (doc_id, text), in order of id (null first) and hash of the text."""
+    seen, out = set(), []
+    for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, xxhash64(r[1] or ""))):
         raw = (text or "").encode()
         mark = np.zeros(len(raw) + 1, bool)
         for i in range(len(raw) - length + 1):
@@ -53,10 +53,16 @@ def repeats(rows, length=100):
             seen.add(window)
         kept = bytes(b for b, m in zip(raw, mark, strict=False) if not m)
         spans = int((mark[:-1] & ~np.r_[False, mark[:-2]]).sum()) if len(raw) else 0
-        out[doc_id] = (len(raw), int(mark.sum()), spans, hashlib.sha256(kept).hexdigest())
+        out.append((doc_id, len(raw), int(mark.sum()), spans, hashlib.sha256(kept).hexdigest()))
     return out
 
 
+def xxhash64(text):
+    """As the engine's function of this name."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def simhash(text):
     words = lower(text).encode().split()
     if not words:

@@ -48,15 +48,44 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_suffix_dedup(docs, empty):
-    source = {r.doc_id: r.text for r in docs.collect()}
-    want = brute.repeats([(-1 if d is None else d, t) for d, t in source.items()])
-    for group_rows in (20_000, 0):
-        got = suffix_dedup.deduplicated(docs.dropDuplicates(["doc_id"]), 100, group_rows).collect()
-        assert {(-1 if r.doc_id is None else r.doc_id): tuple(r)[1:] for r in got} == want
+def test_suffix_dedup(spark, docs, empty):
+    def key(r):
+        return r[0] is not None, r
+
+    source = [(r.doc_id, r.text) for r in docs.collect()]
+    passage, other = SHARED + SHARED[:60], " ".join(f"other{i * i}" for i in range(60))
+    same_ids = [(5, passage), (7, passage), (7, other), (7, other), (None, other + "!"), *((None, f"{SHARED[i % 50 :]} tail {i} {other[i % 7 : 150 + i % 90]}") for i in range(400))]
+    for rows, table in ((source, docs), (same_ids, spark.createDataFrame(same_ids, "doc_id long, text string").repartition(5))):
+        want = sorted(brute.repeats(rows), key=key)
+        for group_rows in (20_000, 0):
+            assert sorted(map(tuple, suffix_dedup.deduplicated(table, 100, group_rows).collect()), key=key) == want
     assert suffix_dedup.deduplicated(empty).count() == 0
-    kept = {r.doc_id: r for r in suffix_dedup.with_kept_text(docs).collect()}
-    assert kept[0].text is None and kept[8].text == source[8] and "shared by several" not in kept[9].text and kept[9].source == "s"
+    kept = suffix_dedup.with_kept_text(docs)
+    assert kept.columns == docs.columns
+    kept = {r.doc_id: r for r in kept.where("doc_id <> 3").collect()}
+    assert kept[0].text is None and kept[8].text == dict(source)[8] and "shared by several" not in kept[9].text and kept[9].source == "s" and kept[9].spans == 2
+    assert suffix_dedup.with_kept_text(empty).count() == 0
+
+
+def test_repeats_are_told_across_batches():
+    rng = np.random.default_rng(8)
+    rows = sorted({(int(a), int(c), int(r), int(p)) for a, c, r, p in rng.integers(0, (12, 3, 5, 40), (150, 4))})
+    first = {}
+    for row in rows:
+        first.setdefault(row[:2], row)
+    several = {a for a in range(12) if sum(k[0] == a for k in first) > 1}
+    want = sorted((r, p, a, 2 if first[a, c] == (a, c, r, p) else 1) for a, c, r, p in rows if first[a, c] != (a, c, r, p) or a in several)
+    for size in (1, 2, 7, 1000):
+        told, got = suffix_dedup.Told(), []
+        for k in range(0, len(rows), size):
+            for part in told.next(*np.array(rows[k : k + size]).T):
+                got += zip(*(x.tolist() for x in part), strict=True)
+        assert sorted(got) == want
+
+
+def test_spans_that_touch_are_one():
+    assert suffix_dedup.merged(np.array([5, 0, 2, 20, 21]), np.array([9, 3, 5, 30, 22])) == [(0, 9), (20, 30)]
+    assert suffix_dedup.merged(np.array([]), np.array([])) == []
 
 
 def test_suffix_index_matches_plain_search():
