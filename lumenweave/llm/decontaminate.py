@@ -1,30 +1,36 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the least hash of every run of nine consecutive five-word grams, so any thirteen words in common have a kept hash in
-common. The kept hashes are joined, and each hit is extended against the whole texts. Benchmark texts shorter than a window
-are matched whole, by hashes of all runs of their length. Documents send to the join only hashes whose place in a bit map of the
-benchmark's hashes is set: the map has a fixed size, lets no true hit out, and merely filters less as the benchmark grows.
+common. The kept hashes, the fingerprints, are joined; each hit is then extended to the up to nine windows around it, whose 128-bit digests are
+joined to those of the benchmark's windows. Benchmark texts shorter than a window are matched whole, by hashes of all runs of their length.
+Documents send to the join only fingerprints whose place in a bit map of the benchmark's is set: the map has 16 places a fingerprint, 16 megabytes at
+most, and lets no true hit out; beyond that size it merely filters less.
 
-Defined cases: null or wordless texts have no words and no hits; wordless benchmark texts and null item ids are no items; rows of
-``docs`` with the same id and text share one verdict; a benchmark with no rows contaminates nothing.
+No text leaves its task. Windows with the same set of items form a class, and documents carry classes, not items: item lists are made once for each
+set of classes that occurs. Equal texts share one verdict, whatever their ids and number.
+
+Defined cases: null, empty or wordless texts have no words and no hits; wordless benchmark texts and null item ids are no items; texts under one item
+id are one item; repeated rows get the same verdict each; a benchmark with no rows contaminates nothing and no documents give no rows. Very long texts
+are laid out one at a time. Other columns of ``docs`` don't matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word, after lower-casing A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, GRAM, MAP_BITS = 13, 5, 22
+from lumenweave.llm.common import by_bytes, written
+
+#: Words are runs of letters and digits of ASCII, A-Z lower-cased, and of all bytes beyond it.
+WINDOW, GRAM, MOST_BITS = 13, 5, 27
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.zeros(256, bool)
@@ -34,10 +40,6 @@ _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=3) | 1 for b in range(
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def words(text: str | None) -> list[str]:
-    return re.findall(WORD, re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or ""))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(29))
@@ -86,22 +88,19 @@ def winnowed(hashes: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.flatnonzero((most == grams) & (grams > 0))
 
 
-def prints(texts: list[bytes], short: list[int] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Run length (WINDOW for windows), fingerprints, and their texts. short: lengths to take all runs of; None: each short text whole."""
+def prints(texts: list[bytes], short: list[int] | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Run length (WINDOW for windows), fingerprints, their texts, and the word each begins at. short: lengths to take all runs of; None: each short text whole."""
     hashes, text = word_hashes(texts)
-    if short is None:
-        counts = np.bincount(text, minlength=len(texts)) if len(text) else np.zeros(len(texts), np.int64)
-        for length in range(1, WINDOW):
-            runs, same = run_hashes(hashes, text, length)
-            whole = same & (counts[text[: len(runs)]] == length) if len(runs) else same
-            yield length, runs[whole], text[: len(runs)][whole]
-    else:
-        for length in short:
-            runs, same = run_hashes(hashes, text, length)
-            yield length, runs[same], text[: len(runs)][same]
+    begins = np.searchsorted(text, np.arange(len(texts)))
+    counts = np.bincount(text, minlength=len(texts)) if len(text) else np.zeros(len(texts), np.int64)
+    for length in range(1, WINDOW) if short is None else short:
+        runs, same = run_hashes(hashes, text, length)
+        of = text[: len(runs)]
+        at = np.flatnonzero(same & (counts[of] == length) if short is None and len(runs) else same)
+        yield length, runs[at], of[at], at - begins[of[at]]
     at = winnowed(hashes, text)
     grams, _ = run_hashes(hashes, text, GRAM)
-    yield WINDOW, grams[at], text[at]
+    yield WINDOW, grams[at], text[at], at - begins[text[at]]
 
 
 def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
@@ -116,86 +115,136 @@ def slices(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[
         yield first, texts[first:]
 
 
-def find_hits(doc: list[str], items: list[tuple[str, list[str]]]) -> tuple[int, list[str]]:
-    """Hit words of ``doc``, and the ids of the items with a window in it."""
-    hit, found, places = np.zeros(len(doc) + 1, np.int64), [], {}
-    for item_id, words_of in items:
-        length = min(WINDOW, len(words_of))
-        if length not in places:
-            places[length] = {}
-            for i in range(len(doc) - length + 1):
-                places[length].setdefault(tuple(doc[i : i + length]), []).append(i)
-        at = [i for window in {tuple(words_of[j : j + length]) for j in range(len(words_of) - length + 1)} for i in places[length].get(window, ())]
-        if at:
-            found.append(item_id)
-            np.add.at(hit, at, 1)
-            np.add.at(hit, np.array(at) + length, -1)
-    return int((np.cumsum(hit)[:-1] > 0).sum()), found
+def split(text: bytes) -> list[bytes]:
+    return text.lower().translate(_APART).split()
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    spark = docs.sparkSession
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+def digest(words: list[bytes]) -> tuple[int, int]:
+    """Two longs that tell runs of words apart."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(b" ".join(words)))
 
-    def item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch["item_id"].to_pylist()
-            for first, part in slices([t.encode() for t in batch["text"].to_pylist()]):
-                for length, hashes, text in prints(part, None):
-                    yield pa.RecordBatch.from_pydict({"length": pa.array([length] * len(text), pa.int32()), "hash": hashes.view(np.int64), "item_id": pa.array([ids[i + first] for i in text.tolist()], pa.string())})
-
-    item_prints = items.mapInArrow(item_rows, "length int, hash long, item_id string").distinct()
-    slots = item_prints.select("length", F.col("hash").bitwiseAND((1 << MAP_BITS) - 1).cast("int").alias("slot")).distinct().toPandas()
-    bitmap = np.zeros(1 << MAP_BITS, bool)
-    bitmap[slots["slot"].to_numpy()] = True
-    short = sorted(int(x) for x in slots["length"].unique() if x < WINDOW)
-    shared = spark.sparkContext.broadcast(np.packbits(bitmap))  # half a megabyte, whatever the benchmark's size
-
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-
-    def doc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(shared.value).astype(bool)
+
+def _rows(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({name: pa.array(x, kind) for (name, kind), x in zip(names.items(), zip(*rows, strict=True) if rows else [()] * len(names), strict=True)})
+
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """d1, d2, item_id of every window of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths = batch["doc_id"], batch["th"]
-            for first, part in slices([t.encode() for t in batch["text"].to_pylist()]):
-                for length, hashes, text in prints(part, short):
-                    keep = known[(hashes & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)]
-                    at = pa.array(text[keep] + first)
-                    yield pa.RecordBatch.from_pydict({"length": pa.array([length] * len(at), pa.int32()), "hash": hashes[keep].view(np.int64), "doc_id": ids.take(at), "th": ths.take(at)})
-
-    kind = dict(docs.dtypes)["doc_id"]
-    doc_prints = keyed.where("text IS NOT NULL").mapInArrow(doc_rows, f"length int, hash long, doc_id {kind}, th long")
-    pairs = doc_prints.join(item_prints, ["length", "hash"]).select("doc_id", "th", "item_id").distinct()
-    asked = pairs.join(items, "item_id").groupBy("doc_id", "th").agg(F.collect_list(F.struct("item_id", "text")).alias("items"))
-    asked = asked.select(F.col("doc_id").alias("d"), F.col("th").alias("h"), "items")
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("h"))
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split: dict[tuple[str, str], list[str]] = {}
+            for item_id, text in zip(batch["item_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                own = split(text.encode())
+                n = min(WINDOW, len(own))
+                found = {digest(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
+                yield _rows({"d1": pa.int64(), "d2": pa.int64(), "item_id": pa.string()}, [(*d, item_id) for d in found])
+
+    return items.mapInArrow(run, "d1 long, d2 long, item_id string").distinct()
+
+
+def item_prints(items: DataFrame) -> DataFrame:
+    """length, hash of every fingerprint of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, counts, shas = [], [], []
-            for text, own in zip(batch["text"].to_pylist(), batch["items"].to_pylist(), strict=True):
-                if len(split) > 20_000:
-                    split.clear()
-                theirs = []
-                for x in own:
-                    if (x["item_id"], x["text"]) not in split:
-                        split[x["item_id"], x["text"]] = words(x["text"])
-                    theirs.append((x["item_id"], split[x["item_id"], x["text"]]))
-                n, found = find_hits(words(text), theirs)
-                found = sorted(set(found))
-                hits.append(n)
-                counts.append(len(found))
-                shas.append(hashlib.sha256(",".join(found).encode()).hexdigest())
-            yield pa.RecordBatch.from_pydict({"d": batch["doc_id"], "h": batch["th"], "n_hit": pa.array(hits, pa.int64()), "n_items": pa.array(counts, pa.int64()), "items_sha256": shas})
-
-    verdicts = keyed.join(asked, same).select("doc_id", "th", "text", "items").dropDuplicates(["doc_id", "th"]).mapInArrow(verify, f"d {kind}, h long, n_hit long, n_items long, items_sha256 string")
+            for _, part in slices([t.encode() for t in batch["text"].to_pylist()]):
+                for length, hashes, _, _ in prints(part, None):
+                    yield pa.RecordBatch.from_pydict({"length": pa.array([length] * len(hashes), pa.int32()), "hash": hashes.view(np.int64)})
+
+    return items.mapInArrow(run, "length int, hash long").distinct()
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """Packed bits, set at the hashes' places; put together by the executors, so that the driver gets its words, two megabytes of rows at most."""
+    bits = min(MOST_BITS, max(16, (16 * hashes.count()).bit_length()))
+    slot = F.col("hash").bitwiseAND((1 << bits) - 1)
+    word, bit = F.shiftright(slot, 6), F.expr(f"shiftleft(1L, CAST((hash & {(1 << bits) - 1}) % 64 AS INT))")
+    words = np.zeros(1 << (bits - 6), np.int64)
+    for rows in hashes.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toLocalIterator():
+        words[rows["word"]] = rows["bits"]
+    return words
+
+
+def text_key() -> list[Column]:
+    """Two hashes that tell texts apart."""
+    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """h1, h2, n_hit, n_items, items_sha256 of the texts of ``docs`` that have hits."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    known = written(item_prints(items), "item-prints")
+    short = sorted(r["length"] for r in known.where(F.col("length") < WINDOW).select("length").distinct().collect())
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(known))
+    names = {"length": pa.int32(), "hash": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "at": pa.int32(), "n": pa.int32(), "d1": pa.int64(), "d2": pa.int64()}
+
+    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
+        mask = np.uint64(64 * len(words) - 1)
+        for batch in by_bytes(batches):
+            keys = np.stack([batch["h1"].to_numpy(), batch["h2"].to_numpy()], axis=1)
+            once = np.sort(np.unique(keys, axis=0, return_index=True)[1])
+            texts = [t.encode() for t in batch["text"].take(pa.array(once)).to_pylist()]
+            for first, part in slices(texts):
+                cut: dict[int, list[bytes]] = {}
+                rows: list[tuple] = []
+                for length, hashes, text, at in prints(part, short):
+                    slot = (hashes & mask).astype(np.int64)
+                    for k in np.flatnonzero(words[slot >> 6] >> (slot & 63) & 1).tolist():
+                        i, place = int(text[k]), int(at[k])
+                        if i not in cut:
+                            cut[i] = split(part[i])
+                        own = cut[i]
+                        reach = range(max(0, place - (WINDOW - GRAM)), min(place, len(own) - WINDOW) + 1) if length == WINDOW else [place]
+                        rows += [(length, int(hashes.view(np.int64)[k]), *keys[once[first + i]].tolist(), a, length, *digest(own[a : a + length])) for a in reach]
+                        if len(rows) > 20_000:
+                            yield _rows(names, rows)
+                            rows = []
+                yield _rows(names, rows)
+
+    kind = "length int, hash long, h1 long, h2 long, at int, n int, d1 long, d2 long"
+    hits = docs.where("text IS NOT NULL").select("text", *text_key()).mapInArrow(around, kind).join(known, ["length", "hash"], "left_semi").select("h1", "h2", "at", "n", "d1", "d2")
+    windows = written(item_windows(items), "item-windows")
+    sets = windows.groupBy("d1", "d2").agg(F.expr("bit_xor(xxhash64(item_id))").alias("c1"), F.expr("bit_xor(xxhash64(1, item_id))").alias("c2"))
+    sets = written(sets, "window-classes")
+    found = hits.join(sets, ["d1", "d2"]).groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.collect_set(F.struct("c1", "c2")).alias("classes"))
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
+
+    def covered(acc: Column, x: Column) -> Column:
+        end = F.greatest(acc["end"], x["at"] + x["n"])
+        return F.struct(end.alias("end"), (acc["total"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["at"]))).alias("total"))
+
+    n_hit = F.aggregate(F.sort_array("spans"), start, covered, lambda acc: acc["total"])
+    found = written(found.select("h1", "h2", n_hit.alias("n_hit"), F.sort_array("classes").alias("classes")).withColumn("several", F.md5(F.to_json("classes"))), "hits")
+    several = found.groupBy("several").agg(F.first("classes").alias("classes")).select("several", F.explode("classes").alias("c")).select("several", "c.c1", "c.c2")
+    of_class = windows.join(sets.join(several.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi"), ["d1", "d2"]).select("c1", "c2", "item_id").distinct()
+    lists = several.join(of_class, ["c1", "c2"]).groupBy("several").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    lists = lists.select("several", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"))
+    return found.join(lists, "several").select("h1", "h2", "n_hit", "n_items", "items_sha256")
+
+
+def with_words(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The given columns, h1, h2 and n_words."""
 
     @F.pandas_udf("long")
     def n_words(texts: pd.Series) -> pd.Series:
         return pd.Series([len(t.encode().translate(_APART).split()) for t in texts], dtype="int64")
 
-    counted = docs.select("doc_id", F.xxhash64("text").alias("th"), n_words(F.coalesce("text", F.lit(""))).alias("n_words"))
-    out = counted.join(verdicts, same, "left").select("doc_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("items_sha256"), "th")
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "th")
+    return docs.select(*columns, *text_key(), n_words(F.coalesce("text", F.lit(""))).alias("n_words"))
+
+
+CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    out = with_words(docs, "doc_id").join(verdicts(docs, benchmark), ["h1", "h2"], "left")
+    none = F.lit(hashlib.sha256(b"").hexdigest())
+    out = out.select("doc_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", none).alias("items_sha256"))
+    return out.withColumn("contaminated", F.expr(CONTAMINATED))
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that aren't contaminated; rows with null texts stay."""
+    bad = with_words(docs.where("text IS NOT NULL")).distinct().join(verdicts(docs, benchmark), ["h1", "h2"]).where(CONTAMINATED).select("h1", "h2")
+    return docs.join(bad, (F.xxhash64(docs["text"]) == bad["h1"]) & (F.xxhash64(F.lit(1), docs["text"]) == bad["h2"]), "left_anti")

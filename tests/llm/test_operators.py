@@ -105,13 +105,24 @@ def test_suffix_index_matches_plain_search():
 def test_decontaminate(spark, docs, empty):
     items = [("a", "One two"), ("b", "word5 ünïcode35 " + " ".join(f"word{i} ünïcode{i * 7}" for i in range(6, 16))), ("c", None), ("d", "..."), (None, "three"), ("e", SHARED), ("f", "no such passage " * 6)]
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = decontaminate.decontaminate(docs, bench).drop("th").collect()
+    got = decontaminate.decontaminate(docs, bench).collect()
     for r, text in zip(sorted(got, key=lambda r: (r.doc_id is not None, r.doc_id)), [x[1] for x in sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda x: (x[0] is not None, x[0]))], strict=True):
         assert tuple(r)[1:] == brute.contamination(text, [(i, t) for i, t in items if t])
     assert decontaminate.decontaminate(empty, bench).count() == 0
     assert decontaminate.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_a_passage_of_all_items_and_most_documents(spark):
+    common = " ".join(f"common{i}" for i in range(20))
+    items = [(f"i{i}", f"{common} own{i} " + " ".join(f"x{i}y{j}" for j in range(i % 30))) for i in range(300)]
+    rows = [(i if i % 9 else None, f"start{i % 40} {common} {'own' + str(i % 400) if i % 2 else 'end'} {'tail ' * (i % 700)}" if i % 5 else "none of it") for i in range(1000)]
+    bench, docs = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    verdict = {t: brute.contamination(t, items) for t in {t for _, t in rows}}
+    want = sorted(((d, *verdict[t]) for d, t in rows), key=str)
+    assert sorted(map(tuple, decontaminate.decontaminate(docs, bench).collect()), key=str) == want
+    assert decontaminate.uncontaminated(docs, bench).count() == sum(not r[-1] for r in want) > 200
+
+
 def test_bpe_matches_the_library(docs, empty):
     path = public_tokenizers.path(queries.RANKS)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
