@@ -192,6 +192,8 @@ def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
 
 def _spans(string: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of consecutive windows as string, from, to."""
+    if not len(string):
+        return string, start, start
     new = np.r_[True, (string[1:] != string[:-1]) | (start[1:] != start[:-1] + 1)]
     last = np.r_[new[1:], True]
     return string[new], start[new], start[last] + length

@@ -86,6 +86,9 @@ def test_repeats_are_told_across_batches():
 def test_spans_that_touch_are_one():
     assert suffix_dedup.merged(np.array([5, 0, 2, 20, 21]), np.array([9, 3, 5, 30, 22])) == [(0, 9), (20, 30)]
     assert suffix_dedup.merged(np.array([]), np.array([])) == []
+    one, none = np.array([1, 1, 1, 2]), np.zeros(0, np.int64)
+    assert [x.tolist() for x in suffix_dedup._spans(one, np.array([3, 4, 6, 7]), 10)] == [[1, 1, 2], [3, 6, 7], [14, 16, 17]]
+    assert [x.tolist() for x in suffix_dedup._spans(none, none, 10)] == [[], [], []]
 
 
 def test_suffix_index_matches_plain_search():
