@@ -21,7 +21,6 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -129,7 +128,7 @@ def _rows(names: dict[str, pa.DataType], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """d1, d2, item_id of every window of the items."""
+    """d1, d2, item_id of every window of the items; a window may come more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +138,7 @@ def item_windows(items: DataFrame) -> DataFrame:
                 found = {digest(own[i : i + n]) for i in range(len(own) - n + 1)} if n else set()
                 yield _rows({"d1": pa.int64(), "d2": pa.int64(), "item_id": pa.string()}, [(*d, item_id) for d in found])
 
-    return items.mapInArrow(run, "d1 long, d2 long, item_id string").distinct()
+    return items.mapInArrow(run, "d1 long, d2 long, item_id string")
 
 
 def item_prints(items: DataFrame) -> DataFrame:
@@ -170,9 +169,8 @@ def text_key() -> list[Column]:
     return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2")]
 
 
-def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """h1, h2, n_hit, n_items, items_sha256 of the texts of ``docs`` that have hits."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+def window_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """h1, h2, at, n, d1, d2 of the windows of ``docs`` that have a fingerprint of an item, and d1, d2, item_id of the items' windows."""
     known = written(item_prints(items), "item-prints")
     short = sorted(r["length"] for r in known.where(F.col("length") < WINDOW).select("length").distinct().collect())
     shared = docs.sparkSession.sparkContext.broadcast(bit_map(known))
@@ -204,18 +202,31 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     kind = "length int, hash long, h1 long, h2 long, at int, n int, d1 long, d2 long"
     hits = docs.where("text IS NOT NULL").select("text", *text_key()).mapInArrow(around, kind).join(known, ["length", "hash"], "left_semi").select("h1", "h2", "at", "n", "d1", "d2")
-    windows = written(item_windows(items), "item-windows")
-    sets = windows.groupBy("d1", "d2").agg(F.expr("bit_xor(xxhash64(item_id))").alias("c1"), F.expr("bit_xor(xxhash64(1, item_id))").alias("c2"))
-    sets = written(sets, "window-classes")
-    found = hits.join(sets, ["d1", "d2"]).groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.collect_set(F.struct("c1", "c2")).alias("classes"))
+    return hits, written(item_windows(items), "item-windows")
+
+
+def items_of(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+
+
+def n_hit(spans: Column) -> Column:
+    """Words that an array of places and lengths covers."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
 
     def covered(acc: Column, x: Column) -> Column:
         end = F.greatest(acc["end"], x["at"] + x["n"])
         return F.struct(end.alias("end"), (acc["total"] + F.greatest(F.lit(0), end - F.greatest(acc["end"], x["at"]))).alias("total"))
 
-    n_hit = F.aggregate(F.sort_array("spans"), start, covered, lambda acc: acc["total"])
-    found = written(found.select("h1", "h2", n_hit.alias("n_hit"), F.sort_array("classes").alias("classes")).withColumn("several", F.md5(F.to_json("classes"))), "hits")
+    return F.aggregate(F.sort_array(spans), start, covered, lambda acc: acc["total"])
+
+
+def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """h1, h2, n_hit, n_items, items_sha256 of the texts of ``docs`` that have hits."""
+    hits, windows = window_hits(docs, items_of(benchmark))
+    windows = windows.distinct()
+    sets = windows.groupBy("d1", "d2").agg(F.expr("bit_xor(xxhash64(item_id))").alias("c1"), F.expr("bit_xor(xxhash64(1, item_id))").alias("c2"))
+    found = hits.join(sets, ["d1", "d2"]).groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "n")).alias("spans"), F.collect_set(F.struct("c1", "c2")).alias("classes"))
+    found = written(found.select("h1", "h2", n_hit(F.col("spans")).alias("n_hit"), F.sort_array("classes").alias("classes")).withColumn("several", F.md5(F.to_json("classes"))), "hits")
     several = found.groupBy("several").agg(F.first("classes").alias("classes")).select("several", F.explode("classes").alias("c")).select("several", "c.c1", "c.c2")
     of_class = windows.join(sets.join(several.select("c1", "c2").distinct(), ["c1", "c2"], "left_semi"), ["d1", "d2"]).select("c1", "c2", "item_id").distinct()
     lists = several.join(of_class, ["c1", "c2"]).groupBy("several").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
@@ -223,14 +234,8 @@ def verdicts(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found.join(lists, "several").select("h1", "h2", "n_hit", "n_items", "items_sha256")
 
 
-def with_words(docs: DataFrame, *columns: Column | str) -> DataFrame:
-    """The given columns, h1, h2 and n_words."""
-
-    @F.pandas_udf("long")
-    def n_words(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(t.encode().translate(_APART).split()) for t in texts], dtype="int64")
-
-    return docs.select(*columns, *text_key(), n_words(F.coalesce("text", F.lit(""))).alias("n_words"))
+def n_words() -> Column:
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++")).cast("long").alias("n_words")
 
 
 CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
@@ -238,7 +243,7 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    out = with_words(docs, "doc_id").join(verdicts(docs, benchmark), ["h1", "h2"], "left")
+    out = docs.select("doc_id", *text_key(), n_words()).join(verdicts(docs, benchmark), ["h1", "h2"], "left")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     out = out.select("doc_id", "n_words", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_hit", "n_items")), F.coalesce("items_sha256", none).alias("items_sha256"))
     return out.withColumn("contaminated", F.expr(CONTAMINATED))
@@ -246,5 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated; rows with null texts stay."""
-    bad = with_words(docs.where("text IS NOT NULL")).distinct().join(verdicts(docs, benchmark), ["h1", "h2"]).where(CONTAMINATED).select("h1", "h2")
+    hits, windows = window_hits(docs, items_of(benchmark))
+    found = hits.join(windows.select("d1", "d2").distinct(), ["d1", "d2"], "left_semi").groupBy("h1", "h2").agg(n_hit(F.collect_set(F.struct("at", "n"))).alias("n_hit"))
+    bad = docs.where("text IS NOT NULL").select(*text_key(), n_words()).distinct().join(found, ["h1", "h2"]).where(CONTAMINATED).select("h1", "h2")
     return docs.join(bad, (F.xxhash64(docs["text"]) == bad["h1"]) & (F.xxhash64(F.lit(1), docs["text"]) == bad["h2"]), "left_anti")
