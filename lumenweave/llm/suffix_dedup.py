@@ -207,7 +207,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     order = ["d", "th", "at"]
     rows = docs.select(F.struct(*rest).alias("row"), "text", F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.monotonically_increasing_id().alias("at"))
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return written(ranged.select(F.monotonically_increasing_id().alias("rid"), "row", "text"), "texts")
+    return written(ranged.select(F.monotonically_increasing_id().alias("rid"), "row", "text"), "texts").where("rid IS NOT NULL")  # as inner joins add
 
 
 def _found(texts: DataFrame, length: int) -> DataFrame:
@@ -302,7 +302,7 @@ def repeated_spans(texts: DataFrame, length: int = 100, group_rows: int = 6_000)
     asked = found.where("kind = 2").select("rid", "packed", "anchor")
     large = asked.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.lit(True).alias("large"))
     asked = asked.join(large, "anchor", "left").select("rid", F.struct("packed", "anchor", F.coalesce("large", F.lit(False)).alias("large")).alias("ask"))
-    wanted = texts.select("rid", "text").join(asked.groupBy("rid").agg(F.collect_list("ask").alias("asks")), "rid")
+    wanted = texts.join(asked.groupBy("rid").agg(F.collect_list("ask").alias("asks")), "rid")  # all columns, so that the caller's join reads the same shuffle
 
     def places(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[tuple[int, int, int, int, bytes]]:
         """rid, anchor, start, windows and bytes of the strings asked for."""
@@ -425,8 +425,8 @@ def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 6_000) ->
                     column.append(value)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"]} | {name: pa.array(x, pa.string() if name == "kept_sha256" else pa.int64()) for name, x in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256"), out, strict=True)})
 
-    joined = texts.select("rid", F.col("row.doc_id").alias("doc_id"), "text").join(repeated_spans(texts, length, group_rows), "rid", "left")
-    return joined.select("doc_id", "text", "spans").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined = texts.join(repeated_spans(texts, length, group_rows), "rid", "left")
+    return joined.select(F.col("row.doc_id").alias("doc_id"), "text", "spans").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def with_kept_text(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
