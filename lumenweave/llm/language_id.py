@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from lumenweave.llm.common import by_bytes, written
 
 #: Words a language, and n-grams a language and length that the model keeps, for up to so many languages: the lists of more are shorter, as all scores of
-#: a model are one table of keys by languages. So many characters a word of the model at most.
-MANY_LANGS, MAX_WORDS, MAX_GRAMS, MAX_LETTERS = 64, 20_000, 5_000, 40
+#: a model are one table of keys by languages, which is broadcast: of 110 MB at most, whatever the corpus. So many characters a word of the model at most.
+MANY_LANGS, MAX_WORDS, MAX_GRAMS, MAX_LETTERS = 24, 20_000, 5_000, 40
 LENGTHS = (5, 4, 3, 2, 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
@@ -110,13 +110,21 @@ def _scores(rows: pd.DataFrame, key: str, langs: list[str]) -> tuple[dict[str, i
     return {x: i for i, x in enumerate(names)}, out
 
 
-def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, parts: int = 64) -> DataFrame:
-    """The rows of ``counts`` with the ``most`` largest ``n`` of each group, ties by ``key``. Each of a group's ``parts`` hands on its own
-    largest only, so that the last task of a group reads ``most * parts`` rows at most."""
-    for keys in ([*group, F.pmod(F.xxhash64(key), F.lit(parts))], group):
-        by_count = Window.partitionBy(*keys).orderBy(F.desc("n"), key)
-        counts = counts.withColumn("place", F.row_number().over(by_count)).where(F.col("place") <= most).drop("place")
-    return counts
+def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, buckets: int = 4096) -> DataFrame:
+    """The ``most`` rows of ``counts`` with the largest ``n`` of each group, ties by a hash of ``key``. No task sorts a group's rows: a histogram of ``n`` gives the
+    count from which on all stay, and a histogram of hash buckets how far into the rows of the next count."""
+    line = Window.partitionBy(*group)
+    sums = counts.groupBy(*group, "n").agg(F.count("*").alias("rows"))
+    upto = sums.withColumn("upto", F.sum("rows").over(line.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    edge = upto.where(F.col("upto") > most).groupBy(*group).agg(F.min_by(F.struct(F.col("n").alias("edge"), (F.lit(most) - F.col("upto") + F.col("rows")).alias("room")), "upto").alias("e"))
+    marked = counts.join(edge.select(*group, "e.edge", "e.room"), group, "left")
+    sure = marked.where("edge IS NULL OR n > edge").select(*counts.columns)
+    tied = marked.where("n = edge").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    per = tied.groupBy(*group, "bucket").agg(F.count("*").alias("rows"))
+    per = per.select(*group, "bucket", (F.sum("rows").over(line.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("rows")).alias("before"))
+    tied = tied.join(per, [*group, "bucket"]).where("before < room")
+    place = F.row_number().over(Window.partitionBy(*group, "bucket").orderBy(key))
+    return sure.unionByName(tied.withColumn("place", place).where("place <= room - before").select(*counts.columns))
 
 
 def fit(train: DataFrame) -> Model:
