@@ -2,17 +2,18 @@
 
 Texts are cut by the tokenizer's pattern. Pieces that are tokens already need no merging. The others are grouped by length and laid as rows of
 padded matrices of token ids; each round every row merges its leftmost pair of least rank, the columns to its right move up
-one place, and rows without a pair are done. Ranks of pairs come from an open-addressing hash table held in arrays. Rows past the
-longest bucket are merged alone, with a heap over a linked list, in the same order.
+one place, and rows without a pair are done. Ranks of pairs come from an open-addressing hash table held in arrays. A piece longer than the
+last bucket is a matrix of one row; all places of its least pair merge in one round, so that very long pieces take rounds by ranks, not by letters.
 
-Defined cases: null is an empty text; an empty text has no ids; lone surrogates cannot occur in a Spark string.
+Defined cases: null is an empty text; an empty text has no ids, and an empty table no rows; of pairs of equal rank the leftmost merges first; lone
+surrogates cannot occur in a Spark string; repeated rows and null ids are encoded each for itself; very long texts are held one at a time; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from lumenweave.llm.common import by_bytes
 
 NONE = np.int32(2**31 - 1)
 BUCKETS = (4, 8, 12, 16, 24, 32, 64, 128, 512)
-CACHE_PIECES = 200_000
+CACHE_PIECES = 100_000
 
 
 def load_ranks(lines: bytes) -> dict[bytes, int]:
@@ -77,7 +78,7 @@ class PairTable:
         return found
 
 
-def together(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
+def together(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
     """Consecutive texts of about ``chars`` characters: however long texts are, the pieces held at once are those of so many characters, or of one text."""
     first, count = 0, 0
     for i, text in enumerate(texts):
@@ -135,22 +136,32 @@ class ByteBpe:
         return out
 
     def _merge_long(self, piece: bytes) -> list[int]:
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        before, after = list(range(-1, len(parts) - 1)), [*range(1, len(parts)), -1]
-        heap = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ranks]
-        heapq.heapify(heap)
-        while heap:
-            rank, i = heapq.heappop(heap)
-            j = after[i]
-            if parts[i] is None or j < 0 or self.ranks.get(parts[i] + parts[j]) != rank:
-                continue
-            parts[i], parts[j], after[i] = parts[i] + parts[j], None, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := self.ranks.get(parts[a] + parts[b])) is not None:
-                    heapq.heappush(heap, (r, a))
-        return [self.ranks[p] for p in parts if p is not None]
+        """A row of its own, which merges all places of its least pair in one round, from the left. That is what merging the leftmost again and again does, as
+        long as no merge on the way makes a pair of a lower rank: the round ends with the first merge that does."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        rank = self.pairs.look_up(ids[:-1], ids[1:])
+        while len(rank) and (best := rank.min()) != NONE:
+            at = np.flatnonzero(rank == best)
+            # of places that overlap, every second one of a run merges
+            run = np.cumsum(np.r_[True, np.diff(at) > 1]) - 1
+            at = at[(at - at[np.searchsorted(run, run)]) % 2 == 0]
+            left, right = at > 0, at + 2 < len(ids)
+            before, after = ids[at - 1], ids[np.minimum(at + 2, len(ids) - 1)]
+            joined = np.full(len(at), best, np.int32)
+            merged_before = np.r_[False, np.diff(at) == 2]  # what stands at the left is the pair merged just before
+            lower = left & (self.pairs.look_up(np.where(merged_before, joined, before), joined) < best)
+            lower |= right & (self.pairs.look_up(joined, after) < best)
+            if lower.any():
+                at = at[: int(lower.argmax()) + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids[at] = best
+            ids = ids[keep]
+            place = at - np.arange(len(at))
+            rank = rank[keep[1:]] if len(ids) > 1 else rank[:0]
+            touched = np.unique(np.r_[place[place > 0] - 1, place[place < len(ids) - 1]])
+            rank[touched] = self.pairs.look_up(ids[touched], ids[touched + 1])
+        return ids.tolist()
 
     def learn(self, pieces: set[str]) -> None:
         """Puts the ids of new pieces into the cache."""
@@ -208,7 +219,7 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(lines.value, pattern)
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, 2 << 20):
             texts = [t or "" for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "ids": pa.array(list(bpe.encode(texts)), pa.list_(pa.int32()))})
 
@@ -223,7 +234,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(lines.value, pattern)
         decimal = bpe.decimal.__getitem__
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, 2 << 20):
             counts, ids_sha, text_sha = [], [], []
             for ids in bpe.encode([t or "" for t in batch["text"].to_pylist()]):
                 counts.append(len(ids))
