@@ -1,13 +1,14 @@
 """SimHash near-duplicates, with pivot distance tables.
 
 Fingerprints are 64 bits over word shingles. Copies of a text collapse into one fingerprint first, so the search runs
-over distinct fingerprints only. Six bit blocks and at most four differing bits leave at least two blocks equal: the
-fifteen pairs of blocks deal fingerprints into cells where every linked pair meets. Inside a cell, distances to many
+over distinct fingerprints only. Two blocks more than the radius leave at least two blocks equal, and so on: the choices of
+so many blocks deal fingerprints into cells where every linked pair meets. The number of blocks follows the number of fingerprints (six for radius 4 up
+to some millions), so that cells stay small as the corpus grows. Inside a cell, distances to many
 reference fingerprints are tabled once; by the triangle inequality a pair whose coordinates differ by more than the
 radius in any pivot is no link, and only the rest is verified bit by bit. A cell hands on a spanning forest of its links,
 never its pairs. Cells above ``cell_rows`` are cut into chunks that meet pair by pair in tasks of their own.
 
-Defined cases: null or wordless text has fingerprint 0 and is linked as any other; texts of fewer words than a shingle hash
+Defined cases: no documents give no rows; other columns, whatever their names, are not read; very long texts are hashed in parts; null or wordless text has fingerprint 0 and is linked as any other; texts of fewer words than a shingle hash
 their whole word sequence; rows with a null id get a component but never name one; repeated rows share a component.
 """
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -25,7 +27,6 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm.common import by_groups, written
 
-BLOCKS = (11, 11, 11, 11, 10, 10)
 PIVOTS = np.array([xxhash.xxh64_intdigest(str(i), seed=7) for i in range(16)], dtype=np.uint64)
 
 
@@ -60,12 +61,19 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def _masks() -> list[int]:
-    low, masks = 0, []
-    for width in BLOCKS:
-        masks.append(((1 << width) - 1) << low)
+def masks(blocks: int, radius: int) -> list[int]:
+    """The bits of every choice of ``blocks`` - ``radius`` of so many nearly equal blocks: a pair within the radius is equal in one of them."""
+    low, own = 0, []
+    for i in range(blocks):
+        width = (64 * (i + 1)) // blocks - (64 * i) // blocks
+        own.append(((1 << width) - 1) << low)
         low += width
-    return [_signed(a | b) for a, b in combinations(masks, 2)]
+    return [_signed(sum(chosen)) for chosen in combinations(own, blocks - radius)]
+
+
+def best_blocks(rows: int, radius: int) -> int:
+    """The number of blocks with the least work for so many fingerprints: more blocks make more tables, of smaller cells. A row that is dealt out counts as ten pairs."""
+    return min(range(radius + 2, radius + 6), key=lambda b: comb(b, radius) * (10 * rows + rows**2 / 2 ** (64 * (b - radius) // b + 1)))
 
 
 def spanning_edges(cell: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,9 +116,11 @@ def _roots(parent: np.ndarray) -> np.ndarray:
 
 def links(nodes: DataFrame, radius: int = 4, cell_rows: int = 20_000) -> DataFrame:
     """Edges ``u``, ``v`` between distinct fingerprints ``fp`` of ``nodes`` whose components are those of all links."""
-    if not 0 <= radius <= len(BLOCKS) - 2:
-        raise ValueError("two of the six blocks must stay equal: radius 0 to 4")
-    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(_masks()))))
+    if not 0 <= radius <= 16:
+        raise ValueError("radius 0 to 16")
+    nodes = written(nodes, "nodes")
+    chosen = masks(best_blocks(nodes.count(), radius), radius)
+    cells = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(chosen))))
     dealt = nodes.select("fp", cells.alias("c")).select("fp", "c.t", "c.key")
     large = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("t", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
     chunked = dealt.join(large, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
@@ -129,21 +139,26 @@ def links(nodes: DataFrame, radius: int = 4, cell_rows: int = 20_000) -> DataFra
     return met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node``, ``root``: the smallest node reachable, for each node of an edge. Alternates large and small stars."""
+def components(edges: DataFrame, file_rows: int = 200_000) -> DataFrame:
+    """``node``, ``root``: the smallest node reachable, for each node of an edge. Alternates large and small stars; each round's edges are a written table, in files
+    of about ``file_rows`` rows, however many tasks made them."""
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
+
+    def state(table: DataFrame) -> tuple:
+        return tuple(table.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    before = state(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        edges = written(small.coalesce(max(2, -(-before[0] // file_rows))), "edges")
+        now = state(edges)
+        if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = state
+        before = now
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, cell_rows: int = 20_000) -> DataFrame:

@@ -131,7 +131,7 @@ def test_bpe_matches_the_library(docs, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     own = bpe.tokenizer(open(path, "rb").read(), public_tokenizers.PATTERN)
-    texts = [r.text or "" for r in docs.collect()] + ["z" * 700 + "\n" * 600, "<|endoftext|> ’’ 🙂🙂 ́̂", "ab" * 200]
+    texts = [r.text or "" for r in docs.collect()] + ["z" * 700 + "\n" * 600, "<|endoftext|> ’’ 🙂🙂 ́̂", "ab" * 200, "abc" * 4000 + "cab" * 3000, " " * 9001 + "é" * 3001]
     for text, ids in zip(texts, own.encode(texts), strict=True):
         assert ids == library.encode_ordinary(text) and own.decode(ids) == text.encode()
     sha = lambda b: hashlib.sha256(b).hexdigest()
@@ -226,11 +226,25 @@ def test_language_id(spark, docs, empty):
 
 
 def test_most_frequent_of_each_group(spark):
-    rows = [(lang, f"w{i}", i % 7) for lang in "ab" for i in range(200)]
-    for parts in (1, 8):
-        got = language_id.most_frequent(spark.createDataFrame(rows, "lang string, word string, n long"), ["lang"], "word", 30, parts)
-        want = [r for lang in "ab" for r in sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[2], r[1]))[:30]]
-        assert sorted(map(tuple, got.collect())) == sorted(want)
+    rows = [(lang, f"w{i}", i % 7) for lang in "ab" for i in range(200)] + [("c", "x", 1)]
+    table = spark.createDataFrame(rows, "lang string, word string, n long").repartition(3)
+    for most in (1, 30, 150, 1000):
+        got = [(r.lang, r.word, r.n) for r in language_id.most_frequent(table, ["lang"], "word", most, 8).collect()]
+        assert len(set(got)) == len(got) and set(got) <= set(rows)
+        for lang in "abc":
+            kept, every = ([r[2] for r in x if r[0] == lang] for x in (got, rows))
+            assert sorted(kept, reverse=True) == sorted(every, reverse=True)[:most]
+
+
+def test_every_link_shares_a_mask():
+    rng = np.random.default_rng(2)
+    for blocks in (6, 7, 8, 9):
+        own = np.array(simhash.masks(blocks, 4), np.int64).view(np.uint64)
+        for _ in range(200):
+            a = rng.integers(0, 2**63, dtype=np.uint64)
+            b = a ^ np.uint64(sum(1 << int(i) for i in rng.choice(64, 4, replace=False)))
+            assert ((a & own) == (b & own)).any()
+    assert [simhash.best_blocks(n, 4) for n in (0, 10**5, 10**7, 10**10)] == sorted(simhash.best_blocks(n, 4) for n in (0, 10**5, 10**7, 10**10))
 
 
 def test_class_lm(docs, empty):
