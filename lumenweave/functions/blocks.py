@@ -44,6 +44,7 @@ def along_columns(block: list[Column], f: Four) -> list[Column]:
     return [done[x][y] for y in range(4) for x in range(4)]
 
 
+# The multipliers and rounding terms of the transforms and of the colour conversions below are fixed values of the format and of the encoder's dumps.
 def forward_dct(residual: list[Column]) -> list[Column]:
     def rows(a, b, c, d):
         even, mid, odd, edge = a + d, b + c, b - c, a - d
@@ -86,13 +87,8 @@ def inverse_wht(values: list[Column]) -> list[Column]:
     return along_rows(along_columns(values, turned), lambda *v: [F.shiftright(x + 3, 3) for x in turned(*v)])
 
 
-def satd(residual: list[Column]) -> Column:
-    """Half the sum of the absolute Hadamard coefficients, rounded up."""
-
-    def turned(a, b, c, d):
-        return (a + d) + (b + c), (a - d) + (b - c), (a + d) - (b + c), (a - d) - (b - c)
-
-    return F.shiftright(total(F.abs(v) for v in along_columns(along_rows(residual, turned), turned)) + 1, 1)
+def hadamard(a: Column, b: Column, c: Column, d: Column) -> Sequence[Column]:
+    return (a + d) + (b + c), (a - d) + (b - c), (a + d) - (b + c), (a - d) - (b - c)
 
 
 def total(values) -> Column:

@@ -36,15 +36,21 @@ def keyframe_header(data: Column) -> Column:
     )
 
 
-def subblock_predictions(above: list[Column], left: list[Column], corner: Column) -> list[list[Column]]:
-    """4x4 samples of each of the ten modes, from eight samples above, four at the left and the corner.
+def taps(line: Column) -> tuple[Column, Column]:
+    """Means of two and weighted means of three neighbours along a line of thirteen samples, as arrays; the line's ends stand for what lies beyond them."""
+    i, last = F.sequence(F.lit(0), F.lit(12)), F.lit(12)
+    own = lambda k: F.get(line, F.greatest(F.lit(0), F.least(last, k)))
+    return F.transform(i, lambda k: F.shiftright(own(k) + own(k + 1) + 1, 1)), F.transform(i, lambda k: F.shiftright(own(k - 1) + 2 * own(k) + own(k + 1) + 2, 2))
 
-    The samples around the block are one line, from the lowest left one over the corner to the last one above. But for two modes, a
-    prediction is the line's mean of two or weighted mean of three around a place that moves along the mode's direction.
+
+def subblock_predictions(line: Column, two_: Column, three_: Column) -> list[Column]:
+    """4x4 samples, as an array, of each of the ten modes. The samples around the block are one ``line``, from the lowest of four left ones over the corner to the
+    last of eight above; ``two_`` and ``three_`` are its ``taps``, best given as columns so that they are computed once a row.
+
+    But for two modes, a prediction is a mean of two or a weighted mean of three around a place that moves along the mode's direction.
     """
-    line = [*reversed(left), corner, *above]
-    two = lambda i: F.shiftright(line[i] + line[i + 1] + 1, 1)
-    three = lambda i: F.shiftright(line[max(i - 1, 0)] + 2 * line[i] + line[min(i + 1, 12)] + 2, 2)
+    two, three = lambda i: two_[i], lambda i: three_[i]
+    left, above, corner = [line[3 - i] for i in range(4)], [line[5 + i] for i in range(8)], line[4]
     mean = F.shiftright(total(above[:4] + left) + 4, 3)
 
     def right_of_vertical(y: int, x: int) -> Column:
@@ -65,19 +71,19 @@ def subblock_predictions(above: list[Column], left: list[Column], corner: Column
         k = 2 * y + x
         return left[3] if k > 5 else three(2 - k // 2) if k % 2 else two(2 - k // 2)
 
-    rules = (
-        lambda y, x: mean,
-        lambda y, x: clip(left[y] + above[x] - corner, 0, 255),
-        lambda y, x: three(5 + x),
-        lambda y, x: three(3 - y),
-        lambda y, x: three(6 + y + x),
-        lambda y, x: three(4 - y + x),
-        right_of_vertical,
-        left_of_vertical,
-        down_from_left,
-        up_from_left,
-    )
-    return [[rule(y, x) for y in range(4) for x in range(4)] for rule in rules]
+    rules = {
+        "dc": lambda y, x: mean,
+        "tm": lambda y, x: clip(left[y] + above[x] - corner, 0, 255),
+        "ve": lambda y, x: three(5 + x),
+        "he": lambda y, x: three(3 - y),
+        "ld": lambda y, x: three(6 + y + x),
+        "rd": lambda y, x: three(4 - y + x),
+        "vr": right_of_vertical,
+        "vl": left_of_vertical,
+        "hd": down_from_left,
+        "hu": up_from_left,
+    }
+    return [F.array(*(rules[mode](y, x) for y in range(4) for x in range(4))) for mode in SUBBLOCK_MODES]
 
 
 def upsampled(chroma: Column, side: int, y: Column, x: Column) -> Column:
@@ -92,6 +98,12 @@ def upsampled(chroma: Column, side: int, y: Column, x: Column) -> Column:
     return F.shiftright(F.shiftright(near + far + 8 + 3 * (side_x + side_y), 3) + near, 1)
 
 
+def filter_level(frame: Column, segment: Column, absolute: Column, reference: Column, mode: Column) -> Column:
+    """A macroblock's filter level of 0 to 63: the frame's, moved or replaced by its segment's, then moved by the deltas; null means none."""
+    base = clip(F.when(segment.isNull(), frame).when(absolute, segment).otherwise(frame + segment), 0, 63)
+    return F.when(reference.isNull() & mode.isNull(), base).otherwise(clip(base + F.coalesce(reference, F.lit(0)) + F.coalesce(mode, F.lit(0)), 0, 63))
+
+
 def filter_limits(level: Column, sharpness: Column) -> tuple[Column, Column]:
     """Interior limit and high-variance threshold of a filter level of 0 to 63."""
     reduced = F.when(sharpness > 4, F.shiftright(level, 2)).when(sharpness > 0, F.shiftright(level, 1)).otherwise(level)
@@ -107,3 +119,13 @@ def filtered_edge(p1: Column, p0: Column, q0: Column, q1: Column, limit: int) ->
     moved = lambda v, by: small(v - 128 + by) + 128
     down, up = F.shiftright(small(step + 4), 3), F.shiftright(small(step + 3), 3)
     return F.when(smooth, moved(p0, up)).otherwise(p0), F.when(smooth, moved(q0, -down)).otherwise(q0)
+
+
+def edge_kind(line: list[Column], edge: Column, interior: Column, variance: Column) -> Column:
+    """What the normal loop filter does at an edge between the fourth and fifth of eight samples: skip, smooth, or sharp where the variance is high."""
+    p3, p2, p1, p0, q0, q1, q2, q3 = line
+    far = lambda a, b, limit: F.abs(a - b) > limit
+    rough = F.abs(p0 - q0) * 2 + F.shiftright(F.abs(p1 - q1), 1) > 2 * edge + interior
+    for a, b in ((p3, p2), (p2, p1), (p1, p0), (q3, q2), (q2, q1), (q1, q0)):
+        rough = rough | far(a, b, interior)
+    return F.when(rough, "skip").when(far(p1, p0, variance) | far(q1, q0, variance), "sharp").otherwise("smooth")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions import blocks as B
+from lumenweave.functions import planes as P
 
 MODES = ("dc", "v", "h", "tm")
 
@@ -30,40 +31,42 @@ def text(values) -> Column:
     return F.array_join(F.transform(values if isinstance(values, Column) else F.array(*values), lambda v: v.cast("string")), ",")
 
 
-def block_ssim(x: Column, y: Column, n: int = 64) -> Column:
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0).cast("long"), lambda a, v: a + v)
+
+
+def block_ssim(x: Column, y: Column) -> Column:
     """SSIM of two equally long arrays of samples."""
-    a, b = B.at(x, n), B.at(y, n)
-    sums = [B.total(v).cast("double") for v in (a, b, [i * i for i in a], [i * i for i in b], [i * j for i, j in zip(a, b, strict=True)])]
-    mx, my = sums[0] / n, sums[1] / n
-    vx, vy, cov = sums[2] / n - mx * mx, sums[3] / n - my * my, sums[4] / n - mx * my
-    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
-    return ((2 * mx * my + c1) * (2 * cov + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))
+    times = lambda a, b: total(F.zip_with(a, b, lambda v, w: v * w))
+    return P.ssim(F.size(x), total(x), total(y), times(x, x), times(y, y), times(x, y))
 
 
-def mode_costs(frame: DataFrame) -> DataFrame:
-    """vec_id, mode, sad, satd: the lower right 4x4 block predicted from the samples around it, in four modes."""
+def mode_residuals(frame: DataFrame) -> DataFrame:
+    """vec_id, mode, d: the lower right 4x4 block less its prediction from the samples around it, a row for each of four modes."""
     p = F.col("p")
     above, left, corner = [p[3 * 8 + 4 + x] for x in range(4)], [p[(4 + y) * 8 + 3] for y in range(4)], p[3 * 8 + 3]
-    mean = F.shiftright(B.total(above + left) + 4, 3)
-    predicted = {
-        "dc": [mean] * 16,
-        "v": above * 4,
-        "h": [left[y] for y in range(4) for _ in range(4)],
-        "tm": [B.clip(left[y] + above[x] - corner, 0, 255) for y in range(4) for x in range(4)],
-    }
-    source = B.at(B.sub_block(p, 3))
-    rows = []
-    for i, mode in enumerate(MODES):
-        residual = [s - q for s, q in zip(source, predicted[mode], strict=True)]
-        rows.append(F.struct(F.lit(i).alias("mode"), B.total(F.abs(r) for r in residual).alias("sad"), B.satd(residual).alias("satd")))
-    return frame.select("vec_id", F.explode(F.array(*rows)).alias("m")).select("vec_id", "m.mode", "m.sad", "m.satd")
-
-
-def best_modes(costs: DataFrame) -> DataFrame:
-    """The least cost, and of equal ones the lowest mode."""
+    edges = frame.select("vec_id", B.sub_block(p, 3).alias("s"), F.array(*above).alias("a"), F.array(*left).alias("l"), corner.alias("c"), F.shiftright(B.total(above + left) + 4, 3).alias("m"))
+    rows = edges.withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(len(MODES) - 1))))
+    up, side = lambda i: F.get("a", i % 4), lambda i: F.get("l", F.floor(i / 4).cast("int"))
+    guess = lambda i: F.when(F.col("mode") == 0, F.col("m")).when(F.col("mode") == 1, up(i)).when(F.col("mode") == 2, side(i)).otherwise(B.clip(side(i) + up(i) - F.col("c"), 0, 255))
+    return rows.select("vec_id", "mode", F.transform("s", lambda v, i: v - guess(i)).alias("d"))
+
+
+def best_modes(residuals: DataFrame) -> DataFrame:
+    """The least sum of absolute differences, and of equal ones the lowest mode."""
+    costs = residuals.select("vec_id", "mode", total(F.transform("d", F.abs)).alias("sad"))
     return costs.groupBy("vec_id").agg(F.min(F.struct("sad", "mode")).alias("best")).select("vec_id", F.col("best.mode").alias("mode"), F.col("best.sad").alias("sad"))
 
 
-def pruned_modes(costs: DataFrame, keep: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("satd", "mode"))
-    return costs.withColumn("place", rank).where(F.col("place") <= keep)
+def hadamard_cost(rows: DataFrame, block: str, name: str) -> DataFrame:
+    """Half the sum of the absolute Hadamard coefficients of a 4x4 block, rounded up. The pass along rows is a column of its own, so
+    that the pass along columns doesn't compute it anew for each value."""
+    half = rows.withColumn("_rows", F.array(*B.along_rows(B.at(F.col(block)), B.hadamard)))
+    return half.withColumn(name, F.shiftright(B.total(F.abs(v) for v in B.along_columns(B.at(F.col("_rows")), B.hadamard)) + 1, 1)).drop("_rows")
+
+
+def pruned_modes(residuals: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` modes of least Hadamard cost."""
+    costs = hadamard_cost(residuals, "d", "satd")
+    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("satd", "mode"))
+    return costs.select("vec_id", "mode", "satd", place.alias("place")).where(F.col("place") <= keep)

@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(ours: DataFrame, theirs: DataFrame, group: str, value: str, tie: str) -> DataFrame:
-    """For each row of ``ours`` the row of ``theirs`` in its group with the closest value; of two as close the smaller value, of equal values the least ``tie``.
+def nearest(ours: DataFrame, theirs: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), chunks: int = 64) -> DataFrame:
+    """For each row of ``ours`` the row of ``theirs`` in its group with the closest value, as near_<value>, near_<tie> and near_<column> of ``carry``; of two
+    as close the smaller value, of equal values the least ``tie``.
 
-    One sort of both sides by value replaces the pairs: the closest is the last at or below or the first above."""
-    once = theirs.groupBy(group, value).agg(F.min(tie).alias(tie))
-    mark = F.struct(F.col(value).alias("value"), F.col(tie).alias("tie"))
-    both = ours.select(group, value, F.struct(*ours.columns).alias("own"), F.lit(None).cast(once.select(mark.alias("m")).schema["m"].dataType).alias("mark")).unionByName(
-        once.select(group, value, F.lit(None).cast(ours.select(F.struct(*ours.columns).alias("o")).schema["o"].dataType).alias("own"), mark.alias("mark"))
+    The closest is the last at or below or the first above. Each is a running last in a sort of its own direction, so the cost is that of two sorts. A group is cut
+    into chunks of the whole range of values, so that a large group is no single task's; what a chunk lacks comes from the chunks before and after it."""
+    names = [value, tie, *carry]
+    once = theirs.groupBy(group, value).agg(F.min(F.struct(tie, *carry)).alias("t")).select(group, value, F.struct(value, *(F.col(f"t.{c}").alias(c) for c in (tie, *carry))).alias("mark"))
+    ends = ours.select(value).union(theirs.select(value)).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    both = ours.select(group, value, F.struct(*ours.columns).alias("own"), F.lit(None).cast(once.schema["mark"].dataType).alias("mark")).unionByName(
+        once.select(group, value, F.lit(None).cast(ours.select(F.struct(*ours.columns).alias("o")).schema["o"].dataType).alias("own"), "mark")
     )
-    order = Window.partitionBy(group).orderBy(value)
-    below = F.last("mark", True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first("mark", True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
-    found = both.select("own", below.alias("below"), above.alias("above")).where("own IS NOT NULL")
+    chunk = F.least(F.lit(chunks - 1), F.floor((F.col(value) - F.col("low")) * chunks / F.greatest(F.col("high") - F.col("low"), F.lit(1)))).cast("int")
+    both = both.join(F.broadcast(ends)).withColumn("chunk", F.coalesce(chunk, F.lit(0))).drop("low", "high")  # ``ends`` is one row
+
+    def running(order: Column, of: str, *by: str) -> Column:
+        return F.last(of, True).over(Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+
+    inside = both.withColumn("below", running(F.asc(value), "mark", group, "chunk")).withColumn("above", running(F.desc(value), "mark", group, "chunk"))
+    per = both.groupBy(group, "chunk").agg(F.max("mark").alias("most"), F.min("mark").alias("least"))
+    line = Window.partitionBy(group)
+    before = F.last("most", True).over(line.orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    after = F.last("least", True).over(line.orderBy(F.desc("chunk")).rowsBetween(Window.unboundedPreceding, -1))
+    outer = per.select(F.col(group).alias("_group"), F.col("chunk").alias("_chunk"), before.alias("before"), after.alias("after"))
+    found = inside.where("own IS NOT NULL").join(outer, F.col(group).eqNullSafe(F.col("_group")) & (F.col("chunk") == F.col("_chunk")))
+    below, above = F.coalesce("below", "before"), F.coalesce("above", "after")
+    found = found.select("own", below.alias("below"), above.alias("above"))
     v = F.col(f"own.{value}")
-    near_below = F.col("above").isNull() | (v - F.col("below.value") <= F.col("above.value") - v)
+    near_below = F.col("above").isNull() | (v - F.col(f"below.{value}") <= F.col(f"above.{value}") - v)
     pick = F.when(F.col("below").isNotNull() & near_below, F.col("below")).otherwise(F.col("above"))
-    return found.withColumn("pick", pick).select("own.*", F.col("pick.value").alias(f"near_{value}"), F.col("pick.tie").alias(f"near_{tie}"))
+    return found.withColumn("pick", pick).select("own.*", *(F.col(f"pick.{c}").alias(f"near_{c}") for c in names))
 
 
 def differences(expected: DataFrame, current: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
     """Rows whose current value fell more than ``tolerance`` below the expected one."""
     joined = expected.select(key, F.col(value).alias("expected")).join(current.select(key, F.col(value).alias("current")), key)
     return joined.where(F.col("expected") - F.col("current") > tolerance)
+
+
+def first_failures(failures: DataFrame, order: list[str], most: int = 50) -> DataFrame:
+    """The first ``most`` rows, each with the number of rows beyond them."""
+    more = failures.agg(F.greatest(F.lit(0).cast("long"), F.count("*") - most).alias("more"))
+    return failures.orderBy(*order).limit(most).join(F.broadcast(more))  # one row

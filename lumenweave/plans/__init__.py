@@ -1,11 +1,13 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from lumenweave.plans import blocks, frames, scalars, tables
+from lumenweave.plans import blocks, frames, images, records, scalars, tables
+
+_MODULES = (blocks, frames, images, records, scalars, tables)
 
 
 def queries():
-    return blocks.QUERIES | frames.QUERIES | scalars.QUERIES | tables.QUERIES
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql():
-    return blocks.SQL | frames.SQL | scalars.SQL | tables.SQL
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}

@@ -32,8 +32,9 @@ def _distorted():
 
 def block_quality(spark, sf_dir):
     rows = _frame(spark, sf_dir).withColumn("q", _distorted())
-    sse = B.total((F.col("p")[i] - F.col("q")[i]) * (F.col("p")[i] - F.col("q")[i]) for i in range(64))
-    return rows.select("vec_id", sse.alias("sse"), F.round(B.psnr(sse, 64), 6).alias("psnr"), F.round(O.block_ssim(F.col("p"), F.col("q")), 6).alias("ssim"))
+    sse = O.total(F.zip_with("p", "q", lambda v, w: (v - w) * (v - w)))
+    rows = rows.select("vec_id", sse.alias("sse"), O.block_ssim(F.col("p"), F.col("q")).alias("ssim"))
+    return rows.select("vec_id", "sse", F.round(B.psnr(F.col("sse"), 64), 6).alias("psnr"), F.round("ssim", 6).alias("ssim"))
 
 
 def block_sad(spark, sf_dir):
@@ -44,7 +45,8 @@ def block_sad(spark, sf_dir):
 
 
 def block_satd(spark, sf_dir):
-    return _subs(spark, sf_dir).select("vec_id", "k", B.satd([v - 128 for v in B.at(F.col("s"))]).alias("satd"))
+    rows = _subs(spark, sf_dir).select("vec_id", "k", F.transform("s", lambda v: v - 128).alias("d"))
+    return O.hadamard_cost(rows, "d", "satd").select("vec_id", "k", "satd")
 
 
 def fdct4x4(spark, sf_dir):
@@ -87,11 +89,11 @@ def nonzero_stats(spark, sf_dir):
 
 
 def mode_argmin(spark, sf_dir):
-    return O.best_modes(O.mode_costs(_frame(spark, sf_dir)))
+    return O.best_modes(O.mode_residuals(_frame(spark, sf_dir)))
 
 
 def satd_topk(spark, sf_dir):
-    return O.pruned_modes(O.mode_costs(_frame(spark, sf_dir)), 2).select("vec_id", "mode", "satd", "place")
+    return O.pruned_modes(O.mode_residuals(_frame(spark, sf_dir)), 2)
 
 
 def mode_histogram(spark, sf_dir):
@@ -134,10 +136,11 @@ def adler32(spark, sf_dir):
 
 
 def pixel_compare(spark, sf_dir):
-    """Samples of each block against the next block's, as a join of pixel rows: the largest and the total difference."""
-    rows = _frame(spark, sf_dir).select("vec_id", F.posexplode("p").alias("i", "v"))
-    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), "i", F.col("v").alias("w"))
-    return rows.join(other, ["vec_id", "i"]).groupBy("vec_id").agg(F.max(F.abs(F.col("v") - F.col("w"))).alias("max_abs"), F.sum(F.abs(F.col("v") - F.col("w"))).alias("sad"), F.count("*").alias("n"))
+    """Samples of each block against the next block's: the largest and the total difference. Blocks are joined, not their samples."""
+    rows = _frame(spark, sf_dir).select("vec_id", "p")
+    other = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
+    away = rows.join(other, "vec_id").select("vec_id", F.zip_with("p", "q", lambda v, w: F.abs(v - w)).alias("d"))
+    return away.select("vec_id", F.array_max("d").alias("max_abs"), O.total(F.col("d")).alias("sad"), F.size("d").cast("long").alias("n"))
 
 
 _ALL = (block_quality, block_sad, block_satd, fdct4x4, idct4x4, fwht, iwht, quantize, dequantize, deadzone, token_class, nonzero_stats, mode_argmin, satd_topk, mode_histogram, segment_sad_rollup, column_mean, phase_mean, rgb_to_yuv, yuv_to_rgb, fnv1a64, adler32, pixel_compare)
@@ -159,9 +162,21 @@ def _pass(source: str, into: str, column: str, out: str, rows: bool, formulas: l
     return f"{into} AS (SELECT vec_id, k, {lines} AS {out} FROM {source})"
 
 
-_DCT = _RES + ", " + _pass("r", "t", "s", "t", True, ["({0}+{1}+{2}+{3})*8", "((({1}-{2})*2217+({0}-{3})*5352+1812)>>9)", "({0}+{3}-{1}-{2})*8", "((({0}-{3})*2217-({1}-{2})*5352+937)>>9)"]) + ", " + _pass("t", "dct", "t", "c", False, ["(({0}+{1}+{2}+{3}+7)>>4)", "((({1}-{2})*2217+({0}-{3})*5352+12000)>>16)+CAST({0}<>{3} AS BIGINT)", "(({0}+{3}-{1}-{2}+7)>>4)", "((({0}-{3})*2217-({1}-{2})*5352+51000)>>16)"])
+DCT_ROWS = [
+    "({0}+{1}+{2}+{3})*8",
+    "((({1}-{2})*2217+({0}-{3})*5352+1812)>>9)",
+    "({0}+{3}-{1}-{2})*8",
+    "((({0}-{3})*2217-({1}-{2})*5352+937)>>9)",
+]
+DCT_COLUMNS = [
+    "(({0}+{1}+{2}+{3}+7)>>4)",
+    "((({1}-{2})*2217+({0}-{3})*5352+12000)>>16)+CAST({0}<>{3} AS BIGINT)",
+    "(({0}+{3}-{1}-{2}+7)>>4)",
+    "((({0}-{3})*2217-({1}-{2})*5352+51000)>>16)",
+]
+_DCT = _RES + ", " + _pass("r", "t", "s", "t", True, DCT_ROWS) + ", " + _pass("t", "dct", "t", "c", False, DCT_COLUMNS)
 _LINE = ["{0}+{2}+(({1}+(({1}*20091)>>16))+(({3}*35468)>>16))", "{0}-{2}+((({1}*35468)>>16)-({3}+(({3}*20091)>>16)))", "{0}-{2}-((({1}*35468)>>16)-({3}+(({3}*20091)>>16)))", "{0}+{2}-(({1}+(({1}*20091)>>16))+(({3}*35468)>>16))"]
-_WHT = ["{0}+{2}+{1}+{3}", "{0}-{2}+{1}-{3}", "{0}-{2}-{1}+{3}", "{0}+{2}-{1}-{3}"]
+WHT = ["{0}+{2}+{1}+{3}", "{0}-{2}+{1}-{3}", "{0}-{2}-{1}+{3}", "{0}+{2}-{1}-{3}"]
 _IWHT = ["{0}+{3}+{1}+{2}", "{1}-{2}+{0}-{3}", "{0}+{3}-{1}-{2}", "{0}-{3}-{1}+{2}"]
 _HAD = ["{0}+{3}+{1}+{2}", "{0}-{3}+{1}-{2}", "{0}+{3}-{1}-{2}", "{0}-{3}-{1}+{2}"]
 _STEP = f"(CASE WHEN i = 1 THEN {DC} ELSE {AC} END)"
@@ -182,7 +197,7 @@ SQL = {
     "block_satd": f"WITH {_RES}, {_pass('r', 'a', 's', 's', True, _HAD)}, {_pass('a', 'b', 's', 's', False, _HAD)} SELECT vec_id, {_I}, (CAST(list_sum(list_transform(s, lambda v: abs(v))) AS BIGINT) + 1) >> 1 AS satd FROM b",
     "fdct4x4": f"WITH {_DCT} SELECT vec_id, {_I}, array_to_string(c, ',') AS coefficients FROM dct",
     "idct4x4": f"WITH {_DCT}, {_pass('dct', 'a', 'c', 'c', False, _LINE)}, {_pass('a', 'b', 'c', 'c', True, [f'(({x}+4)>>3)' for x in _LINE])} SELECT vec_id, {_I}, array_to_string(c, ',') AS residual FROM b",
-    "fwht": f"WITH {_SUB}, {_pass('sub', 'a', 's', 's', True, _WHT)}, {_pass('a', 'b', 's', 's', False, [f'(({x})>>1)' for x in _WHT])} SELECT vec_id, {_I}, array_to_string(s, ',') AS coefficients FROM b",
+    "fwht": f"WITH {_SUB}, {_pass('sub', 'a', 's', 's', True, WHT)}, {_pass('a', 'b', 's', 's', False, [f'(({x})>>1)' for x in WHT])} SELECT vec_id, {_I}, array_to_string(s, ',') AS coefficients FROM b",
     "iwht": f"WITH {_SUB}, {_pass('sub', 'a', 's', 's', False, _IWHT)}, {_pass('a', 'b', 's', 's', True, [f'(({x}+3)>>3)' for x in _IWHT])} SELECT vec_id, {_I}, array_to_string(s, ',') AS restored FROM b",
     "quantize": f"WITH {_LEVELS} SELECT vec_id, {_I}, array_to_string(q, ',') AS levels FROM lv",
     "dequantize": f"WITH {_LEVELS} SELECT vec_id, {_I}, array_to_string(list_transform(range(1, 17), lambda i: q[i] * {_STEP}), ',') AS restored FROM lv",

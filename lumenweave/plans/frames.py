@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lumenweave.functions import blocks as B
 from lumenweave.functions import frames as H
 from lumenweave.operators import blocks as O
+from lumenweave.operators import images as I
 from lumenweave.plans.blocks import _LEVELS, _PX, AC, DC
 
 LIMIT = 40
@@ -29,11 +30,16 @@ def keyframe_header(spark, sf_dir):
 def subblock_modes(spark, sf_dir):
     """The best of ten predictors for the 4x4 block at (1, 1), by absolute difference; the lowest of equal ones."""
     p = F.col("p")
-    above, left = [p[min(1 + x, 7)] for x in range(8)], [p[8 + 8 * y] for y in range(4)]
+    line = [p[8 + 8 * y] for y in reversed(range(4))] + [p[0]] + [p[min(1 + x, 7)] for x in range(8)]
     source = [p[9 + 8 * y + x] for y in range(4) for x in range(4)]
-    costs = [F.struct(B.total(F.abs(s - v) for s, v in zip(source, own, strict=True)).alias("sad"), F.lit(i).alias("mode")) for i, own in enumerate(H.subblock_predictions(above, left, p[0]))]
-    rows = _frame(spark, sf_dir).select("vec_id", F.explode(F.array(*costs)).alias("c"))
-    return rows.groupBy("vec_id").agg(F.min("c").alias("best"), F.sum("c.sad").alias("all_sad")).select("vec_id", "best.mode", "best.sad", "all_sad")
+    rows = _frame(spark, sf_dir).select("vec_id", F.array(*source).alias("s"), F.array(*line).alias("line"))
+    two, three = H.taps(F.col("line"))
+    rows = rows.withColumn("two", two).withColumn("three", three).withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    guess = F.lit(None)
+    for i, own in enumerate(H.subblock_predictions(F.col("line"), F.col("two"), F.col("three"))):
+        guess = F.when(F.col("mode") == i, own).otherwise(guess)
+    costs = rows.select("vec_id", "mode", O.total(F.zip_with("s", guess, lambda v, w: F.abs(v - w))).alias("sad"))
+    return costs.groupBy("vec_id").agg(F.min(F.struct("sad", "mode")).alias("best"), F.sum("sad").alias("all_sad")).select("vec_id", "best.mode", "best.sad", "all_sad")
 
 
 def chroma_upsample(spark, sf_dir):
@@ -65,15 +71,12 @@ def skip_probability(spark, sf_dir):
     return per.select("image", "blocks", "coded", B.clip(F.floor((F.col("coded") * 256 + F.floor(F.col("blocks") / 2)) / F.col("blocks")), 1, 255).alias("probability"))
 
 
+SIZES = ((16, 16), (17, 33), (31, 18))
+
+
 def generate_patterns(spark, sf_dir):
-    """Pixels of 16x16 test images: gradient, checker of 8 pixels, diagonal."""
-    pixels = spark.range(256).select(F.floor(F.col("id") / 16).alias("y"), (F.col("id") % 16).alias("x"))
-    x, y = F.col("x"), F.col("y")
-    checker = F.when((F.floor(x / 8) + F.floor(y / 8)) % 2 == 1, 255).otherwise(0)
-    diagonal = F.when(F.abs(x - y) <= 1, 255).otherwise(0)
-    rgb = {"gradient": (F.floor(x * 255 / 15), F.floor(y * 255 / 15), F.floor((x + y) * 255 / 30)), "checker": (checker,) * 3, "diagonal": (diagonal,) * 3}
-    kinds = F.array(*(F.struct(F.lit(k).alias("pattern"), *(c.cast("long").alias(n) for c, n in zip(v, "rgb", strict=True))) for k, v in rgb.items()))
-    return pixels.select("y", "x", F.explode(kinds).alias("k")).select("k.*", "y", "x")
+    """Pixels of generated images: solid, gradient, checker of 8 pixels, noise, diagonal; even and odd sizes."""
+    return I.generated(spark, SIZES)
 
 
 def lcg_noise(spark, sf_dir):
@@ -85,18 +88,36 @@ def lcg_noise(spark, sf_dir):
     return rows.select("seed", "state", *(F.shiftright("state", 8 * i).bitwiseAND(255).alias(n) for i, n in enumerate("rgb")))
 
 
+def _ppm(row):
+    """A grey P6 file with a comment in its header; some are damaged: a wrong magic, a missing size, another maximum, a short raster."""
+    n = F.col("vec_id")
+    magic, width = F.when(n % 17 == 0, "P5").otherwise("P6"), F.when(n % 19 == 0, "x").otherwise("8")
+    header = F.concat(magic, F.lit("\n# block "), F.repeat(n.cast("string"), (n % 40).cast("int") + 1), F.lit("\n"), width, F.lit(" 8\n"), F.when(n % 23 == 0, "65535").otherwise("255"), F.lit("\n"))
+    samples = F.when(n % 29 == 0, F.slice("p", 1, 63)).otherwise(F.col("p"))
+    raster = F.array_join(F.transform(samples, lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), "")
+    return F.concat(F.encode(header, "utf-8"), F.unhex(raster))
+
+
 def ppm_parse(spark, sf_dir):
-    """Each block as a grey P6 file with a comment in its header, then read again: size, and sum and count of sample bytes."""
-    header = F.encode(F.concat(F.lit("P6\n# block "), F.col("vec_id").cast("string"), F.lit("\n8 8\n255\n")), "utf-8")
-    data = F.concat(header, F.unhex(F.array_join(F.transform("p", lambda v: F.repeat(F.lpad(F.hex(v), 2, "0"), F.lit(3))), "")))
-    rows = _frame(spark, sf_dir).select("vec_id", data.alias("data"))
-    tokens = F.regexp_extract(F.decode(F.substring("data", 1, 64), "iso-8859-1"), r"^P6\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s+(?:#[^\n]*\n\s*)*(\d+)\s", 0)
-    bare = F.split(F.trim(F.regexp_replace(tokens, r"#[^\n]*\n", "")), r"\s+")
-    raw = F.hex(F.expr("substring(data, length(tokens) + 1)"))
-    rows = rows.select("vec_id", "data", tokens.alias("tokens"), bare.alias("bare")).withColumn("raw", raw)
-    samples = F.transform(F.sequence(F.lit(0), F.floor(F.length("raw") / 2).cast("int") - 1), lambda i: F.conv(F.substring("raw", i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    rows = rows.select("vec_id", F.col("bare")[1].cast("long").alias("width"), F.col("bare")[2].cast("long").alias("height"), F.col("bare")[3].cast("long").alias("maximum"), samples.alias("s"))
-    return rows.select("vec_id", "width", "height", "maximum", F.size("s").cast("long").alias("samples"), F.aggregate("s", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    """P6 files of blocks, some damaged, read again: size, sum and count of sample bytes, or what is wrong. A header may be of any length: comments are cut out of
+    the text, one character a byte, and what follows the fourth token and one white space is the raster."""
+    rows = _frame(spark, sf_dir).select("vec_id", F.decode(_ppm(F.col("p")), "iso-8859-1").alias("raw"))
+    found = F.regexp_extract_all("raw", F.lit(r"^(?:(?:\s|#[^\n]*\n)*([^\s#]+))(?:(?:\s|#[^\n]*\n)+([^\s#]+))(?:(?:\s|#[^\n]*\n)+([^\s#]+))(?:(?:\s|#[^\n]*\n)+([^\s#]+))\s"), F.lit(0))
+    rows = rows.withColumn("head", F.get(found, F.lit(0))).withColumn("raster", F.expr("substring(raw, length(head) + 1)"))
+    tokens = F.filter(F.split(F.regexp_replace("head", r"#[^\n]*\n", " "), r"\s+"), lambda t: t != "")
+    rows = rows.withColumn("t", tokens)
+    number = lambda i: F.expr(f"try_cast(t[{i}] AS BIGINT)")
+    width, height, maximum = number(1), number(2), number(3)
+    error = (
+        F.when(F.col("head").isNull() | (F.col("t")[0] != "P6"), "magic")
+        .when(width.isNull() | height.isNull() | (width < 1) | (height < 1), "size")
+        .when(maximum.isNull() | (maximum != 255), "maximum")
+        .when(F.length("raster") < width * height * 3, "short")
+    )
+    rows = rows.select("vec_id", width.alias("width"), height.alias("height"), maximum.alias("maximum"), error.alias("error"), "raster")
+    bytes_ = F.transform(F.sequence(F.lit(1), F.length("raster")), lambda i: F.ascii(F.substring("raster", i, F.lit(1))).cast("long"))
+    good = F.col("error").isNull()
+    return rows.select("vec_id", "width", "height", "maximum", "error", F.when(good, F.length("raster").cast("long")).alias("samples"), F.when(good, O.total(bytes_)).alias("total"))
 
 
 def expand_runs(spark, sf_dir):
@@ -109,6 +130,15 @@ def expand_runs(spark, sf_dir):
 _ALL = (keyframe_header, subblock_modes, chroma_upsample, filter_params, edge_filter, skip_probability, generate_patterns, lcg_noise, ppm_parse, expand_runs)
 QUERIES = {f.__name__: f for f in _ALL}
 
+_SHAPES = ", ".join(f"(CAST({w} AS BIGINT), CAST({h} AS BIGINT))" for w, h in SIZES)
+GENERATED = f"""grid AS (SELECT w, h, id // w AS y, id % w AS x, id FROM (VALUES {_SHAPES}) s(w, h), (SELECT unnest(range(0, {max(w * h for w, h in SIZES)})) AS id) WHERE id < w * h),
+noisy AS (SELECT *, list_reduce([1] || range(0, id + 1), lambda a, i: (a * 1664525 + 1013904223) % 4294967296) AS z FROM grid),
+kinds AS (SELECT 'solid' AS pattern, w, h, y, x, 17 AS r, 34 AS g, 51 AS b FROM grid
+ UNION ALL SELECT 'rgbgrad', w, h, y, x, x * 255 // (w - 1), y * 255 // (h - 1), (x + y) * 255 // (w + h - 2) FROM grid
+ UNION ALL SELECT 'checker', w, h, y, x, v, v, v FROM (SELECT *, 255 * ((x // 8 + y // 8) % 2) AS v FROM grid)
+ UNION ALL SELECT 'noise', w, h, y, x, z & 255, (z >> 8) & 255, (z >> 16) & 255 FROM noisy
+ UNION ALL SELECT 'diag', w, h, y, x, v, v, v FROM (SELECT *, CASE WHEN abs(x - y) <= 1 THEN 255 ELSE 0 END AS v FROM grid)),
+px AS (SELECT pattern || '_' || w || 'x' || h AS name, w, h, y, x, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM kinds)"""
 _N = "n AS (SELECT p_partkey, CAST(p_partkey AS BIGINT) AS n FROM part)"
 _LINE = _PX + ", ln AS (SELECT vec_id, p, [p[33], p[25], p[17], p[9], p[1], p[2], p[3], p[4], p[5], p[6], p[7], p[8], p[8]] AS e FROM px)"
 _TAPS = """, w AS (SELECT vec_id, p, e, list_transform(range(1, 13), lambda i: (e[i] + e[i + 1] + 1) >> 1) AS t2, list_transform(range(1, 14), lambda i: (e[greatest(i - 1, 1)] + 2 * e[i] + e[least(i + 1, 13)] + 2) >> 2) AS t3 FROM ln),
@@ -130,8 +160,11 @@ SQL = {
     "filter_params": "SELECT level, sharpness, greatest(1, CASE WHEN sharpness = 0 THEN level ELSE least(9 - sharpness, CASE WHEN sharpness > 4 THEN level // 4 ELSE level // 2 END) END) AS interior, CAST((level >= 15)::INT + (level >= 40)::INT AS INTEGER) AS variance FROM (SELECT unnest(range(0, 64)) AS level), (SELECT unnest(range(0, 8)) AS sharpness)",
     "edge_filter": f"WITH {_PX}, e AS (SELECT vec_id, CAST(y AS INTEGER) AS y, p[y * 8 + 3] AS p1, p[y * 8 + 4] AS p0, p[y * 8 + 5] AS q0, p[y * 8 + 6] AS q1 FROM px, (SELECT unnest(range(0, 8)) AS y)), a AS (SELECT *, least(127, greatest(-128, least(127, greatest(-128, p1 - q1)) + 3 * (q0 - p0))) AS a, abs(p0 - q0) * 2 + abs(p1 - q1) // 2 <= {LIMIT} AS ok FROM e) SELECT vec_id, y, CASE WHEN ok THEN least(255, greatest(0, p0 + (least(127, a + 3) >> 3))) ELSE p0 END AS p0, CASE WHEN ok THEN least(255, greatest(0, q0 - (least(127, a + 4) >> 3))) ELSE q0 END AS q0 FROM a",
     "skip_probability": f"WITH {_LEVELS}, z AS (SELECT vec_id % 10 AS image, len(list_filter(range(1, 17), lambda i: (abs(c[i]) + {_STEP4} // 2) // {_STEP4} <> 0)) > 0 AS coded FROM lv), s AS (SELECT image, count(*) AS blocks, count(*) FILTER (coded) AS coded FROM z GROUP BY 1) SELECT image, blocks, coded, least(255, greatest(1, (coded * 256 + blocks // 2) // blocks)) AS probability FROM s",
-    "generate_patterns": "WITH g AS (SELECT i // 16 AS y, i % 16 AS x FROM (SELECT unnest(range(0, 256)) AS i)) SELECT 'gradient' AS pattern, x * 255 // 15 AS r, y * 255 // 15 AS g, (x + y) * 255 // 30 AS b, y, x FROM g UNION ALL SELECT 'checker', v, v, v, y, x FROM (SELECT CAST(CASE WHEN xor(x // 8, y // 8) & 1 = 1 THEN 255 ELSE 0 END AS BIGINT) AS v, y, x FROM g) UNION ALL SELECT 'diagonal', v, v, v, y, x FROM (SELECT CAST(CASE WHEN abs(x - y) <= 1 THEN 255 ELSE 0 END AS BIGINT) AS v, y, x FROM g)",
+    "generate_patterns": f"WITH {GENERATED} SELECT name, w, h, y, x, r, g, b FROM px",
     "lcg_noise": "WITH s AS (SELECT seed, list_reduce([seed, 0, 0, 0, 0], lambda a, x: (a * 1664525 + 1013904223) % 4294967296) AS state FROM (SELECT unnest(range(0, 100)) AS seed)) SELECT seed, state, state & 255 AS r, (state >> 8) & 255 AS g, (state >> 16) & 255 AS b FROM s",
-    "ppm_parse": f"WITH {_PX} SELECT vec_id, CAST(8 AS BIGINT) AS width, CAST(8 AS BIGINT) AS height, CAST(255 AS BIGINT) AS maximum, CAST(192 AS BIGINT) AS samples, CAST(3 * list_sum(p) AS BIGINT) AS total FROM px",
+    "ppm_parse": f"""WITH {_PX}, e AS (SELECT vec_id, p, vec_id % 19 = 0 AS no_size, CASE WHEN vec_id % 17 = 0 THEN 'magic' WHEN vec_id % 19 = 0 THEN 'size'
+ WHEN vec_id % 23 = 0 THEN 'maximum' WHEN vec_id % 29 = 0 THEN 'short' END AS error FROM px)
+SELECT vec_id, CASE WHEN no_size THEN NULL ELSE CAST(8 AS BIGINT) END AS width, CAST(8 AS BIGINT) AS height, CAST(CASE WHEN vec_id % 23 = 0 THEN 65535 ELSE 255 END AS BIGINT) AS maximum,
+ error, CASE WHEN error IS NULL THEN CAST(192 AS BIGINT) END AS samples, CASE WHEN error IS NULL THEN CAST(3 * list_sum(p) AS BIGINT) END AS total FROM e""",
     "expand_runs": "SELECT p_partkey, array_to_string(flatten([list_transform(range(0, 3), lambda i: CAST(p_size AS BIGINT)), list_transform(range(0, p_partkey % 4), lambda i: CAST(p_partkey % 7 AS BIGINT))]), ',') AS expanded FROM part",
 }

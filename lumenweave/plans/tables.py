@@ -20,11 +20,11 @@ def nearest_match(spark, sf_dir):
 
 def rd_summary(spark, sf_dir):
     """Mean over images of the mean ratio of bytes to the nearest point's, and mean value difference capped at 99."""
-    near = nearest_match(spark, sf_dir).where("near_bytes IS NOT NULL")
-    values = _points(spark, sf_dir).select(F.col("event_id").alias("id"), "value")
-    lib = values.select(F.col("id").alias("near_event_id"), F.col("value").alias("lib_value"))
-    joined = near.join(values.withColumnRenamed("id", "event_id"), "event_id").join(lib, "near_event_id")
-    per = joined.groupBy("image").agg(F.avg(F.least(F.lit(99.0), "value") - F.least(F.lit(99.0), "lib_value")).alias("d"), F.avg(F.col("bytes") / F.col("near_bytes")).alias("r"), F.count("*").alias("n"))
+    p = _points(spark, sf_dir)
+    ours = p.where("encoder = 'ours'").select("event_id", "image", "bytes", "value")
+    near = R.nearest(ours, p.where("encoder = 'lib'"), "image", "bytes", "event_id", ("value",)).where("near_bytes IS NOT NULL")
+    delta = F.least(F.lit(99.0), "value") - F.least(F.lit(99.0), "near_value")
+    per = near.groupBy("image").agg(F.avg(delta).alias("d"), F.avg(F.col("bytes") / F.col("near_bytes")).alias("r"), F.count("*").alias("n"))
     return per.agg(F.round(F.avg("d"), 6).alias("mean_delta"), F.round(F.avg("r"), 6).alias("mean_ratio"), F.sum("n").alias("pairs"))
 
 
@@ -56,8 +56,9 @@ def partition_scan(spark, sf_dir):
 
 
 def _manifests(spark, sf_dir):
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("value"))
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 17 <> 0").groupBy(F.col("l_orderkey").alias("key")).agg(F.floor(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))).alias("value"))
+    """Orders that aren't pending, and what was returned of any order: either has keys that the other lacks."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("value"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("key")).agg(F.floor(F.sum(F.col("l_extendedprice").cast("decimal(18,2)"))).alias("value"))
     return orders, lines
 
 
@@ -90,7 +91,7 @@ QUERIES = {f.__name__: f for f in _ALL}
 _P = "p AS (SELECT event_id, user_id AS image, event_id % 2 = 0 AS ours, 1000 + event_id * 7919 % 50021 AS bytes, value FROM events)"
 _NEAR = _P + ", near AS (SELECT o.event_id, o.image, o.bytes, l.bytes AS near_bytes, l.event_id AS near_event_id FROM p o LEFT JOIN p l ON o.image = l.image AND NOT l.ours WHERE o.ours QUALIFY row_number() OVER (PARTITION BY o.event_id ORDER BY abs(l.bytes - o.bytes), l.bytes, l.event_id) = 1)"
 _F = "f0 AS (SELECT l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS p0_size, CAST(sum(l_suppkey) AS BIGINT) AS tok_size, max(l_partkey) AS abs_max, count(*) AS partitions, CAST(sum(l_linenumber) AS BIGINT) AS nonzero FROM lineitem GROUP BY 1), f AS (SELECT *, p0_size - l_orderkey % 7 AS p0_used, tok_size - l_orderkey % 11 + 2 AS tok_used FROM f0)"
-_M = "a AS (SELECT o_orderkey AS key, CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders WHERE o_orderkey % 13 <> 0), b AS (SELECT l_orderkey AS key, CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS value FROM lineitem WHERE l_orderkey % 17 <> 0 GROUP BY 1)"
+_M = "a AS (SELECT o_orderkey AS key, CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT l_orderkey AS key, CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"
 SQL = {
     "nearest_match": f"WITH {_NEAR} SELECT * FROM near",
     "rd_summary": f"WITH {_NEAR}, per AS (SELECT n.image, avg(least(99.0, o.value) - least(99.0, l.value)) AS d, avg(n.bytes / n.near_bytes) AS r, count(*) AS n FROM near n JOIN p o ON o.event_id = n.event_id JOIN p l ON l.event_id = n.near_event_id GROUP BY 1) SELECT round(avg(d), 6) AS mean_delta, round(avg(r), 6) AS mean_ratio, CAST(sum(n) AS BIGINT) AS pairs FROM per",

@@ -35,4 +35,5 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(plans.queries()) == set(plans.oracle_sql())
+    assert set(plans.queries()) - set(plans.oracle_sql()) == {"binary_scan"}  # reads files, see test_sources.py
+    assert set(plans.oracle_sql()) < set(plans.queries())
