@@ -117,7 +117,7 @@ def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, buck
     sums = counts.groupBy(*group, "n").agg(F.count("*").alias("rows"))
     upto = sums.withColumn("upto", F.sum("rows").over(line.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edge = upto.where(F.col("upto") > most).groupBy(*group).agg(F.min_by(F.struct(F.col("n").alias("edge"), (F.lit(most) - F.col("upto") + F.col("rows")).alias("room")), "upto").alias("e"))
-    marked = counts.join(edge.select(*group, "e.edge", "e.room"), group, "left")
+    marked = counts.join(F.broadcast(edge.select(*group, "e.edge", "e.room")), group, "left")  # one row a group
     sure = marked.where("edge IS NULL OR n > edge").select(*counts.columns)
     tied = marked.where("n = edge").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
     per = tied.groupBy(*group, "bucket").agg(F.count("*").alias("rows"))
