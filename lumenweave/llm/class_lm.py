@@ -1,34 +1,42 @@
 """Scoring by a Brown class bigram model.
 
-Words are counted over all training texts. The most frequent are elements of their own, all others belong to one of a fixed number of groups by shape
-(script, marks, length, last letters). Exchange clustering moves elements between classes as long as the likelihood of the class bigrams, counted over
-all training texts, grows. A word's probability is that of its class after the previous word's class, smoothed towards the class's own, times
-the share that the word has in its class. Each group keeps a share for words never seen, as large as its words seen once.
-
-What reaches the driver is bounded: ``VOCABULARY`` words, and the bigram counts of ``WORDS`` + ``GROUPS`` elements. The counts of all other words stay in a table that
-the words of texts are joined to.
-
-Defined cases: null is an empty text, which still has its end; rows with null id count with id "" when texts are parted into training and held-out ones; repeated rows
-are trained on and scored each for itself; without training texts every score is that of unseen words.
+Words are counted over all training texts. Every text is cut into words once, as a table of word numbers that all later passes read. The most frequent words
+of the vocabulary, the seeds, are elements of their own, and all others belong to one of a fixed number of groups by shape (script, marks, length, last
+letters). Exchange clustering moves elements between classes as long as the likelihood of the class bigrams, counted over all training texts, grows. Then every
+other word of the vocabulary goes to its best class by the same gain, from the counts of the classes before and after it in all training texts, in tasks that
+hold some words' counts each; and the transitions are counted again with all words in their classes.
+
+A word's probability is that of its class after the previous word's class, smoothed towards the class's own, times the share that the word has in its class.
+Words beyond the vocabulary have the class of their group and their own share. A group also keeps a share for all words never seen, as large as its words seen
+once: such a word stands for the one unknown word of its group, so that probabilities sum to one over known words and the groups' unknown ones.
+
+What reaches the driver is bounded: ``VOCABULARY`` words and their classes, and the bigram counts of ``SEEDS`` + ``GROUPS`` elements. The counts of words beyond
+the vocabulary stay in a table that the words of texts are joined to.
+
+Defined cases: null and empty texts still have their end; a null id counts with id "" where the caller parts texts by id; repeated rows are trained on and
+scored each for itself, under ids of any type; an empty table gives no rows; without training texts every score is that of unseen words; of words equally
+frequent a hash decides which are in the vocabulary; very long texts are held one at a time; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenweave.llm.common import SPACE_RUN, lowered, written
+from lumenweave.llm.common import SPACE_RUN, by_bytes, lowered, written
+from lumenweave.llm.language_id import most_frequent
 
-VOCABULARY, WORDS, GROUPS, CLASSES, MAX_BYTES = 50_000, 1_000, 192, 64, 64
+VOCABULARY, SEEDS, GROUPS, CLASSES, MAX_BYTES = 200_000, 1_000, 192, 64, 64
 #: The end of a text; no word has white space.
-END = "\n"
+END = b"\n"
 
 
 def group_of(word: str) -> int:
@@ -48,9 +56,6 @@ def exchanged(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     of[np.arange(n), own] = 1
     table = of.T @ counts @ of
 
-    def phi(x: np.ndarray) -> np.ndarray:
-        return x * np.log(np.maximum(x, 1))
-
     weight = counts.sum(axis=1)
     left, right = counts.sum(axis=0), weight
     for _ in range(rounds):
@@ -82,156 +87,226 @@ def exchanged(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
     return own
 
 
+class Numbers(dict):
+    """Numbers of the vocabulary's words; others are numbered -1 less their group, and kept up to ``more`` of them."""
+
+    def __init__(self, words: list[bytes], more: int = 200_000) -> None:
+        super().__init__(zip(words, range(len(words)), strict=True))
+        self.extra: list[bytes] = []
+        self.more = more
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self.extra) >= self.more:
+            for w in self.extra:
+                del self[w]
+            self.extra.clear()
+        number = self[word] = -1 - group_of(word.decode("utf-8"))
+        self.extra.append(word)
+        return number
+
+
 @dataclass
-class Model:
-    place: dict[str, int]  # of the vocabulary's words
-    element: np.ndarray  # of the vocabulary's words
-    share: np.ndarray  # log10 of the word's part of its class
-    base: np.ndarray  # log10 (count + 1)
-    classes: np.ndarray  # of elements
-    step: np.ndarray  # log10 probability of a class after a class
-    whole: np.ndarray  # log10 of a class's size, by group
-    unseen: np.ndarray  # log10 of an unseen word's part of its class, by group
+class Corpus:
+    texts: DataFrame  # uid, doc_id, learn, numbers of the words and the end, rest (words beyond the vocabulary: word, n, g)
+    counts: DataFrame  # word, n over the training texts, ends included
+    words: list[bytes]  # the vocabulary, the most frequent first, the end among the seeds
+    frequency: np.ndarray
     tokens: int
     types: int
 
 
-def tokens_of(text: str | None) -> list[str]:
-    return [w.decode("utf-8") for w in (text or "").encode("utf-8").lower().split()]
+@dataclass
+class Model:
+    classes: np.ndarray  # of the vocabulary's words, then of the groups
+    share: np.ndarray  # log10 of a word's part of its class
+    step: np.ndarray  # log10 probability of a class after a class
+    whole: np.ndarray  # log10 of the size of a group's class
+    unseen: np.ndarray  # log10 of a group's unknown word's part of its class
+
+
+def phi(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """word, n over all texts, ends included."""
+def prepared(docs: DataFrame, learn: Column) -> Corpus:
+    """The words of all texts as numbers, and what the texts where ``learn`` holds say of the words. Both are written tables."""
     words = F.filter(F.split(lowered(F.col("text")), SPACE_RUN), lambda w: w != "")
-    return written(train.select(F.explode(F.concat(words, F.array(F.lit(END)))).alias("word")).groupBy("word").agg(F.count("*").alias("n")), "word-counts")
-
-
-def _numbers(place: dict[str, int], element: np.ndarray, extra: dict[str, int]):
-    """A function from words to numbers: of the vocabulary from 0, of others -1 - their group."""
-
-    def number(words: list[str]) -> np.ndarray:
-        get, out = place.get, []
-        for w in words:
-            i = get(w)
-            if i is None:
-                i = extra.get(w)
-                if i is None:
-                    if len(extra) > 300_000:
-                        extra.clear()
-                    i = extra[w] = -1 - group_of(w)
-            out.append(i)
-        return np.array(out, np.int64)
-
-    return number
-
-
-def _elements(numbers: np.ndarray, element: np.ndarray) -> np.ndarray:
-    return np.where(numbers >= 0, element[np.maximum(numbers, 0)], WORDS - 1 - numbers)
-
-
-def fit(train: DataFrame, counts: DataFrame, smoothing: float = 10.0) -> Model:
-    spark = train.sparkSession
-    size = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.where(F.octet_length("word") <= MAX_BYTES).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words, freq = [r["word"] for r in top], np.array([r["n"] for r in top], np.int64)
-    place = {w: i for i, w in enumerate(words)}
-    if END in place and place[END] >= WORDS:  # the end is always an element
-        i, j = place[END], WORDS - 1
-        words[i], words[j] = words[j], words[i]
-        freq[[i, j]] = freq[[j, i]]
-        place = {w: k for k, w in enumerate(words)}
-    element = np.array([i if i < WORDS else WORDS + group_of(w) for i, w in enumerate(words)] or [0], np.int64)
-    end = place.get(END, 0)
-    shared = spark.sparkContext.broadcast((place, element))
-    everything = WORDS + GROUPS
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, element = shared.value
-        number = _numbers(place, element, {})
-        for batch in batches:
-            codes = []
+    counts = docs.where(learn).select(F.explode(F.concat(words, F.array(F.lit(END.decode())))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    counts = written(counts, "word-counts")
+    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    short = counts.where(F.octet_length("word") <= MAX_BYTES).withColumn("all", F.lit(1))
+    top = sorted(((w.encode(), n) for w, n in zip(*most_frequent(short, ["all"], "word", VOCABULARY).select("word", "n").toArrow().to_pydict().values(), strict=True)), key=lambda x: (-x[1], x[0]))
+    end = [x for x in top if x[0] == END] or [(END, 0)]
+    top = [x for x in top if x[0] != END]
+    top[min(len(top), SEEDS - 1) : min(len(top), SEEDS - 1)] = end
+    vocabulary = [w for w, _ in top]
+    shared, kind = docs.sparkSession.sparkContext.broadcast(vocabulary), dict(docs.dtypes)["doc_id"]
+    item = pa.struct([("word", pa.string()), ("n", pa.int64()), ("g", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = Numbers(shared.value)
+        get, last = number.__getitem__, number[END]
+        for batch in by_bytes(batches):
+            values, ends, rest, rest_ends = [], [0], [], [0]
             for text in batch["text"].to_pylist():
-                own = _elements(np.r_[end, number(tokens_of(text)), end], element)
-                codes.append(own[:-1] * everything + own[1:])
-            if codes:
-                code, n = np.unique(np.concatenate(codes), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"code": code, "n": n})
+                own = (text or "").encode("utf-8").lower().split()
+                ids = np.fromiter(map(get, own), np.int32, len(own))
+                unknown = np.flatnonzero(ids < 0)
+                if len(unknown):
+                    found = Counter(own[i] for i in unknown.tolist())
+                    rest += [(w, n, -1 - get(w)) for w, n in found.items()]
+                values += [ids, np.array([last], np.int32)]
+                ends.append(ends[-1] + len(ids) + 1)
+                rest_ends.append(len(rest))
+            parts = list(zip(*rest, strict=True)) if rest else [(), (), ()]
+            flat = pa.StructArray.from_arrays([pa.array(parts[0], pa.binary()).cast(pa.string()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.int32())], fields=list(item))
+            numbers = np.concatenate(values) if values else np.zeros(0, np.int32)
+            columns = {"uid": batch["uid"], "doc_id": batch["doc_id"], "learn": batch["learn"], "numbers": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers))}
+            yield pa.RecordBatch.from_pydict(columns | {"rest": pa.ListArray.from_arrays(pa.array(rest_ends, pa.int32()), flat)})
+
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.coalesce(learn, F.lit(False)).alias("learn"), "text")
+    texts = rows.mapInArrow(run, f"uid long, doc_id {kind}, learn boolean, numbers array<int>, rest array<struct<word string, n long, g int>>")
+    return Corpus(written(texts, "word-numbers"), counts, vocabulary, np.array([n for _, n in top], np.int64), int(size["n"]), int(size["v"]))
+
+
+def _laid(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows, end to end, and where each row ends."""
+    lists = batch["numbers"]
+    return lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+
+
+def _after(values: np.ndarray, ends: np.ndarray, first: int) -> np.ndarray:
+    """What stands before each value; ``first`` before the first of a row."""
+    before = np.empty_like(values)
+    before[1:] = values[:-1]
+    before[_begins(ends)] = first
+    return before
+
+
+def _begins(ends: np.ndarray) -> np.ndarray:
+    return np.r_[0, ends[:-1]] if len(ends) else ends.astype(np.int64)
+
+
+def _pair_counts(corpus: Corpus, of: np.ndarray, end: int, n: int) -> np.ndarray:
+    """How often each of ``n`` kinds follows each, over the training texts; ``of``: the kind of the vocabulary's words, then of groups. A task adds up its own."""
+    shared, v = corpus.texts.sparkSession.sparkContext.broadcast(of), len(corpus.words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, total = shared.value, np.zeros(n * n, np.int64)
+        for batch in batches:
+            numbers, ends = _laid(batch)
+            if len(numbers):
+                own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)].astype(np.int64)
+                code, times = np.unique(_after(own, ends, end) * n + own, return_counts=True)
+                total[code] += times
+        code = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"code": code, "n": total[code]})
+
+    cells = corpus.texts.where("learn").select("numbers").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(n * n)
+    table[cells["code"].to_numpy()] = cells["n"].to_numpy()
+    return table.reshape(n, n)
+
+
+def best_classes(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """For words with these counts of classes before and after them, the class that they add most likelihood to."""
+    rows, columns = table.sum(axis=1), table.sum(axis=0)
+    gain = (phi(table.T[None] + before[:, None, :]) - phi(table.T)[None]).sum(axis=2) + (phi(table[None] + after[:, None, :]) - phi(table)[None]).sum(axis=2)
+    gain -= phi(rows[None] + after.sum(axis=1)[:, None]) - phi(rows)[None] + phi(columns[None] + before.sum(axis=1)[:, None]) - phi(columns)[None]
+    return gain.argmax(axis=1)
+
+
+def _assigned(corpus: Corpus, classes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the vocabulary's words beyond the seeds, and their best classes, given the classes and transitions of all elements."""
+    shared, v, end = corpus.texts.sparkSession.sparkContext.broadcast((classes, table)), len(corpus.words), int(classes[corpus.words.index(END)])
+    side = 2 * CLASSES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = shared.value[0]
+        for batch in batches:
+            numbers, ends = _laid(batch)
+            own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)].astype(np.int64)
+            at = np.flatnonzero(numbers >= SEEDS)  # never the last of a row, which is the end
+            codes = np.r_[numbers[at].astype(np.int64) * side + _after(own, ends, end)[at], numbers[at].astype(np.int64) * side + CLASSES + own[at + 1]]
+            code, n = np.unique(codes, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"word": code // side, "k": code % side, "n": n})
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value[1]
+        for batch in batches:
+            sizes = batch["seen"].value_lengths().to_numpy(zero_copy_only=False)
+            flat, row = batch["seen"].flatten(), np.repeat(np.arange(batch.num_rows), sizes)
+            seen = np.zeros((batch.num_rows, side))
+            np.add.at(seen, (row, flat.field("k").to_numpy()), flat.field("n").to_numpy())
+            chosen = [best_classes(table, seen[i : i + 64, :CLASSES], seen[i : i + 64, CLASSES:]) for i in range(0, len(seen), 64)]
+            yield pa.RecordBatch.from_pydict({"word": batch["word"], "class": np.concatenate(chosen) if chosen else np.zeros(0, np.int64)})
+
+    seen = corpus.texts.where("learn").select("numbers").mapInArrow(count, "word long, k long, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
+    seen = seen.groupBy("word").agg(F.collect_list(F.struct("k", "n")).alias("seen"))  # two lists of classes at most
+    found = seen.mapInArrow(choose, "word long, class long").toArrow()
+    return found["word"].to_numpy(), found["class"].to_numpy()
+
+
+def fit(corpus: Corpus, smoothing: float = 10.0) -> Model:
+    v, elements = len(corpus.words), SEEDS + GROUPS
+    shape = np.array([group_of(w.decode()) for w in corpus.words], np.int64)
+    of = np.r_[np.where(np.arange(v) < SEEDS, np.arange(v), SEEDS + shape), SEEDS + np.arange(GROUPS)]
+    end = corpus.words.index(END)
+    table = _pair_counts(corpus, of, end, elements)
+    by_element = exchanged(table, CLASSES)
+    one = np.zeros((elements, CLASSES))
+    one[np.arange(elements), by_element] = 1
+    classes = by_element[of]
+    words, chosen = _assigned(corpus, classes, one.T @ table @ one)
+    classes[words] = chosen
+    steps = _pair_counts(corpus, classes, int(classes[end]), CLASSES)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(GROUPS, np.int64)
         for batch in batches:
-            group = np.array([group_of(w) for w in batch["word"].to_pylist()], np.int32)
-            yield pa.RecordBatch.from_pydict({"g": group, "once": (batch["n"].to_numpy() == 1).astype(np.int64)})
-
-    cells = train.select("text").mapInArrow(pairs, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(everything * everything)
-    table[cells["code"].to_numpy(np.int64)] = cells["n"].to_numpy()
-    table = table.reshape(everything, everything)
-    once = np.full(GROUPS, 1.0)
-    for r in counts.mapInArrow(grouped, "g int, once long").groupBy("g").agg(F.sum("once").alias("once")).collect():
+            total += np.bincount([group_of(w) for w in batch["word"].to_pylist()], minlength=GROUPS)
+        yield pa.RecordBatch.from_pydict({"g": np.arange(GROUPS, dtype=np.int32), "once": total})
+
+    once = np.ones(GROUPS)
+    for r in corpus.counts.where("n = 1").select("word").mapInArrow(grouped, "g int, once long").groupBy("g").agg(F.sum("once").alias("once")).collect():
         once[r["g"]] += r["once"]
-    classes = exchanged(table, CLASSES)
-    sizes = np.bincount(classes, weights=table.sum(axis=0), minlength=CLASSES)
-    unseen_sizes = np.bincount(classes[WORDS:], weights=once, minlength=CLASSES)
-    whole = np.maximum(sizes + unseen_sizes, 1e-9)
-    of = np.zeros((everything, CLASSES))
-    of[np.arange(everything), classes] = 1
-    steps = of.T @ table @ of
+    of_groups, sizes = classes[v:], steps.sum(axis=0)
+    whole = np.maximum(sizes + np.bincount(of_groups, weights=once, minlength=CLASSES), 1e-9)
     alone = (sizes + 0.5) / (sizes.sum() + 0.5 * CLASSES)
     step = np.log10((steps + smoothing * alone[None, :]) / (steps.sum(axis=1, keepdims=True) + smoothing))
-    of_groups = classes[WORDS:]
-    share = np.log10(np.maximum(freq, 1)) - np.log10(whole[classes[element[: len(freq)]]])
-    return Model(place, element, share, np.log10(freq + 1.0), classes, step, np.log10(whole[of_groups]), np.log10(once) - np.log10(whole[of_groups]), int(size["n"] or 0), int(size["v"]))
+    share = np.log10(np.maximum(corpus.frequency, 1)) - np.log10(whole[classes[:v]])
+    return Model(classes, share, step, np.log10(whole[of_groups]), np.log10(once) - np.log10(whole[of_groups]))
 
 
-def scored(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def scored(corpus: Corpus, model: Model) -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = dict(docs.dtypes)["doc_id"]
-    schema = f"uid long, doc_id {kind}, word string, n long, whole double, unseen double, n_tokens long, n_known long, base double, score double"
+    shared, v, end = corpus.texts.sparkSession.sparkContext.broadcast((model, np.log10(corpus.frequency + 1.0), corpus.frequency > 0)), len(corpus.words), corpus.words.index(END)
+    kind = dict(corpus.texts.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        number = _numbers(m.place, m.element, {})
-        end = m.place.get(END, -1 - group_of(END))
+        m, base, seen = shared.value
         for batch in batches:
-            uid, ids = batch["uid"].to_pylist(), batch["doc_id"].to_pylist()
-            rows: list[tuple] = []
-            for row, doc_id, text in zip(uid, ids, batch["text"].to_pylist(), strict=True):
-                words = tokens_of(text)
-                numbers = np.r_[number(words), end].astype(np.int64)
-                classes = m.classes[_elements(np.r_[end, numbers], m.element)]
-                known = numbers >= 0
-                total = m.step[classes[:-1], classes[1:]].sum() + (m.share[numbers[known]].sum() if known.any() else 0)
-                rows.append((row, doc_id, f" {row}", 0, 0.0, 0.0, len(numbers), int(known.sum()), float(m.base[numbers[known]].sum()) if known.any() else 0.0, float(total)))
-                rest: dict[str, int] = {}
-                for i in np.flatnonzero(~known).tolist():
-                    word = words[i] if i < len(words) else END
-                    rest[word] = rest.get(word, 0) + 1
-                for word, n in rest.items():
-                    g = group_of(word)
-                    rows.append((row, None, word, n, float(m.whole[g]), float(m.unseen[g]), 0, 0, 0.0, 0.0))
-                if len(rows) > 50_000:
-                    yield made(rows)
-                    rows = []
-            if rows:
-                yield made(rows)
-
-    def made(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), None, pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-        names = ["uid", "doc_id", "word", "n", "whole", "unseen", "n_tokens", "n_known", "base", "score"]
-        return pa.RecordBatch.from_pydict({name: pa.array(x, own or pa_kind) for name, own, x in zip(names, kinds, zip(*rows, strict=True), strict=True)})
-
-    pa_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    parts = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text").mapInArrow(run, schema)
-    # a text's own row has a word with a space, which matches none and spreads as evenly as the texts
-    joined = parts.join(counts.select("word", F.col("n").alias("c")), "word", "left")
-    found = F.col("c").isNotNull()
-    sums = joined.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(found, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(found, F.col("n") * F.log10(F.col("c") + F.lit(1.0))).otherwise(0.0)).alias("base"),
-        F.sum(F.col("score") + F.col("n") * F.when(found, F.log10(F.col("c").cast("double")) - F.col("whole")).otherwise(F.col("unseen"))).alias("score"),
+            numbers, ends = _laid(batch)
+            own = m.classes[np.where(numbers >= 0, numbers, v - 1 - numbers)]
+            known, place = numbers >= 0, np.maximum(numbers, 0)
+            # an end that was never seen is an unknown word as any other
+            sums = [known & seen[place], np.where(known, base[place], 0.0), m.step[_after(own, ends, int(m.classes[end])), own] + np.where(known, m.share[place], 0.0)]
+            added = [np.add.reduceat(x, _begins(ends)) if len(x) else x for x in (sums[0].astype(np.int64), *sums[1:])]
+            sizes = np.diff(np.r_[0, ends])
+            yield pa.RecordBatch.from_pydict({"uid": batch["uid"], "doc_id": batch["doc_id"], "n_tokens": pa.array(sizes, pa.int64()), "n_known": pa.array(added[0], pa.int64()), "base": added[1], "score": added[2]})
+
+    own = corpus.texts.select("uid", "doc_id", "numbers").mapInArrow(run, f"uid long, doc_id {kind}, n_tokens long, n_known long, base double, score double")
+    rest = corpus.texts.select("uid", F.explode("rest").alias("r")).select("uid", "r.*").join(corpus.counts.select("word", F.col("n").alias("c")), "word", "left")
+    of_group: Callable[[np.ndarray], Column] = lambda values: F.element_at(F.array(*(F.lit(float(x)) for x in values)), F.col("g") + 1)
+    found, c = F.col("c").isNotNull(), F.col("c").cast("double")
+    rest = rest.select(
+        "uid",
+        F.lit(None).cast(kind).alias("doc_id"),
+        F.lit(0).cast("long").alias("n_tokens"),
+        F.when(found, F.col("n")).otherwise(0).alias("n_known"),
+        F.when(found, F.col("n") * F.log10(c + 1)).otherwise(0.0).alias("base"),
+        (F.col("n") * F.when(found, F.log10(c) - of_group(model.whole)).otherwise(of_group(model.unseen))).alias("score"),
     )
-    unit = float(np.log10(model.tokens + model.types + 1))
-    return sums.select("doc_id", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * unit).alias("base_score"), "score")
+    sums = own.unionByName(rest).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")))
+    unit = float(np.log10(corpus.tokens + corpus.types + 1))
+    return sums.select("doc_id", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * unit).alias("base_score"), "score")

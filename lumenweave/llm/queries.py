@@ -33,9 +33,9 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = id_crc(F.col("doc_id")) % 7 == 2
-    train = docs.where(~held_out)
-    counts = class_lm.count_words(train)
-    return class_lm.scored(docs, class_lm.fit(train, counts), counts).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    corpus = class_lm.prepared(docs, ~held_out)
+    scores = class_lm.scored(corpus, class_lm.fit(corpus))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_pu_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -247,14 +248,52 @@ def test_every_link_shares_a_mask():
     assert [simhash.best_blocks(n, 4) for n in (0, 10**5, 10**7, 10**10)] == sorted(simhash.best_blocks(n, 4) for n in (0, 10**5, 10**7, 10**10))
 
 
-def test_class_lm(docs, empty):
-    counts = class_lm.count_words(docs)
-    model = class_lm.fit(docs, counts)
-    got = class_lm.scored(docs, model, counts).collect()
-    assert len(got) == docs.count() and sum(r.n_tokens for r in got) == model.tokens and all(r.n_known == r.n_tokens and r.score < 0 for r in got)
-    assert np.allclose((10**model.step).sum(axis=1), 1)
-    none = class_lm.count_words(empty)
-    assert all(r.n_known == 0 for r in class_lm.scored(docs, class_lm.fit(empty, none), none).collect())
+def test_class_lm(spark, docs, empty, monkeypatch):
+    monkeypatch.setattr(class_lm, "VOCABULARY", 1500)
+    monkeypatch.setattr(class_lm, "SEEDS", 60)
+    corpus = class_lm.prepared(docs, F.coalesce(F.col("doc_id") % 7 != 6, F.lit(True)))
+    model = class_lm.fit(corpus)
+    got = class_lm.scored(corpus, model).collect()
+    assert len(got) == docs.count() and np.allclose((10**model.step).sum(axis=1), 1)
+    words = {r.doc_id: brute.lower(r.text).encode().split() for r in docs.collect()}
+    train = [w for r in docs.collect() if r.doc_id is None or r.doc_id % 7 != 6 for w in [*brute.lower(r.text).encode().split(), b"\n"]]
+    counts, place = Counter(train), {w: i for i, w in enumerate(corpus.words)}
+    assert len(place) == 1500 < len(counts) and place[b"\n"] < 60 and (corpus.tokens, corpus.types) == (len(train), len(counts))
+    assert min(counts[w] for w in place) >= max(c for w, c in counts.items() if w not in place)
+    for r in got:
+        own, base, score, before = [*words[r.doc_id], b"\n"], 0.0, 0.0, model.classes[place[b"\n"]]
+        for w in own:
+            base += np.log10((counts[w] + 1) / (len(train) + len(counts) + 1))
+            g = class_lm.group_of(w.decode())
+            here = model.classes[place[w] if w in place else 1500 + g]
+            score += model.step[before, here] + (model.share[place[w]] if w in place else np.log10(counts[w]) - model.whole[g] if counts[w] else model.unseen[g])
+            before = here
+        assert r.n_tokens == len(own) and r.n_known == sum(counts[w] > 0 for w in own) and r.train_tokens == len(train)
+        assert np.allclose((r.base_score, r.score), (base, score))
+    # what follows a class is a class, and a class's words and the unknown ones of its groups share it
+    parts = np.bincount(model.classes, weights=np.r_[10**model.share * (corpus.frequency > 0), 10**model.unseen], minlength=class_lm.CLASSES)
+    rest = np.bincount(model.classes[1500:], weights=np.bincount([class_lm.group_of(w.decode()) for w in counts if w not in place], weights=[c for w, c in counts.items() if w not in place], minlength=class_lm.GROUPS) / 10**model.whole, minlength=class_lm.CLASSES)
+    assert np.allclose((parts + rest)[np.unique(model.classes)], 1, atol=1e-6)
+    none = class_lm.prepared(docs, F.lit(False))
+    assert all(r.n_known == 0 and r.score < 0 for r in class_lm.scored(none, class_lm.fit(none)).collect())
+    nothing = class_lm.prepared(empty, F.lit(True))
+    assert class_lm.scored(nothing, class_lm.fit(nothing)).count() == 0
+
+
+def test_words_go_to_the_class_of_their_contexts(spark):
+    """Each of two sorts of words stands only before words of its own; rare ones are no seeds, but their classes tell them apart."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        rare = f"{'ab'[i % 2]}rare{i % 40}"
+        rows.append((i, " ".join(f"{'ab'[i % 2]}{rng.integers(600)} {'xy'[i % 2]}{rng.integers(5)}" for _ in range(60)) + f" {rare} {'xy'[i % 2]}0 {rare} {'xy'[i % 2]}1"))
+    table = spark.createDataFrame(rows, "doc_id string, text string")
+    corpus = class_lm.prepared(table, F.lit(True))
+    model = class_lm.fit(corpus)
+    classes = {s: {int(model.classes[i]) for i, w in enumerate(corpus.words) if i >= class_lm.SEEDS and w.startswith(s)} for s in (b"a", b"b")}
+    assert classes[b"a"] and classes[b"b"] and not classes[b"a"] & classes[b"b"]
+    scores = {r.doc_id: r for r in class_lm.scored(corpus, model).collect()}
+    assert len(scores) == 400 and all(r.score > r.base_score for r in scores.values())
 
 
 def test_pu_classifier(spark, docs, empty):
