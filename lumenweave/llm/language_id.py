@@ -141,7 +141,7 @@ def fit(train: DataFrame) -> Model:
     short = F.char_length("word") <= MAX_LETTERS
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     kept = most_frequent(counts.where(short), ["lang"], "word", most_words).select("word").distinct()
-    top = counts.join(kept, "word", "left_semi").join(totals, "lang").select("word", "lang", "n", "total").toPandas()
+    top = counts.join(kept, "word", "left_semi").join(F.broadcast(totals), "lang").select("word", "lang", "n", "total").toPandas()  # totals: a row a language
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
 
     def cut_to(n: int) -> Column:  # a second argument of the lambda would be the place in the array
@@ -159,7 +159,7 @@ def fit(train: DataFrame) -> Model:
     grams = written(grams, "grams")
     totals = grams.groupBy("lang", "length").agg(F.sum("n").alias("total"))
     kept = most_frequent(grams, ["lang", "length"], "gram", most_grams).select("gram").distinct()
-    common = grams.join(kept, "gram", "left_semi").join(totals, ["lang", "length"]).select("gram", "lang", "length", "n", "total").toPandas()
+    common = grams.join(kept, "gram", "left_semi").join(F.broadcast(totals), ["lang", "length"]).select("gram", "lang", "length", "n", "total").toPandas()
     word_place, word_scores = _scores(top, "word", langs)
     place, scores = {}, [np.zeros((0, len(langs)), np.float32)]
     for n in LENGTHS:
