@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm import bpe, class_lm, decontaminate, language_id, pu_classifier, quality_rules, sharding, simhash, suffix_dedup, warc
 from lumenweave.llm.common import id_crc, table
+from lumenweave.llm.sql import SQL
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -74,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return SQL
