@@ -3,15 +3,15 @@
 Every window of ``length`` bytes is told by its least 32-byte gram. Consecutive windows with the same least gram form one string of at most
 ``length`` + ``length`` - 32 bytes, and equal windows always lie in strings with the same gram hash, which therefore deals strings out to tasks:
 
-1. strings equal as a whole are told by hashes alone: the first stays, the rest are marked; grams with one distinct string are done;
-2. the strings of a gram that differ are fetched from the texts and indexed: a suffix order gives a Burrows-Wheeler transform,
-   which is kept as runs, with the first text position of every interval of suffixes that share ``length`` bytes. The strings are streamed
-   through the runs backwards, from sampled rows, one step of all strings at a time; a window whose matching statistic reaches ``length``
-   in an interval with an earlier start is marked;
+1. strings equal as a whole are told by two 64-bit hashes: the first stays, the rest are marked; grams with one distinct string are done;
+2. the strings of a gram that differ are fetched from the texts and indexed in blocks: a suffix order gives a Burrows-Wheeler transform, which is kept as runs with
+   the text's places at their ends, and the first string of every interval of suffixes that share ``length`` bytes. The block's strings and all later ones of their gram
+   are streamed through the runs backwards, one step of all strings at a time; a window whose matching statistic reaches ``length``, in an earlier string, is marked;
 3. the marks of a document are joined to its text.
 
-Grams with more than ``group_rows`` differing strings (say, of a passage in a third of all documents, with other words around it) are
-resolved window by window instead: each task tells equal windows of its own texts first, and only the first of them is compared with other tasks'.
+Streaming every block through all before it takes work by the square of a gram's blocks. Grams with more than ``group_rows`` differing strings (say, of a passage in a third
+of all documents, with other words around it) are resolved window by window instead, in linear work: each task tells equal windows of its own texts first, and only the
+first of them is compared with other tasks', by 128-bit hashes.
 
 Defined cases: null is an empty text; texts shorter than ``length`` keep all bytes, and an empty table stays empty; every row is a document of its own. Rows are
 ordered by id, null first, and rows with equal ids by the xxhash64 of their texts, so that of repeated rows and of texts with no id all but the first
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from lumenweave.llm.common import by_bytes, by_groups, written
 
 GRAM, PIECE = 32, 1 << 19
-#: Strings that are indexed together. Larger groups are indexed alone, up to ``group_rows``; some 15 numbers a byte are held.
+#: Strings that are indexed together; some 15 numbers a byte are held. A larger group is indexed in blocks, and later blocks are streamed through earlier ones.
 INDEX_ROWS = 3_000
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), seed=11) | 1 for b in range(256)], dtype=np.uint64)
 _ODD = 0x9E3779B97F4A7C15
@@ -88,13 +88,17 @@ def strings_of(data: np.ndarray, begins: np.ndarray, lengths: np.ndarray, length
 
 
 class RunLengthIndex:
-    """A Burrows-Wheeler transform, kept as runs, of distinct strings, which come in the order of their first occurrence."""
+    """A Burrows-Wheeler transform, kept as runs with the text's places at their ends, of distinct strings, which come in the order of their first occurrence.
+
+    Strings are streamed through it backwards, all together a letter at a time, whether the index has them or not. Each keeps its matching statistic, capped at
+    ``length``: a row whose suffix begins with the longest match, and the match's size. Where the row's run has the next letter, the match grows by it. Else the row moves to
+    the end of the nearest run of that letter above or below, whose places are sampled, and the match shrinks to what the text there has of it, the longer of both."""
 
     def __init__(self, strings: list[bytes], length: int) -> None:
         self.length = length
-        self.sizes = np.array([len(s) for s in strings])
+        sizes = np.array([len(s) for s in strings])
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-        ends = np.cumsum(self.sizes + 1) - 1
+        ends = np.cumsum(sizes + 1) - 1
         text[ends] = 0
         n = len(text)
         padded = np.concatenate([text, np.zeros(8, np.int64)])
@@ -112,16 +116,20 @@ class RunLengthIndex:
             rank, reach = self._ranks(rank << 32 | shifted), 2 * reach
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)
-        # runs of the transform, and where each run's first row leads
+        # runs of the transform: letter, first and last row, where the first row leads, and the text's places at both
         letters = text[order - 1]
-        self.run_start = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
-        sizes = np.diff(np.r_[self.run_start, n])
-        by_letter = np.argsort(letters[self.run_start], kind="stable")
-        self.run_leads = np.empty(len(sizes), np.int64)
-        self.run_leads[by_letter] = np.cumsum(sizes[by_letter]) - sizes[by_letter]
-        self.end_row = rank[ends]
+        self.first_row = np.flatnonzero(np.r_[True, letters[1:] != letters[:-1]])
+        self.last_row = np.r_[self.first_row[1:], n] - 1
+        self.letter = letters[self.first_row]
+        by_letter = np.argsort(self.letter, kind="stable")
+        run_sizes = self.last_row - self.first_row + 1
+        self.leads = np.empty(len(run_sizes), np.int64)
+        self.leads[by_letter] = np.cumsum(run_sizes[by_letter]) - run_sizes[by_letter]
+        self.first_place, self.last_place = order[self.first_row], order[self.last_row]
+        self.by_letter, self.keys = by_letter, self.letter[by_letter] * len(by_letter) + by_letter
+        self.text = np.concatenate([text, np.zeros(length + 1, np.int64)]).astype(np.int16)
         # intervals of suffixes that share `length` bytes of their strings, and the first string of each
-        owner = np.repeat(np.arange(len(strings)), self.sizes + 1)
+        owner = np.repeat(np.arange(len(strings)), sizes + 1)
         whole = (ends[owner] - np.arange(n) >= length)[order]
         far = np.minimum(np.arange(n) + length - at_half, n - 1)
         a, b = half[order], half[far][order]
@@ -140,28 +148,61 @@ class RunLengthIndex:
         rank[order] = np.cumsum(np.r_[0, ordered[1:] != ordered[:-1]])
         return rank
 
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """The rows of the suffixes one letter longer."""
-        run = np.searchsorted(self.run_start, rows, side="right") - 1
-        return self.run_leads[run] + rows - self.run_start[run]
-
-    def repeats(self) -> tuple[np.ndarray, np.ndarray]:
-        """String and start of every window that an earlier string has too. Streams all strings backwards together."""
-        strings, starts = [], []
-        own, rows = np.arange(len(self.sizes)), self.end_row.copy()
-        for matched in range(1, int(self.sizes.max(initial=0)) + 1):
-            going = self.sizes[own] >= matched
-            own, rows = own[going], self.step(rows[going])
-            if matched >= self.length:
-                first = self.first[np.searchsorted(self.interval_start, rows, side="right") - 1]
-                later = first < own
-                strings.append(own[later])
-                starts.append(self.sizes[own[later]] - matched)
-        if not strings:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        string, start = np.concatenate(strings), np.concatenate(starts)
-        order = np.lexsort((start, string))
-        return string[order], start[order]
+    def _moved(self, run: np.ndarray, letter: np.ndarray, match: np.ndarray, query: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For rows in runs of other letters: the run of this letter to move to, the row in it, and what is left of the match of ``query[at:]``."""
+        place = np.searchsorted(self.keys, letter * len(self.keys) + run)
+        best_run, best_row, best = np.full(len(run), -1), np.zeros(len(run), np.int64), np.full(len(run), -1)
+        offsets = np.arange(self.length)
+        for beside, rows, places in ((place - 1, self.last_row, self.last_place), (place, self.first_row, self.first_place)):
+            inside = (beside >= 0) & (beside < len(self.keys))
+            other = self.by_letter[np.where(inside, beside, 0)]
+            inside &= self.letter[other] == letter
+            some = np.flatnonzero(inside)
+            if not len(some):
+                continue
+            # the places are those of the suffixes themselves: how much of the match do they begin with?
+            same = self.text[places[other[some]][:, None] + offsets] == query[at[some][:, None] + offsets]
+            kept = np.minimum(np.where(same.all(axis=1), self.length, same.argmin(axis=1)), match[some])
+            longer = kept > best[some]
+            better = some[longer]
+            best_run[better], best_row[better], best[better] = other[better], rows[other[better]], kept[longer]
+        return best_run, best_row, best
+
+    def matches(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window of the strings that a string of the index has: the string's number, its start, and the first string of the index that has it."""
+        sizes = np.array([len(s) for s in strings])
+        query = np.concatenate([np.frombuffer(b"".join(strings), np.uint8).astype(np.int16) + 1, np.full(self.length, -1, np.int16)])
+        last = np.cumsum(sizes) - 1
+        own, rows, match = np.arange(len(strings)), np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
+        found = []
+        for done in range(int(sizes.max(initial=0))):
+            going = sizes[own] > done
+            own, rows, match = own[going], rows[going], match[going]
+            at = last[own] - done
+            letter = query[at].astype(np.int64)
+            run = np.searchsorted(self.first_row, rows, side="right") - 1
+            away = np.flatnonzero(self.letter[run] != letter)
+            none = np.zeros(0, np.int64)
+            if len(away):
+                to, row, left = self._moved(run[away], letter[away], match[away], query, at[away] + 1)
+                none = away[to < 0]
+                run[away], rows[away], match[away] = np.where(to < 0, run[away], to), np.where(to < 0, rows[away], row), np.maximum(left, 0)
+            here = rows
+            rows = self.leads[run] + rows - self.first_row[run]
+            match = np.minimum(match + 1, self.length)
+            rows[none], match[none] = here[none], 0  # a letter that the index doesn't have
+            hit = np.flatnonzero(match >= self.length)
+            if len(hit):
+                first = self.first[np.searchsorted(self.interval_start, rows[hit], side="right") - 1]
+                found.append((own[hit], sizes[own[hit]] - done - 1, first))
+        if not found:
+            return tuple(np.zeros(0, np.int64) for _ in range(3))
+        return _in_order(*(np.concatenate(x) for x in zip(*found, strict=True)))
+
+    def repeats(self, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """String and start of every window of the index's own strings that an earlier one has too."""
+        string, start, first = self.matches(strings)
+        return string[first < string], start[first < string]
 
 
 def _pieces(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -292,7 +333,7 @@ def _spread(rid: np.ndarray, packed: np.ndarray) -> np.ndarray:
     return _mixed((rid * 31 + packed).view(np.uint64)).view(np.int64)
 
 
-def repeated_spans(texts: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
+def repeated_spans(texts: DataFrame, length: int = 100, group_rows: int = 60_000) -> DataFrame:
     """rid and spans (array of from, to; in bytes; unmerged) of the ``keyed`` texts that have any to remove."""
     if not 64 <= length <= 112:
         raise ValueError("windows of 64 to 112 bytes")
@@ -353,12 +394,15 @@ def repeated_spans(texts: DataFrame, length: int = 100, group_rows: int = 6_000)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_groups(["anchor"], INDEX_ROWS)(batches):
-            string, start = RunLengthIndex(rows["string"].to_pylist(), length).repeats()
-            if not len(string):
-                continue
-            rid, base = rows["rid"].to_numpy(), rows["a"].to_numpy()
-            string, a, b = _spans(string, start, length)
-            yield pa.RecordBatch.from_pydict({"rid": rid[string], "a": base[string] + a, "b": base[string] + b})
+            strings, rid, base = rows["string"].to_pylist(), rows["rid"].to_numpy(), rows["a"].to_numpy()
+            for i in range(0, len(strings), INDEX_ROWS):
+                indexed = RunLengthIndex(strings[i : i + INDEX_ROWS], length)
+                for j in range(i, len(strings), INDEX_ROWS):  # its own strings, and all later ones of a large group
+                    part = strings[j : j + INDEX_ROWS]
+                    string, start = indexed.repeats(part) if i == j else indexed.matches(part)[:2]
+                    if len(string):
+                        string, a, b = _spans(string + j, start, length)
+                        yield pa.RecordBatch.from_pydict({"rid": rid[string], "a": base[string] + a, "b": base[string] + b})
 
     strings = wanted.mapInArrow(fetch, "anchor long, rid long, a long, string binary")
     indexed = strings.repartition("anchor").sortWithinPartitions("anchor", "rid", "a").mapInArrow(index, "rid long, a long, b long")
@@ -408,7 +452,7 @@ def _kept_text(raw: bytes, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[at:]]).decode("utf-8")
 
 
-def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
+def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 60_000) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     texts, kind = keyed(docs.select("doc_id", "text")), dict(docs.dtypes)["doc_id"]
 
@@ -429,7 +473,7 @@ def deduplicated(docs: DataFrame, length: int = 100, group_rows: int = 6_000) ->
     return joined.select(F.col("row.doc_id").alias("doc_id"), "text", "spans").mapInArrow(finish, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def with_kept_text(docs: DataFrame, length: int = 100, group_rows: int = 6_000) -> DataFrame:
+def with_kept_text(docs: DataFrame, length: int = 100, group_rows: int = 60_000) -> DataFrame:
     """The rows of ``docs`` with ``text`` cut down to what is kept; null stays null."""
     texts = keyed(docs)
 

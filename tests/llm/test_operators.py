@@ -49,7 +49,7 @@ def test_simhash(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_suffix_dedup(spark, docs, empty):
+def test_suffix_dedup(spark, docs, empty, monkeypatch):
     def key(r):
         return r[0] is not None, r
 
@@ -58,7 +58,8 @@ def test_suffix_dedup(spark, docs, empty):
     same_ids = [(5, passage), (7, passage), (7, other), (7, other), (None, other + "!"), *((None, f"{SHARED[i % 50 :]} tail {i} {other[i % 7 : 150 + i % 90]}") for i in range(400))]
     for rows, table in ((source, docs), (same_ids, spark.createDataFrame(same_ids, "doc_id long, text string").repartition(5))):
         want = sorted(brute.repeats(rows), key=key)
-        for group_rows in (20_000, 0):
+        for group_rows, block in ((20_000, 3000), (20_000, 3), (0, 3000)):
+            monkeypatch.setattr(suffix_dedup, "INDEX_ROWS", block)
             assert sorted(map(tuple, suffix_dedup.deduplicated(table, 100, group_rows).collect()), key=key) == want
     assert suffix_dedup.deduplicated(empty).count() == 0
     kept = suffix_dedup.with_kept_text(docs)
@@ -102,10 +103,26 @@ def test_suffix_index_matches_plain_search():
         want += [(i, j) for w, j in windows if seen.get(w, i) < i]
         for w, _ in windows:
             seen.setdefault(w, i)
-    string, start = suffix_dedup.RunLengthIndex(strings, 64).repeats()
+    string, start = suffix_dedup.RunLengthIndex(strings, 64).repeats(strings)
     assert list(zip(string.tolist(), start.tolist(), strict=True)) == sorted(want)
 
 
+def test_matching_statistics_of_strings_the_index_lacks():
+    rng = np.random.default_rng(9)
+    for letters in (2, 4, 200):
+        text = bytes(rng.integers(0, letters, 4000).astype(np.uint8))
+        strings = list(dict.fromkeys(text[i : i + int(rng.integers(100, 150))] for i in rng.integers(0, 3800, 30)))
+        index = suffix_dedup.RunLengthIndex(strings, 70)
+        queries = [text[i : i + 160] for i in rng.integers(0, 3800, 40)] + [bytes(rng.integers(0, 256, 120).astype(np.uint8)), strings[0], strings[1][:90] + b"\xff" + strings[2][5:95]]
+        want = []
+        for q, query in enumerate(queries):
+            for i in range(len(query) - 69):
+                has = [k for k, s in enumerate(strings) if query[i : i + 70] in s]
+                if has:
+                    want.append((q, i, has[0]))
+        assert list(zip(*(x.tolist() for x in index.matches(queries)), strict=True)) == want and want
+
+
 def test_decontaminate(spark, docs, empty):
     items = [("a", "One two"), ("b", "word5 ünïcode35 " + " ".join(f"word{i} ünïcode{i * 7}" for i in range(6, 16))), ("c", None), ("d", "..."), (None, "three"), ("e", SHARED), ("f", "no such passage " * 6)]
     bench = spark.createDataFrame(items, "item_id string, text string")
