@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import shared_dir, written
@@ -122,14 +122,14 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 64 << 20,
 
 
 def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
-    """Rewrites each ``archive`` of the folder with a member a record, ``.idx`` beside it; returns archive (the new one), records, index."""
+    """Rewrites each ``archive`` of the folder with a member a record, ``.idx`` beside it; returns the same index as a table: archive (the new one), at, size of every
+    record. So no job has to list the sidecars, and those that lost attempts left are in no index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _file_system(folder)
         for batch in batches:
-            rows: list[tuple[str, int, str]] = []
             for source in batch["archive"].to_pylist():
-                target, at, count = f"{uuid.uuid4().hex}.members.warc.gz", 0, 0
+                target, at, rows = f"{uuid.uuid4().hex}.members.warc.gz", 0, []
                 with fs.open_input_stream(f"{root}/{source}", compression=None) as stream, fs.open_output_stream(f"{root}/{target}", compression=None) as out, fs.open_output_stream(f"{root}/{target}.idx") as index:
                     engine, begun = zlib.compressobj(level, wbits=31), 0
                     try:
@@ -139,13 +139,13 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
                             at += len(data)
                             if part is None:
                                 index.write(json.dumps({"archive": target, "at": begun, "size": at - begun}).encode() + b"\n")
-                                engine, begun, count = zlib.compressobj(level, wbits=31), at, count + 1
+                                rows.append((target, begun, at - begun))
+                                engine, begun = zlib.compressobj(level, wbits=31), at
                     except (ValueError, KeyError, zlib.error) as e:
                         raise ValueError(f"{root}/{source}: {e}") from e
-                rows.append((target, count, f"{target}.idx"))
-            yield pa.RecordBatch.from_pydict({name: pa.array([x[i] for x in rows], kind) for i, (name, kind) in enumerate((("archive", pa.string()), ("records", pa.int64()), ("index", pa.string())))})
+                yield pa.RecordBatch.from_pydict({name: pa.array([x[i] for x in rows], kind) for i, (name, kind) in enumerate((("archive", pa.string()), ("at", pa.int64()), ("size", pa.int64())))})
 
-    return written(archives.select("archive").repartition(tasks(archives)).mapInArrow(run, "archive string, records long, index string"), "members")
+    return written(archives.select("archive").repartition(tasks(archives)).mapInArrow(run, INDEX_SCHEMA), "members")
 
 
 def tasks(archives: DataFrame, most: int = 10_000) -> int:
@@ -153,10 +153,9 @@ def tasks(archives: DataFrame, most: int = 10_000) -> int:
     return max(1, min(most, archives.count()))
 
 
-def index_of(members: DataFrame, folder: str) -> DataFrame:
-    """archive, at, size of every record of ``members``; index files that lost attempts left in the folder are passed over."""
-    found = members.sparkSession.read.schema(INDEX_SCHEMA).json(f"{folder}/*.members.warc.gz.idx")
-    return found.join(members.select("archive"), "archive", "left_semi").repartition(tasks(members), "archive")
+def sidecars(spark: SparkSession, folder: str) -> DataFrame:
+    """archive, at, size of every record that an index file of the folder names, for archives that came from elsewhere."""
+    return spark.read.schema(INDEX_SCHEMA).json(f"{folder}/*.members.warc.gz.idx").where("archive IS NOT NULL AND size IS NOT NULL")
 
 
 def read_records(index: DataFrame, folder: str) -> DataFrame:
@@ -199,7 +198,5 @@ def round_trip(pages: DataFrame, archive_bytes: int = 64 << 20) -> DataFrame:
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     _file_system(folder)[0].create_dir(_file_system(folder)[1])
-    members = normalise(write_archives(with_revisits(pages), folder, archive_bytes), folder)
-    if not members.limit(1).count():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
-    return read_records(index_of(members, folder), folder)
+    archives = write_archives(with_revisits(pages), folder, archive_bytes)
+    return read_records(normalise(archives, folder).repartition(tasks(archives), "archive"), folder)

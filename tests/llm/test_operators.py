@@ -213,15 +213,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_warc_passes_over_what_lost_attempts_left(spark, tmp_path):
+def test_warc_index_is_that_of_its_sidecars(spark, tmp_path):
     pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(20)], "page_id long, url string, html string")
     folder = f"file://{tmp_path}"
-    members = warc.normalise(warc.write_archives(warc.with_revisits(pages), folder, 500), folder)
+    index = warc.normalise(warc.write_archives(warc.with_revisits(pages), folder, 500), folder)
+    assert sorted(map(tuple, index.collect())) == sorted(map(tuple, warc.sidecars(spark, folder).collect()))
     one = next(tmp_path.glob("*.idx")).read_text().splitlines()[0]
     (tmp_path / "lost.members.warc.gz.idx").write_text(one.replace('"archive": "', '"archive": "lost') + '\n{"archive": "cut')
-    got = warc.read_records(warc.index_of(members, folder), folder)
-    assert sorted(r.page_id for r in got.collect()) == list(range(20))
-    assert members.count() > 1 and got.rdd.getNumPartitions() == members.count()
+    got = warc.read_records(index.repartition("archive"), folder)
+    assert sorted(r.page_id for r in got.collect()) == list(range(20)) and index.select("archive").distinct().count() > 1
 
 
 def test_inflate_needs_whole_streams():
