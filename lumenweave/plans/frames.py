@@ -141,7 +141,8 @@ kinds AS (SELECT 'solid' AS pattern, w, h, y, x, 17 AS r, 34 AS g, 51 AS b FROM
 px AS (SELECT pattern || '_' || w || 'x' || h AS name, w, h, y, x, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM kinds)"""
 _N = "n AS (SELECT p_partkey, CAST(p_partkey AS BIGINT) AS n FROM part)"
 _LINE = _PX + ", ln AS (SELECT vec_id, p, [p[33], p[25], p[17], p[9], p[1], p[2], p[3], p[4], p[5], p[6], p[7], p[8], p[8]] AS e FROM px)"
-_TAPS = """, w AS (SELECT vec_id, p, e, list_transform(range(1, 13), lambda i: (e[i] + e[i + 1] + 1) >> 1) AS t2, list_transform(range(1, 14), lambda i: (e[greatest(i - 1, 1)] + 2 * e[i] + e[least(i + 1, 13)] + 2) >> 2) AS t3 FROM ln),
+_TAPS = """, w AS (SELECT vec_id, p, e, list_transform(range(1, 13), lambda i: (e[i] + e[i + 1] + 1) >> 1) AS t2, list_transform(range(1, 14), lambda i: (e[greatest(i -
+ 1, 1)] + 2 * e[i] + e[least(i + 1, 13)] + 2) >> 2) AS t3 FROM ln),
 g AS (SELECT m, k // 4 AS y, k % 4 AS x FROM (SELECT unnest(range(0, 10)) AS m), (SELECT unnest(range(0, 16)) AS k)),
 pr AS (SELECT vec_id, m, p[10 + 8 * y + x] AS s, CASE m
  WHEN 0 THEN (e[1] + e[2] + e[3] + e[4] + e[6] + e[7] + e[8] + e[9] + 4) >> 3
@@ -154,17 +155,31 @@ pr AS (SELECT vec_id, m, p[10 + 8 * y + x] AS s, CASE m
 co AS (SELECT vec_id, CAST(m AS INTEGER) AS mode, CAST(sum(abs(s - v)) AS BIGINT) AS sad FROM pr GROUP BY 1, 2)"""
 _STEP4 = f"(4 * (CASE WHEN i = 1 THEN {DC} ELSE {AC} END))"
 SQL = {
-    "keyframe_header": f"WITH {_N} SELECT p_partkey, n % 4 + 8 * 0 AS profile, n % 2 AS shown, n % 40 AS first_partition, n % 7 * 100 AS width, n % 13 * 50 AS height, n % 4 AS x_scale, n % 3 AS y_scale, CASE WHEN n % 5 = 0 THEN 'not a key frame' WHEN n % 11 = 0 THEN 'start code' WHEN n % 7 = 0 OR n % 13 = 0 THEN 'size' WHEN n % 40 > 30 THEN 'partition' END AS error FROM n",
+    "keyframe_header": f"""WITH {_N} SELECT p_partkey, n % 4 + 8 * 0 AS profile, n % 2 AS shown, n % 40 AS first_partition, n % 7 * 100 AS width, n % 13 * 50 AS height, n
+ % 4 AS x_scale, n % 3 AS y_scale, CASE WHEN n % 5 = 0 THEN 'not a key frame' WHEN n % 11 = 0 THEN 'start code' WHEN n % 7 = 0 OR n % 13 = 0 THEN 'size' WHEN n % 40 > 30
+ THEN 'partition' END AS error FROM n""",
     "subblock_modes": f"WITH {_LINE}{_TAPS} SELECT vec_id, arg_min(mode, sad * 16 + mode) AS mode, min(sad) AS sad, CAST(sum(sad) AS BIGINT) AS all_sad FROM co GROUP BY 1",
-    "chroma_upsample": f"WITH {_PX}, g AS (SELECT y, x, least(7, greatest(0, y // 2 + CASE WHEN y % 2 = 1 THEN 1 ELSE -1 END)) AS r, least(7, greatest(0, x // 2 + CASE WHEN x % 2 = 1 THEN 1 ELSE -1 END)) AS c FROM (SELECT unnest(range(0, 16)) AS y), (SELECT unnest(range(0, 16)) AS x)), f AS (SELECT vec_id, y, x, p[y // 2 * 8 + x // 2 + 1] AS a, p[y // 2 * 8 + c + 1] AS b, p[r * 8 + x // 2 + 1] AS d, p[r * 8 + c + 1] AS o FROM px, g) SELECT vec_id, CAST(y AS INTEGER) AS y, string_agg(CAST((((a + b + d + o + 8 + 2 * (b + d)) >> 3) + a) >> 1 AS VARCHAR), ',' ORDER BY x) AS samples FROM f GROUP BY 1, 2",
-    "filter_params": "SELECT level, sharpness, greatest(1, CASE WHEN sharpness = 0 THEN level ELSE least(9 - sharpness, CASE WHEN sharpness > 4 THEN level // 4 ELSE level // 2 END) END) AS interior, CAST((level >= 15)::INT + (level >= 40)::INT AS INTEGER) AS variance FROM (SELECT unnest(range(0, 64)) AS level), (SELECT unnest(range(0, 8)) AS sharpness)",
-    "edge_filter": f"WITH {_PX}, e AS (SELECT vec_id, CAST(y AS INTEGER) AS y, p[y * 8 + 3] AS p1, p[y * 8 + 4] AS p0, p[y * 8 + 5] AS q0, p[y * 8 + 6] AS q1 FROM px, (SELECT unnest(range(0, 8)) AS y)), a AS (SELECT *, least(127, greatest(-128, least(127, greatest(-128, p1 - q1)) + 3 * (q0 - p0))) AS a, abs(p0 - q0) * 2 + abs(p1 - q1) // 2 <= {LIMIT} AS ok FROM e) SELECT vec_id, y, CASE WHEN ok THEN least(255, greatest(0, p0 + (least(127, a + 3) >> 3))) ELSE p0 END AS p0, CASE WHEN ok THEN least(255, greatest(0, q0 - (least(127, a + 4) >> 3))) ELSE q0 END AS q0 FROM a",
-    "skip_probability": f"WITH {_LEVELS}, z AS (SELECT vec_id % 10 AS image, len(list_filter(range(1, 17), lambda i: (abs(c[i]) + {_STEP4} // 2) // {_STEP4} <> 0)) > 0 AS coded FROM lv), s AS (SELECT image, count(*) AS blocks, count(*) FILTER (coded) AS coded FROM z GROUP BY 1) SELECT image, blocks, coded, least(255, greatest(1, (coded * 256 + blocks // 2) // blocks)) AS probability FROM s",
+    "chroma_upsample": f"""WITH {_PX}, g AS (SELECT y, x, least(7, greatest(0, y // 2 + CASE WHEN y % 2 = 1 THEN 1 ELSE -1 END)) AS r, least(7, greatest(0, x // 2 + CASE
+ WHEN x % 2 = 1 THEN 1 ELSE -1 END)) AS c FROM (SELECT unnest(range(0, 16)) AS y), (SELECT unnest(range(0, 16)) AS x)), f AS (SELECT vec_id, y, x, p[y // 2 * 8 + x // 2 +
+ 1] AS a, p[y // 2 * 8 + c + 1] AS b, p[r * 8 + x // 2 + 1] AS d, p[r * 8 + c + 1] AS o FROM px, g) SELECT vec_id, CAST(y AS INTEGER) AS y, string_agg(CAST((((a + b + d +
+ o + 8 + 2 * (b + d)) >> 3) + a) >> 1 AS VARCHAR), ',' ORDER BY x) AS samples FROM f GROUP BY 1, 2""",
+    "filter_params": """SELECT level, sharpness, greatest(1, CASE WHEN sharpness = 0 THEN level ELSE least(9 - sharpness, CASE WHEN sharpness > 4 THEN level // 4 ELSE
+ level // 2 END) END) AS interior, CAST((level >= 15)::INT + (level >= 40)::INT AS INTEGER) AS variance FROM (SELECT unnest(range(0, 64)) AS level), (SELECT
+ unnest(range(0, 8)) AS sharpness)""",
+    "edge_filter": f"""WITH {_PX}, e AS (SELECT vec_id, CAST(y AS INTEGER) AS y, p[y * 8 + 3] AS p1, p[y * 8 + 4] AS p0, p[y * 8 + 5] AS q0, p[y * 8 + 6] AS q1 FROM px,
+ (SELECT unnest(range(0, 8)) AS y)), a AS (SELECT *, least(127, greatest(-128, least(127, greatest(-128, p1 - q1)) + 3 * (q0 - p0))) AS a, abs(p0 - q0) * 2 + abs(p1 - q1)
+ // 2 <= {LIMIT} AS ok FROM e) SELECT vec_id, y, CASE WHEN ok THEN least(255, greatest(0, p0 + (least(127, a + 3) >> 3))) ELSE p0 END AS p0, CASE WHEN ok THEN least(255,
+ greatest(0, q0 - (least(127, a + 4) >> 3))) ELSE q0 END AS q0 FROM a""",
+    "skip_probability": f"""WITH {_LEVELS}, z AS (SELECT vec_id % 10 AS image, len(list_filter(range(1, 17), lambda i: (abs(c[i]) + {_STEP4} // 2) // {_STEP4} <> 0)) > 0
+ AS coded FROM lv), s AS (SELECT image, count(*) AS blocks, count(*) FILTER (coded) AS coded FROM z GROUP BY 1) SELECT image, blocks, coded, least(255, greatest(1, (coded
+ * 256 + blocks // 2) // blocks)) AS probability FROM s""",
     "generate_patterns": f"WITH {GENERATED} SELECT name, w, h, y, x, r, g, b FROM px",
-    "lcg_noise": "WITH s AS (SELECT seed, list_reduce([seed, 0, 0, 0, 0], lambda a, x: (a * 1664525 + 1013904223) % 4294967296) AS state FROM (SELECT unnest(range(0, 100)) AS seed)) SELECT seed, state, state & 255 AS r, (state >> 8) & 255 AS g, (state >> 16) & 255 AS b FROM s",
+    "lcg_noise": """WITH s AS (SELECT seed, list_reduce([seed, 0, 0, 0, 0], lambda a, x: (a * 1664525 + 1013904223) % 4294967296) AS state FROM (SELECT unnest(range(0,
+ 100)) AS seed)) SELECT seed, state, state & 255 AS r, (state >> 8) & 255 AS g, (state >> 16) & 255 AS b FROM s""",
     "ppm_parse": f"""WITH {_PX}, e AS (SELECT vec_id, p, vec_id % 19 = 0 AS no_size, CASE WHEN vec_id % 17 = 0 THEN 'magic' WHEN vec_id % 19 = 0 THEN 'size'
  WHEN vec_id % 23 = 0 THEN 'maximum' WHEN vec_id % 29 = 0 THEN 'short' END AS error FROM px)
 SELECT vec_id, CASE WHEN no_size THEN NULL ELSE CAST(8 AS BIGINT) END AS width, CAST(8 AS BIGINT) AS height, CAST(CASE WHEN vec_id % 23 = 0 THEN 65535 ELSE 255 END AS BIGINT) AS maximum,
  error, CASE WHEN error IS NULL THEN CAST(192 AS BIGINT) END AS samples, CASE WHEN error IS NULL THEN CAST(3 * list_sum(p) AS BIGINT) END AS total FROM e""",
-    "expand_runs": "SELECT p_partkey, array_to_string(flatten([list_transform(range(0, 3), lambda i: CAST(p_size AS BIGINT)), list_transform(range(0, p_partkey % 4), lambda i: CAST(p_partkey % 7 AS BIGINT))]), ',') AS expanded FROM part",
+    "expand_runs": """SELECT p_partkey, array_to_string(flatten([list_transform(range(0, 3), lambda i: CAST(p_size AS BIGINT)), list_transform(range(0, p_partkey % 4),
+ lambda i: CAST(p_partkey % 7 AS BIGINT))]), ',') AS expanded FROM part""",
 }

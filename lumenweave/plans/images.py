@@ -233,7 +233,8 @@ _DUMP = f"""WITH {GENERATED}, {_I420},
 ends AS (SELECT name, plane, max(y) AS ly, max(x) AS lx, CASE plane WHEN 'y' THEN 16 ELSE 8 END AS side FROM pl GROUP BY ALL),
 tall AS (SELECT *, unnest(range(0, (ly // side + 1) * side)) AS y FROM ends),
 wide AS (SELECT *, unnest(range(0, (lx // side + 1) * side)) AS x FROM tall),
-pad AS (SELECT w.name, w.plane, side, w.y, w.x, v, w.y // side AS my, w.x // side AS mx, w.y % side AS iy, w.x % side AS ix FROM wide w JOIN pl p ON p.name = w.name AND p.plane = w.plane AND p.y = least(w.y, ly) AND p.x = least(w.x, lx)),
+pad AS (SELECT w.name, w.plane, side, w.y, w.x, v, w.y // side AS my, w.x // side AS mx, w.y % side AS iy, w.x % side AS ix FROM wide w JOIN pl p ON p.name = w.name AND
+ p.plane = w.plane AND p.y = least(w.y, ly) AND p.x = least(w.x, lx)),
 near AS (SELECT name, plane, my + 1 AS my, mx, v FROM pad WHERE iy = side - 1 UNION ALL SELECT name, plane, my, mx + 1, v FROM pad WHERE ix = side - 1),
 flat AS (SELECT name, plane, my, mx, avg(v) AS m FROM near GROUP BY ALL),
 r AS (SELECT concat_ws('|', p.name, p.plane, p.my, p.mx) AS vec_id, iy // 4 * (side // 4) + ix // 4 AS k, list(v - coalesce(CAST(floor(m + 0.5) AS BIGINT), 128) ORDER BY iy, ix) AS s
@@ -242,9 +243,11 @@ r AS (SELECT concat_ws('|', p.name, p.plane, p.my, p.mx) AS vec_id, iy // 4 * (s
 firsts AS (SELECT replace(vec_id, '|y|', '|y2|') AS vec_id, 0 AS k, list(c[1] ORDER BY k) AS s FROM dct WHERE vec_id LIKE '%|y|%' GROUP BY 1),
 {_pass('firsts', 'w1', 's', 's', True, WHT)}, {_pass('w1', 'w2', 's', 's', False, [f'(({x})>>1)' for x in WHT])},
 every AS (SELECT vec_id, k, CASE WHEN vec_id LIKE '%|y|%' THEN [0] || c[2:] ELSE c END AS c FROM dct UNION ALL SELECT vec_id, k, s FROM w2),
-dump AS (SELECT split_part(vec_id, '|', 1) AS name, split_part(vec_id, '|', 2) AS plane, CAST(split_part(vec_id, '|', 3) AS BIGINT) AS my, CAST(split_part(vec_id, '|', 4) AS BIGINT) AS mx, CAST(k AS INTEGER) AS k, c FROM every)"""
+dump AS (SELECT split_part(vec_id, '|', 1) AS name, split_part(vec_id, '|', 2) AS plane, CAST(split_part(vec_id, '|', 3) AS BIGINT) AS my, CAST(split_part(vec_id, '|', 4)
+ AS BIGINT) AS mx, CAST(k AS INTEGER) AS k, c FROM every)"""
 _STEPS = ", ".join(f"({quality}, '{plane}', {dc}, {ac})" for quality in QUALITIES for plane, (dc, ac) in dump_steps(qindex(quality)).items())
-_QUANT = f"""{_DUMP}, lv AS (SELECT name, q, d.plane, my, mx, k, list_transform(range(1, 17), lambda i: CAST(sign(c[i]) * ((abs(c[i]) + (CASE WHEN i = 1 THEN dc ELSE ac END) // 2) // (CASE WHEN i = 1 THEN dc ELSE ac END)) AS BIGINT)) AS c
+_QUANT = f"""{_DUMP}, lv AS (SELECT name, q, d.plane, my, mx, k, list_transform(range(1, 17), lambda i: CAST(sign(c[i]) * ((abs(c[i]) + (CASE WHEN i = 1 THEN dc ELSE ac
+ END) // 2) // (CASE WHEN i = 1 THEN dc ELSE ac END)) AS BIGINT)) AS c
  FROM dump d JOIN (VALUES {_STEPS}) s(q, plane, dc, ac) ON s.plane = d.plane)"""
 _COST = "list_sum(list_transform(c, lambda v: CASE WHEN v = 0 THEN 0 ELSE least(6, length(bin(abs(v)))) END)) + CAST(c[1] <> 0 AS BIGINT)"
 
@@ -273,10 +276,12 @@ _MB = f"""WITH {_PX}, mb AS (SELECT vec_id // 4 // 5 AS image, vec_id // 4 % 5 A
 mp AS (SELECT image, c, list_transform(range(0, 256), lambda i: parts[i // 128 * 2 + i % 16 // 8 + 1][i // 16 % 8 * 8 + i % 8 + 1]) AS p FROM mb)"""
 _P16 = f"""{_MB}, le AS (SELECT image, c, p, lag(list_transform(range(0, 16), lambda y: p[y * 16 + 16])) OVER (PARTITION BY image ORDER BY c) AS own FROM mp),
 gu AS (SELECT image, c, p, own, coalesce(CAST(list_sum(own) + 8 AS BIGINT) >> 4, 128) AS m, mode FROM le, (SELECT unnest(range(0, 4)) AS mode)),
-df AS (SELECT image, c, CAST(mode AS INTEGER) AS mode, list_transform(range(0, 256), lambda i: p[i + 1] - (CASE mode WHEN 0 THEN m WHEN 1 THEN 127 ELSE coalesce(own[i // 16 + 1], 129) END)) AS d FROM gu),
+df AS (SELECT image, c, CAST(mode AS INTEGER) AS mode, list_transform(range(0, 256), lambda i: p[i + 1] - (CASE mode WHEN 0 THEN m WHEN 1 THEN 127 ELSE coalesce(own[i //
+ 16 + 1], 129) END)) AS d FROM gu),
 er AS (SELECT image, c, mode, CAST(list_sum(list_transform(d, lambda v: abs(v))) AS BIGINT) AS sad, CAST(list_sum(list_transform(d, lambda v: v * v)) AS BIGINT) AS sse FROM df)"""
 _COUNTS = f"""{_P16}, be AS (SELECT image, c, arg_min(mode, sad * 4 + mode) AS mode FROM er GROUP BY ALL),
-co AS (SELECT image, count(*) AS macroblocks, {', '.join(f'count(*) FILTER (mode = {i}) AS ymode{i}' for i in range(4))}, {', '.join(f'count(*) FILTER (mode = {P.SUBBLOCK_OF.index(i)}) AS bmode{i}' for i in range(4))} FROM be GROUP BY 1)"""
+co AS (SELECT image, count(*) AS macroblocks, {', '.join(f'count(*) FILTER (mode = {i}) AS ymode{i}' for i in range(4))},
+ {', '.join(f'count(*) FILTER (mode = {P.SUBBLOCK_OF.index(i)}) AS bmode{i}' for i in range(4))} FROM be GROUP BY 1)"""
 SQL = {
     "corpus_pixels": f"WITH {_CORPUS} SELECT name, y, x, r, g, b FROM px",
     "corpus_digests": f"""WITH {_CORPUS}, {_I420} SELECT a.name, rgb_sha, yuv_sha FROM (SELECT name, {_SHA.format("printf('%02x%02x%02x', r, g, b)", 'y, x')} AS rgb_sha FROM px GROUP BY 1) a
@@ -291,7 +296,8 @@ SQL = {
     "ordered_hash": f"""{_DUMP}, fl AS (SELECT name, flatten(list(c ORDER BY my, mx, CASE plane WHEN 'y2' THEN 0 WHEN 'y' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, k)) AS c FROM dump GROUP BY 1),
  fed AS (SELECT name, flatten(list_transform(c, lambda v: [CAST((v >> s) & 255 AS HUGEINT) for s in [0, 8, 16, 24]])) AS l FROM fl)
  SELECT name, format('{{:016x}}', CAST(list_reduce(l, lambda h, x: (xor(h, x) * 1099511628211) % 18446744073709551616, CAST(1469598103934665603 AS HUGEINT)) AS UBIGINT)) AS fnv FROM fed""",
-    "zigzag_levels": f"{_DUMP} SELECT name, plane, my, mx, k, array_to_string(list_transform([1, 2, 5, 9, 6, 3, 4, 7, 10, 13, 14, 11, 8, 12, 15, 16], lambda i: c[i]), ',') AS scanned FROM dump WHERE plane <> 'y2'",
+    "zigzag_levels": f"""{_DUMP} SELECT name, plane, my, mx, k, array_to_string(list_transform([1, 2, 5, 9, 6, 3, 4, 7, 10, 13, 14, 11, 8, 12, 15, 16], lambda i: c[i]),
+ ',') AS scanned FROM dump WHERE plane <> 'y2'""",
     "rate_proxies": f"{_QUANT} SELECT name, q, plane, CAST(sum(({_COST}) * CASE plane WHEN 'y2' THEN 2 ELSE 1 END) AS BIGINT) AS rate FROM lv GROUP BY ALL",
     "chroma_modes": f"""{_DUMP}, co AS (SELECT name, my, mx, plane IN ('u', 'v') AS uv, list_sum(list_transform(c, lambda v: abs(v))) AS cost FROM dump)
  SELECT name, my, mx, CAST(sum(CASE WHEN uv THEN cost ELSE 0 END) AS BIGINT) AS uv, CAST(sum(CASE WHEN uv THEN 0 ELSE cost END) AS BIGINT) AS y FROM co GROUP BY ALL""",
@@ -301,13 +307,15 @@ SQL = {
  bad AS (SELECT picture, expected, current FROM finer JOIN now USING (picture) WHERE expected - current > 0.05)
  SELECT picture, expected, current, greatest(0, (SELECT count(*) FROM bad) - 50) AS more FROM bad ORDER BY picture LIMIT 50""",
     "luma_heat": f"{_tiles(16)} SELECT picture, ty, tx, string_agg(CAST(least(255, 5 * abs(x - y)) AS VARCHAR), ',' ORDER BY i) AS heat FROM lum GROUP BY ALL",
-    "visible_crop": f"{_tiles(16)} SELECT o.picture, padded, count(*) AS visible, CAST(sum(r) AS BIGINT) AS total FROM one o JOIN (SELECT picture, count(*) * 64 AS padded FROM ti GROUP BY 1) t ON t.picture = o.picture GROUP BY ALL",
+    "visible_crop": f"""{_tiles(16)} SELECT o.picture, padded, count(*) AS visible, CAST(sum(r) AS BIGINT) AS total FROM one o JOIN (SELECT picture, count(*) * 64 AS
+ padded FROM ti GROUP BY 1) t ON t.picture = o.picture GROUP BY ALL""",
     "column_chroma": f"""{_tiles(16)} SELECT tx, round(avg((77*r + 150*g + 29*b) >> 8), 6) AS luma, round(avg(((-43*r - 85*g + 128*b) >> 8) + 128), 6) AS cb,
  round(avg(((128*r - 107*g - 21*b) >> 8) + 128), 6) AS cr, count(*) AS n FROM one GROUP BY 1""",
     "predict16": f"{_P16} SELECT image, c, mode, sad, sse FROM er",
     "frame_counters": f"{_COUNTS} SELECT * FROM co",
     "conservation": f"{_COUNTS} SELECT count(*) FILTER (ymode0 + ymode1 + ymode2 + ymode3 = macroblocks) AS good, count(*) FILTER (ymode0 + ymode1 + ymode2 + ymode3 <> macroblocks) AS bad FROM co",
-    "neighbours": f"{_MB}, s AS (SELECT image, c, CAST(list_sum(p) AS BIGINT) AS own FROM mp) SELECT a.image, a.c, a.own, l.own AS left, r.own AS right FROM s a LEFT JOIN s l ON l.image = a.image AND l.c = a.c - 1 LEFT JOIN s r ON r.image = a.image AND r.c = a.c + 1",
+    "neighbours": f"""{_MB}, s AS (SELECT image, c, CAST(list_sum(p) AS BIGINT) AS own FROM mp) SELECT a.image, a.c, a.own, l.own AS left, r.own AS right FROM s a LEFT
+ JOIN s l ON l.image = a.image AND l.c = a.c - 1 LEFT JOIN s r ON r.image = a.image AND r.c = a.c + 1""",
     "three_way": f"""{_MB}, d AS (SELECT (image + c) % 4 AS segment, len(list_filter(p, lambda v: v % 32 = 0)) AS n FROM mp)
  SELECT segment, count(*) AS macroblocks, CAST(sum(n) AS BIGINT) AS sad, count(*) FILTER (n > 0) AS differ FROM d GROUP BY 1""",
 }

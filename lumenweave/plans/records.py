@@ -311,44 +311,56 @@ SQL = {
     "riff_walk": """WITH o AS (SELECT page_id, CAST(page_id AS BIGINT) AS n, octet_length(encode(substr(coalesce(html, ''), 1, 40))) AS own FROM pages),
  s AS (SELECT page_id, n, own, CASE WHEN n % 3 = 0 THEN 8 + n % 7 + n % 7 % 2 ELSE 0 END AS extra FROM o),
  t AS (SELECT *, CASE WHEN n % 11 = 0 THEN 21 ELSE 12 + extra + 8 + own + own % 2 END AS total FROM s),
- e AS (SELECT *, CASE WHEN n % 3 = 0 AND 20 + n % 7 > total THEN 'cut' WHEN 20 + extra > total THEN 'no image' WHEN 20 + extra + own > total THEN 'cut' WHEN n % 5 = 0 THEN 'no image' END AS error FROM t)
+ e AS (SELECT *, CASE WHEN n % 3 = 0 AND 20 + n % 7 > total THEN 'cut' WHEN 20 + extra > total THEN 'no image' WHEN 20 + extra + own > total THEN 'cut' WHEN n % 5 = 0
+ THEN 'no image' END AS error FROM t)
  SELECT page_id, CASE WHEN error IS NULL THEN 20 + extra END AS "offset", CASE WHEN error IS NULL THEN CAST(own AS BIGINT) END AS size, error FROM e""",
-    "png_chunk": """WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    "png_chunk": """WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1,
+ 3988292384) ELSE c >> 1 END)) AS t),
  b AS (SELECT p_partkey, list_transform(string_split('tEXt' || p_name, ''), lambda c: CAST(ord(c) AS BIGINT)) AS b FROM part),
  c AS (SELECT p_partkey, b, xor(list_reduce([4294967295] || b, lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS crc FROM b, t)
  SELECT p_partkey, crc, printf('%08x', len(b) - 4) || array_to_string(list_transform(b, lambda x: printf('%02x', x)), '') || printf('%08x', crc) AS chunk FROM c""",
-    "samples_8bit": "SELECT l_orderkey, l_linenumber, ((l_partkey * 7919) % 65536) >> 8 AS r, ((l_partkey * 7919) % 65536) >> 8 AS g, ((l_partkey * 7919) % 65536) >> 8 AS b, ((l_suppkey * 104729) % 65536) >> 8 AS a FROM lineitem",
+    "samples_8bit": """SELECT l_orderkey, l_linenumber, ((l_partkey * 7919) % 65536) >> 8 AS r, ((l_partkey * 7919) % 65536) >> 8 AS g, ((l_partkey * 7919) % 65536) >> 8
+ AS b, ((l_suppkey * 104729) % 65536) >> 8 AS a FROM lineitem""",
     "token_extra": """WITH s AS (SELECT l_orderkey, l_linenumber, least(2114, abs(l_partkey * l_linenumber - 5000) % 4000) AS size FROM lineitem),
  t AS (SELECT *, CASE WHEN size <= 4 THEN size WHEN size <= 6 THEN 5 WHEN size <= 10 THEN 6 WHEN size <= 18 THEN 7 WHEN size <= 34 THEN 8 WHEN size <= 66 THEN 9 ELSE 10 END AS token FROM s)
- SELECT l_orderkey, l_linenumber, size, token, CASE token WHEN 10 THEN 11 ELSE greatest(0, token - 4) END AS bits, size - CASE token WHEN 5 THEN 5 WHEN 6 THEN 7 WHEN 7 THEN 11 WHEN 8 THEN 19 WHEN 9 THEN 35 WHEN 10 THEN 67 ELSE token END AS extra FROM t""",
+ SELECT l_orderkey, l_linenumber, size, token, CASE token WHEN 10 THEN 11 ELSE greatest(0, token - 4) END AS bits, size - CASE token WHEN 5 THEN 5 WHEN 6 THEN 7 WHEN 7
+ THEN 11 WHEN 8 THEN 19 WHEN 9 THEN 35 WHEN 10 THEN 67 ELSE token END AS extra FROM t""",
     "bool_cost": f"""WITH r AS (SELECT p, bit, CASE bit WHEN 0 THEN p ELSE 256 - p END AS x FROM (SELECT unnest(range(1, 256)) AS p), (SELECT unnest([0, 1]) AS bit)),
  l AS (SELECT p, bit, 2048 - ({_LOG2.format('x')} * 256 + (x - (1 << {_LOG2.format('x')})) * 256 // (1 << {_LOG2.format('x')})) AS cost FROM r)
  SELECT p, bit, cost, (cost * 8) >> 11 AS token_rate, (cost * 8 // 256 + 7) // 8 AS mode_rate FROM l""",
-    "scaled_steps": "SELECT step, CAST(percent AS BIGINT) AS percent, least(2047, greatest(1, (step * CASE percent WHEN 0 THEN 100 ELSE percent END + 50) // 100)) AS scaled FROM (SELECT unnest(range(1, 160)) AS step), (SELECT unnest([0, 1, 60, 100, 115, 130, 2000]) AS percent)",
+    "scaled_steps": """SELECT step, CAST(percent AS BIGINT) AS percent, least(2047, greatest(1, (step * CASE percent WHEN 0 THEN 100 ELSE percent END + 50) // 100)) AS
+ scaled FROM (SELECT unnest(range(1, 160)) AS step), (SELECT unnest([0, 1, 60, 100, 115, 130, 2000]) AS percent)""",
     "axis_ticks": """WITH m AS (SELECT user_id, min(value) AS low, max(value) AS high FROM events GROUP BY 1),
  t AS (SELECT *, low + i * (high - low) / 5 AS tick FROM m, (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS i))
  SELECT user_id, i, round(tick, 4) AS at, round(CASE WHEN high = low THEN 300.0 ELSE (tick - low + (high - low) * 0.03) / ((high - low) + (high - low) * 0.03 * 2) * 600 END, 3) AS x FROM t""",
     "number_texts": """WITH v AS (SELECT p_partkey, CAST(p_size AS DOUBLE) * p_partkey / 8 AS v FROM part)
  SELECT p_partkey, 'psnr_rgb=' || CASE WHEN p_partkey % 10 = 0 THEN 'inf' ELSE printf('%.6f', v) END AS six,
- CASE WHEN v >= 100 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) WHEN v >= 10 THEN printf('%d.%d', CAST(floor(v * 10 + 0.5) AS BIGINT) // 10, CAST(floor(v * 10 + 0.5) AS BIGINT) % 10) ELSE printf('%.3f', v) END AS short FROM v""",
-    "mode_names": "SELECT p_partkey, coalesce(['DC_PRED', 'V_PRED', 'H_PRED', 'TM_PRED', 'B_PRED'][p_partkey % 7 + 1], CAST(p_partkey % 7 AS VARCHAR)) AS name, coalesce([0, 2, 3, 1][p_partkey % 7 + 1], 0) AS bmode FROM part",
-    "option_parse": """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 5 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE p_partkey - 100 END AS number, ['bpred', 'bpred-rdo', 'bpred-rdo', 'i16', 'i16', 'dc', 'dc'][p_partkey % 9 + 1] AS mode FROM part)
+ CASE WHEN v >= 100 THEN CAST(CAST(floor(v + 0.5) AS BIGINT) AS VARCHAR) WHEN v >= 10 THEN printf('%d.%d', CAST(floor(v * 10 + 0.5) AS BIGINT) // 10, CAST(floor(v * 10 +
+ 0.5) AS BIGINT) % 10) ELSE printf('%.3f', v) END AS short FROM v""",
+    "mode_names": """SELECT p_partkey, coalesce(['DC_PRED', 'V_PRED', 'H_PRED', 'TM_PRED', 'B_PRED'][p_partkey % 7 + 1], CAST(p_partkey % 7 AS VARCHAR)) AS name,
+ coalesce([0, 2, 3, 1][p_partkey % 7 + 1], 0) AS bmode FROM part""",
+    "option_parse": """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 5 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE p_partkey - 100 END AS number,
+ ['bpred', 'bpred-rdo', 'bpred-rdo', 'i16', 'i16', 'dc', 'dc'][p_partkey % 9 + 1] AS mode FROM part)
  SELECT p_partkey, CAST(number AS BIGINT) AS number, mode FROM r""",
     "text_escapes": """WITH t AS (SELECT doc_id, substr(coalesce(text, ''), 1, 200) AS t FROM documents)
  SELECT doc_id, '"' || replace(t, '"', '""') || '"' AS csv, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM t""",
     "csv_lines": """SELECT user_id, '"file ' || user_id || '.webp",' || CASE WHEN min(event_id) % 5 = 0 THEN 'ERR' ELSE CAST(CAST(floor(min(value) * 1000) AS BIGINT) AS VARCHAR) END AS line FROM events GROUP BY 1""",
-    "manifest_lines": """SELECT p_partkey, CASE WHEN good THEN 'dir/' || p_partkey || '.png' END AS path, CASE WHEN good THEN CAST(p_partkey % 101 AS INTEGER) END AS q, CASE WHEN good THEN sha256(p_name) END AS sha,
+    "manifest_lines": """SELECT p_partkey, CASE WHEN good THEN 'dir/' || p_partkey || '.png' END AS path, CASE WHEN good THEN CAST(p_partkey % 101 AS INTEGER) END AS q,
+ CASE WHEN good THEN sha256(p_name) END AS sha,
  CASE WHEN p_partkey % 11 = 0 THEN 'form' WHEN p_partkey % 7 = 0 THEN 'quality' END AS error FROM (SELECT *, p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AS good FROM part WHERE p_partkey % 13 <> 0)""",
-    "report_lines": f"WITH {_H} SELECT p_partkey, CASE WHEN error IS NOT NULL THEN 'error: ' || error ELSE 'Dimensions: ' || width || 'x' || height || chr(10) || 'Profile: ' || profile END AS report FROM h",
+    "report_lines": f"""WITH {_H} SELECT p_partkey, CASE WHEN error IS NOT NULL THEN 'error: ' || error ELSE 'Dimensions: ' || width || 'x' || height || chr(10) ||
+ 'Profile: ' || profile END AS report FROM h""",
     "header_gates": f"WITH {_H} SELECT coalesce(error, CASE WHEN n % 4 <> 0 THEN 'partitions' END, 'none') AS error, count(*) AS files FROM h GROUP BY 1",
     "header_compare": f"""WITH {_H}, c AS (SELECT p_size > 3 AS there, n, height, CASE WHEN n % 5 = 0 THEN 'not a key frame' WHEN n % 11 = 0 THEN 'start code' END AS e, error FROM h)
  SELECT there AS width, there AND n % 17 <> 0 AS height, CASE WHEN there THEN e IS NOT DISTINCT FROM error ELSE error IS NULL END AS error, count(*) AS files FROM c GROUP BY ALL""",
     "byte_equal": "SELECT coalesce(html, '') = coalesce(rtrim(html, ' '), '') AS equal, count(*) AS pages FROM pages GROUP BY 1",
-    "finite_points": "SELECT user_id, count(*) FILTER (event_id % 10 <> 0 AND event_id % 17 <> 0) AS finite, count(*) FILTER (event_id % 10 = 0 OR event_id % 17 = 0) AS other, max(value) FILTER (event_id % 10 <> 0 AND event_id % 17 <> 0) AS most FROM events GROUP BY 1",
+    "finite_points": """SELECT user_id, count(*) FILTER (event_id % 10 <> 0 AND event_id % 17 <> 0) AS finite, count(*) FILTER (event_id % 10 = 0 OR event_id % 17 = 0)
+ AS other, max(value) FILTER (event_id % 10 <> 0 AND event_id % 17 <> 0) AS most FROM events GROUP BY 1""",
     "image_paths": "SELECT p_partkey, 'dir.x/' || p_partkey || '.' || ['jpg', 'JPEG', 'png'][p_partkey % 5 + 1] AS path FROM part WHERE p_partkey % 5 < 3 AND p_partkey % 23 <> 0",
     "sorted_manifest": "SELECT p_name, p_partkey, sha1(p_name) AS sha FROM part ORDER BY p_name, p_partkey LIMIT 100",
     "first_path": "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, min(url) AS first, count(*) AS pages FROM pages GROUP BY 1",
-    "curve_points": "SELECT user_id, string_agg(CAST(1000 + event_id * 7919 % 50021 AS VARCHAR), ' ' ORDER BY 1000 + event_id * 7919 % 50021, event_id) AS points FROM events WHERE event_id % 2 = 0 GROUP BY 1",
+    "curve_points": """SELECT user_id, string_agg(CAST(1000 + event_id * 7919 % 50021 AS VARCHAR), ' ' ORDER BY 1000 + event_id * 7919 % 50021, event_id) AS points FROM
+ events WHERE event_id % 2 = 0 GROUP BY 1""",
     "nonzero_outliers": "SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS nonzero, max(l_partkey) AS abs_max FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
     "xorshift": """WITH RECURSIVE s(seed, i, state) AS (SELECT seed, 0, seed FROM (SELECT unnest(range(1, 201)) AS seed) UNION ALL
  SELECT seed, i + 1, xor(b, (b << 5) & 4294967295) FROM (SELECT seed, i, xor(a, a >> 17) AS b FROM (SELECT seed, i, xor(state, (state << 13) & 4294967295) AS a FROM s WHERE i < 5)))
@@ -357,11 +369,14 @@ SQL = {
  b AS (SELECT *, {_CLIP63.format('CASE WHEN n % 3 = 0 THEN n % 64 WHEN n % 2 = 1 THEN n % 150 - 75 ELSE n % 64 + n % 150 - 75 END')} AS b FROM n),
  l AS (SELECT *, CASE WHEN n % 4 = 0 THEN b ELSE {_CLIP63.format('b + n % 21 - 10 - CASE WHEN n % 5 = 4 THEN 6 ELSE 0 END')} END AS level, n % 8 AS sh FROM b),
  i AS (SELECT *, greatest(1, CASE WHEN sh = 0 THEN level ELSE least(9 - sh, level >> CASE WHEN sh > 4 THEN 2 ELSE 1 END) END) AS interior FROM l WHERE level > 0)
- SELECT p_partkey, level, interior, CAST((level >= 15)::INT + (level >= 40)::INT AS INTEGER) AS variance, (level + 2) * 2 + interior AS outer_limit, CASE WHEN n % 5 = 4 OR n % 6 < 3 THEN level * 2 + interior END AS inner_limit FROM i""",
+ SELECT p_partkey, level, interior, CAST((level >= 15)::INT + (level >= 40)::INT AS INTEGER) AS variance, (level + 2) * 2 + interior AS outer_limit, CASE WHEN n % 5 = 4
+ OR n % 6 < 3 THEN level * 2 + interior END AS inner_limit FROM i""",
     "edge_kinds": f"""WITH {_PX}, e AS (SELECT label % 4 AS segment, list_slice(p, y * 8 + 1, y * 8 + 8) AS e FROM px, (SELECT unnest(range(0, 8)) AS y)),
  d AS (SELECT segment, list_transform(range(1, 8), lambda i: abs(e[i] - e[i + 1])) AS d, abs(e[3] - e[6]) AS outer_ FROM e),
- k AS (SELECT segment, CASE WHEN d[4] * 2 + (outer_ >> 1) > 210 OR greatest(d[1], d[2], d[3], d[5], d[6], d[7]) > 90 THEN 'skip' WHEN greatest(d[3], d[5]) > 40 THEN 'sharp' ELSE 'smooth' END AS kind FROM d)
+ k AS (SELECT segment, CASE WHEN d[4] * 2 + (outer_ >> 1) > 210 OR greatest(d[1], d[2], d[3], d[5], d[6], d[7]) > 90 THEN 'skip' WHEN greatest(d[3], d[5]) > 40 THEN
+ 'sharp' ELSE 'smooth' END AS kind FROM d)
  SELECT segment, kind, count(*) AS edges FROM k GROUP BY ALL""",
-    "macroblock_lookup": "SELECT o_orderkey, o_custkey % 12 AS asked, l_partkey AS value, CASE WHEN l_partkey IS NULL THEN 'range' END AS error FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_linenumber - 1 = o_custkey % 12",
+    "macroblock_lookup": """SELECT o_orderkey, o_custkey % 12 AS asked, l_partkey AS value, CASE WHEN l_partkey IS NULL THEN 'range' END AS error FROM orders LEFT JOIN
+ lineitem ON o_orderkey = l_orderkey AND l_linenumber - 1 = o_custkey % 12""",
     "step_lookup": _steps_sql(),
 }

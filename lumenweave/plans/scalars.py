@@ -55,17 +55,23 @@ def union_fragments(spark, sf_dir):
 
 
 def kv_parse(spark, sf_dir):
-    """psnr and ssim out of lines like ``psnr=31.5 ssim=0.9 path=x``, with ``inf`` as a number."""
-    line = F.concat(F.lit("psnr="), F.when(F.col("p_partkey") % 10 == 0, "inf").otherwise(F.col("p_size").cast("string")), F.lit(" ssim=0."), F.col("p_partkey").cast("string"), F.lit(" path="), F.col("p_partkey").cast("string"))
-    kv = F.str_to_map(line, F.lit(" "), F.lit("="))
-    psnr = F.when(kv["psnr"] == "inf", F.lit(float("inf"))).otherwise(F.expr("try_cast(kv['psnr'] AS DOUBLE)"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("kv", kv).select("p_partkey", psnr.alias("psnr"), F.expr("try_cast(kv['ssim'] AS DOUBLE)").alias("ssim"))
+    """psnr and ssim out of lines like ``psnr=31.5 ssim=0.9 path=x``, with ``inf`` as a number; what is missing or no number is null."""
+    n = F.col("p_partkey")
+    psnr = F.when(n % 10 == 0, "inf").when(n % 13 == 0, "bad").otherwise(F.col("p_size").cast("string"))
+    ssim = F.when(n % 17 == 0, "").otherwise(F.concat(F.lit(" ssim=0."), n.cast("string")))
+    kv = F.str_to_map(F.concat(F.lit("psnr="), psnr, ssim, F.lit(" path="), n.cast("string")), F.lit(" "), F.lit("="))
+    number = F.when(F.try_element_at("kv", F.lit("psnr")) == "inf", F.lit(float("inf"))).otherwise(F.try_element_at("kv", F.lit("psnr")).try_cast("double"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("kv", kv)
+    return rows.select("p_partkey", number.alias("psnr"), F.try_element_at("kv", F.lit("ssim")).try_cast("double").alias("ssim"))
 
 
 def label_extract(spark, sf_dir):
-    report = F.concat(F.lit("Width: "), "p_size", F.lit("\nPartitions: "), (F.col("p_partkey") % 8).cast("string"))
+    """Numbers behind their labels in reports; null where a report lacks the label."""
+    width = F.when(F.col("p_partkey") % 9 == 0, "Height: ").otherwise("Width: ")
+    report = F.concat(width, "p_size", F.lit("\nPartitions: "), (F.col("p_partkey") % 8).cast("string"))
     rows = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("report", report)
-    return rows.select("p_partkey", F.regexp_extract("report", r"Width: (\d+)", 1).cast("long").alias("width"), F.regexp_extract("report", r"Partitions: (\d+)", 1).cast("long").alias("partitions"))
+    found = lambda label: F.regexp_extract("report", rf"{label}: (\d+)", 1).try_cast("bigint")
+    return rows.select("p_partkey", found("Width").alias("width"), found("Partitions").alias("partitions"))
 
 
 def path_parts(spark, sf_dir):
@@ -84,11 +90,16 @@ def riff_wrap(spark, sf_dir):
 
 
 def riff_parse(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", B.riff_wrapped(F.coalesce("html", F.lit("")).cast("binary")).alias("data"))
+    """Files of one chunk read again; some are damaged: bytes after the chunk, another kind of chunk, another container."""
+    n, whole = F.col("page_id"), B.riff_wrapped(F.coalesce("html", F.lit("")).cast("binary"))
+    word, rest = (lambda s: F.lit(s).cast("binary")), (lambda at: F.substring(whole, at, 1 << 30))
+    damaged = F.when(n % 7 == 0, F.concat(whole, word("XX"))).when(n % 5 == 0, F.concat(F.substring(whole, 1, 12), word("VP8L"), rest(17)))
+    data = damaged.when(n % 11 == 0, F.concat(word("RIFX"), rest(5))).otherwise(whole)
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", data.alias("data"))
     size, payload = B.load_little_endian(F.col("data"), 5), B.load_little_endian(F.col("data"), 17)
-    fourcc = F.substring("data", 13, 4).cast("string")
-    valid = (F.substring("data", 1, 4).cast("string") == "RIFF") & (fourcc == "VP8 ") & (size + 8 == F.octet_length("data")) & (payload + payload % 2 + 12 == size)
-    return rows.select("page_id", size.alias("riff_size"), fourcc.alias("fourcc"), payload.alias("payload_size"), valid.alias("valid"))
+    tag = lambda at: F.substring("data", at, 4).cast("string")
+    error = F.when(tag(1) != "RIFF", "container").when(size + 8 != F.octet_length("data"), "size").when(tag(13) != "VP8 ", "chunk").when(payload + payload % 2 + 12 != size, "more")
+    return rows.select("page_id", size.alias("riff_size"), tag(13).alias("fourcc"), payload.alias("payload_size"), error.alias("error"))
 
 
 _ALL = (quant_factors, qindex_lookup, lf_level, rdo_lambda, prob_cost, mb_grid, cross_corpus, union_fragments, kv_parse, label_extract, path_parts, sha256_texts, riff_wrap, riff_parse)
@@ -96,20 +107,29 @@ QUERIES = {f.__name__: f for f in _ALL}
 _DC, _AC = f"{DC_STEPS}", f"{AC_STEPS}"
 _LE = "printf('%02x%02x%02x%02x', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, ({0} >> 24) & 255)"
 _RAW = "raw AS (SELECT page_id, encode(coalesce(html, '')) AS b, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages)"
-_WRAP = _RAW + f", w AS (SELECT page_id, n, encode('RIFF') || unhex({_LE.format('(12 + n + n % 2)')}) || encode('WEBPVP8 ') || unhex({_LE.format('n')}) || b || (CASE WHEN n % 2 = 1 THEN unhex('00') ELSE encode('') END) AS data FROM raw)"
+_WRAP = _RAW + f""", w AS (SELECT page_id, n, encode('RIFF') || unhex({_LE.format('(12 + n + n % 2)')}) || encode('WEBPVP8 ') || unhex({_LE.format('n')}) || b || (CASE
+ WHEN n % 2 = 1 THEN unhex('00') ELSE encode('') END) AS data FROM raw)"""
 SQL = {
-    "quant_factors": f"SELECT q, CAST({_DC}[q+1] AS BIGINT) AS y1_dc, CAST({_AC}[q+1] AS BIGINT) AS y1_ac, CAST({_DC}[q+1]*2 AS BIGINT) AS y2_dc, CAST(greatest(8, {_AC}[q+1]*155//100) AS BIGINT) AS y2_ac, CAST(least(132, {_DC}[q+1]) AS BIGINT) AS uv_dc, CAST({_AC}[q+1] AS BIGINT) AS uv_ac FROM (SELECT unnest(range(0, 128)) AS q)",
-    "qindex_lookup": "SELECT quality, CAST(greatest(0, least(127, floor(127*(1-pow(CASE WHEN quality < 75 THEN quality/100.0*2.0/3.0 ELSE 2.0*quality/100.0-1 END, 1.0/3))))) AS BIGINT) AS q FROM (SELECT unnest(range(0, 101)) AS quality)",
-    "lf_level": "SELECT q, CAST(least(63, CASE WHEN q <= 26 THEN (q*8+13)//26 WHEN q <= 38 THEN 8+((q-26)*3+6)//12 WHEN q <= 75 THEN 11+((q-38)*18+18)//37 ELSE 29+((q-75)*34+26)//52 END + (q >= 32)::INT + (q >= 64)::INT + (q >= 96)::INT) AS BIGINT) AS level FROM (SELECT unnest(range(0, 128)) AS q)",
-    "rdo_lambda": "SELECT q, CAST(mul AS INTEGER) AS mul, CAST(div AS INTEGER) AS div, ((q*q//24+4)*mul + div//2)//div AS lambda FROM (SELECT unnest(range(0, 128)) AS q), (SELECT unnest(range(1, 11)) AS mul), (SELECT unnest(range(1, 5)) AS div)",
-    "prob_cost": "SELECT p, CAST(CASE WHEN p >= 256 THEN 0 ELSE 2048 - (CAST(floor(log2(p)) AS BIGINT)*256 + (p - (1 << CAST(floor(log2(p)) AS BIGINT)))*256//(1 << CAST(floor(log2(p)) AS BIGINT))) END AS BIGINT) AS cost FROM (SELECT unnest(range(1, 257)) AS p)",
+    "quant_factors": f"""SELECT q, CAST({_DC}[q+1] AS BIGINT) AS y1_dc, CAST({_AC}[q+1] AS BIGINT) AS y1_ac, CAST({_DC}[q+1]*2 AS BIGINT) AS y2_dc, CAST(greatest(8,
+ {_AC}[q+1]*155//100) AS BIGINT) AS y2_ac, CAST(least(132, {_DC}[q+1]) AS BIGINT) AS uv_dc, CAST({_AC}[q+1] AS BIGINT) AS uv_ac FROM (SELECT unnest(range(0, 128)) AS q)""",
+    "qindex_lookup": """SELECT quality, CAST(greatest(0, least(127, floor(127*(1-pow(CASE WHEN quality < 75 THEN quality/100.0*2.0/3.0 ELSE 2.0*quality/100.0-1 END,
+ 1.0/3))))) AS BIGINT) AS q FROM (SELECT unnest(range(0, 101)) AS quality)""",
+    "lf_level": """SELECT q, CAST(least(63, CASE WHEN q <= 26 THEN (q*8+13)//26 WHEN q <= 38 THEN 8+((q-26)*3+6)//12 WHEN q <= 75 THEN 11+((q-38)*18+18)//37 ELSE
+ 29+((q-75)*34+26)//52 END + (q >= 32)::INT + (q >= 64)::INT + (q >= 96)::INT) AS BIGINT) AS level FROM (SELECT unnest(range(0, 128)) AS q)""",
+    "rdo_lambda": """SELECT q, CAST(mul AS INTEGER) AS mul, CAST(div AS INTEGER) AS div, ((q*q//24+4)*mul + div//2)//div AS lambda FROM (SELECT unnest(range(0, 128)) AS
+ q), (SELECT unnest(range(1, 11)) AS mul), (SELECT unnest(range(1, 5)) AS div)""",
+    "prob_cost": """SELECT p, CAST(CASE WHEN p >= 256 THEN 0 ELSE 2048 - (CAST(floor(log2(p)) AS BIGINT)*256 + (p - (1 << CAST(floor(log2(p)) AS BIGINT)))*256//(1 <<
+ CAST(floor(log2(p)) AS BIGINT))) END AS BIGINT) AS cost FROM (SELECT unnest(range(1, 257)) AS p)""",
     "mb_grid": "SELECT size, (size+15)//16 AS blocks, (size+15)//16*16 AS padded, (size+1)//2 AS chroma FROM (SELECT unnest(range(1, 130)) AS size)",
-    "cross_corpus": "SELECT pattern, size, q, concat('gen_', pattern, '_', size, 'x', size, '_q', q) AS name FROM (VALUES ('solid'), ('checker'), ('noise')) a(pattern), (VALUES (16), (17), (31), (32), (33)) b(size), (VALUES (10), (50), (75), (90)) c(q)",
+    "cross_corpus": """SELECT pattern, size, q, concat('gen_', pattern, '_', size, 'x', size, '_q', q) AS name FROM (VALUES ('solid'), ('checker'), ('noise'))
+ a(pattern), (VALUES (16), (17), (31), (32), (33)) b(size), (VALUES (10), (50), (75), (90)) c(q)""",
     "union_fragments": "SELECT 'region' AS part, r_name AS name FROM region UNION ALL SELECT 'nation', n_name FROM nation",
-    "kv_parse": "SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN CAST('inf' AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END AS psnr, CAST('0.' || p_partkey AS DOUBLE) AS ssim FROM part",
-    "label_extract": "SELECT p_partkey, CAST(p_size AS BIGINT) AS width, CAST(p_partkey % 8 AS BIGINT) AS partitions FROM part",
+    "kv_parse": """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN CAST('inf' AS DOUBLE) WHEN p_partkey % 13 <> 0 THEN CAST(p_size AS DOUBLE) END AS psnr,
+ CASE WHEN p_partkey % 17 <> 0 THEN CAST('0.' || p_partkey AS DOUBLE) END AS ssim FROM part""",
+    "label_extract": "SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size AS BIGINT) END AS width, CAST(p_partkey % 8 AS BIGINT) AS partitions FROM part",
     "path_parts": """SELECT page_id, split_part(url, '/', -1) AS base, regexp_replace(split_part(url, '/', -1), '\\.[^.]*$', '') AS stem, '"' || replace(url, '"', '""') || '"' AS quoted FROM pages""",
     "sha256_texts": "SELECT doc_id, sha256(coalesce(text, '')) AS sha FROM documents",
     "riff_wrap": f"WITH {_WRAP} SELECT page_id, CAST(octet_length(data) AS BIGINT) AS size, lower(substr(hex(data), 1, 40)) AS head, sha256(data) AS sha FROM w",
-    "riff_parse": f"WITH {_RAW} SELECT page_id, 12 + n + n % 2 AS riff_size, 'VP8 ' AS fourcc, n AS payload_size, true AS valid FROM raw",
+    "riff_parse": f"""WITH {_RAW}, e AS (SELECT page_id, n, CASE WHEN page_id % 7 = 0 THEN 'size' WHEN page_id % 5 = 0 THEN 'chunk' WHEN page_id % 11 = 0 THEN 'container' END AS error FROM raw)
+ SELECT page_id, 12 + n + n % 2 AS riff_size, CASE error WHEN 'chunk' THEN 'VP8L' ELSE 'VP8 ' END AS fourcc, n AS payload_size, error FROM e""",
 }

@@ -89,12 +89,18 @@ def min_of_runs(spark, sf_dir):
 _ALL = (nearest_match, rd_summary, sweep_rank, topk_outliers, slack_filter, overread_filter, partition_scan, manifest_regressions, missing_keys, extra_keys, manifest_diff, min_of_runs)
 QUERIES = {f.__name__: f for f in _ALL}
 _P = "p AS (SELECT event_id, user_id AS image, event_id % 2 = 0 AS ours, 1000 + event_id * 7919 % 50021 AS bytes, value FROM events)"
-_NEAR = _P + ", near AS (SELECT o.event_id, o.image, o.bytes, l.bytes AS near_bytes, l.event_id AS near_event_id FROM p o LEFT JOIN p l ON o.image = l.image AND NOT l.ours WHERE o.ours QUALIFY row_number() OVER (PARTITION BY o.event_id ORDER BY abs(l.bytes - o.bytes), l.bytes, l.event_id) = 1)"
-_F = "f0 AS (SELECT l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS p0_size, CAST(sum(l_suppkey) AS BIGINT) AS tok_size, max(l_partkey) AS abs_max, count(*) AS partitions, CAST(sum(l_linenumber) AS BIGINT) AS nonzero FROM lineitem GROUP BY 1), f AS (SELECT *, p0_size - l_orderkey % 7 AS p0_used, tok_size - l_orderkey % 11 + 2 AS tok_used FROM f0)"
-_M = "a AS (SELECT o_orderkey AS key, CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT l_orderkey AS key, CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"
+_NEAR = _P + """, near AS (SELECT o.event_id, o.image, o.bytes, l.bytes AS near_bytes, l.event_id AS near_event_id FROM p o LEFT JOIN p l ON o.image = l.image AND NOT
+ l.ours WHERE o.ours QUALIFY row_number() OVER (PARTITION BY o.event_id ORDER BY abs(l.bytes - o.bytes), l.bytes, l.event_id) = 1)"""
+_F = """f0 AS (SELECT l_orderkey, CAST(sum(l_partkey) AS BIGINT) AS p0_size, CAST(sum(l_suppkey) AS BIGINT) AS tok_size, max(l_partkey) AS abs_max, count(*) AS
+ partitions, CAST(sum(l_linenumber) AS BIGINT) AS nonzero FROM lineitem GROUP BY 1), f AS (SELECT *, p0_size - l_orderkey % 7 AS p0_used, tok_size - l_orderkey % 11 + 2
+ AS tok_used FROM f0)"""
+_M = """a AS (SELECT o_orderkey AS key, CAST(floor(o_totalprice) AS BIGINT) AS value FROM orders WHERE o_orderstatus <> 'P'), b AS (SELECT l_orderkey AS key,
+ CAST(floor(sum(CAST(l_extendedprice AS DECIMAL(18,2)))) AS BIGINT) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)"""
 SQL = {
     "nearest_match": f"WITH {_NEAR} SELECT * FROM near",
-    "rd_summary": f"WITH {_NEAR}, per AS (SELECT n.image, avg(least(99.0, o.value) - least(99.0, l.value)) AS d, avg(n.bytes / n.near_bytes) AS r, count(*) AS n FROM near n JOIN p o ON o.event_id = n.event_id JOIN p l ON l.event_id = n.near_event_id GROUP BY 1) SELECT round(avg(d), 6) AS mean_delta, round(avg(r), 6) AS mean_ratio, CAST(sum(n) AS BIGINT) AS pairs FROM per",
+    "rd_summary": f"""WITH {_NEAR}, per AS (SELECT n.image, avg(least(99.0, o.value) - least(99.0, l.value)) AS d, avg(n.bytes / n.near_bytes) AS r, count(*) AS n FROM
+ near n JOIN p o ON o.event_id = n.event_id JOIN p l ON l.event_id = n.near_event_id GROUP BY 1) SELECT round(avg(d), 6) AS mean_delta, round(avg(r), 6) AS mean_ratio,
+ CAST(sum(n) AS BIGINT) AS pairs FROM per""",
     "sweep_rank": f"WITH {_P} SELECT image, round(avg(value), 6) AS ssim, CAST(sum(bytes) AS BIGINT) AS bytes FROM p GROUP BY 1 ORDER BY 2 DESC, 3, 1 LIMIT 15",
     "topk_outliers": f"WITH {_F} SELECT l_orderkey, abs_max, nonzero FROM f ORDER BY abs_max DESC, l_orderkey LIMIT 10",
     "slack_filter": f"WITH {_F} SELECT l_orderkey, p0_size, p0_used, tok_size, tok_used FROM f WHERE p0_size - p0_used <= 2 OR tok_size - tok_used <= 2",
