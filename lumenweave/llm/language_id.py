@@ -7,7 +7,8 @@ the mean of their log frequencies.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; with no training text every text is; equal sums go to the
 language that comes first by name; rows with null ``lang`` are not learned from, and a language whose texts have no letter is not learned. Runs above
-``MAX_LETTERS`` are no words of the model, but their n-grams are learned and looked up as all others'.
+``MAX_LETTERS`` are no words of the model, but their n-grams are learned and looked up as all others'. Repeated rows are learned from and predicted each for itself, whatever
+their ids; an empty table gives no rows; very long texts are held one at a time, and other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ full gradients: every round each task sums its rows' gradients, and the sums, a
 ratio, over score thresholds, of the unlabelled to the positive share above it, for a first model that tells positives from unlabelled.
 
 Defined cases: null is an empty text, whose statistics are zero; null labels and labels without a text count for nothing; a text with several labels
-has the least; without positives all weights stay zero and every score is one half; rows with null ids are unlabelled.
+has the least; without positives all weights stay zero and every score is one half; rows with null ids are unlabelled; repeated rows count and are scored each for itself; an
+empty table gives no rows; equal statistics give equal scores; very long texts are measured whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ On the holdout half, a candidate is certified if an exact binomial test, at a le
 (Bonferroni over strata and quantiles), shows that it rejects at most ``risk`` of the stratum's good texts. Of the certified
 candidates the most useful one is used; a stratum without any rejects by the base rule alone.
 
-Defined cases: null or wordless text has zero counts and fails the base rule; null ``lang`` is a stratum of its own; a document with several
-labels has the least of them; null labels and labels without a document count for nothing; without labels nothing is certified.
+Defined cases: null, empty or wordless text has zero counts and fails the base rule; null ``lang`` is a stratum of its own, apart from that of an empty one; a document with
+several labels has the least of them; null labels and labels without a document count for nothing; without labels nothing is certified, and without documents there are no
+rows; repeated rows are judged each for itself, and where labelled count each; of equally useful candidates the one with the higher quantile is used; very long texts are
+counted whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -62,7 +64,7 @@ def counted(docs: DataFrame) -> DataFrame:
     of_words = let(words, lambda w: F.struct(F.size(w).alias("n"), _repeat_words(w, F.size(w)).alias("r")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
     bare = _without(text, SPACES)
-    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), F.char_length(bare).alias("word_chars"), F.char_length(_without(bare, "#*$%&|<>")).alias("plain"), F.char_length(_without(bare, UPPER)).alias("small"), of_words.alias("w"), of_lines.alias("x"))
+    rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), "lang"), F.lit("")).alias("stratum"), F.char_length(bare).alias("word_chars"), F.char_length(_without(bare, "#*$%&|<>")).alias("plain"), F.char_length(_without(bare, UPPER)).alias("small"), of_words.alias("w"), of_lines.alias("x"))
     return rows.select("doc_id", "stratum", *(c.cast("long").alias(name) for name, c in {"n_words": F.col("w.n"), "word_chars": F.col("word_chars"), "n_symbols": F.col("word_chars") - F.col("plain"), "n_dup_lines": F.col("x.d"), "n_repeat_words": F.col("w.r"), "n_lines": F.col("x.n"), "n_capitals": F.col("word_chars") - F.col("small")}.items()))
 
 
@@ -117,5 +119,7 @@ def judged(docs: DataFrame, labels: DataFrame, risk: float = 0.02, error: float
         counts = counts.withColumn(rule, F.expr(share).cast("double"))
     counts = written(counts, "counts")
     rules = certified(counts, labels, risk, error)
+    if rules.limit(10_001).count() <= 10_000:  # a row a stratum: languages are few, but nothing bounds them
+        rules = F.broadcast(rules)
     rejected = reduce(lambda a, b: a | b, (F.coalesce(F.col(r) > F.col(f"cut_{r}"), F.lit(False)) for r in RULES))
     return counts.join(rules, "stratum", "left").select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~rejected).alias("kept"), "stratum", F.col("level").alias("certified_level"))

@@ -6,7 +6,8 @@ along its cycles until it lands inside, permutes them: ``position = permute(numb
 lies in a slot, without a table. Shard sizes differ by one row at most.
 
 Defined cases: null text counts as no bytes; null ids come first; rows with equal ids are ordered by their text's checksum and size,
-so only identical rows are interchangeable; an empty table gives an empty table.
+so only identical rows are interchangeable; an empty table gives an empty table; texts of any length count by their bytes alone; other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
