@@ -14,12 +14,13 @@ def nearest(ours: DataFrame, theirs: DataFrame, group: str, value: str, tie: str
     into chunks of the whole range of values, so that a large group is no single task's; what a chunk lacks comes from the chunks before and after it."""
     names = [value, tie, *carry]
     once = theirs.groupBy(group, value).agg(F.min(F.struct(tie, *carry)).alias("t")).select(group, value, F.struct(value, *(F.col(f"t.{c}").alias(c) for c in (tie, *carry))).alias("mark"))
-    ends = ours.select(value).union(theirs.select(value)).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+    every = ours.select(value).union(theirs.select(value))
+    low, high = every.select(F.min(value)).scalar(), every.select(F.max(value)).scalar()
     both = ours.select(group, value, F.struct(*ours.columns).alias("own"), F.lit(None).cast(once.schema["mark"].dataType).alias("mark")).unionByName(
         once.select(group, value, F.lit(None).cast(ours.select(F.struct(*ours.columns).alias("o")).schema["o"].dataType).alias("own"), "mark")
     )
-    chunk = F.least(F.lit(chunks - 1), F.floor((F.col(value) - F.col("low")) * chunks / F.greatest(F.col("high") - F.col("low"), F.lit(1)))).cast("int")
-    both = both.join(F.broadcast(ends)).withColumn("chunk", F.coalesce(chunk, F.lit(0))).drop("low", "high")  # ``ends`` is one row
+    chunk = F.least(F.lit(chunks - 1), F.floor((F.col(value) - low) * chunks / F.greatest(high - low, F.lit(1)))).cast("int")
+    both = both.withColumn("chunk", F.coalesce(chunk, F.lit(0)))
 
     def running(order: Column, of: str, *by: str) -> Column:
         return F.last(of, True).over(Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -47,5 +48,5 @@ def differences(expected: DataFrame, current: DataFrame, key: str, value: str, t
 
 def first_failures(failures: DataFrame, order: list[str], most: int = 50) -> DataFrame:
     """The first ``most`` rows, each with the number of rows beyond them."""
-    more = failures.agg(F.greatest(F.lit(0).cast("long"), F.count("*") - most).alias("more"))
-    return failures.orderBy(*order).limit(most).join(F.broadcast(more))  # one row
+    more = failures.select(F.greatest(F.lit(0).cast("long"), F.count("*") - most)).scalar()
+    return failures.orderBy(*order).limit(most).withColumn("more", more)
