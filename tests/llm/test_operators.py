@@ -328,15 +328,6 @@ def test_pu_classifier(spark, docs, empty):
     assert pu_classifier.scored(nothing, pu_classifier.fit(nothing, 1, 1)[0]).count() == 0
 
 
-def test_pipeline_stages(spark, sf_dir):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        out = stage(spark, docs, sf_dir)
-        assert out.columns == docs.columns and 0 < out.count() <= docs.count(), name
-
-
 def test_groups_and_slices_are_bounded():
     import pyarrow as pa
 
