@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 
 from lumenweave.llm.common import written
 
-ROUNDS = 6
+ROUNDS, KEY = 6, 20260101
 
 
-def _round_keys(key: int) -> list[int]:
+def round_keys(key: int) -> list[int]:
     return [xxhash.xxh64_intdigest(str(i), seed=key) for i in range(ROUNDS)]
 
 
@@ -37,7 +37,7 @@ def _mixed(half: np.ndarray, key: int) -> np.ndarray:
 def _walk(numbers: np.ndarray, rows: int, key: int, backwards: bool) -> np.ndarray:
     half = max(1, ((rows - 1).bit_length() + 1) // 2)
     mask, bits = np.uint64((1 << half) - 1), np.uint64(half)
-    keys = _round_keys(key)
+    keys = round_keys(key)
     out = np.asarray(numbers, dtype=np.uint64).copy()
     todo = np.arange(len(out))
     while len(todo):
@@ -71,7 +71,7 @@ def numbered(df: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     return df.withColumn("_part", part).join(before.drop("_n"), "_part").withColumn("row_number", F.col("_before") + inside).drop("_part", "_before", "_at"), rows
 
 
-def sharded(docs: DataFrame, shards: int = 40, key: int = 20260101) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 40, key: int = KEY) -> DataFrame:
     """Per row: doc_id, size (UTF-8 bytes and 16), text_crc32, law ``rows``, shard, slot, grown_shard (null), row_number."""
     if shards < 1:
         raise ValueError("at least one shard")

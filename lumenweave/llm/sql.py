@@ -3,13 +3,64 @@
 from __future__ import annotations
 
 from lumenweave.llm.common import LOWER, UPPER
+from lumenweave.llm.quality_rules import QUANTILES, RULES
+from lumenweave.llm.sharding import KEY, round_keys
 
 _BITS = "(strpos('0123456789abcdef', substr(h, 5 * (i // 4) + {0}, 1)) - 1)"
 _FIVE = f"(({_BITS.format(1)} << 16) + ({_BITS.format(2)} << 12) + ({_BITS.format(3)} << 8) + ({_BITS.format(4)} << 4) + {_BITS.format(5)})"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _NONE = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
+#: CRC-32 of ASCII text, as a table of 256 rows and a fold over characters.
+_CRC_TABLE = "crc_table AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295)"
+_CUTS = ", ".join(f"list_sort(list({r}))[CAST(greatest(1, ceil(p * count(*))) AS BIGINT)] AS cut_{r}" for r in RULES)
+_FIRED = " OR ".join(f"coalesce({r} > cut_{r}, false)" for r in RULES)
+_SHARE = "count(*) FILTER ({1} AND {0} > cut_{0}) / greatest(1, count(*) FILTER ({1}))"
+_KEPT = ", ".join(f"CASE WHEN {_SHARE.format(r, 'NOT good')} - 5 * {_SHARE.format(r, 'good')} > 0 THEN cut_{r} END AS cut_{r}" for r in RULES)
+_CUT_NAMES = ", ".join(f"cut_{r}" for r in RULES)
+
+#: A Feistel network on a state of two halves of 40 bits at most, packed into one number; ``list_reduce`` walks over the round keys.
+_WIDE, _TWO40, _TWO64 = "CAST({0} AS UHUGEINT)", 1 << 40, 1 << 64
+_MIX = "xor(s % {0}, k)".format(_WIDE.format(_TWO40))
+for _factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+    _MIX = f"((xor({_MIX}, {_MIX} // {_WIDE.format(1 << 33)}) * {_WIDE.format(_factor)}) % {_WIDE.format(_TWO64)})"
+_KEYS = "[" + ", ".join(_WIDE.format(k) for k in round_keys(KEY)) + "]"
+_FEISTEL = f"list_reduce([({{0}} // wide) * {_WIDE.format(_TWO40)} + {{0}} % wide] || {_KEYS}, lambda s, k: (s % {_WIDE.format(_TWO40)}) * {_WIDE.format(_TWO40)} + xor(s // {_WIDE.format(_TWO40)}, {_MIX} % wide))"
+_NEXT = f"(({_FEISTEL}) // {_WIDE.format(_TWO40)}) * wide + ({_FEISTEL}) % {_WIDE.format(_TWO40)}"
+_BYTE = "(strpos('0123456789ABCDEF', c[1]) - 1) * 16 + strpos('0123456789ABCDEF', c[2]) - 1"
+
 SQL = {
+    "op4_sharding": f"""WITH RECURSIVE {_CRC_TABLE},
+ d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+  xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda c: {_BYTE}), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM documents, crc_table),
+ n AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number FROM d),
+ m AS (SELECT count(*) AS rows, CAST(greatest(1, (CASE WHEN count(*) > 1 THEN length(bin(count(*) - 1)) ELSE 0 END + 1) // 2) AS INTEGER) AS half FROM documents),
+ o AS (SELECT *, CAST(1 << half AS UHUGEINT) AS wide FROM m),
+ walk AS (SELECT row_number AS number, {_NEXT.format('CAST(row_number AS UHUGEINT)')} AS p FROM n, o UNION ALL SELECT number, {_NEXT.format('p')} FROM walk, o WHERE p >= rows)
+ SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p % 40 AS INTEGER) AS shard, CAST(p // 40 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard, row_number FROM n JOIN walk ON number = row_number, o WHERE p < rows""",
+    # the tail of the binomial is summed term by term from logarithms of factorials
+    "op2_quality_rules": f"""WITH {_CRC_TABLE},
+ w AS (SELECT doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+ l AS (SELECT *, array_to_string(w, '') AS bare, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM w),
+ win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 1))) AS i FROM w)),
+ twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+ rep AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM twice) GROUP BY 1),
+ c AS (SELECT l.doc_id, stratum, len(w) AS n_words, length(bare) AS word_chars, length(bare) - length(regexp_replace(bare, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(bare) - length(regexp_replace(bare, '[A-Z]', '', 'g')) AS n_capitals FROM l LEFT JOIN rep ON rep.doc_id = l.doc_id),
+ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {', '.join(f'CAST({e} AS DOUBLE) AS {r}' for r, e in RULES.items())} FROM c),
+ q AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+ marked AS (SELECT b.*, good, {_CRC.format('CAST(b.doc_id AS VARCHAR)')} % 2 = 1 AS holdout FROM b JOIN q ON q.doc_id = b.doc_id, crc_table WHERE NOT base_failed),
+ levels AS (SELECT * FROM (VALUES {', '.join(f'({i}, {p})' for i, p in enumerate(QUANTILES))}) v(level, p)),
+ cuts AS (SELECT stratum, level, {_CUTS} FROM marked, levels WHERE good AND NOT holdout GROUP BY stratum, level, p),
+ cand AS (SELECT stratum, level, {_KEPT} FROM marked JOIN cuts USING (stratum) WHERE NOT holdout GROUP BY stratum, level, {_CUT_NAMES}),
+ tested AS (SELECT stratum, level, {_CUT_NAMES}, count(*) FILTER (good) AS n, count(*) FILTER (good AND ({_FIRED})) AS k,
+  count(*) FILTER (NOT good AND ({_FIRED})) / greatest(1, count(*) FILTER (NOT good)) - 5 * count(*) FILTER (good AND ({_FIRED})) / greatest(1, count(*) FILTER (good)) AS useful
+  FROM marked JOIN cand USING (stratum) WHERE holdout GROUP BY stratum, level, {_CUT_NAMES}),
+ tails AS (SELECT *, list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.02) + (n - j) * ln(0.98)))) AS tail FROM tested WHERE n > 0),
+ best AS (SELECT * FROM tails WHERE tail <= 0.05 / (SELECT count(*) FROM tested) AND useful > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY useful DESC, level DESC) = 1)
+ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  base_failed, NOT base_failed AND NOT ({_FIRED}) AS kept, b.stratum, CAST(level AS INTEGER) AS certified_level FROM b LEFT JOIN best ON best.stratum = b.stratum""",
     # five hexadecimal digits are four letters of base 32
     "op1_warc": f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS h FROM pages),
  d AS (SELECT page_id, bytes, h, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_FIVE} >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
