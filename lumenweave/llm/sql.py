@@ -74,15 +74,15 @@ SQL = {
  items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS sha FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY 1)
  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(sha, '{_NONE}') AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
  FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN items ON items.doc_id = d.doc_id""",
-    # windows as hexadecimal text: place k is that of byte k, from 0
-    "op7_suffix_dedup": """WITH t AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
- w AS (SELECT doc_id, k, md5(substr(h, 2 * k + 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(0, greatest(0, n - 99))) AS k FROM t)),
+    # place k is that of byte k, from 0
+    "op7_suffix_dedup": """WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+ w AS (SELECT doc_id, k, md5(array_slice(b, k + 1, k + 100)) AS g FROM (SELECT doc_id, b, unnest(range(0, greatest(0, n - 99))) AS k FROM t)),
  r AS (SELECT doc_id, k FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, k) > 1),
  g AS (SELECT doc_id, k, coalesce(k - lag(k) OVER (PARTITION BY doc_id ORDER BY k) > 100, true) AS new FROM r),
  s AS (SELECT doc_id, k, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY k) AS span FROM g),
  c AS (SELECT doc_id, min(k) AS a, max(k) + 100 AS b FROM s GROUP BY doc_id, span),
  kept AS (SELECT doc_id, b AS a, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS b FROM (SELECT doc_id, a, b FROM c UNION ALL SELECT doc_id, -1, 0 FROM t)),
- text AS (SELECT t.doc_id, sha256(unhex(string_agg(substr(h, 2 * kept.a + 1, 2 * (coalesce(kept.b, n) - kept.a)), '' ORDER BY kept.a))) AS sha FROM kept JOIN t ON t.doc_id = kept.doc_id GROUP BY 1),
+ text AS (SELECT t.doc_id, sha256(unhex(string_agg(CASE WHEN kept.a < coalesce(kept.b, n) THEN hex(array_slice(t.b, kept.a + 1, coalesce(kept.b, n))) ELSE '' END, '' ORDER BY kept.a))) AS sha FROM kept JOIN t ON t.doc_id = kept.doc_id GROUP BY 1),
  cut AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM c GROUP BY 1)
  SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha AS kept_sha256 FROM t JOIN text ON text.doc_id = t.doc_id LEFT JOIN cut ON cut.doc_id = t.doc_id""",
 }
