@@ -122,7 +122,10 @@ def transform_dump(planes: DataFrame) -> DataFrame:
     coefficients of a macroblock's luma blocks go through the Walsh-Hadamard transform into a block of plane y2, and are zero in their own."""
     side = F.when(F.col("plane") == "y", 16).otherwise(8)
     at = F.struct((F.col("y") % 4 * 4 + F.col("x") % 4).alias("at"), "v")
-    blocks = planes.groupBy("name", "plane", F.floor(F.col("y") / side).alias("my"), F.floor(F.col("x") / side).alias("mx"), (F.floor(F.col("y") % side / 4) * side / 4 + F.floor(F.col("x") % side / 4)).cast("int").alias("k"))
+    blocks = planes.groupBy(
+        "name", "plane", F.floor(F.col("y") / side).alias("my"), F.floor(F.col("x") / side).alias("mx"),
+        (F.floor(F.col("y") % side / 4) * side / 4 + F.floor(F.col("x") % side / 4)).cast("int").alias("k"),
+    )
     blocks = blocks.agg(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["v"]).alias("s"))
     blocks = blocks.join(flat_predictions(planes), ["name", "plane", "my", "mx"], "left").withColumn("ref", F.coalesce("ref", F.lit(128)))
     residual = blocks.select("name", "plane", "my", "mx", "k", F.transform("s", lambda v: v - F.col("ref")).alias("s"))
@@ -151,7 +154,10 @@ def pictures(embeddings: DataFrame) -> DataFrame:
     n, p = F.col("vec_id"), F.col("p")
     tiles = embeddings.where(F.size("embedding") == 64).select(F.floor(n / 6).alias("picture"), (F.floor(n / 3) % 2).alias("ty"), (n % 3).alias("tx"), B.pixels(F.col("embedding")).alias("p"))
     right, below = F.col("tx") == 2, F.col("ty") == 1
-    return tiles.select("picture", "ty", "tx", F.when(right, 5).otherwise(8).alias("w"), F.when(below, 5).otherwise(8).alias("h"), p.alias("r"), F.reverse(p).alias("g"), F.transform(p, lambda v: F.lit(255) - v).alias("b"))
+    return tiles.select(
+        "picture", "ty", "tx", F.when(right, 5).otherwise(8).alias("w"), F.when(below, 5).otherwise(8).alias("h"), p.alias("r"), F.reverse(p).alias("g"),
+        F.transform(p, lambda v: F.lit(255) - v).alias("b"),
+    )
 
 
 def inside(values: Column) -> Column:

@@ -85,7 +85,10 @@ def token_class(spark, sf_dir):
 
 def nonzero_stats(spark, sf_dir):
     rows = _coded(spark, sf_dir).select("vec_id", "k", F.transform("c", lambda v, i: B.quantized(v, F.when(i == 0, DC).otherwise(AC).cast("long"))).alias("q"))
-    return rows.groupBy("k").agg(F.count("*").alias("blocks"), F.count_if(F.exists("q", lambda v: v != 0)).alias("blocks_nonzero"), F.sum(F.size(F.filter("q", lambda v: v != 0))).cast("long").alias("nonzero"), F.max(F.array_max(F.transform("q", F.abs))).alias("abs_max"))
+    return rows.groupBy("k").agg(
+        F.count("*").alias("blocks"), F.count_if(F.exists("q", lambda v: v != 0)).alias("blocks_nonzero"),
+        F.sum(F.size(F.filter("q", lambda v: v != 0))).cast("long").alias("nonzero"), F.max(F.array_max(F.transform("q", F.abs))).alias("abs_max"),
+    )
 
 
 def mode_argmin(spark, sf_dir):
@@ -118,7 +121,10 @@ def phase_mean(spark, sf_dir):
 def rgb_to_yuv(spark, sf_dir):
     rows = _frame(spark, sf_dir).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("i"), "p")
     r, g, b = (F.col("p")[F.col("i") * 3 + j] for j in range(3))
-    return rows.select("vec_id", "i", *(c.alias(n) for c, n in zip(B.rgb_to_yuv(r, g, b), "yuv", strict=True)), B.luma(r, g, b).alias("luma"), F.shiftright(77 * r + 150 * g + 29 * b, 8).alias("luma_floor"))
+    return rows.select(
+        "vec_id", "i", *(c.alias(n) for c, n in zip(B.rgb_to_yuv(r, g, b), "yuv", strict=True)), B.luma(r, g, b).alias("luma"),
+        F.shiftright(77 * r + 150 * g + 29 * b, 8).alias("luma_floor"),
+    )
 
 
 def yuv_to_rgb(spark, sf_dir):
@@ -143,7 +149,10 @@ def pixel_compare(spark, sf_dir):
     return away.select("vec_id", F.array_max("d").alias("max_abs"), O.total(F.col("d")).alias("sad"), F.size("d").cast("long").alias("n"))
 
 
-_ALL = (block_quality, block_sad, block_satd, fdct4x4, idct4x4, fwht, iwht, quantize, dequantize, deadzone, token_class, nonzero_stats, mode_argmin, satd_topk, mode_histogram, segment_sad_rollup, column_mean, phase_mean, rgb_to_yuv, yuv_to_rgb, fnv1a64, adler32, pixel_compare)
+_ALL = (
+    block_quality, block_sad, block_satd, fdct4x4, idct4x4, fwht, iwht, quantize, dequantize, deadzone, token_class, nonzero_stats, mode_argmin, satd_topk,
+    mode_histogram, segment_sad_rollup, column_mean, phase_mean, rgb_to_yuv, yuv_to_rgb, fnv1a64, adler32, pixel_compare,
+)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _PX = "px AS (SELECT vec_id, label, list_transform(embedding, lambda v: CAST(least(255, greatest(0, floor((CAST(v AS DOUBLE) + 0.5) * 255))) AS BIGINT)) AS p FROM embeddings)"
@@ -176,7 +185,10 @@ DCT_COLUMNS = [
     "((({0}-{3})*2217-({1}-{2})*5352+51000)>>16)",
 ]
 _DCT = _RES + ", " + _pass("r", "t", "s", "t", True, DCT_ROWS) + ", " + _pass("t", "dct", "t", "c", False, DCT_COLUMNS)
-_LINE = ["{0}+{2}+(({1}+(({1}*20091)>>16))+(({3}*35468)>>16))", "{0}-{2}+((({1}*35468)>>16)-({3}+(({3}*20091)>>16)))", "{0}-{2}-((({1}*35468)>>16)-({3}+(({3}*20091)>>16)))", "{0}+{2}-(({1}+(({1}*20091)>>16))+(({3}*35468)>>16))"]
+_LINE = [
+    "{0}+{2}+(({1}+(({1}*20091)>>16))+(({3}*35468)>>16))", "{0}-{2}+((({1}*35468)>>16)-({3}+(({3}*20091)>>16)))",
+    "{0}-{2}-((({1}*35468)>>16)-({3}+(({3}*20091)>>16)))", "{0}+{2}-(({1}+(({1}*20091)>>16))+(({3}*35468)>>16))",
+]
 WHT = ["{0}+{2}+{1}+{3}", "{0}-{2}+{1}-{3}", "{0}-{2}-{1}+{3}", "{0}+{2}-{1}-{3}"]
 _IWHT = ["{0}+{3}+{1}+{2}", "{1}-{2}+{0}-{3}", "{0}+{3}-{1}-{2}", "{0}-{3}-{1}+{2}"]
 _HAD = ["{0}+{3}+{1}+{2}", "{0}-{3}+{1}-{2}", "{0}+{3}-{1}-{2}", "{0}-{3}-{1}+{2}"]

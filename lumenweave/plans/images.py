@@ -104,7 +104,10 @@ def rate_proxies(spark, sf_dir):
 def chroma_modes(spark, sf_dir):
     """Absolute coefficients of U and V as one cost of each macroblock, against luma's."""
     rows = _dump(spark).select("name", "my", "mx", F.when(F.col("plane").isin("u", "v"), "uv").otherwise("y").alias("kind"), O.total(F.transform("c", F.abs)).alias("cost"))
-    return rows.groupBy("name", "my", "mx").agg(F.sum(F.when(F.col("kind") == "uv", F.col("cost")).otherwise(0)).alias("uv"), F.sum(F.when(F.col("kind") == "y", F.col("cost")).otherwise(0)).alias("y"))
+    return rows.groupBy("name", "my", "mx").agg(
+        F.sum(F.when(F.col("kind") == "uv", F.col("cost")).otherwise(0)).alias("uv"),
+        F.sum(F.when(F.col("kind") == "y", F.col("cost")).otherwise(0)).alias("y"),
+    )
 
 
 def _pictures(spark, sf_dir):

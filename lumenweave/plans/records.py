@@ -158,7 +158,10 @@ def manifest_lines(spark, sf_dir):
     pattern = r"^(\S+)\s+q=(\S+)\s+([0-9a-f]{64})$"
     part = lambda i: F.regexp_extract("line", pattern, i)
     error = F.when(part(1) == "", "form").when(part(2).try_cast("int").isNull(), "quality")
-    return rows.select("p_partkey", F.when(error.isNull(), part(1)).alias("path"), F.when(error.isNull(), part(2).try_cast("int")).alias("q"), F.when(error.isNull(), part(3)).alias("sha"), error.alias("error"))
+    return rows.select(
+        "p_partkey", F.when(error.isNull(), part(1)).alias("path"), F.when(error.isNull(), part(2).try_cast("int")).alias("q"),
+        F.when(error.isNull(), part(3)).alias("sha"), error.alias("error"),
+    )
 
 
 def report_lines(spark, sf_dir):
@@ -188,7 +191,10 @@ def header_compare(spark, sf_dir):
     """Header fields of two tools' reports, file by file; fields that both lack are equal."""
     ours = _read(spark, sf_dir, "part").select("p_partkey", H.keyframe_header(_headers()).alias("h")).select("p_partkey", "h.width", "h.height", "h.error")
     n = F.col("p_partkey").cast("long")
-    theirs = _read(spark, sf_dir, "part").where("p_size > 3").select("p_partkey", (n % 9 * 100).alias("w"), F.when(n % 17 != 0, n % 13 * 50).alias("t"), F.when(n % 5 == 0, "not a key frame").when(n % 11 == 0, "start code").alias("e"))
+    theirs = _read(spark, sf_dir, "part").where("p_size > 3").select(
+        "p_partkey", (n % 9 * 100).alias("w"), F.when(n % 17 != 0, n % 13 * 50).alias("t"),
+        F.when(n % 5 == 0, "not a key frame").when(n % 11 == 0, "start code").alias("e"),
+    )
     joined = ours.join(theirs, "p_partkey", "left")
     same = {k: F.col(a).eqNullSafe(F.col(b)) for k, a, b in (("width", "width", "w"), ("height", "height", "t"), ("error", "error", "e"))}
     return joined.select(*(v.alias(k) for k, v in same.items())).groupBy("width", "height", "error").agg(F.count("*").alias("files"))
@@ -258,7 +264,10 @@ def filter_levels(spark, sf_dir):
     level = H.filter_level(n % 64, segment, n % 2 == 1, reference, mode)
     rows = _read(spark, sf_dir, "part").select("p_partkey", level.alias("level"), (n % 8).alias("sharpness"), ((n % 5 == 4) | (n % 6 < 3)).alias("inner")).where("level > 0")
     interior, variance = H.filter_limits(F.col("level"), F.col("sharpness"))
-    return rows.select("p_partkey", "level", interior.alias("interior"), variance.alias("variance"), ((F.col("level") + 2) * 2 + interior).alias("outer_limit"), F.when(F.col("inner"), F.col("level") * 2 + interior).alias("inner_limit"))
+    return rows.select(
+        "p_partkey", "level", interior.alias("interior"), variance.alias("variance"), ((F.col("level") + 2) * 2 + interior).alias("outer_limit"),
+        F.when(F.col("inner"), F.col("level") * 2 + interior).alias("inner_limit"),
+    )
 
 
 def edge_kinds(spark, sf_dir):

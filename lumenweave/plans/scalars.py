@@ -15,7 +15,10 @@ def _listed(values):
 def quant_factors(spark, sf_dir):
     q = F.col("q").cast("int")
     dc, ac = _listed(DC_STEPS)[q].cast("long"), _listed(AC_STEPS)[q].cast("long")
-    return spark.range(128).select(F.col("id").alias("q")).select("q", dc.alias("y1_dc"), ac.alias("y1_ac"), (dc * 2).alias("y2_dc"), F.greatest(F.lit(8), F.floor(ac * 155 / 100)).alias("y2_ac"), F.least(F.lit(132), dc).alias("uv_dc"), ac.alias("uv_ac"))
+    return spark.range(128).select(F.col("id").alias("q")).select(
+        "q", dc.alias("y1_dc"), ac.alias("y1_ac"), (dc * 2).alias("y2_dc"), F.greatest(F.lit(8), F.floor(ac * 155 / 100)).alias("y2_ac"),
+        F.least(F.lit(132), dc).alias("uv_dc"), ac.alias("uv_ac"),
+    )
 
 
 def qindex_lookup(spark, sf_dir):
@@ -77,7 +80,10 @@ def label_extract(spark, sf_dir):
 def path_parts(spark, sf_dir):
     url = F.col("url")
     base = F.substring_index(url, "/", -1)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", base.alias("base"), F.regexp_replace(base, r"\.[^.]*$", "").alias("stem"), F.concat(F.lit('"'), F.replace(url, F.lit('"'), F.lit('""')), F.lit('"')).alias("quoted"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "page_id", base.alias("base"), F.regexp_replace(base, r"\.[^.]*$", "").alias("stem"),
+        F.concat(F.lit('"'), F.replace(url, F.lit('"'), F.lit('""')), F.lit('"')).alias("quoted"),
+    )
 
 
 def sha256_texts(spark, sf_dir):
@@ -86,7 +92,9 @@ def sha256_texts(spark, sf_dir):
 
 def riff_wrap(spark, sf_dir):
     data = B.riff_wrapped(F.coalesce("html", F.lit("")).cast("binary"))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.octet_length(data).cast("long").alias("size"), F.lower(F.hex(F.substring(data, 1, 20))).alias("head"), F.sha2(data, 256).alias("sha"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(
+        "page_id", F.octet_length(data).cast("long").alias("size"), F.lower(F.hex(F.substring(data, 1, 20))).alias("head"), F.sha2(data, 256).alias("sha"),
+    )
 
 
 def riff_parse(spark, sf_dir):

@@ -9,7 +9,10 @@ from lumenweave.operators import rate_distortion as R
 
 def _points(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.select("event_id", F.col("user_id").alias("image"), F.when(F.col("event_id") % 2 == 0, "ours").otherwise("lib").alias("encoder"), (F.lit(1000) + F.col("event_id") * 7919 % 50021).alias("bytes"), "value")
+    return e.select(
+        "event_id", F.col("user_id").alias("image"), F.when(F.col("event_id") % 2 == 0, "ours").otherwise("lib").alias("encoder"),
+        (F.lit(1000) + F.col("event_id") * 7919 % 50021).alias("bytes"), "value",
+    )
 
 
 def nearest_match(spark, sf_dir):
@@ -35,7 +38,10 @@ def sweep_rank(spark, sf_dir):
 
 def _files(spark, sf_dir):
     """Per order, as per file: sizes of two parts, what was used of them, and magnitudes."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sum("l_partkey").alias("p0_size"), F.sum("l_suppkey").alias("tok_size"), F.max("l_partkey").alias("abs_max"), F.count("*").alias("partitions"), F.sum("l_linenumber").alias("nonzero"))
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(
+        F.sum("l_partkey").alias("p0_size"), F.sum("l_suppkey").alias("tok_size"), F.max("l_partkey").alias("abs_max"), F.count("*").alias("partitions"),
+        F.sum("l_linenumber").alias("nonzero"),
+    )
     return rows.withColumn("p0_used", F.col("p0_size") - F.col("l_orderkey") % 7).withColumn("tok_used", F.col("tok_size") - F.col("l_orderkey") % 11 + 2)
 
 
