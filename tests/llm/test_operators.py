@@ -56,9 +56,10 @@ def test_suffix_dedup(spark, docs, empty, monkeypatch):
     source = [(r.doc_id, r.text) for r in docs.collect()]
     passage, other = SHARED + SHARED[:60], " ".join(f"other{i * i}" for i in range(60))
     same_ids = [(5, passage), (7, passage), (7, other), (7, other), (None, other + "!"), *((None, f"{SHARED[i % 50 :]} tail {i} {other[i % 7 : 150 + i % 90]}") for i in range(400))]
-    for rows, table in ((source, docs), (same_ids, spark.createDataFrame(same_ids, "doc_id long, text string").repartition(5))):
+    several = spark.createDataFrame(same_ids, "doc_id long, text string").repartition(5)
+    for rows, table, settings in ((source, docs, [(20_000, 3000)]), (same_ids, several, [(20_000, 3), (0, 3000)])):
         want = sorted(brute.repeats(rows), key=key)
-        for group_rows, block in ((20_000, 3000), (20_000, 3), (0, 3000)):
+        for group_rows, block in settings:
             monkeypatch.setattr(suffix_dedup, "INDEX_ROWS", block)
             assert sorted(map(tuple, suffix_dedup.deduplicated(table, 100, group_rows).collect()), key=key) == want
     assert suffix_dedup.deduplicated(empty).count() == 0
