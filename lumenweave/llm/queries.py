@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweave.llm import bpe, class_lm, decontaminate, language_id, pu_classifier, quality_rules, sharding, simhash, suffix_dedup, warc
+from lumenweave.llm import bpe, class_lm, decontaminate, language_id, lexical_search, license_scan, pu_classifier, quality_rules, sharding, simhash, suffix_dedup, vector_codes, warc
 from lumenweave.llm.common import id_crc, table
 from lumenweave.llm.sql import SQL
 
@@ -64,6 +64,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(docs, model).select("doc_id", held_out, "lang_pred", "score")
 
 
+def op11_block_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(lexical_search.built(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +83,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_quality_rules, op3_decontaminate, op4_sharding, op5_class_lm, op6_pu_classifier, op7_suffix_dedup, op8_simhash, op9_byte_bpe, op10_language_id, pipeline)}
+    every = (
+        op1_warc, op2_quality_rules, op3_decontaminate, op4_sharding, op5_class_lm, op6_pu_classifier,
+        op7_suffix_dedup, op8_simhash, op9_byte_bpe, op10_language_id,
+        op11_block_max, op12_vector_codes, op13_license_scan, pipeline,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
