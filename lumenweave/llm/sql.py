@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumenweave.llm.common import LOWER, UPPER
+from lumenweave.llm.license_scan import BASE, SHARE, TEMPLATES, numbered
 from lumenweave.llm.quality_rules import QUANTILES, RULES
 from lumenweave.llm.sharding import KEY, round_keys
 
@@ -30,7 +31,49 @@ _FEISTEL = f"list_reduce([({{0}} // wide) * {_WIDE.format(_TWO40)} + {{0}} % wid
 _NEXT = f"(({_FEISTEL}) // {_WIDE.format(_TWO40)}) * wide + ({_FEISTEL}) % {_WIDE.format(_TWO40)}"
 _BYTE = "(strpos('0123456789ABCDEF', c[1]) - 1) * 16 + strpos('0123456789ABCDEF', c[2]) - 1"
 
+#: What splits into terms (op11), and the licence templates (op13) as rows.
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+_LICENCES = ", ".join(f"({i}, '{label}', {base}, {k}, {drift}, {len(words)}, {words})" for i, label, base, k, drift, words in numbered(BASE, TEMPLATES))
+
+
+def _codebook_round(i: int) -> str:
+    """Assignments a{i} to the entries of c{i}, and from them the entries of c{i + 1}."""
+    return f"""a{i} AS (SELECT r, p, arg_min(e, away * 64 + e) AS e, min(away) AS away FROM (SELECT r, px.p, e, list_sum(list_transform(list_zip(s, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS away
+  FROM px JOIN c{i} ON c{i}.p = px.p) GROUP BY r, p),
+ m{i} AS (SELECT p, e, list(CAST(floor(t / n) AS BIGINT) ORDER BY k) AS c FROM (SELECT px.p, e, k, sum(s[k]) AS t, count(*) AS n FROM a{i} JOIN px ON px.r = a{i}.r AND px.p = a{i}.p, wid, unnest(range(1, d + 1)) u(k) GROUP BY ALL) GROUP BY p, e),
+ c{i + 1} AS (SELECT c{i}.p, c{i}.e, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON m{i}.p = c{i}.p AND m{i}.e = c{i}.e)"""
+
+
 SQL = {
+    "op11_block_max": f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents), p AS (SELECT r, doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+ g AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM p),
+ i AS (SELECT q, item_id, unnest(list_distinct(w)) AS t FROM (SELECT row_number() OVER () AS q, item_id, {_TERMS} AS w FROM benchmark)),
+ tf AS (SELECT r, doc_id, n, t, count(*) AS tf FROM (SELECT r, doc_id, n, unnest(w) AS t FROM p) WHERE t IN (SELECT t FROM i) GROUP BY ALL),
+ df AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, g GROUP BY t),
+ s AS (SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + 90 * n * docs // terms)))) AS BIGINT) AS score FROM i JOIN tf ON tf.t = i.t JOIN df ON df.t = i.t, g GROUP BY ALL)
+ SELECT item_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10""",
+    "op12_vector_codes": f"""WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(greatest(-67108864, least(67108864, floor(CAST(x AS DOUBLE) * 256))) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ x AS (SELECT row_number() OVER (ORDER BY vec_id, v) AS r, * FROM k), wid AS (SELECT len(v) // 16 AS d FROM x WHERE r = 1),
+ px AS (SELECT r, p, v[p * d + 1:(p + 1) * d] AS s FROM x, wid, unnest(range(0, 16)) u(p)), c0 AS (SELECT p, r - 1 AS e, s AS c FROM px WHERE r <= 64),
+ {_codebook_round(0)}, {_codebook_round(1)}, {_codebook_round(2)},
+ book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS sha FROM c2),
+ one AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(e AS INTEGER)), '' ORDER BY p) AS code, CAST(sum(away) AS BIGINT) AS error FROM a2 JOIN x ON x.r = a2.r GROUP BY x.r, vec_id, label)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM one, book""",
+    "op13_license_scan": f"""WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents), licences AS (SELECT * FROM (VALUES {_LICENCES}) v(template, label, base, k, drift, size, words)),
+ tg AS (SELECT template, k, i, array_to_string(words[i + 1:i + k], ' ') AS g FROM (SELECT template, k, words, unnest(range(0, size - k + 1)) AS i FROM licences)),
+ dg AS (SELECT r, k, place, array_to_string(w[place + 1:place + k], ' ') AS g FROM (SELECT r, k, w, unnest(range(0, greatest(0, len(w) - k + 1))) AS place FROM texts, (SELECT DISTINCT k FROM licences))),
+ hits AS (SELECT r, template, k, place - i AS diagonal, place FROM dg JOIN tg USING (k, g)),
+ beside AS (SELECT *, least(k, coalesce(lead(place) OVER (PARTITION BY r, template, diagonal ORDER BY place) - place, k)) AS c FROM hits),
+ dia AS (SELECT r, template, diagonal, sum(c) AS covered, min(place) AS start, max(place) + any_value(k) AS stop FROM beside GROUP BY ALL),
+ cut AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) > drift, true) AS apart FROM dia JOIN licences USING (template)),
+ runs AS (SELECT *, sum(CAST(apart AS INT)) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM cut),
+ merged AS (SELECT r, label, base, k, min(start) AS start, least(1.0, sum(covered) / greatest(size, max(stop) - min(start))) AS share FROM runs GROUP BY r, template, label, base, k, size, span),
+ told AS (SELECT *, share >= CASE WHEN k > 2 THEN {SHARE} ELSE 1.0 END AS verified FROM merged),
+ f AS (SELECT r, count(*) FILTER (base AND verified) AS n_base, min(start) FILTER (base AND verified) AS first_word, max(start) FILTER (base AND verified) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND verified) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (verified) AS labels, max(share) AS score FROM told GROUP BY r)
+ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0.0) AS DOUBLE) AS score
+ FROM texts LEFT JOIN f ON f.r = texts.r""",
     "op4_sharding": f"""WITH RECURSIVE {_CRC_TABLE},
  d AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
   xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda c: {_BYTE}), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) AS text_crc32 FROM documents, crc_table),
