@@ -3,7 +3,8 @@
 Every window of ``length`` bytes is told by its least 32-byte gram. Consecutive windows with the same least gram form one string of at most
 ``length`` + ``length`` - 32 bytes, and equal windows always lie in strings with the same gram hash, which therefore deals strings out to tasks:
 
-1. strings equal as a whole are told by two 64-bit hashes: the first stays, the rest are marked; grams with one distinct string are done;
+1. strings equal as a whole are told by two 64-bit hashes: the first stays, the rest are marked; grams with one distinct string are done. Strings of the grams that a sample
+   of the texts shows to be the most frequent (a passage in a third of all texts, say, with other words around it) are dealt by gram and content, so that no task has them all;
 2. the strings of a gram that differ are fetched from the texts and indexed in blocks: a suffix order gives a Burrows-Wheeler transform, which is kept as runs with
    the text's places at their ends, and the first string of every interval of suffixes that share ``length`` bytes. The block's strings and all later ones of their gram
    are streamed through the runs backwards, one step of all strings at a time; a window whose matching statistic reaches ``length``, in an earlier string, is marked;
@@ -251,10 +252,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return written(ranged.select(F.monotonically_increasing_id().alias("rid"), "row", "text"), "texts").where("rid IS NOT NULL")  # as inner joins add
 
 
-def _found(texts: DataFrame, length: int) -> DataFrame:
-    """rid, packed, anchor, kind: 1, a string that repeats an earlier one as a whole; 2, a string to index."""
+def _emitted(texts: DataFrame, length: int, hot: np.ndarray) -> DataFrame:
+    """deal, anchor, content, rid, packed, kind of every string: 1, it repeats an earlier one of the same slice of texts; 3, its gram is a hot one; else 0. Strings are told
+    by task after ``deal``: of a gram all together, of a hot gram only those of one content, and those that are told already anywhere."""
+    shared = texts.sparkSession.sparkContext.broadcast(np.sort(hot))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy = shared.value
         for batch in by_bytes(batches):
             ids = batch["rid"].to_numpy()
             parts = []
@@ -267,26 +271,51 @@ def _found(texts: DataFrame, length: int) -> DataFrame:
             both = gram * 3 + content
             order = np.argsort(both, kind="stable")
             same = both[order][1:] == both[order][:-1]
-            shared = order[np.r_[same, False] | np.r_[False, same]]
-            shared = shared[np.lexsort((packed[shared], rid[shared], content[shared], gram[shared]))]
-            again = ~_first(gram[shared], content[shared])
+            alike = order[np.r_[same, False] | np.r_[False, same]]
+            alike = alike[np.lexsort((packed[alike], rid[alike], content[alike], gram[alike]))]
+            again = ~_first(gram[alike], content[alike])
             kind = np.zeros(len(gram), np.int8)
-            kind[shared[again]] = 1
-            gram = np.where(kind == 1, _mixed((rid * 31 + packed).view(np.uint64)).view(np.int64), gram)  # marked already: deal them out evenly
+            kind[np.isin(gram, heavy)] = 3
+            kind[alike[again]] = 1
+            deal = np.where(kind == 1, _spread(rid, packed), np.where(kind == 3, _mixed(both.view(np.uint64)).view(np.int64), gram))
+            columns = {"deal": deal, "anchor": gram, "content": content, "rid": rid, "packed": packed, "kind": kind}
             for k in range(0, len(gram), 50_000):
-                yield pa.RecordBatch.from_pydict({"anchor": gram[k : k + 50_000], "content": content[k : k + 50_000], "rid": rid[k : k + 50_000], "packed": packed[k : k + 50_000], "kind": kind[k : k + 50_000]})
+                yield pa.RecordBatch.from_pydict({name: x[k : k + 50_000] for name, x in columns.items()})
+
+    strings = texts.where(F.octet_length("text") >= length).select("rid", "text")
+    return strings.mapInArrow(emit, "deal long, anchor long, content long, rid long, packed long, kind byte")
+
+
+def hot_grams(texts: DataFrame, length: int, one_in: int = 16, least: int = 32, most: int = 20_000) -> np.ndarray:
+    """The grams, ``most`` at most, with the most differing strings in one text of ``one_in``. This decides only how strings are dealt to tasks, not what is
+    told of them: a gram that it misses has too few strings to hold a task up."""
+    some = texts.where(F.pmod(F.xxhash64("rid"), F.lit(one_in)) == 0)
+    counts = _emitted(some, length, np.zeros(0, np.int64)).where("kind = 0").groupBy("anchor").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "anchor").limit(most).select("anchor").toArrow()["anchor"].to_numpy()
+
+
+def _dealt(texts: DataFrame, length: int) -> DataFrame:
+    return _emitted(texts, length, hot_grams(texts, length)).repartition("deal").sortWithinPartitions("anchor", "content", "rid", "packed")
+
+
+def _found(texts: DataFrame, length: int) -> DataFrame:
+    """rid, packed, anchor, kind: 1, a string that repeats an earlier one as a whole; 2, a string to index."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = Told()
+        told, last = Told(), None
         for rows in batches:
             anchor, content, rid, packed, kind = (rows[c].to_numpy() for c in ("anchor", "content", "rid", "packed", "kind"))
-            done = kind == 1
-            out = [(rid[done], packed[done], anchor[done], kind[done]), *told.next(*(x[~done] for x in (anchor, content, rid, packed)))]
+            done, hot = kind == 1, kind == 3
+            out = [(rid[done], packed[done], anchor[done], kind[done]), *told.next(*(x[kind == 0] for x in (anchor, content, rid, packed)))]
+            if hot.any():  # all first ones are indexed: others of their gram are in other tasks
+                first = _first(anchor[hot], content[hot])
+                first[0] = last != (anchor[hot][0], content[hot][0])
+                last = anchor[hot][-1], content[hot][-1]
+                out.append((rid[hot], packed[hot], anchor[hot], np.where(first, 2, 1).astype(np.int8)))
             rid, packed, anchor, kind = (np.concatenate(x) for x in zip(*out, strict=True))
             yield pa.RecordBatch.from_pydict({"rid": rid, "packed": packed, "anchor": anchor, "kind": kind})
 
-    strings = texts.where(F.octet_length("text") >= length).select("rid", "text").mapInArrow(emit, "anchor long, content long, rid long, packed long, kind byte")
-    return strings.repartition("anchor").sortWithinPartitions("anchor", "content", "rid", "packed").mapInArrow(compare, "rid long, packed long, anchor long, kind byte")
+    return _dealt(texts, length).drop("deal").mapInArrow(compare, "rid long, packed long, anchor long, kind byte")
 
 
 def _first(*equal: np.ndarray) -> np.ndarray:
@@ -341,8 +370,9 @@ def repeated_spans(texts: DataFrame, length: int = 100, group_rows: int = 60_000
     start, more = F.shiftrightunsigned("packed", _START), F.col("packed").bitwiseAND((1 << _START) - 1)
     whole = found.where("kind = 1").select("rid", start.alias("a"), (start + more + length).alias("b"))
     asked = found.where("kind = 2").select("rid", "packed", "anchor")
-    large = asked.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.lit(True).alias("large"))
-    asked = asked.join(large, "anchor", "left").select("rid", F.struct("packed", "anchor", F.coalesce("large", F.lit(False)).alias("large")).alias("ask"))
+    large = written(asked.groupBy("anchor").count().where(F.col("count") > group_rows).select("anchor", F.lit(True).alias("large")), "large")
+    n_large = large.count()
+    asked = asked.join(F.broadcast(large) if n_large <= 100_000 else large, "anchor", "left").select("rid", F.struct("packed", "anchor", F.coalesce("large", F.lit(False)).alias("large")).alias("ask"))
     wanted = texts.join(asked.groupBy("rid").agg(F.collect_list("ask").alias("asks")), "rid")  # all columns, so that the caller's join reads the same shuffle
 
     def places(batches: Iterator[pa.RecordBatch], large: bool) -> Iterator[tuple[int, int, int, int, bytes]]:
@@ -407,7 +437,7 @@ def repeated_spans(texts: DataFrame, length: int = 100, group_rows: int = 60_000
     strings = wanted.mapInArrow(fetch, "anchor long, rid long, a long, string binary")
     indexed = strings.repartition("anchor").sortWithinPartitions("anchor", "rid", "a").mapInArrow(index, "rid long, a long, b long")
     spans = whole.unionByName(indexed)
-    if large.limit(1).count():
+    if n_large:
         windows = wanted.mapInArrow(fetch_windows, "window long, low long, rid long, a long, kind byte")
         later = windows.repartition("window").sortWithinPartitions("window", "low", "rid", "a").mapInArrow(later_windows, "rid long, a long, b long")
         spans = spans.unionByName(later)

@@ -8,7 +8,7 @@ and their number for each entry, so that a round shuffles a row an entry and tas
 Defined cases: rows whose vector is null or has null, NaN or infinite components are left out; the vectors' length is that of the first row kept (by id, null last, then components)
 whose length the parts divide, and rows of other lengths are returned without code and error; with fewer rows than entries, codebooks are shorter; equal distances go to the
 lower entry, so that of equal entries only the first is used; components beyond +-2^18 count as +-2^18, so that no sum overflows; repeated rows are coded each for itself, and equal
-ids at the start are in order of components; null labels are summed together; an empty table gives no rows; other columns, whatever their names, are not read.
+ids at the start are in order of components; null labels are summed together, and a label none of whose vectors has a code has no sum; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
