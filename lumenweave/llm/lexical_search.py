@@ -2,7 +2,7 @@
 
 Documents are cut into blocks of consecutive rows. A block is one row of a written table: its terms with the largest impact that each has in a document of the block, the number
 of its documents that hold the term, and a forward index, the terms and impacts of each document. An impact depends on the term's occurrences and the document's length
-only, so one index serves all queries.
+only, so one index serves all queries. Terms, impacts and forward index are compressed bytes, which Spark passes on as they are, and which a task opens a block at a time.
 
 A query's bound of a block is the sum of its terms' weights times their largest impacts there. Three passes read the index, none of which moves it:
 
@@ -22,13 +22,14 @@ a block of their own and held one at a time; other columns, whatever their names
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,9 +56,17 @@ def weight(documents: int, df: int) -> int:
     return math.floor(1000 * math.log((2 * documents + 2) / (2 * df + 1)))
 
 
+def _packed(*values: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(v.astype("<i4").tobytes() for v in values), 1)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), "<i4")
+
+
 @dataclass
 class Index:
-    blocks: DataFrame  # block; terms, largest impact and documents of each; docs, terms of each; place in terms and impact of each document's terms
+    blocks: DataFrame  # block, docs; packed: terms; peaks (each term's largest impact and documents); forward (each document's number of terms; their places among the terms; impacts)
     documents: int
     terms: int
 
@@ -86,12 +95,8 @@ def built(docs: DataFrame) -> Index:
         impact = impacts(tf, np.repeat(np.array([sum(c.values()) for _, c in rows], np.int64), sizes), documents, terms)
         largest = np.zeros(len(names), np.int64)
         np.maximum.at(largest, at, impact)
-        one = lambda values, kind: pa.array([values], pa.list_(kind))
-        columns = {
-            "block": pa.array([block], pa.int64()), "terms": one(names, pa.binary()), "largest": one(largest.astype(np.int32), pa.int32()),
-            "holders": one(np.bincount(at, minlength=len(names)).astype(np.int32), pa.int32()), "docs": one([d for d, _ in rows], doc_type),
-            "sizes": one(sizes.astype(np.int32), pa.int32()), "at": one(at.astype(np.int32), pa.int32()), "impact": one(impact.astype(np.int32), pa.int32()),
-        }
+        packed = {"terms": zlib.compress(b" ".join(names), 1), "peaks": _packed(largest, np.bincount(at, minlength=len(names))), "forward": _packed(sizes, at, impact)}
+        columns = {"block": pa.array([block], pa.int64()), "docs": pa.array([[d for d, _ in rows]], pa.list_(doc_type))} | {k: pa.array([v], pa.binary()) for k, v in packed.items()}
         return pa.RecordBatch.from_pydict(columns)
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +115,7 @@ def built(docs: DataFrame) -> Index:
         if held:
             yield laid(number, held, doc_type)
 
-    schema = f"block long, terms array<binary>, largest array<int>, holders array<int>, docs array<{kind}>, sizes array<int>, at array<int>, impact array<int>"
+    schema = f"block long, docs array<{kind}>, terms binary, peaks binary, forward binary"
     return Index(written(docs.select("doc_id", "text").mapInArrow(lay, schema), "search-index"), documents, terms)
 
 
@@ -120,24 +125,20 @@ class Batch:
     def __init__(self, texts: list[str]) -> None:
         own = [sorted(set(terms_of(t))) for t in texts]
         self.names = sorted(set().union(*own))
-        number = {t: i for i, t in enumerate(self.names)}
-        self.terms = [np.array([number[t] for t in q], np.int64) for q in own]
+        self.number = {t: i for i, t in enumerate(self.names)}
+        self.terms = [np.array([self.number[t] for t in q], np.int64) for q in own]
         by_term = sorted((int(t), q) for q, ts in enumerate(self.terms) for t in ts)
         self.queries = np.array([q for _, q in by_term], np.int64)
         self.ends = np.searchsorted(np.array([t for t, _ in by_term], np.int64), np.arange(len(self.names) + 1))
         self.weights = np.zeros(len(self.names), np.int64)
 
-    def matched(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Row, numbers of the queries' terms that the block has, and their places in it."""
-        lists = batch["terms"]
-        sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-        found = pc.fill_null(pc.index_in(lists.flatten(), value_set=pa.array(self.names, pa.binary())), -1).to_numpy(zero_copy_only=False)
-        first = 0
-        for i, size in enumerate(sizes.tolist()):
-            own = found[first : first + size]
+    def matched(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Row, numbers of the queries' terms that the block has, and their largest impacts and documents there; and the places of these terms."""
+        for i, (terms, peaks) in enumerate(zip(batch["terms"], batch["peaks"], strict=True)):
+            names = zlib.decompress(terms.as_py()).split(b" ")
+            own = np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
             at = np.flatnonzero(own >= 0)
-            yield i, own[at].astype(np.int64), at
-            first += size
+            yield i, own[at], _numbers(peaks.as_py()).reshape(2, -1)[:, at].astype(np.int64), at
 
     def bounds(self, terms: np.ndarray, largest: np.ndarray) -> np.ndarray:
         """Of every query, the most that a document can score which has these terms with these impacts."""
@@ -148,19 +149,15 @@ class Batch:
         return out
 
 
-def _column(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
-    return batch[name][i].values.to_numpy(zero_copy_only=False)
-
-
 class Block:
     """The forward index of one row."""
 
-    def __init__(self, batch: pa.RecordBatch, i: int, terms: np.ndarray, at: np.ndarray) -> None:
-        self.terms, self.places = terms, at
-        self.at, self.impact = _column(batch, "at", i), _column(batch, "impact", i).astype(np.int64)
-        sizes = _column(batch, "sizes", i)
-        self.starts, self.names = np.cumsum(sizes) - sizes, len(batch["terms"][i])
-        self.docs = batch["docs"][i]
+    def __init__(self, batch: pa.RecordBatch, i: int, terms: np.ndarray, places: np.ndarray) -> None:
+        self.terms, self.places, self.docs = terms, places, batch["docs"][i]
+        forward, n = _numbers(batch["forward"][i].as_py()), len(self.docs)
+        self.starts = np.cumsum(forward[:n]) - forward[:n]
+        self.at, self.impact = forward[n:].reshape(2, -1)
+        self.names = int(self.at.max()) + 1
 
     def scores(self, query: np.ndarray, weights: np.ndarray) -> np.ndarray:
         mine = np.isin(self.terms, query, assume_unique=True)
@@ -208,12 +205,12 @@ def _searched(index: Index, batch: Batch, top: int) -> DataFrame:
     def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = plain.value, np.zeros(len(plain.value.names), np.int64)
         for rows in batches:
-            for i, terms, at in own.matched(rows):
-                total[terms] += _column(rows, "holders", i)[at]
+            for _, terms, peaks, _ in own.matched(rows):
+                total[terms] += peaks[1]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"term": some, "df": total[some]})
 
-    for r in index.blocks.select("terms", "holders").mapInArrow(holders, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+    for r in index.blocks.select("terms", "peaks").mapInArrow(holders, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
         batch.weights[r["term"]] = weight(index.documents, r["df"])
     shared = spark.sparkContext.broadcast(batch)
 
@@ -222,14 +219,14 @@ def _searched(index: Index, batch: Batch, top: int) -> DataFrame:
         bounds, blocks = np.zeros((n, LEAD), np.int64), np.zeros((n, LEAD), np.int64)
         for rows in batches:
             numbers = rows["block"].to_numpy()
-            for i, terms, at in own.matched(rows):
-                bound, least = own.bounds(terms, _column(rows, "largest", i)[at]), bounds.argmin(axis=1)
+            for i, terms, peaks, _ in own.matched(rows):
+                bound, least = own.bounds(terms, peaks[0]), bounds.argmin(axis=1)
                 better = np.flatnonzero(bound > bounds[np.arange(n), least])
                 bounds[better, least[better]], blocks[better, least[better]] = bound[better], numbers[i]
         q, k = np.nonzero(bounds)
         yield pa.RecordBatch.from_pydict({"query": q, "block": blocks[q, k], "bound": bounds[q, k]})
 
-    first = _top(index.blocks.select("block", "terms", "largest").mapInArrow(lead, "query long, block long, bound long"), [F.desc("bound"), "block"], LEAD)
+    first = _top(index.blocks.select("block", "terms", "peaks").mapInArrow(lead, "query long, block long, bound long"), [F.desc("bound"), "block"], LEAD)
     first = first.select("query", "block").toArrow().to_pydict()  # LEAD rows a query of the batch
     asked: dict[int, list[int]] = {}
     for q, b in zip(first["query"], first["block"], strict=True):
@@ -242,7 +239,7 @@ def _searched(index: Index, batch: Batch, top: int) -> DataFrame:
         for rows in batches:
             doc_type = rows.schema.field("docs").type.value_type
             numbers = rows["block"].to_pylist()
-            for i, terms, at in own.matched(rows):
+            for i, terms, _, at in own.matched(rows):
                 block = Block(rows, i, terms, at)
                 for q in few.value.get(numbers[i], ()):
                     best.see(q, block, block.scores(own.terms[q], own.weights))
@@ -262,8 +259,8 @@ def _searched(index: Index, batch: Batch, top: int) -> DataFrame:
         for rows in batches:
             doc_type = rows.schema.field("docs").type.value_type
             blocks, pairs = {}, []
-            for i, terms, at in own.matched(rows):
-                bound = own.bounds(terms, _column(rows, "largest", i)[at])
+            for i, terms, peaks, at in own.matched(rows):
+                bound = own.bounds(terms, peaks[0])
                 for q in np.flatnonzero(bound >= np.maximum(1, best.least)).tolist():
                     pairs.append((-int(bound[q]), i, q))
                     blocks[i] = terms, at

@@ -66,7 +66,7 @@ def test_search_skips_blocks(spark, monkeypatch):
     batch = lexical_search.Batch(["rare find common"])
     batch.weights[:] = 1000
     held = index.blocks.toArrow().combine_chunks().to_batches()[0]
-    bounds = [int(batch.bounds(t, lexical_search._column(held, "largest", i)[at])[0]) for i, t, at in batch.matched(held)]
+    bounds = [int(batch.bounds(t, peaks[0])[0]) for _, t, peaks, _ in batch.matched(held)]
     assert sum(b >= sorted(bounds)[-1] // 2 for b in bounds) <= 3 < len(bounds) / 10
     found = lexical_search.search(index, spark.createDataFrame([(1, "rare find common")], "item_id long, text string"))
     assert rows(found) == sorted(ranked(docs, [(1, "rare find common")]), key=str)
