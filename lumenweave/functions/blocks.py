@@ -45,11 +45,15 @@ def along_columns(block: list[Column], f: Four) -> list[Column]:
 
 
 # The multipliers and rounding terms of the transforms and of the colour conversions below are fixed values of the format and of the encoder's dumps.
-def forward_dct(residual: list[Column]) -> list[Column]:
+def dct_along_rows(residual: list[Column]) -> list[Column]:
     def rows(a, b, c, d):
         even, mid, odd, edge = a + d, b + c, b - c, a - d
         return (even + mid) * 8, F.shiftright(odd * 2217 + edge * 5352 + 1812, 9), (even - mid) * 8, F.shiftright(edge * 2217 - odd * 5352 + 937, 9)
 
+    return along_rows(residual, rows)
+
+
+def dct_along_columns(values: list[Column]) -> list[Column]:
     def columns(a, b, c, d):
         even, mid, odd, edge = a + d, b + c, b - c, a - d
         return (
@@ -59,7 +63,7 @@ def forward_dct(residual: list[Column]) -> list[Column]:
             F.shiftright(edge * 2217 - odd * 5352 + 51000, 16),
         )
 
-    return along_columns(along_rows(residual, rows), columns)
+    return along_columns(values, columns)
 
 
 def inverse_dct(coefficients: list[Column]) -> list[Column]:
@@ -72,12 +76,17 @@ def inverse_dct(coefficients: list[Column]) -> list[Column]:
     return along_rows(along_columns(coefficients, turned), lambda *v: [F.shiftright(x + 4, 3) for x in turned(*v)])
 
 
-def forward_wht(values: list[Column]) -> list[Column]:
-    def turned(a, b, c, d):
-        even, odd = a + c, b + d
-        return even + odd, (a - c) + (b - d), (a - c) - (b - d), even - odd
+def _walsh(a, b, c, d):
+    even, odd = a + c, b + d
+    return even + odd, (a - c) + (b - d), (a - c) - (b - d), even - odd
+
+
+def wht_along_rows(values: list[Column]) -> list[Column]:
+    return along_rows(values, _walsh)
+
 
-    return along_columns(along_rows(values, turned), lambda *v: [F.shiftright(x, 1) for x in turned(*v)])
+def wht_along_columns(values: list[Column]) -> list[Column]:
+    return along_columns(values, lambda *v: [F.shiftright(x, 1) for x in _walsh(*v)])
 
 
 def inverse_wht(values: list[Column]) -> list[Column]:

@@ -21,10 +21,15 @@ def sub_blocks(frame: DataFrame) -> DataFrame:
     return frame.select("vec_id", "label", F.posexplode(F.array(*(B.sub_block(F.col("p"), k) for k in range(4)))).alias("k", "s"))
 
 
+def transformed(rows: DataFrame, values: Column, along_rows, along_columns, name: str = "c") -> DataFrame:
+    """The rows with a transform of 4x4 values. The pass along rows is a column of its own, so that the pass along columns doesn't compute it anew for each value."""
+    half = rows.withColumn("_rows", F.array(*along_rows(B.at(values))))
+    return half.withColumn(name, F.array(*along_columns(B.at(F.col("_rows"))))).drop("_rows")
+
+
 def coefficients(subs: DataFrame) -> DataFrame:
     """... c: forward DCT of each 4x4 block against flat 128."""
-    residual = [v - 128 for v in B.at(F.col("s"))]
-    return subs.withColumn("c", F.array(*B.forward_dct(residual)))
+    return transformed(subs.withColumn("_r", F.transform("s", lambda v: v - 128)), F.col("_r"), B.dct_along_rows, B.dct_along_columns).drop("_r")
 
 
 def text(values) -> Column:

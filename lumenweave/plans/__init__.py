@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from lumenweave.plans import blocks, frames, images, records, scalars, tables
+from lumenweave.plans import blocks, frames, images, records, scalars, tables, tokens
 
-_MODULES = (blocks, frames, images, records, scalars, tables)
+_MODULES = (blocks, frames, images, records, scalars, tables, tokens)
 
 
 def queries():

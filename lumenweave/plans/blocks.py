@@ -39,9 +39,10 @@ def block_quality(spark, sf_dir):
 
 def block_sad(spark, sf_dir):
     rows = _frame(spark, sf_dir).withColumn("q", _distorted())
-    d = [F.col("p")[i] - F.col("q")[i] for i in range(64)]
-    weight = lambda i: 1 + (i % 8 == 7) + (i // 8 == 7)
-    return rows.select("vec_id", B.total(F.abs(v) for v in d).alias("sad"), B.total(v * v for v in d).alias("sse"), B.total(v * v * weight(i) for i, v in enumerate(d)).alias("sse_edge"))
+    rows = rows.select("vec_id", F.zip_with("p", "q", lambda v, w: v - w).alias("d"))
+    weight = lambda i: 1 + (i % 8 == 7).cast("int") + (i >= 56).cast("int")
+    squares = F.transform("d", lambda v: v * v)
+    return rows.select("vec_id", O.total(F.transform("d", F.abs)).alias("sad"), O.total(squares).alias("sse"), O.total(F.transform("d", lambda v, i: v * v * weight(i))).alias("sse_edge"))
 
 
 def block_satd(spark, sf_dir):
@@ -58,7 +59,7 @@ def idct4x4(spark, sf_dir):
 
 
 def fwht(spark, sf_dir):
-    return _subs(spark, sf_dir).select("vec_id", "k", text(B.forward_wht(B.at(F.col("s")))).alias("coefficients"))
+    return O.transformed(_subs(spark, sf_dir), F.col("s"), B.wht_along_rows, B.wht_along_columns).select("vec_id", "k", text(F.col("c")).alias("coefficients"))
 
 
 def iwht(spark, sf_dir):
