@@ -66,14 +66,19 @@ def dct_along_columns(values: list[Column]) -> list[Column]:
     return along_columns(values, columns)
 
 
-def inverse_dct(coefficients: list[Column]) -> list[Column]:
-    def turned(a, b, c, d):
-        grow = lambda v: v + F.shiftright(v * 20091, 16)
-        sine = lambda v: F.shiftright(v * 35468, 16)
-        plus, minus, cross, straight = a + c, a - c, sine(b) - grow(d), grow(b) + sine(d)
-        return plus + straight, minus + cross, minus - cross, plus - straight
+def _turned(a, b, c, d):
+    grow = lambda v: v + F.shiftright(v * 20091, 16)
+    sine = lambda v: F.shiftright(v * 35468, 16)
+    plus, minus, cross, straight = a + c, a - c, sine(b) - grow(d), grow(b) + sine(d)
+    return plus + straight, minus + cross, minus - cross, plus - straight
+
+
+def idct_along_columns(coefficients: list[Column]) -> list[Column]:
+    return along_columns(coefficients, _turned)
+
 
-    return along_rows(along_columns(coefficients, turned), lambda *v: [F.shiftright(x + 4, 3) for x in turned(*v)])
+def idct_along_rows(values: list[Column]) -> list[Column]:
+    return along_rows(values, lambda *v: [F.shiftright(x + 4, 3) for x in _turned(*v)])
 
 
 def _walsh(a, b, c, d):

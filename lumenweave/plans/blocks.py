@@ -55,7 +55,7 @@ def fdct4x4(spark, sf_dir):
 
 
 def idct4x4(spark, sf_dir):
-    return _coded(spark, sf_dir).select("vec_id", "k", text(B.inverse_dct(B.at(F.col("c")))).alias("residual"))
+    return O.transformed(_coded(spark, sf_dir), F.col("c"), B.idct_along_columns, B.idct_along_rows, "r").select("vec_id", "k", text(F.col("r")).alias("residual"))
 
 
 def fwht(spark, sf_dir):

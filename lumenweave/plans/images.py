@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lumenweave.functions import blocks as B
 from lumenweave.functions import planes as P
 from lumenweave.functions.tables import AC_STEPS, DC_STEPS, qindex
 from lumenweave.operators import blocks as O
+from lumenweave.operators import halo as N
 from lumenweave.operators import images as I
 from lumenweave.operators import rate_distortion as R
 from lumenweave.plans.blocks import _PX, DCT_COLUMNS, DCT_ROWS, WHT, _pass
 from lumenweave.plans.frames import GENERATED, SIZES
+from lumenweave.plans.halo import MACROBLOCKS
 
 QUALITIES = (0, 10, 50, 75, 90, 100)
 
@@ -156,62 +157,24 @@ def column_chroma(spark, sf_dir):
     return rows.groupBy("tx").agg(*(F.round(F.sum(k) / F.sum("n"), 6).alias(k) for k in planes), F.sum("n").alias("n"))
 
 
-def _macroblocks(spark, sf_dir):
-    """image, c, p: macroblocks of 16x16 samples, four blocks each, five in a row of an image; only whole ones."""
-    rows = O.block_frame(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).select(F.floor(F.col("vec_id") / 4).alias("mb"), F.struct((F.col("vec_id") % 4).alias("at"), "p").alias("part"))
-    whole = rows.groupBy("mb").agg(F.transform(F.array_sort(F.collect_list("part")), lambda s: s["p"]).alias("parts")).where(F.size("parts") == 4)
-    at = lambda i: F.get(F.get("parts", (F.floor(i / 128) * 2 + F.floor(i % 16 / 8)).cast("int")), (F.floor(i / 16) % 8 * 8 + i % 8).cast("int"))
-    return whole.select(F.floor(F.col("mb") / 5).alias("image"), (F.col("mb") % 5).alias("c"), F.transform(F.sequence(F.lit(0), F.lit(255)), at).alias("p"))
-
-
-def predict16(spark, sf_dir):
-    """Absolute and squared error of four predictions of each macroblock in a one-row image: 127 stands above it, and left of the first is 129."""
-    left = F.lag(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda y: F.get("p", y * 16 + 15))).over(Window.partitionBy("image").orderBy("c"))
-    known = _macroblocks(spark, sf_dir).withColumn("own", left)
-    rows = known.withColumn("l", F.coalesce("own", F.array_repeat(F.lit(129).cast("long"), 16))).withColumn("mode", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    side = lambda i: F.get("l", F.floor(i / 16).cast("int"))
-    mean = F.when(F.col("own").isNull(), 128).otherwise(F.shiftright(O.total(F.col("l")) + 8, 4))
-    # with nothing above, the corner is 127 as the row is, so that the fourth mode's guess is the left sample
-    guess = lambda i: F.when(F.col("mode") == 0, F.col("mean")).when(F.col("mode") == 1, 127).otherwise(side(i))
-    rows = rows.withColumn("mean", mean).select("image", "c", "mode", F.transform("p", lambda v, i: v - guess(i)).alias("d"))
-    return rows.select("image", "c", "mode", O.total(F.transform("d", F.abs)).alias("sad"), O.total(F.transform("d", lambda v: v * v)).alias("sse"))
-
-
-def frame_counters(spark, sf_dir):
-    """Best of the four macroblock modes and histograms by image: luma modes by 16x16 samples, chroma modes by the two lower blocks, sub-block modes by what a luma mode stands for."""
-    best = predict16(spark, sf_dir).groupBy("image", "c").agg(F.min(F.struct("sad", "mode")).alias("b")).select("image", "c", "b.mode")
-    stands = F.get(F.array(*map(F.lit, P.SUBBLOCK_OF)), F.col("mode"))
-    counts = [F.count_if(F.col("mode") == i).alias(f"ymode{i}") for i in range(4)] + [F.count_if(stands == i).alias(f"bmode{i}") for i in range(4)]
-    return best.groupBy("image").agg(F.count("*").alias("macroblocks"), *counts)
-
-
-def conservation(spark, sf_dir):
-    """Images whose mode counts don't add up to their macroblocks, and how many do."""
-    rows = frame_counters(spark, sf_dir)
-    add = lambda n: sum((F.col(f"{n}{i}") for i in range(1, 4)), F.col(f"{n}0"))
-    good = (add("ymode") == F.col("macroblocks")) & (add("bmode") == F.col("macroblocks"))
-    return rows.agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
-
-
-def neighbours(spark, sf_dir):
-    """Macroblocks with their left and right neighbours' sums, by a join of the grid with itself."""
-    rows = _macroblocks(spark, sf_dir).select("image", "c", O.total(F.col("p")).alias("own"))
-    beside = lambda by, name: rows.select("image", (F.col("c") - by).alias("c"), F.col("own").alias(name))
-    return rows.join(beside(-1, "left"), ["image", "c"], "left").join(beside(1, "right"), ["image", "c"], "left").select("image", "c", "own", "left", "right")
-
-
 def three_way(spark, sf_dir):
-    """Decoded macroblocks, an oracle's and their segments: differences by segment."""
-    decoded = _macroblocks(spark, sf_dir)
-    oracle = decoded.select("image", "c", F.transform("p", lambda v: F.when(v % 32 == 0, v + 1).otherwise(v)).alias("q"))
-    segments = decoded.select("image", "c", ((F.col("image") + F.col("c")) % 4).alias("segment"))
-    away = decoded.join(oracle, ["image", "c"]).join(segments, ["image", "c"]).select("segment", F.zip_with("p", "q", lambda v, w: F.abs(v - w)).alias("d"))
-    return away.groupBy("segment").agg(F.count("*").alias("macroblocks"), F.sum(O.total(F.col("d"))).alias("sad"), F.count_if(F.exists("d", lambda v: v > 0)).alias("differ"))
+    """Decoded macroblocks, an oracle's and their segments, by segment: how many only one side has, how many differ, and by how much. The oracle lacks some, and others are its alone."""
+    decoded = N.macroblocks(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    at = (F.col("image") * N.DOWN + F.col("r")) * N.ACROSS + F.col("c")
+    oracle = decoded.where(at % 11 != 4).withColumn("c", F.when(at % 13 == 5, F.col("c") + N.ACROSS).otherwise(F.col("c")))
+    oracle = oracle.select("image", "r", "c", F.transform("p", lambda v: F.when(v % 32 == 0, v + 1).otherwise(v)).alias("q"))
+    segments = decoded.select("image", "r", "c", ((F.col("image") + F.col("c")) % 4).alias("segment"))
+    key = ["image", "r", "c"]
+    away = decoded.join(oracle, key, "full").join(segments, key, "left").withColumn("d", F.zip_with("p", "q", lambda v, w: F.abs(v - w)))
+    return away.groupBy("segment").agg(
+        F.count("*").alias("macroblocks"), F.count_if(F.col("q").isNull()).alias("only_decoded"), F.count_if(F.col("p").isNull()).alias("only_oracle"),
+        F.coalesce(F.sum(O.total(F.col("d"))), F.lit(0)).alias("sad"), F.count_if(F.exists("d", lambda v: v > 0)).alias("differ"),
+    )
 
 
 _ALL = (
     corpus_pixels, corpus_digests, gamma_tables, rgb_to_i420, plane_dump, transform_dump, quantized_levels, plane_nonzero, ordered_hash, zigzag_levels, rate_proxies, chroma_modes,
-    image_quality, quality_means, quality_gate, luma_heat, visible_crop, column_chroma, predict16, frame_counters, conservation, neighbours, three_way,
+    image_quality, quality_means, quality_gate, luma_heat, visible_crop, column_chroma, three_way,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
@@ -275,16 +238,6 @@ _QUALITY = f"""tile AS (SELECT picture, tx, ty, {_TILE} FROM lum GROUP BY ALL),
 ss AS (SELECT *, ((2*mx*my + 6.5025) * (2*(xy - mx*my) + 58.5225)) / ((mx*mx + my*my + 6.5025) * (xx - mx*mx + yy - my*my + 58.5225)) AS s FROM tile),
 pic AS (SELECT picture, CAST(sum(n) AS BIGINT) AS n, sum(er) AS er, sum(eg) AS eg, sum(eb) AS eb, avg(s) AS s FROM ss GROUP BY 1),
 qu AS (SELECT picture, n, {', '.join(f"{_PSNR.format('e' + c, 'n')} AS psnr_{c}" for c in 'rgb')}, {_PSNR.format('(er + eg + eb)', '(3 * n)')} AS psnr_rgb, round(s, 6) AS ssim_y FROM pic)"""
-_MB = f"""WITH {_PX}, mb AS (SELECT vec_id // 4 // 5 AS image, vec_id // 4 % 5 AS c, list(p ORDER BY vec_id) AS parts FROM px GROUP BY ALL HAVING count(*) = 4),
-mp AS (SELECT image, c, list_transform(range(0, 256), lambda i: parts[i // 128 * 2 + i % 16 // 8 + 1][i // 16 % 8 * 8 + i % 8 + 1]) AS p FROM mb)"""
-_P16 = f"""{_MB}, le AS (SELECT image, c, p, lag(list_transform(range(0, 16), lambda y: p[y * 16 + 16])) OVER (PARTITION BY image ORDER BY c) AS own FROM mp),
-gu AS (SELECT image, c, p, own, coalesce(CAST(list_sum(own) + 8 AS BIGINT) >> 4, 128) AS m, mode FROM le, (SELECT unnest(range(0, 4)) AS mode)),
-df AS (SELECT image, c, CAST(mode AS INTEGER) AS mode, list_transform(range(0, 256), lambda i: p[i + 1] - (CASE mode WHEN 0 THEN m WHEN 1 THEN 127 ELSE coalesce(own[i //
- 16 + 1], 129) END)) AS d FROM gu),
-er AS (SELECT image, c, mode, CAST(list_sum(list_transform(d, lambda v: abs(v))) AS BIGINT) AS sad, CAST(list_sum(list_transform(d, lambda v: v * v)) AS BIGINT) AS sse FROM df)"""
-_COUNTS = f"""{_P16}, be AS (SELECT image, c, arg_min(mode, sad * 4 + mode) AS mode FROM er GROUP BY ALL),
-co AS (SELECT image, count(*) AS macroblocks, {', '.join(f'count(*) FILTER (mode = {i}) AS ymode{i}' for i in range(4))},
- {', '.join(f'count(*) FILTER (mode = {P.SUBBLOCK_OF.index(i)}) AS bmode{i}' for i in range(4))} FROM be GROUP BY 1)"""
 SQL = {
     "corpus_pixels": f"WITH {_CORPUS} SELECT name, y, x, r, g, b FROM px",
     "corpus_digests": f"""WITH {_CORPUS}, {_I420} SELECT a.name, rgb_sha, yuv_sha FROM (SELECT name, {_SHA.format("printf('%02x%02x%02x', r, g, b)", 'y, x')} AS rgb_sha FROM px GROUP BY 1) a
@@ -314,11 +267,8 @@ SQL = {
  padded FROM ti GROUP BY 1) t ON t.picture = o.picture GROUP BY ALL""",
     "column_chroma": f"""{_tiles(16)} SELECT tx, round(avg((77*r + 150*g + 29*b) >> 8), 6) AS luma, round(avg(((-43*r - 85*g + 128*b) >> 8) + 128), 6) AS cb,
  round(avg(((128*r - 107*g - 21*b) >> 8) + 128), 6) AS cr, count(*) AS n FROM one GROUP BY 1""",
-    "predict16": f"{_P16} SELECT image, c, mode, sad, sse FROM er",
-    "frame_counters": f"{_COUNTS} SELECT * FROM co",
-    "conservation": f"{_COUNTS} SELECT count(*) FILTER (ymode0 + ymode1 + ymode2 + ymode3 = macroblocks) AS good, count(*) FILTER (ymode0 + ymode1 + ymode2 + ymode3 <> macroblocks) AS bad FROM co",
-    "neighbours": f"""{_MB}, s AS (SELECT image, c, CAST(list_sum(p) AS BIGINT) AS own FROM mp) SELECT a.image, a.c, a.own, l.own AS left, r.own AS right FROM s a LEFT
- JOIN s l ON l.image = a.image AND l.c = a.c - 1 LEFT JOIN s r ON r.image = a.image AND r.c = a.c + 1""",
-    "three_way": f"""{_MB}, d AS (SELECT (image + c) % 4 AS segment, len(list_filter(p, lambda v: v % 32 = 0)) AS n FROM mp)
- SELECT segment, count(*) AS macroblocks, CAST(sum(n) AS BIGINT) AS sad, count(*) FILTER (n > 0) AS differ FROM d GROUP BY 1""",
+    "three_way": f"""{MACROBLOCKS}, a AS (SELECT *, (image * 3 + r) * 4 + c AS n FROM mp), o AS (SELECT image, r, CASE WHEN n % 13 = 5 THEN c + 4 ELSE c END AS c, p AS q FROM a WHERE n % 11 <> 4),
+ j AS (SELECT CASE WHEN p IS NULL THEN NULL ELSE (a.image + a.c) % 4 END AS segment, p, q, CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN len(list_filter(p, lambda v: v % 32 = 0)) END AS n
+ FROM a FULL JOIN o ON o.image = a.image AND o.r = a.r AND o.c = a.c)
+ SELECT segment, count(*) AS macroblocks, count(*) FILTER (q IS NULL) AS only_decoded, count(*) FILTER (p IS NULL) AS only_oracle, CAST(coalesce(sum(n), 0) AS BIGINT) AS sad, count(*) FILTER (n > 0) AS differ FROM j GROUP BY 1""",
 }
