@@ -135,7 +135,7 @@ def prepared(docs: DataFrame, learn: Column) -> Corpus:
     counts = written(counts, "word-counts")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     short = counts.where(F.octet_length("word") <= MAX_BYTES).withColumn("all", F.lit(1))
-    top = sorted(((w.encode(), n) for w, n in zip(*most_frequent(short, ["all"], "word", VOCABULARY).select("word", "n").toArrow().to_pydict().values(), strict=True)), key=lambda x: (-x[1], x[0]))
+    top = sorted(((w.encode(), n) for w, n in zip(*most_frequent(short, ["all"], "word", VOCABULARY, few=True).select("word", "n").toArrow().to_pydict().values(), strict=True)), key=lambda x: (-x[1], x[0]))
     end = [x for x in top if x[0] == END] or [(END, 0)]
     top = [x for x in top if x[0] != END]
     top[min(len(top), SEEDS - 1) : min(len(top), SEEDS - 1)] = end

@@ -1,10 +1,14 @@
 """Language identification: known words first, then ever shorter character n-grams.
 
 Training counts the lower-cased words (runs of letters) of every labelled text by language, and from these counts all character n-grams of the
-words. The model keeps the words and n-grams of each length that are among the most frequent of some language, by documented bounds, with their counts
-in every language. A word in the model adds its log frequency in each language; another word backs off to its longest n-grams that the model has, with
+words. The model keeps the words and n-grams of each length that are among the most frequent of some language, with their counts
+in every language that has them. A word in the model adds its log frequency in each language; another word backs off to its longest n-grams that the model has, with
 the mean of their log frequencies.
 
+The model is sorted 64-bit hashes of its keys with lists of languages and values, as most keys are of few languages; tasks score dense rows of words, which they keep for a
+while. A language adds ``most_words`` words and five times ``most_grams`` n-grams at most, whatever the number of languages: some 1 MB, all of which is broadcast; ``MOST_BYTES`` is
+the most that is, and a model beyond is an error that asks for shorter lists.
+
 Defined cases: null, empty and letterless texts are ``und`` with score 0; with no training text every text is; equal sums go to the
 language that comes first by name; rows with null ``lang`` are not learned from, and a language whose texts have no letter is not learned. Runs above
 ``MAX_LETTERS`` are no words of the model, but their n-grams are learned and looked up as all others'. Repeated rows are learned from and predicted each for itself, whatever
@@ -16,22 +20,25 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import by_bytes, written
 
-#: Words a language, and n-grams a language and length that the model keeps, for up to so many languages: the lists of more are shorter, as all scores of
-#: a model are one table of keys by languages, which is broadcast: of 110 MB at most, whatever the corpus. So many characters a word of the model at most.
-MANY_LANGS, MAX_WORDS, MAX_GRAMS, MAX_LETTERS = 24, 20_000, 5_000, 40
+#: Words a language, and n-grams a language and length, that the model keeps; characters a word of the model at most; what may be broadcast.
+MOST_WORDS, MOST_GRAMS, MAX_LETTERS, MOST_BYTES = 20_000, 5_000, 40, 1 << 30
 LENGTHS = (5, 4, 3, 2, 1)
 _LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 200_000
+#: Numbers in the rows of words that a task keeps.
+CACHE_NUMBERS = 1 << 20
+FEW_LANGS = 10_000
 
 
 def has_letter(word: str) -> bool:
@@ -39,25 +46,125 @@ def has_letter(word: str) -> bool:
     return any(map(str.isalpha, word))
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+
+
+def gram_hashes(letters: np.ndarray, n: int) -> np.ndarray:
+    """Of every n letters in a row, given as numbers."""
+    h = np.zeros(max(0, len(letters) - n + 1), np.uint64)
+    for i in range(n):
+        h = (h + letters[i : i + len(h)].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _numbers(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@dataclass
+class Table:
+    """Values of keys by language: the sorted hashes of the keys, where each one's values begin, the values' languages, and what they are above the floor of all others."""
+
+    keys: np.ndarray
+    ends: np.ndarray
+    langs: np.ndarray
+    values: np.ndarray
+    floor: float
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, langs: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> Table:
+        """Log frequencies; half a count of the largest total where a language has none, which is below all real frequencies whatever the languages' sizes."""
+        floor = math.log(0.5 / totals.max()) if len(totals) else 0.0
+        order = np.lexsort((langs, hashes))
+        keys, first = np.unique(hashes[order], return_index=True)
+        values = np.log(counts.astype(np.float64) / totals) - floor
+        return cls(keys, np.r_[first, len(order)].astype(np.int64), langs[order].astype(np.int32), values[order].astype(np.float32), floor)
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the keys, or -1."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def added(self, rows: np.ndarray, keys: np.ndarray, out: np.ndarray) -> None:
+        """Adds the values of the keys, above the floor, to these rows of ``out``."""
+        sizes = self.ends[keys + 1] - self.ends[keys]
+        places = np.arange(sizes.sum()) + np.repeat(self.ends[keys] - np.cumsum(sizes) + sizes, sizes)
+        cells = np.repeat(rows, sizes) * out.shape[1] + self.langs[places]
+        out += np.bincount(cells, weights=self.values[places], minlength=out.size).reshape(out.shape)
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.ends, self.langs, self.values))
+
+
+class Rows(dict):
+    """Numbers of words' rows in a task, which are made when words are first asked for."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model = model
+        self.table = np.zeros((0, len(model.langs)), np.float32)
+        self.most = max(1_000, CACHE_NUMBERS // max(1, len(model.langs)))
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """Row of each of the words; no more than ``most`` of them."""
+        new = list(dict.fromkeys(w for w in words if w not in self))
+        if len(self) + len(new) > 2 * self.most:
+            self.clear()
+            self.table = self.table[:0]
+            new = list(dict.fromkeys(words))
+        if new:
+            first = len(self.table)
+            self.update(zip(new, range(first, first + len(new)), strict=True))
+            self.table = np.concatenate([self.table, self.model.scores(new)])
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 @dataclass
 class Model:
     langs: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    grams: dict[str, int]
-    gram_scores: np.ndarray
-    cache: dict[str, int] = field(default_factory=dict)
-    rows: np.ndarray | None = None
-
-    def unseen(self, word: str) -> np.ndarray:
-        padded = f" {word} "
+    words: Table
+    grams: dict[int, Table]
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """A row a word, a column a language."""
+        out = np.zeros((len(words), len(self.langs)))
+        at = self.words.found(word_hashes(words))
+        at[np.fromiter(map(len, words), np.int64, len(words)) > MAX_LETTERS] = -1
+        known, left = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        self.words.added(known, at[known], out)
+        out[known] += self.words.floor
+        if len(left):
+            out[left] = self.unseen([words[i] for i in left.tolist()])
+        return out.astype(np.float32)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """The same of words that the model does not have, by their longest n-grams that it has."""
+        out, open_ = np.zeros((len(words), len(self.langs))), np.ones(len(words), bool)
+        letters = _numbers("".join(f" {w} " for w in words))
+        sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+        owner, after = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes)
         for n in LENGTHS:
-            at = [i for j in range(len(padded) - n + 1) if (i := self.grams.get(padded[j : j + n])) is not None]
-            if at:
-                return self.gram_scores[at].mean(axis=0)
-        return np.zeros(len(self.langs), np.float32)
+            table = self.grams.get(n)
+            if table is None or not open_.any():
+                continue
+            h = gram_hashes(letters, n)
+            inside = np.flatnonzero(open_[owner[: len(h)]] & (np.arange(len(h)) + n <= after[: len(h)]))
+            at = table.found(h[inside])
+            inside, at = inside[at >= 0], at[at >= 0]
+            rows, hits = owner[inside], np.bincount(owner[inside], minlength=len(words))
+            sums = np.zeros_like(out)
+            table.added(rows, at, sums)
+            done = hits > 0
+            out[done] = sums[done] / hits[done, None] + table.floor
+            open_ &= ~done
+        return out
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    def predict(self, texts: list[str | None], cache: Rows | None = None) -> tuple[list[str], list[float]]:
+        cache = Rows(self) if cache is None else cache
         names, scores = [], []
         for text in texts:
             found = _LETTERS.findall(text.lower()) if text else []
@@ -65,32 +172,16 @@ class Model:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-            known, rest = [], []
             total = np.zeros(len(self.langs))
-            get, look = self.words.get, self.cache.get
-            for word in found:
-                i = get(word)
-                if i is not None:
-                    known.append(i)
-                    continue
-                if len(word) > MAX_LETTERS:  # too large to be held
-                    total += self.unseen(word)
-                    continue
-                j = look(word)
-                if j is None:
-                    j = self.cache[word] = len(self.cache)
-                    if self.rows is None:
-                        self.rows = np.zeros((1024, len(self.langs)), np.float32)
-                    elif j == len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                    self.rows[j] = self.unseen(word)
-                rest.append(j)
-            if known:
-                total += self.word_scores[known].sum(axis=0, dtype=np.float64)
-            if rest:
-                total += self.rows[rest].sum(axis=0, dtype=np.float64)
+            for i in range(0, len(found), cache.most):
+                part = found[i : i + cache.most]
+                long = [w for w in part if len(w) > MAX_LETTERS]  # too large to be kept
+                part = [w for w in part if len(w) <= MAX_LETTERS] if long else part
+                for w in long:
+                    total += self.unseen([w])[0]
+                if part:
+                    at = cache.of(part)
+                    total += cache.table[at].sum(axis=0, dtype=np.float64)
             # a long text is no more than ten words' worth of independent evidence
             even = np.exp((total - total.max()) * min(1.0, 10 / len(found)))
             best = int(total.argmax())
@@ -99,26 +190,15 @@ class Model:
         return names, scores
 
 
-def _scores(rows: pd.DataFrame, key: str, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies, from rows of key, lang, n and the language's total; half a count of the largest total where a language has none, which is below
-    all real frequencies whatever the languages' sizes."""
-    if not len(rows):
-        return {}, np.zeros((1, len(langs)), np.float32)
-    codes, names = pd.factorize(rows[key])
-    at = rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
-    out = np.full((len(names), len(langs)), math.log(0.5 / rows["total"].max()), np.float32)
-    out[codes, at] = np.log(rows["n"].to_numpy(np.float64) / rows["total"].to_numpy(np.float64))
-    return {x: i for i, x in enumerate(names)}, out
-
-
-def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, buckets: int = 4096) -> DataFrame:
+def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, few: bool, buckets: int = 4096) -> DataFrame:
     """The ``most`` rows of ``counts`` with the largest ``n`` of each group, ties by a hash of ``key``. No task sorts a group's rows: a histogram of ``n`` gives the
-    count from which on all stay, and a histogram of hash buckets how far into the rows of the next count."""
+    count from which on all stay, and a histogram of hash buckets how far into the rows of the next count. ``few``: the groups are known to be so few that a row of each is broadcast."""
     line = Window.partitionBy(*group)
     sums = counts.groupBy(*group, "n").agg(F.count("*").alias("rows"))
     upto = sums.withColumn("upto", F.sum("rows").over(line.orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     edge = upto.where(F.col("upto") > most).groupBy(*group).agg(F.min_by(F.struct(F.col("n").alias("edge"), (F.lit(most) - F.col("upto") + F.col("rows")).alias("room")), "upto").alias("e"))
-    marked = counts.join(F.broadcast(edge.select(*group, "e.edge", "e.room")), group, "left")  # one row a group
+    edge = edge.select(*group, "e.edge", "e.room")
+    marked = counts.join(F.broadcast(edge) if few else edge, group, "left")
     sure = marked.where("edge IS NULL OR n > edge").select(*counts.columns)
     tied = marked.where("n = edge").withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
     per = tied.groupBy(*group, "bucket").agg(F.count("*").alias("rows"))
@@ -128,21 +208,30 @@ def most_frequent(counts: DataFrame, group: list[str], key: str, most: int, buck
     return sure.unionByName(tied.withColumn("place", place).where("place <= room - before").select(*counts.columns))
 
 
-def fit(train: DataFrame) -> Model:
-    """A model from ``text`` and ``lang``. What reaches the driver is bounded by the model's own bounds."""
+def fit(train: DataFrame, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> Model:
+    """A model from ``text`` and ``lang``. What reaches the driver is bounded by the lists' lengths and the number of languages."""
     train = train.where("text IS NOT NULL AND lang IS NOT NULL")
     words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
     counts = train.select("lang", words.alias("word")).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     counts = written(counts, "words")
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    few, number = len(langs) <= FEW_LANGS, {x: i for i, x in enumerate(langs)}
     if not langs:
-        return Model([], {}, np.zeros((1, 0), np.float32), {}, np.zeros((1, 0), np.float32))
-    fewer = min(1.0, (MANY_LANGS / len(langs)) ** 2)
-    most_words, most_grams = max(1, int(MAX_WORDS * fewer)), max(1, int(MAX_GRAMS * fewer))
+        return Model([], Table.of(*(np.zeros(0, kind) for kind in (np.uint64, np.int64, np.int64, np.float64))), {})
     short = F.char_length("word") <= MAX_LETTERS
+
+    def with_totals(rows: DataFrame, key: str, totals: DataFrame, on: list[str]) -> pa.Table:
+        return rows.join(F.broadcast(totals) if few else totals, on).select(key, *({"lang", *on}), "n", "total").toArrow()
+
+    def columns(rows: pa.Table) -> list[np.ndarray]:
+        langs_of = rows["lang"].combine_chunks().dictionary_encode() if rows.num_rows else None
+        own = np.array([number[x] for x in langs_of.dictionary.to_pylist()], np.int64)[langs_of.indices.to_numpy()] if langs_of else np.zeros(0, np.int64)
+        return [own, rows["n"].to_numpy(), rows["total"].to_numpy().astype(np.float64)]
+
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    kept = most_frequent(counts.where(short), ["lang"], "word", most_words).select("word").distinct()
-    top = counts.join(kept, "word", "left_semi").join(F.broadcast(totals), "lang").select("word", "lang", "n", "total").toPandas()  # totals: a row a language
+    kept = most_frequent(counts.where(short), ["lang"], "word", most_words, few).select("word").distinct()
+    top = with_totals(counts.join(kept, "word", "left_semi"), "word", totals, ["lang"])
+    known = Table.of(word_hashes(top["word"].to_pylist()), *columns(top))
     padded = F.concat(F.lit(" "), "word", F.lit(" "))
 
     def cut_to(n: int) -> Column:  # a second argument of the lambda would be the place in the array
@@ -159,16 +248,17 @@ def fit(train: DataFrame) -> Model:
     grams = cut.where("gram <> ' '").groupBy("lang", "gram").agg(F.sum("n").alias("n")).withColumn("length", F.char_length("gram"))
     grams = written(grams, "grams")
     totals = grams.groupBy("lang", "length").agg(F.sum("n").alias("total"))
-    kept = most_frequent(grams, ["lang", "length"], "gram", most_grams).select("gram").distinct()
-    common = grams.join(kept, "gram", "left_semi").join(F.broadcast(totals), ["lang", "length"]).select("gram", "lang", "length", "n", "total").toPandas()
-    word_place, word_scores = _scores(top, "word", langs)
-    place, scores = {}, [np.zeros((0, len(langs)), np.float32)]
+    kept = most_frequent(grams, ["lang", "length"], "gram", most_grams, few).select("gram").distinct()
+    common = with_totals(grams.join(kept, "gram", "left_semi"), "gram", totals, ["lang", "length"])
+    tables = {}
     for n in LENGTHS:
-        own, table = _scores(common[common["length"] == n], "gram", langs)
-        if own:
-            place |= {g: i + sum(map(len, scores)) for g, i in own.items()}
-            scores.append(table)
-    return Model(langs, word_place, word_scores, place, np.concatenate(scores))
+        own = common.filter(pa.compute.equal(common["length"], n))
+        if own.num_rows:
+            tables[n] = Table.of(gram_hashes(_numbers("".join(own["gram"].to_pylist())), n)[::n], *columns(own))
+    size = known.size() + sum(t.size() for t in tables.values())
+    if size > MOST_BYTES:
+        raise ValueError(f"a model of {size >> 20} MB for {len(langs)} languages: ask for fewer than {most_words} words and {most_grams} n-grams a language")
+    return Model(langs, known, tables)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -178,8 +268,9 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        cache = Rows(own)
         for batch in by_bytes(batches):
-            names, scores = own.predict(batch["text"].to_pylist())
+            names, scores = own.predict(batch["text"].to_pylist(), cache)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "lang_pred": names, "score": pa.array(scores, pa.float64())})
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
@@ -190,11 +281,14 @@ def with_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def has(texts):
+    def has(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        if not own.langs:
-            return pd.Series([bool(t) and any(map(has_letter, _LETTERS.findall(t))) for t in texts], dtype=bool)
-        names, scores = own.predict(list(texts))
-        return pd.Series([name != "und" and score >= least for name, score in zip(names, scores, strict=True)], dtype=bool)
+        cache = Rows(own)
+        for texts in batches:
+            if not own.langs:
+                yield pd.Series([bool(t) and any(map(has_letter, _LETTERS.findall(t))) for t in texts], dtype=bool)
+                continue
+            names, scores = own.predict(list(texts), cache)
+            yield pd.Series([name != "und" and score >= least for name, score in zip(names, scores, strict=True)], dtype=bool)
 
     return docs.where(has("text"))

@@ -248,7 +248,7 @@ def test_most_frequent_of_each_group(spark):
     rows = [(lang, f"w{i}", i % 7) for lang in "ab" for i in range(200)] + [("c", "x", 1)]
     table = spark.createDataFrame(rows, "lang string, word string, n long").repartition(3)
     for most in (1, 30, 150, 1000):
-        got = [(r.lang, r.word, r.n) for r in language_id.most_frequent(table, ["lang"], "word", most, 8).collect()]
+        got = [(r.lang, r.word, r.n) for r in language_id.most_frequent(table, ["lang"], "word", most, most < 100, 8).collect()]
         assert len(set(got)) == len(got) and set(got) <= set(rows)
         for lang in "abc":
             kept, every = ([r[2] for r in x if r[0] == lang] for x in (got, rows))
