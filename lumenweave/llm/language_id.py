@@ -101,26 +101,32 @@ class Table:
 
 
 class Rows(dict):
-    """Numbers of words' rows in a task, which are made when words are first asked for."""
+    """Numbers of words' rows in a task. New words are numbered as they are met, and the rows of all new ones are made together."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
         self.model = model
         self.table = np.zeros((0, len(model.langs)), np.float32)
+        self.new: list[str] = []
         self.most = max(1_000, CACHE_NUMBERS // max(1, len(model.langs)))
 
+    def __missing__(self, word: str) -> int:
+        number = len(self.table) + len(self.new)
+        self.new.append(word)
+        if len(word) <= MAX_LETTERS:  # longer ones are too large to be kept
+            self[word] = number
+        return number
+
     def of(self, words: list[str]) -> np.ndarray:
-        """Row of each of the words; no more than ``most`` of them."""
-        new = list(dict.fromkeys(w for w in words if w not in self))
-        if len(self) + len(new) > 2 * self.most:
+        """Rows of the words; no more than ``most`` of them."""
+        if len(self.table) > self.most:
             self.clear()
             self.table = self.table[:0]
-            new = list(dict.fromkeys(words))
-        if new:
-            first = len(self.table)
-            self.update(zip(new, range(first, first + len(new)), strict=True))
-            self.table = np.concatenate([self.table, self.model.scores(new)])
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.table = np.concatenate([self.table, self.model.scores(self.new)])
+            self.new = []
+        return self.table[at]
 
 
 @dataclass
@@ -165,26 +171,23 @@ class Model:
 
     def predict(self, texts: list[str | None], cache: Rows | None = None) -> tuple[list[str], list[float]]:
         cache = Rows(self) if cache is None else cache
+        found = [_LETTERS.findall(text.lower()) if text else [] for text in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        total, owner = np.zeros((len(found), len(self.langs))), np.repeat(np.arange(len(found)), sizes)
+        flat = [w for own in found for w in own]
+        for i in range(0, len(flat) if self.langs else 0, cache.most):
+            own = owner[i : i + cache.most]
+            first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            total[own[first]] += np.add.reduceat(cache.of(flat[i : i + cache.most]), first, dtype=np.float64)
         names, scores = [], []
-        for text in texts:
-            found = _LETTERS.findall(text.lower()) if text else []
-            if not self.langs or not any(map(has_letter, found)):
+        for own, sums in zip(found, total, strict=True):
+            if not self.langs or not any(map(has_letter, own)):
                 names.append("und")
                 scores.append(0.0)
                 continue
-            total = np.zeros(len(self.langs))
-            for i in range(0, len(found), cache.most):
-                part = found[i : i + cache.most]
-                long = [w for w in part if len(w) > MAX_LETTERS]  # too large to be kept
-                part = [w for w in part if len(w) <= MAX_LETTERS] if long else part
-                for w in long:
-                    total += self.unseen([w])[0]
-                if part:
-                    at = cache.of(part)
-                    total += cache.table[at].sum(axis=0, dtype=np.float64)
             # a long text is no more than ten words' worth of independent evidence
-            even = np.exp((total - total.max()) * min(1.0, 10 / len(found)))
-            best = int(total.argmax())
+            even = np.exp((sums - sums.max()) * min(1.0, 10 / len(own)))
+            best = int(sums.argmax())
             names.append(self.langs[best])
             scores.append(float(even[best] / even.sum()))
         return names, scores
@@ -269,7 +272,7 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         cache = Rows(own)
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, 2 << 20):
             names, scores = own.predict(batch["text"].to_pylist(), cache)
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "lang_pred": names, "score": pa.array(scores, pa.float64())})
 
@@ -288,7 +291,11 @@ def with_language(docs: DataFrame, model: Model, least: float = 0.0) -> DataFram
             if not own.langs:
                 yield pd.Series([bool(t) and any(map(has_letter, _LETTERS.findall(t))) for t in texts], dtype=bool)
                 continue
-            names, scores = own.predict(list(texts), cache)
-            yield pd.Series([name != "und" and score >= least for name, score in zip(names, scores, strict=True)], dtype=bool)
+            sizes = np.cumsum(texts.str.len().fillna(0).to_numpy()) // (2 << 20)  # some megabytes of text at once
+            said: list[bool] = []
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+                names, scores = own.predict(texts.iloc[part].tolist(), cache)
+                said += [name != "und" and score >= least for name, score in zip(names, scores, strict=True)]
+            yield pd.Series(said, dtype=bool)
 
     return docs.where(has("text"))
