@@ -4,13 +4,17 @@ Words are counted over all training texts. Every text is cut into words once, as
 of the vocabulary, the seeds, are elements of their own, and all others belong to one of a fixed number of groups by shape (script, marks, length, last
 letters). Exchange clustering moves elements between classes as long as the likelihood of the class bigrams, counted over all training texts, grows. Then every
 other word of the vocabulary goes to its best class by the same gain, from the counts of the classes before and after it in all training texts, in tasks that
-hold some words' counts each; and the transitions are counted again with all words in their classes.
+hold some words' counts each; and the transitions are counted again with all words in their classes. From then on all words, seeds too, are taken out of their class and
+moved to the best one, round by round, until the moves of a round are of less than ``SETTLED`` of the tokens, or ``ROUNDS`` are done. As words move at the same time, a round's moves
+are halved, the least gains first, until the likelihood of the recounted transitions does not fall; ``Model.likelihoods`` has it for every round.
 
 A word's probability is that of its class after the previous word's class, smoothed towards the class's own, times the share that the word has in its class.
 Words beyond the vocabulary have the class of their group and their own share. A group also keeps a share for all words never seen, as large as its words seen
 once: such a word stands for the one unknown word of its group, so that probabilities sum to one over known words and the groups' unknown ones.
 
-What reaches the driver is bounded: ``VOCABULARY`` words and their classes, and the bigram counts of ``SEEDS`` + ``GROUPS`` elements. The counts of words beyond
+Words above ``LONG`` bytes, such as addresses and dividers, are words as all others, under a digest of theirs that stands for them.
+
+What reaches the driver is bounded: ``VOCABULARY`` words of ``LONG`` bytes at most and their classes, and the bigram counts of ``SEEDS`` + ``GROUPS`` elements. The counts of words beyond
 the vocabulary stay in a table that the words of texts are joined to.
 
 Defined cases: null and empty texts still have their end; a null id counts with id "" where the caller parts texts by id; repeated rows are trained on and
@@ -20,6 +24,7 @@ frequent a hash decides which are in the vocabulary; very long texts are held on
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -28,17 +33,24 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenweave.llm.common import SPACE_RUN, by_bytes, lowered, written
 from lumenweave.llm.language_id import most_frequent
 
-VOCABULARY, SEEDS, GROUPS, CLASSES, MAX_BYTES = 200_000, 1_000, 192, 64, 64
+VOCABULARY, SEEDS, GROUPS, CLASSES, LONG = 200_000, 1_000, 192, 64, 64
+ROUNDS, SETTLED = 3, 0.001
 #: The end of a text; no word has white space.
 END = b"\n"
 
 
+def key_of(word: bytes) -> bytes:
+    """What stands for a word: itself, or where it is long a digest that no word equals."""
+    return word if len(word) <= LONG else END + hashlib.sha1(word).hexdigest().encode()
+
+
 def group_of(word: str) -> int:
     """0 to GROUPS - 1: script, marks and length, and a hash of the last two letters."""
     raw = word.encode("utf-8")
@@ -73,7 +85,8 @@ def exchanged(counts: np.ndarray, classes: int, rounds: int = 12) -> np.ndarray:
             rows, columns, corner = table.sum(axis=1), table.sum(axis=0), np.diag(table)
             gain = (phi(table + after[None, :]) - phi(table)).sum(axis=1) + (phi(table + before[:, None]) - phi(table)).sum(axis=0)
             gain += phi(corner + after + before + self_count) - phi(corner + after) - phi(corner + before) + phi(corner)
-            gain -= phi(rows + right[w]) - phi(rows) + phi(columns + left[w]) - phi(columns)
+            # what stands beside it has its place in these sums whatever its class
+            gain -= phi(rows + before + right[w]) - phi(rows + before) + phi(columns + after + left[w]) - phi(columns + after)
             best = int(gain.argmax())
             if gain[best] <= gain[a] + 1e-9:
                 best = int(a)
@@ -122,6 +135,7 @@ class Model:
     step: np.ndarray  # log10 probability of a class after a class
     whole: np.ndarray  # log10 of the size of a group's class
     unseen: np.ndarray  # log10 of a group's unknown word's part of its class
+    likelihoods: list[float]  # log10 probability of a training token by its class bigram and share, after the first assignment and each round
 
 
 def phi(x: np.ndarray) -> np.ndarray:
@@ -130,11 +144,12 @@ def phi(x: np.ndarray) -> np.ndarray:
 
 def prepared(docs: DataFrame, learn: Column) -> Corpus:
     """The words of all texts as numbers, and what the texts where ``learn`` holds say of the words. Both are written tables."""
-    words = F.filter(F.split(lowered(F.col("text")), SPACE_RUN), lambda w: w != "")
+    key = lambda w: F.when(F.octet_length(w) > LONG, F.concat(F.lit(END.decode()), F.sha1(F.encode(w, "utf-8")))).otherwise(w)
+    words = F.transform(F.filter(F.split(lowered(F.col("text")), SPACE_RUN), lambda w: w != ""), key)
     counts = docs.where(learn).select(F.explode(F.concat(words, F.array(F.lit(END.decode())))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = written(counts, "word-counts")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    short = counts.where(F.octet_length("word") <= MAX_BYTES).withColumn("all", F.lit(1))
+    short = counts.withColumn("all", F.lit(1))
     top = sorted(((w.encode(), n) for w, n in zip(*most_frequent(short, ["all"], "word", VOCABULARY, few=True).select("word", "n").toArrow().to_pydict().values(), strict=True)), key=lambda x: (-x[1], x[0]))
     end = [x for x in top if x[0] == END] or [(END, 0)]
     top = [x for x in top if x[0] != END]
@@ -150,6 +165,8 @@ def prepared(docs: DataFrame, learn: Column) -> Corpus:
             values, ends, rest, rest_ends = [], [0], [], [0]
             for text in batch["text"].to_pylist():
                 own = (text or "").encode("utf-8").lower().split()
+                if own and len(max(own, key=len)) > LONG:
+                    own = [key_of(w) for w in own]
                 ids = np.fromiter(map(get, own), np.int32, len(own))
                 unknown = np.flatnonzero(ids < 0)
                 if len(unknown):
@@ -197,8 +214,7 @@ def _pair_counts(corpus: Corpus, of: np.ndarray, end: int, n: int) -> np.ndarray
             numbers, ends = _laid(batch)
             if len(numbers):
                 own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)].astype(np.int64)
-                code, times = np.unique(_after(own, ends, end) * n + own, return_counts=True)
-                total[code] += times
+                total += np.bincount(_after(own, ends, end) * n + own, minlength=n * n)
         code = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"code": code, "n": total[code]})
 
@@ -208,43 +224,115 @@ def _pair_counts(corpus: Corpus, of: np.ndarray, end: int, n: int) -> np.ndarray
     return table.reshape(n, n)
 
 
-def best_classes(table: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """For words with these counts of classes before and after them, the class that they add most likelihood to."""
-    rows, columns = table.sum(axis=1), table.sum(axis=0)
-    gain = (phi(table.T[None] + before[:, None, :]) - phi(table.T)[None]).sum(axis=2) + (phi(table[None] + after[:, None, :]) - phi(table)[None]).sum(axis=2)
-    gain -= phi(rows[None] + after.sum(axis=1)[:, None]) - phi(rows)[None] + phi(columns[None] + before.sum(axis=1)[:, None]) - phi(columns)[None]
-    return gain.argmax(axis=1)
-
-
-def _assigned(corpus: Corpus, classes: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the vocabulary's words beyond the seeds, and their best classes, given the classes and transitions of all elements."""
-    shared, v, end = corpus.texts.sparkSession.sparkContext.broadcast((classes, table)), len(corpus.words), int(classes[corpus.words.index(END)])
-    side = 2 * CLASSES
+def _gains(table: np.ndarray, seen: np.ndarray, other: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """What each word adds to the likelihood's bigrams (k, c) in every class c, if it has ``seen`` these counts of classes k on one side and the ``other`` ones on its other side."""
+    word, k = np.nonzero(seen)
+    out = np.zeros(seen.shape)
+    if not len(word):
+        return out
+    n, base = seen[word, k][:, None], table[k]
+    if own is not None:  # the word is in a class, whose bigrams are fewer without it
+        base[np.arange(len(word)), own[word]] -= n[:, 0]
+        same = k == own[word]
+        base[same] -= other[word[same]]
+        np.maximum(base, 0, out=base)  # a word beside itself is taken out twice
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    out[word[first]] = np.add.reduceat(phi(base + n) - phi(base), first)
+    return out
+
+
+def best_classes(table: np.ndarray, before: np.ndarray, after: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For words with these counts of classes before and after them, the class that they add most likelihood to, and how much more than in their own. ``own``: the class they are in
+    and are first taken out of; without it they are in none."""
+    gain, at = _gains(table, before, after, own) + _gains(table.T, after, before, own), np.arange(len(before))
+    for line, size in ((table.sum(axis=1), after.sum(axis=1)[:, None]), (table.sum(axis=0), before.sum(axis=1)[:, None])):
+        without = np.broadcast_to(line, gain.shape).copy()
+        if own is not None:
+            without[at, own] -= size[:, 0]
+        gain -= phi(without + size) - phi(without)
+    corner = np.broadcast_to(np.diag(table), gain.shape).copy()  # a class beside itself gains from both sides at once
+    if own is not None:
+        corner[at, own] = np.maximum(corner[at, own] - before[at, own] - after[at, own], 0)
+    gain += phi(corner + after + before) - phi(corner + after) - phi(corner + before) + phi(corner)
+    best = gain.argmax(axis=1)
+    return best, gain[at, best] - (gain[at, own] if own is not None else 0)
+
+
+def _moves(corpus: Corpus, classes: np.ndarray, table: np.ndarray, first: int, inside: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the vocabulary's words from ``first`` on, their best classes and gains, given the classes of all and their transitions. ``inside``: the words are in their classes and are
+    taken out first. Tasks count what stands beside each word as bytes, which one shuffle brings together by word."""
+    spark, v, end = corpus.texts.sparkSession, len(corpus.words), int(classes[corpus.words.index(END)])
+    shared, side = spark.sparkContext.broadcast((classes, table)), 2 * CLASSES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = shared.value[0]
         for batch in batches:
             numbers, ends = _laid(batch)
             own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)].astype(np.int64)
-            at = np.flatnonzero(numbers >= SEEDS)  # never the last of a row, which is the end
-            codes = np.r_[numbers[at].astype(np.int64) * side + _after(own, ends, end)[at], numbers[at].astype(np.int64) * side + CLASSES + own[at + 1]]
+            later = np.full(len(own), end, np.int64)
+            later[:-1] = own[1:]  # what follows the end of a text is the next one's first word, which no likelihood counts
+            at = np.flatnonzero(numbers >= first)
+            inner = at[numbers[at] != corpus_end]
+            codes = np.r_[numbers[at].astype(np.int64) * side + _after(own, ends, end)[at], numbers[inner].astype(np.int64) * side + CLASSES + later[inner]]
             code, n = np.unique(codes, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"word": code // side, "k": code % side, "n": n})
+            word, begins = np.unique(code // side, return_index=True)
+            kept, sizes = (code % side).astype(np.uint8).tobytes(), np.diff(np.r_[begins, len(code)])
+            times = n.astype("<u4").tobytes()
+            cut = [(a, a + z) for a, z in zip(begins.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"word": word, "k": pa.array([kept[a:b] for a, b in cut], pa.binary()), "n": pa.array([times[4 * a : 4 * b] for a, b in cut], pa.binary())})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value[1]
+        kinds, table = shared.value
+        place: dict[int, int] = {}
+        seen = np.zeros((0, side))
         for batch in batches:
-            sizes = batch["seen"].value_lengths().to_numpy(zero_copy_only=False)
-            flat, row = batch["seen"].flatten(), np.repeat(np.arange(batch.num_rows), sizes)
-            seen = np.zeros((batch.num_rows, side))
-            np.add.at(seen, (row, flat.field("k").to_numpy()), flat.field("n").to_numpy())
-            chosen = [best_classes(table, seen[i : i + 64, :CLASSES], seen[i : i + 64, CLASSES:]) for i in range(0, len(seen), 64)]
-            yield pa.RecordBatch.from_pydict({"word": batch["word"], "class": np.concatenate(chosen) if chosen else np.zeros(0, np.int64)})
-
-    seen = corpus.texts.where("learn").select("numbers").mapInArrow(count, "word long, k long, n long").groupBy("word", "k").agg(F.sum("n").alias("n"))
-    seen = seen.groupBy("word").agg(F.collect_list(F.struct("k", "n")).alias("seen"))  # two lists of classes at most
-    found = seen.mapInArrow(choose, "word long, class long").toArrow()
-    return found["word"].to_numpy(), found["class"].to_numpy()
+            words = batch["word"].to_pylist()
+            for w in words:
+                place.setdefault(w, len(place))
+            if len(place) > len(seen):
+                seen = np.concatenate([seen, np.zeros((max(len(place) - len(seen), len(seen)), side))])
+            sizes = pa.compute.binary_length(batch["k"]).to_numpy(zero_copy_only=False)
+            rows = np.repeat(np.array([place[w] for w in words], np.int64), sizes)
+            k, n = (np.frombuffer(b"".join(batch[c].to_pylist()), kind) for c, kind in (("k", np.uint8), ("n", "<u4")))
+            np.add.at(seen, (rows, k), n)
+        words = np.fromiter(place, np.int64, len(place))
+        for i in range(0, len(words), 128):
+            part, own = words[i : i + 128], seen[i : i + 128][: len(words) - i]
+            best, gain = best_classes(table, own[:, :CLASSES], own[:, CLASSES:], kinds[part] if inside else None)
+            yield pa.RecordBatch.from_pydict({"word": part, "class": best, "gain": gain})
+
+    corpus_end = corpus.words.index(END)
+    seen = corpus.texts.where("learn").select("numbers").mapInArrow(count, "word long, k binary, n binary")
+    found = seen.repartition("word").mapInArrow(choose, "word long, class long, gain double").toArrow()
+    return tuple(found[c].to_numpy() for c in ("word", "class", "gain"))
+
+
+def likelihood(steps: np.ndarray) -> float:
+    """Of the class bigrams, without the words' own part, which does not depend on the classes."""
+    return float(phi(steps).sum() - phi(steps.sum(axis=0)).sum() - phi(steps.sum(axis=1)).sum())
+
+
+def settled(corpus: Corpus, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes after rounds of exchange over all words, their transitions, and the likelihood before and after each round."""
+    end = corpus.words.index(END)
+    steps = _pair_counts(corpus, classes, int(classes[end]), CLASSES)
+    history = [likelihood(steps)]
+    for _ in range(rounds):
+        words, chosen, gain = _moves(corpus, classes, steps, 0, True)
+        better = np.flatnonzero((chosen != classes[words]) & (gain > 1e-9) & (words != end))
+        better = better[np.lexsort((words[better], -gain[better]))]
+        while len(better) and corpus.frequency[words[better]].sum() >= SETTLED * corpus.tokens:
+            moved = classes.copy()
+            moved[words[better]] = chosen[better]
+            after = _pair_counts(corpus, moved, int(moved[end]), CLASSES)
+            if likelihood(after) > history[-1]:
+                classes, steps = moved, after
+                history.append(likelihood(after))
+                break
+            better = better[: len(better) // 2]
+        else:
+            break
+    return classes, steps, history
 
 
 def fit(corpus: Corpus, smoothing: float = 10.0) -> Model:
@@ -257,9 +345,9 @@ def fit(corpus: Corpus, smoothing: float = 10.0) -> Model:
     one = np.zeros((elements, CLASSES))
     one[np.arange(elements), by_element] = 1
     classes = by_element[of]
-    words, chosen = _assigned(corpus, classes, one.T @ table @ one)
+    words, chosen, _ = _moves(corpus, classes, one.T @ table @ one, SEEDS, False)
     classes[words] = chosen
-    steps = _pair_counts(corpus, classes, int(classes[end]), CLASSES)
+    classes, steps, history = settled(corpus, classes)
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(GROUPS, np.int64)
@@ -271,11 +359,12 @@ def fit(corpus: Corpus, smoothing: float = 10.0) -> Model:
     for r in corpus.counts.where("n = 1").select("word").mapInArrow(grouped, "g int, once long").groupBy("g").agg(F.sum("once").alias("once")).collect():
         once[r["g"]] += r["once"]
     of_groups, sizes = classes[v:], steps.sum(axis=0)
+    own = float(phi(corpus.frequency.astype(np.float64)).sum())
     whole = np.maximum(sizes + np.bincount(of_groups, weights=once, minlength=CLASSES), 1e-9)
     alone = (sizes + 0.5) / (sizes.sum() + 0.5 * CLASSES)
     step = np.log10((steps + smoothing * alone[None, :]) / (steps.sum(axis=1, keepdims=True) + smoothing))
     share = np.log10(np.maximum(corpus.frequency, 1)) - np.log10(whole[classes[:v]])
-    return Model(classes, share, step, np.log10(whole[of_groups]), np.log10(once) - np.log10(whole[of_groups]))
+    return Model(classes, share, step, np.log10(whole[of_groups]), np.log10(once) - np.log10(whole[of_groups]), [(x + own) / max(1, corpus.tokens) / np.log(10) for x in history])
 
 
 def scored(corpus: Corpus, model: Model) -> DataFrame:

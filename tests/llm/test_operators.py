@@ -273,8 +273,8 @@ def test_class_lm(spark, docs, empty, monkeypatch):
     model = class_lm.fit(corpus)
     got = class_lm.scored(corpus, model).collect()
     assert len(got) == docs.count() and np.allclose((10**model.step).sum(axis=1), 1)
-    words = {r.doc_id: brute.lower(r.text).encode().split() for r in docs.collect()}
-    train = [w for r in docs.collect() if r.doc_id is None or r.doc_id % 7 != 6 for w in [*brute.lower(r.text).encode().split(), b"\n"]]
+    words = {r.doc_id: [class_lm.key_of(w) for w in brute.lower(r.text).encode().split()] for r in docs.collect()}
+    train = [class_lm.key_of(w) for r in docs.collect() if r.doc_id is None or r.doc_id % 7 != 6 for w in [*brute.lower(r.text).encode().split(), b"\n"]]
     counts, place = Counter(train), {w: i for i, w in enumerate(corpus.words)}
     assert len(place) == 1500 < len(counts) and place[b"\n"] < 60 and (corpus.tokens, corpus.types) == (len(train), len(counts))
     assert min(counts[w] for w in place) >= max(c for w, c in counts.items() if w not in place)
