@@ -63,26 +63,28 @@ def noise_state(n: Column, seed: int = 1) -> Column:
     return F.aggregate(F.array(*jumps), F.lit(seed).cast("long"), jump)
 
 
-def generated(spark: SparkSession, sizes: tuple[tuple[int, int], ...]) -> DataFrame:
-    """name, w, h, y, x, r, g, b of five patterns in each size: solid, gradient, checker of 8, noise, diagonal."""
-    shapes = F.array(*(F.struct(F.lit(w).cast("long").alias("w"), F.lit(h).cast("long").alias("h")) for w, h in sizes))
-    most = max(w * h for w, h in sizes)
-    grid = spark.range(most).select("id", F.explode(shapes).alias("s")).select("id", "s.*").where("id < w * h")
-    grid = grid.select("id", "w", "h", F.floor(F.col("id") / F.col("w")).alias("y"), (F.col("id") % F.col("w")).alias("x"))
+GENERATED = ("solid", "rgbgrad", "checker", "noise", "diag")
+
+
+def generated(specs: DataFrame) -> DataFrame:
+    """name, y, x, r, g, b of the images that ``specs`` (name, pattern, w, h) asks for: solid, gradient, checker of 8, noise, diagonal."""
+    grid = specs.select("name", "pattern", "w", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("w") * F.col("h") - 1)).alias("id"))
+    grid = grid.withColumn("y", F.floor(F.col("id") / F.col("w"))).withColumn("x", F.col("id") % F.col("w"))
     x, y, w, h = (F.col(c) for c in "xywh")
     checker = F.when((F.floor(x / 8) + F.floor(y / 8)) % 2 == 1, 255).otherwise(0)
     diagonal = F.when(F.abs(x - y) <= 1, 255).otherwise(0)
-    noise = noise_state(F.col("id") + 1)
+    grid = grid.withColumn("noise", F.when(F.col("pattern") == "noise", noise_state(F.col("id") + 1)))
     rgb = {
         "solid": (F.lit(17), F.lit(34), F.lit(51)),
         "rgbgrad": (F.floor(x * 255 / (w - 1)), F.floor(y * 255 / (h - 1)), F.floor((x + y) * 255 / (w + h - 2))),
         "checker": (checker,) * 3,
-        "noise": tuple(F.shiftright(noise, 8 * i).bitwiseAND(255) for i in range(3)),
+        "noise": tuple(F.shiftright("noise", 8 * i).bitwiseAND(255) for i in range(3)),
         "diag": (diagonal,) * 3,
     }
-    kinds = F.array(*(F.struct(F.lit(k).alias("pattern"), *(c.cast("long").alias(n) for c, n in zip(v, "rgb", strict=True))) for k, v in rgb.items()))
-    rows = grid.select("w", "h", "y", "x", F.explode(kinds).alias("k")).select("w", "h", "y", "x", "k.*")
-    return rows.select(F.concat_ws("_", "pattern", F.concat_ws("x", "w", "h")).alias("name"), "w", "h", "y", "x", "r", "g", "b")
+    color = F.lit(None)
+    for pattern, c in rgb.items():
+        color = F.when(F.col("pattern") == pattern, F.struct(*(v.cast("long").alias(n) for v, n in zip(c, "rgb", strict=True)))).otherwise(color)
+    return grid.withColumn("c", color).select("name", "y", "x", "c.*")
 
 
 def i420(pixels: DataFrame) -> DataFrame:
@@ -161,6 +163,16 @@ def pictures(embeddings: DataFrame) -> DataFrame:
     )
 
 
+def picture_pixels(embeddings: DataFrame) -> DataFrame:
+    """name, y, x, r, g, b of the same pictures, a row a pixel; where a tile is missing its samples are 128."""
+    tiles = embeddings.where(F.size("embedding") == 64).select(F.floor(F.col("vec_id") / 6).alias("picture"), F.struct((F.col("vec_id") % 6).alias("i"), B.pixels(F.col("embedding")).alias("p")).alias("tile"))
+    rows = tiles.groupBy("picture").agg(F.map_from_entries(F.collect_list("tile")).alias("tiles")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(5).cast("long"))))
+    rows = rows.select("picture", "i", F.posexplode(F.coalesce(F.element_at("tiles", F.col("i")), F.array_repeat(F.lit(128).cast("long"), 64))).alias("k", "v"), F.coalesce(F.element_at("tiles", F.col("i")), F.array_repeat(F.lit(128).cast("long"), 64)).alias("p"))
+    y, x = F.floor(F.col("i") / 3) * 8 + F.floor(F.col("k") / 8), F.col("i") % 3 * 8 + F.col("k") % 8
+    rows = rows.select(F.col("picture").cast("string").alias("name"), y.alias("y"), x.alias("x"), F.col("v").alias("r"), F.get("p", 63 - F.col("k")).alias("g"), (255 - F.col("v")).alias("b"))
+    return rows.where("x < 21 AND y < 13")
+
+
 def inside(values: Column) -> Column:
     """The samples of a tile that lie in the picture."""
     return F.filter(values, lambda _, i: (i % 8 < F.col("w")) & (F.floor(i / 8) < F.col("h")))

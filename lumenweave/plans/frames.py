@@ -49,10 +49,11 @@ def chroma_upsample(spark, sf_dir):
 
 
 def filter_params(spark, sf_dir):
-    """Limits by level and sharpness."""
-    rows = spark.range(64).select(F.col("id").alias("level"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("sharpness"))
+    """Limits by level and sharpness, which are made of the parts' keys."""
+    key = F.col("p_partkey")
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", (key % 64).alias("level"), (F.floor(key / 64) % 8).alias("sharpness"))
     interior, variance = H.filter_limits(F.col("level"), F.col("sharpness"))
-    return rows.select("level", "sharpness", interior.alias("interior"), variance.alias("variance"))
+    return rows.select("p_partkey", "level", "sharpness", interior.alias("interior"), variance.alias("variance"))
 
 
 def edge_filter(spark, sf_dir):
@@ -71,20 +72,23 @@ def skip_probability(spark, sf_dir):
     return per.select("image", "blocks", "coded", B.clip(F.floor((F.col("coded") * 256 + F.floor(F.col("blocks") / 2)) / F.col("blocks")), 1, 255).alias("probability"))
 
 
-SIZES = ((16, 16), (17, 33), (31, 18))
 
 
 def generate_patterns(spark, sf_dir):
-    """Pixels of generated images: solid, gradient, checker of 8 pixels, noise, diagonal; even and odd sizes."""
-    return I.generated(spark, SIZES)
+    """Digest of a generated image for each part: its key chooses among solid, gradient, checker of 8 pixels, noise and diagonal, and the size, even or odd."""
+    key = F.col("p_partkey")
+    specs = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        key.alias("name"), F.get(F.array(*map(F.lit, I.GENERATED)), (key % 5).cast("int")).alias("pattern"), (key % 7 + 8).cast("long").alias("w"), (F.col("p_size") % 11 + 8).cast("long").alias("h"),
+    )
+    return I.digest(I.generated(specs), "name", F.struct("y", "x"), I.little_endian_hex(F.array("r", "g", "b"), 1))
 
 
 def lcg_noise(spark, sf_dir):
-    """Four steps of the noise pattern's generator from 100 seeds: the channels of the last pixel."""
-    state = F.col("id")
+    """Four steps of the noise pattern's generator from each part's key: the channels of the last pixel."""
+    state = F.col("p_partkey")
     for _ in range(4):
         state = (state * 1664525 + 1013904223).bitwiseAND(0xFFFFFFFF)
-    rows = spark.range(100).select(F.col("id").alias("seed"), state.alias("state"))
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("seed"), state.alias("state"))
     return rows.select("seed", "state", *(F.shiftright("state", 8 * i).bitwiseAND(255).alias(n) for i, n in enumerate("rgb")))
 
 
@@ -130,15 +134,6 @@ def expand_runs(spark, sf_dir):
 _ALL = (keyframe_header, subblock_modes, chroma_upsample, filter_params, edge_filter, skip_probability, generate_patterns, lcg_noise, ppm_parse, expand_runs)
 QUERIES = {f.__name__: f for f in _ALL}
 
-_SHAPES = ", ".join(f"(CAST({w} AS BIGINT), CAST({h} AS BIGINT))" for w, h in SIZES)
-GENERATED = f"""grid AS (SELECT w, h, id // w AS y, id % w AS x, id FROM (VALUES {_SHAPES}) s(w, h), (SELECT unnest(range(0, {max(w * h for w, h in SIZES)})) AS id) WHERE id < w * h),
-noisy AS (SELECT *, list_reduce([1] || range(0, id + 1), lambda a, i: (a * 1664525 + 1013904223) % 4294967296) AS z FROM grid),
-kinds AS (SELECT 'solid' AS pattern, w, h, y, x, 17 AS r, 34 AS g, 51 AS b FROM grid
- UNION ALL SELECT 'rgbgrad', w, h, y, x, x * 255 // (w - 1), y * 255 // (h - 1), (x + y) * 255 // (w + h - 2) FROM grid
- UNION ALL SELECT 'checker', w, h, y, x, v, v, v FROM (SELECT *, 255 * ((x // 8 + y // 8) % 2) AS v FROM grid)
- UNION ALL SELECT 'noise', w, h, y, x, z & 255, (z >> 8) & 255, (z >> 16) & 255 FROM noisy
- UNION ALL SELECT 'diag', w, h, y, x, v, v, v FROM (SELECT *, CASE WHEN abs(x - y) <= 1 THEN 255 ELSE 0 END AS v FROM grid)),
-px AS (SELECT pattern || '_' || w || 'x' || h AS name, w, h, y, x, CAST(r AS BIGINT) AS r, CAST(g AS BIGINT) AS g, CAST(b AS BIGINT) AS b FROM kinds)"""
 _N = "n AS (SELECT p_partkey, CAST(p_partkey AS BIGINT) AS n FROM part)"
 _LINE = _PX + ", ln AS (SELECT vec_id, p, [p[33], p[25], p[17], p[9], p[1], p[2], p[3], p[4], p[5], p[6], p[7], p[8], p[8]] AS e FROM px)"
 _TAPS = """, w AS (SELECT vec_id, p, e, list_transform(range(1, 13), lambda i: (e[i] + e[i + 1] + 1) >> 1) AS t2, list_transform(range(1, 14), lambda i: (e[greatest(i -
@@ -163,9 +158,8 @@ SQL = {
  WHEN x % 2 = 1 THEN 1 ELSE -1 END)) AS c FROM (SELECT unnest(range(0, 16)) AS y), (SELECT unnest(range(0, 16)) AS x)), f AS (SELECT vec_id, y, x, p[y // 2 * 8 + x // 2 +
  1] AS a, p[y // 2 * 8 + c + 1] AS b, p[r * 8 + x // 2 + 1] AS d, p[r * 8 + c + 1] AS o FROM px, g) SELECT vec_id, CAST(y AS INTEGER) AS y, string_agg(CAST((((a + b + d +
  o + 8 + 2 * (b + d)) >> 3) + a) >> 1 AS VARCHAR), ',' ORDER BY x) AS samples FROM f GROUP BY 1, 2""",
-    "filter_params": """SELECT level, sharpness, greatest(1, CASE WHEN sharpness = 0 THEN level ELSE least(9 - sharpness, CASE WHEN sharpness > 4 THEN level // 4 ELSE
- level // 2 END) END) AS interior, CAST((level >= 15)::INT + (level >= 40)::INT AS INTEGER) AS variance FROM (SELECT unnest(range(0, 64)) AS level), (SELECT
- unnest(range(0, 8)) AS sharpness)""",
+    "filter_params": """SELECT p_partkey, level, sharpness, greatest(1, CASE WHEN sharpness = 0 THEN level ELSE least(9 - sharpness, CASE WHEN sharpness > 4 THEN level // 4 ELSE level // 2 END) END) AS interior,
+ CAST((level >= 15)::INT + (level >= 40)::INT AS INTEGER) AS variance FROM (SELECT p_partkey, p_partkey % 64 AS level, p_partkey // 64 % 8 AS sharpness FROM part)""",
     "edge_filter": f"""WITH {_PX}, e AS (SELECT vec_id, CAST(y AS INTEGER) AS y, p[y * 8 + 3] AS p1, p[y * 8 + 4] AS p0, p[y * 8 + 5] AS q0, p[y * 8 + 6] AS q1 FROM px,
  (SELECT unnest(range(0, 8)) AS y)), a AS (SELECT *, least(127, greatest(-128, least(127, greatest(-128, p1 - q1)) + 3 * (q0 - p0))) AS a, abs(p0 - q0) * 2 + abs(p1 - q1)
  // 2 <= {LIMIT} AS ok FROM e) SELECT vec_id, y, CASE WHEN ok THEN least(255, greatest(0, p0 + (least(127, a + 3) >> 3))) ELSE p0 END AS p0, CASE WHEN ok THEN least(255,
@@ -173,9 +167,14 @@ SQL = {
     "skip_probability": f"""WITH {_LEVELS}, z AS (SELECT vec_id % 10 AS image, len(list_filter(range(1, 17), lambda i: (abs(c[i]) + {_STEP4} // 2) // {_STEP4} <> 0)) > 0
  AS coded FROM lv), s AS (SELECT image, count(*) AS blocks, count(*) FILTER (coded) AS coded FROM z GROUP BY 1) SELECT image, blocks, coded, least(255, greatest(1, (coded
  * 256 + blocks // 2) // blocks)) AS probability FROM s""",
-    "generate_patterns": f"WITH {GENERATED} SELECT name, w, h, y, x, r, g, b FROM px",
-    "lcg_noise": """WITH s AS (SELECT seed, list_reduce([seed, 0, 0, 0, 0], lambda a, x: (a * 1664525 + 1013904223) % 4294967296) AS state FROM (SELECT unnest(range(0,
- 100)) AS seed)) SELECT seed, state, state & 255 AS r, (state >> 8) & 255 AS g, (state >> 16) & 255 AS b FROM s""",
+    "generate_patterns": """WITH sp AS (SELECT p_partkey AS name, p_partkey % 5 AS pattern, p_partkey % 7 + 8 AS w, p_size % 11 + 8 AS h FROM part),
+ gr AS (SELECT *, id // w AS y, id % w AS x FROM (SELECT *, unnest(range(0, w * h)) AS id FROM sp)),
+ nz AS (SELECT *, CASE WHEN pattern = 3 THEN list_reduce([1] || range(0, id + 1), lambda a, i: (a * 1664525 + 1013904223) % 4294967296) END AS z, CASE WHEN abs(x - y) <= 1 THEN 255 ELSE 0 END AS d, 255 * ((x // 8 + y // 8) % 2) AS c FROM gr),
+ px AS (SELECT name, id, CASE pattern WHEN 0 THEN 17 WHEN 1 THEN x * 255 // (w - 1) WHEN 2 THEN c WHEN 3 THEN z & 255 ELSE d END AS r, CASE pattern WHEN 0 THEN 34 WHEN 1 THEN y * 255 // (h - 1) WHEN 2 THEN c WHEN 3 THEN (z >> 8) & 255 ELSE d END AS g,
+  CASE pattern WHEN 0 THEN 51 WHEN 1 THEN (x + y) * 255 // (w + h - 2) WHEN 2 THEN c WHEN 3 THEN (z >> 16) & 255 ELSE d END AS b FROM nz)
+ SELECT name, sha256(unhex(string_agg(printf('%02x%02x%02x', r, g, b), '' ORDER BY id))) AS sha FROM px GROUP BY 1""",
+    "lcg_noise": """WITH s AS (SELECT p_partkey AS seed, list_reduce([p_partkey, 0, 0, 0, 0], lambda a, x: (a * 1664525 + 1013904223) % 4294967296) AS state FROM part)
+ SELECT seed, state, state & 255 AS r, (state >> 8) & 255 AS g, (state >> 16) & 255 AS b FROM s""",
     "ppm_parse": f"""WITH {_PX}, e AS (SELECT vec_id, p, vec_id % 19 = 0 AS no_size, CASE WHEN vec_id % 17 = 0 THEN 'magic' WHEN vec_id % 19 = 0 THEN 'size'
  WHEN vec_id % 23 = 0 THEN 'maximum' WHEN vec_id % 29 = 0 THEN 'short' END AS error FROM px)
 SELECT vec_id, CASE WHEN no_size THEN NULL ELSE CAST(8 AS BIGINT) END AS width, CAST(8 AS BIGINT) AS height, CAST(CASE WHEN vec_id % 23 = 0 THEN 65535 ELSE 255 END AS BIGINT) AS maximum,

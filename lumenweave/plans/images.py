@@ -12,47 +12,55 @@ from lumenweave.operators import halo as N
 from lumenweave.operators import images as I
 from lumenweave.operators import rate_distortion as R
 from lumenweave.plans.blocks import _PX, DCT_COLUMNS, DCT_ROWS, WHT, _pass
-from lumenweave.plans.frames import GENERATED, SIZES
 from lumenweave.plans.halo import MACROBLOCKS
 
 QUALITIES = (0, 10, 50, 75, 90, 100)
 
 
+def _pixels(spark, sf_dir):
+    """Pixels of pictures of 21x13 that are made of ``embeddings``."""
+    return I.picture_pixels(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def corpus_pixels(spark, sf_dir):
-    """The thirty images of the test corpus."""
-    return I.corpus(spark)
+    """Every pixel of every picture."""
+    return _pixels(spark, sf_dir)
 
 
-def corpus_digests(spark, sf_dir):
-    """SHA-256 of each corpus image's RGB bytes, and of its planes Y, U, V."""
-    pixels = I.corpus(spark)
+def _digests(pixels):
     rgb = I.digest(pixels, "name", F.struct("y", "x"), I.little_endian_hex(F.array("r", "g", "b"), 1)).withColumnRenamed("sha", "rgb_sha")
     yuv = I.digest(I.i420(pixels), "name", F.struct(F.translate("plane", "yuv", "123"), "y", "x"), I.little_endian_hex(F.array("v"), 1)).withColumnRenamed("sha", "yuv_sha")
     return rgb.join(yuv, "name")
 
 
+def corpus_digests(spark, sf_dir):
+    """SHA-256 of each picture's RGB bytes, and of its planes Y, U, V."""
+    return _digests(_pixels(spark, sf_dir))
+
+
 def gamma_tables(spark, sf_dir):
-    """Sums of four linear samples, and four times the sample they stand for."""
-    return spark.range(0, 16381, 13).select(F.col("id").alias("linear"), P.to_gamma(F.col("id")).alias("four"), P.to_linear(F.col("id") % 256).alias("of_sample"))
+    """Sums of four linear samples, by part, and four times the sample they stand for."""
+    linear = F.col("p_partkey") * 13 % 16381
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", linear.alias("linear"), P.to_gamma(linear).alias("four"), P.to_linear(linear % 256).alias("of_sample"))
 
 
 def rgb_to_i420(spark, sf_dir):
-    """Planes of generated images; odd sizes repeat their edges."""
-    return I.i420(I.generated(spark, SIZES))
+    """Planes of the pictures; odd sizes repeat their edges."""
+    return I.i420(_pixels(spark, sf_dir))
 
 
 def plane_dump(spark, sf_dir):
-    """SHA-256 of the planes' bytes of generated images."""
-    return I.digest(rgb_to_i420(spark, sf_dir), "name", F.struct(F.translate("plane", "yuv", "123"), "y", "x"), I.little_endian_hex(F.array("v"), 1))
+    """SHA-256 of the planes' bytes of each picture, padded to whole macroblocks."""
+    return I.digest(I.padded(rgb_to_i420(spark, sf_dir)), "name", F.struct(F.translate("plane", "yuv", "123"), "y", "x"), I.little_endian_hex(F.array("v"), 1))
 
 
-def _dump(spark):
-    return I.transform_dump(I.padded(I.i420(I.generated(spark, SIZES))))
+def _dump(spark, sf_dir):
+    return I.transform_dump(I.padded(I.i420(_pixels(spark, sf_dir))))
 
 
 def transform_dump(spark, sf_dir):
     """Coefficients of every 4x4 block, with flat prediction and a second transform of the luma blocks' first coefficients."""
-    return _dump(spark).select("name", "plane", "my", "mx", "k", O.text(F.col("c")).alias("coefficients"))
+    return _dump(spark, sf_dir).select("name", "plane", "my", "mx", "k", O.text(F.col("c")).alias("coefficients"))
 
 
 def dump_steps(q: int) -> dict[str, tuple[int, int]]:
@@ -71,20 +79,20 @@ def quantized_dump(dump):
 
 
 def quantized_levels(spark, sf_dir):
-    return quantized_dump(_dump(spark)).select("name", "q", "plane", "my", "mx", "k", O.text(F.col("c")).alias("levels"))
+    return quantized_dump(_dump(spark, sf_dir)).select("name", "q", "plane", "my", "mx", "k", O.text(F.col("c")).alias("levels"))
 
 
 def plane_nonzero(spark, sf_dir):
     """Blocks, blocks with a nonzero level and nonzero levels by image, quality and plane."""
     some = F.size(F.filter("c", lambda v: v != 0)).cast("long")
-    rows = quantized_dump(_dump(spark)).select("name", "q", "plane", some.alias("some"))
+    rows = quantized_dump(_dump(spark, sf_dir)).select("name", "q", "plane", some.alias("some"))
     return rows.groupBy("name", "q", "plane").agg(F.count("*").alias("blocks"), F.count_if(F.col("some") > 0).alias("blocks_nonzero"), F.sum("some").alias("nonzero"))
 
 
 def ordered_hash(spark, sf_dir):
     """FNV-1a over all coefficients of an image, folded in the order of macroblock, plane and block."""
     order = F.struct("my", "mx", F.element_at(F.create_map(*(F.lit(x) for kv in (("y2", 0), ("y", 1), ("u", 2), ("v", 3)) for x in kv)), F.col("plane")).alias("plane"), "k")
-    rows = _dump(spark).groupBy("name").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "c"))).alias("blocks"))
+    rows = _dump(spark, sf_dir).groupBy("name").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), "c"))).alias("blocks"))
     return rows.select("name", B.fnv1a(F.flatten(F.transform("blocks", lambda b: b["c"]))).alias("fnv"))
 
 
@@ -93,18 +101,18 @@ def zigzag_levels(spark, sf_dir):
     from lumenweave.functions.tables import ZIGZAG
 
     scanned = F.transform(F.array(*map(F.lit, ZIGZAG)), lambda i: F.get("c", i))
-    return _dump(spark).where("plane <> 'y2'").select("name", "plane", "my", "mx", "k", O.text(scanned).alias("scanned"))
+    return _dump(spark, sf_dir).where("plane <> 'y2'").select("name", "plane", "my", "mx", "k", O.text(scanned).alias("scanned"))
 
 
 def rate_proxies(spark, sf_dir):
     """Cost proxies of blocks by plane; those of y2 count twice."""
     rate = P.block_rate(F.col("c")) * F.when(F.col("plane") == "y2", 2).otherwise(1)
-    return quantized_dump(_dump(spark)).groupBy("name", "q", "plane").agg(F.sum(rate).alias("rate"))
+    return quantized_dump(_dump(spark, sf_dir)).groupBy("name", "q", "plane").agg(F.sum(rate).alias("rate"))
 
 
 def chroma_modes(spark, sf_dir):
     """Absolute coefficients of U and V as one cost of each macroblock, against luma's."""
-    rows = _dump(spark).select("name", "my", "mx", F.when(F.col("plane").isin("u", "v"), "uv").otherwise("y").alias("kind"), O.total(F.transform("c", F.abs)).alias("cost"))
+    rows = _dump(spark, sf_dir).select("name", "my", "mx", F.when(F.col("plane").isin("u", "v"), "uv").otherwise("y").alias("kind"), O.total(F.transform("c", F.abs)).alias("cost"))
     return rows.groupBy("name", "my", "mx").agg(
         F.sum(F.when(F.col("kind") == "uv", F.col("cost")).otherwise(0)).alias("uv"),
         F.sum(F.when(F.col("kind") == "y", F.col("cost")).otherwise(0)).alias("y"),
@@ -178,13 +186,9 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-_NAMES = ",\n ".join(f"('{n}', '{p}', {', '.join(str(v) for v in (*a, *b))})" for n, p, a, b in I.corpus_names())
-_CORPUS = f"""names AS (SELECT * FROM (VALUES {_NAMES}) t(name, pattern, ar, ag, ab, br, bg, bb)),
-xy AS (SELECT i // 16 AS y, i % 16 AS x FROM (SELECT unnest(range(0, 256)) AS i)),
-weighed AS (SELECT *, CASE pattern WHEN 'solid_rgb' THEN 0 WHEN 'checker' THEN 15 * ((x + y) % 2) WHEN 'blockcheck2' THEN 15 * ((x // 2 + y // 2) % 2)
- WHEN 'vsplit' THEN CASE WHEN x > 7 THEN 15 ELSE 0 END WHEN 'hsplit' THEN CASE WHEN y > 7 THEN 15 ELSE 0 END WHEN 'dsplit' THEN CASE WHEN x > y THEN 15 ELSE 0 END
- WHEN 'hgrad' THEN x ELSE y END AS w FROM names, xy),
-px AS (SELECT name, y, x, CAST((ar * (15 - w) + br * w) // 15 AS BIGINT) AS r, CAST((ag * (15 - w) + bg * w) // 15 AS BIGINT) AS g, CAST((ab * (15 - w) + bb * w) // 15 AS BIGINT) AS b FROM weighed)"""
+_PICTURES = f"""{_PX.replace('px AS', 'pv AS', 1)}, six AS (SELECT picture, i, coalesce(p, list_transform(range(0, 64), lambda z: 128)) AS p FROM (SELECT picture, unnest(range(0, 6)) AS i FROM (SELECT DISTINCT vec_id // 6 AS picture FROM pv)) t
+ LEFT JOIN pv ON vec_id = picture * 6 + i),
+px AS (SELECT CAST(picture AS VARCHAR) AS name, i // 3 * 8 + k // 8 AS y, i % 3 * 8 + k % 8 AS x, p[k + 1] AS r, p[64 - k] AS g, 255 - p[k + 1] AS b FROM six, (SELECT unnest(range(0, 64)) AS k) WHERE i // 3 * 8 + k // 8 < 13 AND i % 3 * 8 + k % 8 < 21)"""
 _LINEAR = "CAST(floor(4095 * pow({0} / 255.0, 0.8) + 0.5) AS BIGINT)"
 _AT = "CAST(floor(255 * pow(128 * ({0}) / 4095.0, 1.25) + 0.5) AS BIGINT)"
 _GAMMA = f"(({_AT.format('({0} >> 9) + 1')} * ({{0}} & 511) + {_AT.format('{0} >> 9')} * (512 - ({{0}} & 511)) + 64) >> 7)"
@@ -195,13 +199,14 @@ pl AS (SELECT name, 'y' AS plane, y, x, (16839*r + 33059*g + 6420*b + 32768 + 10
  UNION ALL SELECT name, 'v', y, x, least(255, greatest(0, (28800*r - 24116*g - 4684*b + 131072 + 33554432) >> 18)) FROM four)"""
 _SHA = "sha256(unhex(string_agg({0}, '' ORDER BY {1})))"
 _PLANES = _SHA.format("printf('%02x', v)", "translate(plane, 'yuv', '123'), y, x")
-_DUMP = f"""WITH {GENERATED}, {_I420},
+_PAD = f"""WITH {_PICTURES}, {_I420},
 ends AS (SELECT name, plane, max(y) AS ly, max(x) AS lx, CASE plane WHEN 'y' THEN 16 ELSE 8 END AS side FROM pl GROUP BY ALL),
 tall AS (SELECT *, unnest(range(0, (ly // side + 1) * side)) AS y FROM ends),
 wide AS (SELECT *, unnest(range(0, (lx // side + 1) * side)) AS x FROM tall),
 pad AS (SELECT w.name, w.plane, side, w.y, w.x, v, w.y // side AS my, w.x // side AS mx, w.y % side AS iy, w.x % side AS ix FROM wide w JOIN pl p ON p.name = w.name AND
  p.plane = w.plane AND p.y = least(w.y, ly) AND p.x = least(w.x, lx)),
-near AS (SELECT name, plane, my + 1 AS my, mx, v FROM pad WHERE iy = side - 1 UNION ALL SELECT name, plane, my, mx + 1, v FROM pad WHERE ix = side - 1),
+"""
+_DUMP = f"""{_PAD}near AS (SELECT name, plane, my + 1 AS my, mx, v FROM pad WHERE iy = side - 1 UNION ALL SELECT name, plane, my, mx + 1, v FROM pad WHERE ix = side - 1),
 flat AS (SELECT name, plane, my, mx, avg(v) AS m FROM near GROUP BY ALL),
 r AS (SELECT concat_ws('|', p.name, p.plane, p.my, p.mx) AS vec_id, iy // 4 * (side // 4) + ix // 4 AS k, list(v - coalesce(CAST(floor(m + 0.5) AS BIGINT), 128) ORDER BY iy, ix) AS s
  FROM pad p LEFT JOIN flat f ON f.name = p.name AND f.plane = p.plane AND f.my = p.my AND f.mx = p.mx GROUP BY ALL),
@@ -239,12 +244,12 @@ ss AS (SELECT *, ((2*mx*my + 6.5025) * (2*(xy - mx*my) + 58.5225)) / ((mx*mx + m
 pic AS (SELECT picture, CAST(sum(n) AS BIGINT) AS n, sum(er) AS er, sum(eg) AS eg, sum(eb) AS eb, avg(s) AS s FROM ss GROUP BY 1),
 qu AS (SELECT picture, n, {', '.join(f"{_PSNR.format('e' + c, 'n')} AS psnr_{c}" for c in 'rgb')}, {_PSNR.format('(er + eg + eb)', '(3 * n)')} AS psnr_rgb, round(s, 6) AS ssim_y FROM pic)"""
 SQL = {
-    "corpus_pixels": f"WITH {_CORPUS} SELECT name, y, x, r, g, b FROM px",
-    "corpus_digests": f"""WITH {_CORPUS}, {_I420} SELECT a.name, rgb_sha, yuv_sha FROM (SELECT name, {_SHA.format("printf('%02x%02x%02x', r, g, b)", 'y, x')} AS rgb_sha FROM px GROUP BY 1) a
+    "corpus_pixels": f"WITH {_PICTURES} SELECT name, y, x, r, g, b FROM px",
+    "corpus_digests": f"""WITH {_PICTURES}, {_I420} SELECT a.name, rgb_sha, yuv_sha FROM (SELECT name, {_SHA.format("printf('%02x%02x%02x', r, g, b)", 'y, x')} AS rgb_sha FROM px GROUP BY 1) a
  JOIN (SELECT name, {_PLANES} AS yuv_sha FROM pl GROUP BY 1) b ON a.name = b.name""",
-    "gamma_tables": f"SELECT linear, {_GAMMA.format('linear')} AS four, {_LINEAR.format('(linear % 256)')} AS of_sample FROM (SELECT unnest(range(0, 16381, 13)) AS linear)",
-    "rgb_to_i420": f"WITH {GENERATED}, {_I420} SELECT name, plane, y, x, v FROM pl",
-    "plane_dump": f"WITH {GENERATED}, {_I420} SELECT name, {_PLANES} AS sha FROM pl GROUP BY 1",
+    "gamma_tables": f"SELECT p_partkey, linear, {_GAMMA.format('linear')} AS four, {_LINEAR.format('(linear % 256)')} AS of_sample FROM (SELECT p_partkey, p_partkey * 13 % 16381 AS linear FROM part)",
+    "rgb_to_i420": f"WITH {_PICTURES}, {_I420} SELECT name, plane, y, x, v FROM pl",
+    "plane_dump": f"{_PAD[:_PAD.rindex(',')]} SELECT name, {_PLANES} AS sha FROM pad GROUP BY 1",
     "transform_dump": f"{_DUMP} SELECT name, plane, my, mx, k, array_to_string(c, ',') AS coefficients FROM dump",
     "quantized_levels": f"{_QUANT} SELECT name, q, plane, my, mx, k, array_to_string(c, ',') AS levels FROM lv",
     "plane_nonzero": f"""{_QUANT}, z AS (SELECT name, q, plane, len(list_filter(c, lambda v: v <> 0)) AS s FROM lv)

@@ -83,16 +83,16 @@ def token_extra(spark, sf_dir):
 
 def bool_cost(spark, sf_dir):
     """Cost of a coded bit, in 256ths, by probability of a zero."""
-    rows = spark.range(1, 256).select(F.col("id").alias("p"), F.explode(F.array(F.lit(0), F.lit(1))).alias("bit"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 255 + 1).alias("p"), F.explode(F.array(F.lit(0), F.lit(1))).alias("bit"))
     cost = 2048 - B.log2_q8(F.when(F.col("bit") == 0, F.col("p")).otherwise(256 - F.col("p")))
     bits = F.floor(cost * 8 / 256)
-    return rows.select("p", "bit", cost.alias("cost"), F.shiftright(cost * 8, 11).alias("token_rate"), F.floor((bits + 7) / 8).alias("mode_rate"))
+    return rows.select("p_partkey", "p", "bit", cost.alias("cost"), F.shiftright(cost * 8, 11).alias("token_rate"), F.floor((bits + 7) / 8).alias("mode_rate"))
 
 
 def scaled_steps(spark, sf_dir):
     """Shares of quantizer steps, of 1 to 2047."""
-    rows = spark.range(1, 160).select(F.col("id").alias("step"), F.explode(F.array(*(F.lit(p).cast("long") for p in (0, 1, 60, 100, 115, 130, 2000)))).alias("percent"))
-    return rows.select("step", "percent", P.scaled_step(F.col("step"), F.col("percent")).alias("scaled"))
+    rows = _read(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 159 + 1).alias("step"), F.explode(F.array(*(F.lit(p).cast("long") for p in (0, 1, 60, 100, 115, 130, 2000)))).alias("percent"))
+    return rows.select("p_partkey", "step", "percent", P.scaled_step(F.col("step"), F.col("percent")).alias("scaled"))
 
 
 def axis_ticks(spark, sf_dir):
@@ -135,7 +135,7 @@ def option_parse(spark, sf_dir):
 
 def text_escapes(spark, sf_dir):
     """Texts quoted for CSV and escaped for XML."""
-    text = F.substring(F.coalesce("text", F.lit("")), 1, 200)
+    text = F.coalesce("text", F.lit(""))
     xml = text
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
         xml = F.replace(xml, F.lit(raw), F.lit(safe))
@@ -223,8 +223,8 @@ def image_paths(spark, sf_dir):
 
 
 def sorted_manifest(spark, sf_dir):
-    """Part names in byte order with their digests: the first hundred, as a manifest's head is read."""
-    return _read(spark, sf_dir, "part").select("p_name", "p_partkey", F.sha1(F.col("p_name").cast("binary")).alias("sha")).orderBy("p_name", "p_partkey").limit(100)
+    """All part names in byte order with their digests, by a sort in ranges."""
+    return _read(spark, sf_dir, "part").select("p_name", "p_partkey", F.sha1(F.col("p_name").cast("binary")).alias("sha")).orderBy("p_name", "p_partkey")
 
 
 def first_path(spark, sf_dir):
@@ -253,7 +253,7 @@ def xorshift(spark, sf_dir):
         x = x.bitwiseXOR(F.shiftright(x, 17))
         return x.bitwiseXOR(F.shiftleft(x, 5)).bitwiseAND(0xFFFFFFFF)
 
-    return spark.range(1, 201).select(F.col("id").alias("seed"), F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.col("id"), step).alias("state"))
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("seed"), F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.col("p_partkey"), step).alias("state"))
 
 
 def filter_levels(spark, sf_dir):
@@ -334,11 +334,11 @@ SQL = {
  t AS (SELECT *, CASE WHEN size <= 4 THEN size WHEN size <= 6 THEN 5 WHEN size <= 10 THEN 6 WHEN size <= 18 THEN 7 WHEN size <= 34 THEN 8 WHEN size <= 66 THEN 9 ELSE 10 END AS token FROM s)
  SELECT l_orderkey, l_linenumber, size, token, CASE token WHEN 10 THEN 11 ELSE greatest(0, token - 4) END AS bits, size - CASE token WHEN 5 THEN 5 WHEN 6 THEN 7 WHEN 7
  THEN 11 WHEN 8 THEN 19 WHEN 9 THEN 35 WHEN 10 THEN 67 ELSE token END AS extra FROM t""",
-    "bool_cost": f"""WITH r AS (SELECT p, bit, CASE bit WHEN 0 THEN p ELSE 256 - p END AS x FROM (SELECT unnest(range(1, 256)) AS p), (SELECT unnest([0, 1]) AS bit)),
- l AS (SELECT p, bit, 2048 - ({_LOG2.format('x')} * 256 + (x - (1 << {_LOG2.format('x')})) * 256 // (1 << {_LOG2.format('x')})) AS cost FROM r)
- SELECT p, bit, cost, (cost * 8) >> 11 AS token_rate, (cost * 8 // 256 + 7) // 8 AS mode_rate FROM l""",
-    "scaled_steps": """SELECT step, CAST(percent AS BIGINT) AS percent, least(2047, greatest(1, (step * CASE percent WHEN 0 THEN 100 ELSE percent END + 50) // 100)) AS
- scaled FROM (SELECT unnest(range(1, 160)) AS step), (SELECT unnest([0, 1, 60, 100, 115, 130, 2000]) AS percent)""",
+    "bool_cost": f"""WITH r AS (SELECT p_partkey, p, bit, CASE bit WHEN 0 THEN p ELSE 256 - p END AS x FROM (SELECT p_partkey, p_partkey % 255 + 1 AS p FROM part), (SELECT unnest([0, 1]) AS bit)),
+ l AS (SELECT p_partkey, p, bit, 2048 - ({_LOG2.format('x')} * 256 + (x - (1 << {_LOG2.format('x')})) * 256 // (1 << {_LOG2.format('x')})) AS cost FROM r)
+ SELECT p_partkey, p, bit, cost, (cost * 8) >> 11 AS token_rate, (cost * 8 // 256 + 7) // 8 AS mode_rate FROM l""",
+    "scaled_steps": """SELECT p_partkey, step, CAST(percent AS BIGINT) AS percent, least(2047, greatest(1, (step * CASE percent WHEN 0 THEN 100 ELSE percent END + 50) // 100)) AS
+ scaled FROM (SELECT p_partkey, p_partkey % 159 + 1 AS step FROM part), (SELECT unnest([0, 1, 60, 100, 115, 130, 2000]) AS percent)""",
     "axis_ticks": """WITH m AS (SELECT user_id, min(value) AS low, max(value) AS high FROM events GROUP BY 1),
  t AS (SELECT *, low + i * (high - low) / 5 AS tick FROM m, (SELECT CAST(unnest(range(0, 6)) AS INTEGER) AS i))
  SELECT user_id, i, round(tick, 4) AS at, round(CASE WHEN high = low THEN 300.0 ELSE (tick - low + (high - low) * 0.03) / ((high - low) + (high - low) * 0.03 * 2) * 600 END, 3) AS x FROM t""",
@@ -351,7 +351,7 @@ SQL = {
     "option_parse": """WITH r AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 OR p_partkey % 5 = 0 OR p_partkey % 11 = 0 THEN NULL ELSE p_partkey - 100 END AS number,
  ['bpred', 'bpred-rdo', 'bpred-rdo', 'i16', 'i16', 'dc', 'dc'][p_partkey % 9 + 1] AS mode FROM part)
  SELECT p_partkey, CAST(number AS BIGINT) AS number, mode FROM r""",
-    "text_escapes": """WITH t AS (SELECT doc_id, substr(coalesce(text, ''), 1, 200) AS t FROM documents)
+    "text_escapes": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
  SELECT doc_id, '"' || replace(t, '"', '""') || '"' AS csv, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM t""",
     "csv_lines": """SELECT user_id, '"file ' || user_id || '.webp",' || CASE WHEN min(event_id) % 5 = 0 THEN 'ERR' ELSE CAST(CAST(floor(min(value) * 1000) AS BIGINT) AS VARCHAR) END AS line FROM events GROUP BY 1""",
     "manifest_lines": """SELECT p_partkey, CASE WHEN good THEN 'dir/' || p_partkey || '.png' END AS path, CASE WHEN good THEN CAST(p_partkey % 101 AS INTEGER) END AS q,
@@ -366,12 +366,12 @@ SQL = {
     "finite_points": """SELECT user_id, count(*) FILTER (event_id % 10 <> 0 AND event_id % 17 <> 0) AS finite, count(*) FILTER (event_id % 10 = 0 OR event_id % 17 = 0)
  AS other, max(value) FILTER (event_id % 10 <> 0 AND event_id % 17 <> 0) AS most FROM events GROUP BY 1""",
     "image_paths": "SELECT p_partkey, 'dir.x/' || p_partkey || '.' || ['jpg', 'JPEG', 'png'][p_partkey % 5 + 1] AS path FROM part WHERE p_partkey % 5 < 3 AND p_partkey % 23 <> 0",
-    "sorted_manifest": "SELECT p_name, p_partkey, sha1(p_name) AS sha FROM part ORDER BY p_name, p_partkey LIMIT 100",
+    "sorted_manifest": "SELECT p_name, p_partkey, sha1(p_name) AS sha FROM part ORDER BY p_name, p_partkey",
     "first_path": "SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, min(url) AS first, count(*) AS pages FROM pages GROUP BY 1",
     "curve_points": """SELECT user_id, string_agg(CAST(1000 + event_id * 7919 % 50021 AS VARCHAR), ' ' ORDER BY 1000 + event_id * 7919 % 50021, event_id) AS points FROM
  events WHERE event_id % 2 = 0 GROUP BY 1""",
     "nonzero_outliers": "SELECT l_orderkey, CAST(sum(l_linenumber) AS BIGINT) AS nonzero, max(l_partkey) AS abs_max FROM lineitem GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
-    "xorshift": """WITH RECURSIVE s(seed, i, state) AS (SELECT seed, 0, seed FROM (SELECT unnest(range(1, 201)) AS seed) UNION ALL
+    "xorshift": """WITH RECURSIVE s(seed, i, state) AS (SELECT seed, 0, seed FROM (SELECT p_partkey AS seed FROM part) UNION ALL
  SELECT seed, i + 1, xor(b, (b << 5) & 4294967295) FROM (SELECT seed, i, xor(a, a >> 17) AS b FROM (SELECT seed, i, xor(state, (state << 13) & 4294967295) AS a FROM s WHERE i < 5)))
  SELECT seed, state FROM s WHERE i = 5""",
     "filter_levels": f"""WITH n AS (SELECT p_partkey, CAST(p_partkey AS BIGINT) AS n FROM part),

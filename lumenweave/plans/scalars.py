@@ -12,43 +12,51 @@ def _listed(values):
     return F.array(*map(F.lit, values))
 
 
+def _parts(spark, sf_dir, **numbers):
+    """p_partkey, and numbers made of it."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *(v.cast("long").alias(k) for k, v in numbers.items()))
+
+
 def quant_factors(spark, sf_dir):
     q = F.col("q").cast("int")
     dc, ac = _listed(DC_STEPS)[q].cast("long"), _listed(AC_STEPS)[q].cast("long")
-    return spark.range(128).select(F.col("id").alias("q")).select(
-        "q", dc.alias("y1_dc"), ac.alias("y1_ac"), (dc * 2).alias("y2_dc"), F.greatest(F.lit(8), F.floor(ac * 155 / 100)).alias("y2_ac"),
+    return _parts(spark, sf_dir, q=F.col("p_partkey") % 128).select(
+        "p_partkey", "q", dc.alias("y1_dc"), ac.alias("y1_ac"), (dc * 2).alias("y2_dc"), F.greatest(F.lit(8), F.floor(ac * 155 / 100)).alias("y2_ac"),
         F.least(F.lit(132), dc).alias("uv_dc"), ac.alias("uv_ac"),
     )
 
 
 def qindex_lookup(spark, sf_dir):
-    return spark.range(101).select(F.col("id").alias("quality"), _listed([qindex(i) for i in range(101)])[F.col("id").cast("int")].cast("long").alias("q"))
+    return _parts(spark, sf_dir, quality=F.col("p_partkey") % 101).withColumn("q", _listed([qindex(i) for i in range(101)])[F.col("quality").cast("int")].cast("long"))
 
 
 def lf_level(spark, sf_dir):
-    return spark.range(128).select(F.col("id").alias("q"), _listed([filter_level(i) for i in range(128)])[F.col("id").cast("int")].cast("long").alias("level"))
+    return _parts(spark, sf_dir, q=F.col("p_partkey") % 128).withColumn("level", _listed([filter_level(i) for i in range(128)])[F.col("q").cast("int")].cast("long"))
 
 
 def rdo_lambda(spark, sf_dir):
     """Weight of the rate, for multipliers 1 to 10 over divisors 1 to 4."""
-    q = spark.range(128).select(F.col("id").alias("q"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("mul")).withColumn("div", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    q = _parts(spark, sf_dir, q=F.col("p_partkey") % 128, mul=F.floor(F.col("p_partkey") / 128) % 10 + 1).withColumn("div", F.explode(F.sequence(F.lit(1), F.lit(4))))
     base = F.floor(F.col("q") * F.col("q") / 24) + 4
-    return q.select("q", "mul", "div", F.floor((base * F.col("mul") + F.floor(F.col("div") / 2)) / F.col("div")).alias("lambda"))
+    return q.select("p_partkey", "q", "mul", "div", F.floor((base * F.col("mul") + F.floor(F.col("div") / 2)) / F.col("div")).alias("lambda"))
 
 
 def prob_cost(spark, sf_dir):
-    p = F.col("id")
-    return spark.range(1, 257).select(p.alias("p"), (2048 - B.log2_q8(p)).alias("cost"))
+    return _parts(spark, sf_dir, p=F.col("p_partkey") % 256 + 1).withColumn("cost", 2048 - B.log2_q8(F.col("p")))
 
 
 def mb_grid(spark, sf_dir):
-    rows = spark.range(1, 130).select(F.col("id").alias("size"))
-    return rows.select("size", F.floor((F.col("size") + 15) / 16).alias("blocks"), (F.floor((F.col("size") + 15) / 16) * 16).alias("padded"), F.floor((F.col("size") + 1) / 2).alias("chroma"))
+    rows = _parts(spark, sf_dir, size=F.col("p_partkey") % 4096 + 1)
+    return rows.select("p_partkey", "size", F.floor((F.col("size") + 15) / 16).alias("blocks"), (F.floor((F.col("size") + 15) / 16) * 16).alias("padded"), F.floor((F.col("size") + 1) / 2).alias("chroma"))
 
 
 def cross_corpus(spark, sf_dir):
-    """Pattern by size by quality, as a corpus of test images is listed."""
-    return spark.sql("SELECT pattern, size, q, concat('gen_', pattern, '_', size, 'x', size, '_q', q) AS name FROM VALUES ('solid'), ('checker'), ('noise') AS a(pattern), VALUES (16), (17), (31), (32), (33) AS b(size), VALUES (10), (50), (75), (90) AS c(q)")
+    """Every part's image with every nation's and every quality, as a corpus of test images is listed: a few rows on one side, which are literals."""
+    quality = F.explode(F.array(*map(F.lit, (10, 50, 75, 90)))).alias("q")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lower(F.translate("n_name", " ", "_")).alias("pattern"))
+    sizes = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").cast("long").alias("size")).distinct()
+    rows = sizes.crossJoin(nations).select("pattern", "size", quality)
+    return rows.select("pattern", "size", "q", F.concat(F.lit("gen_"), "pattern", F.lit("_"), "size", F.lit("x"), "size", F.lit("_q"), "q").alias("name"))
 
 
 def union_fragments(spark, sf_dir):
@@ -118,19 +126,18 @@ _RAW = "raw AS (SELECT page_id, encode(coalesce(html, '')) AS b, CAST(octet_leng
 _WRAP = _RAW + f""", w AS (SELECT page_id, n, encode('RIFF') || unhex({_LE.format('(12 + n + n % 2)')}) || encode('WEBPVP8 ') || unhex({_LE.format('n')}) || b || (CASE
  WHEN n % 2 = 1 THEN unhex('00') ELSE encode('') END) AS data FROM raw)"""
 SQL = {
-    "quant_factors": f"""SELECT q, CAST({_DC}[q+1] AS BIGINT) AS y1_dc, CAST({_AC}[q+1] AS BIGINT) AS y1_ac, CAST({_DC}[q+1]*2 AS BIGINT) AS y2_dc, CAST(greatest(8,
- {_AC}[q+1]*155//100) AS BIGINT) AS y2_ac, CAST(least(132, {_DC}[q+1]) AS BIGINT) AS uv_dc, CAST({_AC}[q+1] AS BIGINT) AS uv_ac FROM (SELECT unnest(range(0, 128)) AS q)""",
-    "qindex_lookup": """SELECT quality, CAST(greatest(0, least(127, floor(127*(1-pow(CASE WHEN quality < 75 THEN quality/100.0*2.0/3.0 ELSE 2.0*quality/100.0-1 END,
- 1.0/3))))) AS BIGINT) AS q FROM (SELECT unnest(range(0, 101)) AS quality)""",
-    "lf_level": """SELECT q, CAST(least(63, CASE WHEN q <= 26 THEN (q*8+13)//26 WHEN q <= 38 THEN 8+((q-26)*3+6)//12 WHEN q <= 75 THEN 11+((q-38)*18+18)//37 ELSE
- 29+((q-75)*34+26)//52 END + (q >= 32)::INT + (q >= 64)::INT + (q >= 96)::INT) AS BIGINT) AS level FROM (SELECT unnest(range(0, 128)) AS q)""",
-    "rdo_lambda": """SELECT q, CAST(mul AS INTEGER) AS mul, CAST(div AS INTEGER) AS div, ((q*q//24+4)*mul + div//2)//div AS lambda FROM (SELECT unnest(range(0, 128)) AS
- q), (SELECT unnest(range(1, 11)) AS mul), (SELECT unnest(range(1, 5)) AS div)""",
-    "prob_cost": """SELECT p, CAST(CASE WHEN p >= 256 THEN 0 ELSE 2048 - (CAST(floor(log2(p)) AS BIGINT)*256 + (p - (1 << CAST(floor(log2(p)) AS BIGINT)))*256//(1 <<
- CAST(floor(log2(p)) AS BIGINT))) END AS BIGINT) AS cost FROM (SELECT unnest(range(1, 257)) AS p)""",
-    "mb_grid": "SELECT size, (size+15)//16 AS blocks, (size+15)//16*16 AS padded, (size+1)//2 AS chroma FROM (SELECT unnest(range(1, 130)) AS size)",
-    "cross_corpus": """SELECT pattern, size, q, concat('gen_', pattern, '_', size, 'x', size, '_q', q) AS name FROM (VALUES ('solid'), ('checker'), ('noise'))
- a(pattern), (VALUES (16), (17), (31), (32), (33)) b(size), (VALUES (10), (50), (75), (90)) c(q)""",
+    "quant_factors": f"""SELECT p_partkey, q, CAST({_DC}[q+1] AS BIGINT) AS y1_dc, CAST({_AC}[q+1] AS BIGINT) AS y1_ac, CAST({_DC}[q+1]*2 AS BIGINT) AS y2_dc, CAST(greatest(8,
+ {_AC}[q+1]*155//100) AS BIGINT) AS y2_ac, CAST(least(132, {_DC}[q+1]) AS BIGINT) AS uv_dc, CAST({_AC}[q+1] AS BIGINT) AS uv_ac FROM (SELECT p_partkey, p_partkey % 128 AS q FROM part)""",
+    "qindex_lookup": """SELECT p_partkey, quality, CAST(greatest(0, least(127, floor(127*(1-pow(CASE WHEN quality < 75 THEN quality/100.0*2.0/3.0 ELSE 2.0*quality/100.0-1 END,
+ 1.0/3))))) AS BIGINT) AS q FROM (SELECT p_partkey, p_partkey % 101 AS quality FROM part)""",
+    "lf_level": """SELECT p_partkey, q, CAST(least(63, CASE WHEN q <= 26 THEN (q*8+13)//26 WHEN q <= 38 THEN 8+((q-26)*3+6)//12 WHEN q <= 75 THEN 11+((q-38)*18+18)//37 ELSE
+ 29+((q-75)*34+26)//52 END + (q >= 32)::INT + (q >= 64)::INT + (q >= 96)::INT) AS BIGINT) AS level FROM (SELECT p_partkey, p_partkey % 128 AS q FROM part)""",
+    "rdo_lambda": """SELECT p_partkey, q, mul, CAST(div AS INTEGER) AS div, ((q*q//24+4)*mul + div//2)//div AS lambda FROM (SELECT p_partkey, p_partkey % 128 AS q, p_partkey // 128 % 10 + 1 AS mul FROM part), (SELECT unnest(range(1, 5)) AS div)""",
+    "prob_cost": """SELECT p_partkey, p, CAST(CASE WHEN p >= 256 THEN 0 ELSE 2048 - (CAST(floor(log2(p)) AS BIGINT)*256 + (p - (1 << CAST(floor(log2(p)) AS BIGINT)))*256//(1 <<
+ CAST(floor(log2(p)) AS BIGINT))) END AS BIGINT) AS cost FROM (SELECT p_partkey, p_partkey % 256 + 1 AS p FROM part)""",
+    "mb_grid": "SELECT p_partkey, size, (size+15)//16 AS blocks, (size+15)//16*16 AS padded, (size+1)//2 AS chroma FROM (SELECT p_partkey, p_partkey % 4096 + 1 AS size FROM part)",
+    "cross_corpus": """SELECT pattern, size, q, concat('gen_', pattern, '_', size, 'x', size, '_q', q) AS name FROM (SELECT lower(translate(n_name, ' ', '_')) AS pattern FROM nation), (SELECT DISTINCT CAST(p_size AS BIGINT) AS size FROM part),
+ (VALUES (10), (50), (75), (90)) c(q)""",
     "union_fragments": "SELECT 'region' AS part, r_name AS name FROM region UNION ALL SELECT 'nation', n_name FROM nation",
     "kv_parse": """SELECT p_partkey, CASE WHEN p_partkey % 10 = 0 THEN CAST('inf' AS DOUBLE) WHEN p_partkey % 13 <> 0 THEN CAST(p_size AS DOUBLE) END AS psnr,
  CASE WHEN p_partkey % 17 <> 0 THEN CAST('0.' || p_partkey AS DOUBLE) END AS ssim FROM part""",

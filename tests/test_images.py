@@ -34,7 +34,7 @@ def of_blocks(rows):
 
 
 def test_corpus_has_the_known_pixels_and_planes(spark):
-    rows = Q.corpus_digests(spark, None).collect()
+    rows = Q._digests(I.corpus(spark)).collect()
     assert len(rows) == 30
     assert together(f"{r.name} {r.rgb_sha}" for r in rows) == RGB
     assert together(f"{r.name} {r.yuv_sha}" for r in rows) == PLANES
