@@ -5,8 +5,8 @@ of the vocabulary, the seeds, are elements of their own, and all others belong t
 letters). Exchange clustering moves elements between classes as long as the likelihood of the class bigrams, counted over all training texts, grows. Then every
 other word of the vocabulary goes to its best class by the same gain, from the counts of the classes before and after it in all training texts, in tasks that
 hold some words' counts each; and the transitions are counted again with all words in their classes. From then on all words, seeds too, are taken out of their class and
-moved to the best one, round by round, until the moves of a round are of less than ``SETTLED`` of the tokens, or ``ROUNDS`` are done. As words move at the same time, a round's moves
-are halved, the least gains first, until the likelihood of the recounted transitions does not fall; ``Model.likelihoods`` has it for every round.
+moved to the best one, round by round, until the moves of a round are of less than ``SETTLED`` of the tokens, or ``ROUNDS`` are done. As words move at the same time, the likelihood of
+the recounted transitions decides: where it falls, only the quarter of the moves that gains most is tried, and at the second fall the classes stay. ``Model.likelihoods`` has every round's.
 
 A word's probability is that of its class after the previous word's class, smoothed towards the class's own, times the share that the word has in its class.
 Words beyond the vocabulary have the class of their group and their own share. A group also keeps a share for all words never seen, as large as its words seen
@@ -41,7 +41,8 @@ from lumenweave.llm.common import SPACE_RUN, by_bytes, lowered, written
 from lumenweave.llm.language_id import most_frequent
 
 VOCABULARY, SEEDS, GROUPS, CLASSES, LONG = 200_000, 1_000, 192, 64, 64
-ROUNDS, SETTLED = 3, 0.001
+#: Rounds over all words, tries of one, and the share of tokens below which a round's moves are no longer made.
+ROUNDS, TRIES, SETTLED = 2, 2, 0.001
 #: The end of a text; no word has white space.
 END = b"\n"
 
@@ -271,15 +272,16 @@ def _moves(corpus: Corpus, classes: np.ndarray, table: np.ndarray, first: int, i
             own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)].astype(np.int64)
             later = np.full(len(own), end, np.int64)
             later[:-1] = own[1:]  # what follows the end of a text is the next one's first word, which no likelihood counts
-            at = np.flatnonzero(numbers >= first)
-            inner = at[numbers[at] != corpus_end]
-            codes = np.r_[numbers[at].astype(np.int64) * side + _after(own, ends, end)[at], numbers[inner].astype(np.int64) * side + CLASSES + later[inner]]
-            code, n = np.unique(codes, return_counts=True)
-            word, begins = np.unique(code // side, return_index=True)
-            kept, sizes = (code % side).astype(np.uint8).tobytes(), np.diff(np.r_[begins, len(code)])
-            times = n.astype("<u4").tobytes()
-            cut = [(a, a + z) for a, z in zip(begins.tolist(), sizes.tolist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({"word": word, "k": pa.array([kept[a:b] for a, b in cut], pa.binary()), "n": pa.array([times[4 * a : 4 * b] for a, b in cut], pa.binary())})
+            ids, before = numbers.astype(np.int64), _after(own, ends, end)
+            for i in range(0, len(ids), 1 << 21):  # what is sorted at once
+                part = slice(i, i + (1 << 21))
+                at = np.flatnonzero(ids[part] >= first) + i
+                inner = at[ids[at] != corpus_end]
+                code, n = np.unique(np.r_[ids[at] * side + before[at], ids[inner] * side + CLASSES + later[inner]], return_counts=True)
+                word, begins = np.unique(code // side, return_index=True)
+                kept, times = (code % side).astype(np.uint8).tobytes(), n.astype("<u4").tobytes()
+                cut = list(zip(begins.tolist(), [*begins[1:].tolist(), len(code)], strict=True)) if len(word) else []
+                yield pa.RecordBatch.from_pydict({"word": word, "k": pa.array([kept[a:b] for a, b in cut], pa.binary()), "n": pa.array([times[4 * a : 4 * b] for a, b in cut], pa.binary())})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, table = shared.value
@@ -321,7 +323,9 @@ def settled(corpus: Corpus, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[
         words, chosen, gain = _moves(corpus, classes, steps, 0, True)
         better = np.flatnonzero((chosen != classes[words]) & (gain > 1e-9) & (words != end))
         better = better[np.lexsort((words[better], -gain[better]))]
-        while len(better) and corpus.frequency[words[better]].sum() >= SETTLED * corpus.tokens:
+        for _ in range(TRIES):
+            if corpus.frequency[words[better]].sum() < SETTLED * corpus.tokens:
+                return classes, steps, history
             moved = classes.copy()
             moved[words[better]] = chosen[better]
             after = _pair_counts(corpus, moved, int(moved[end]), CLASSES)
@@ -329,7 +333,7 @@ def settled(corpus: Corpus, classes: np.ndarray, rounds: int = ROUNDS) -> tuple[
                 classes, steps = moved, after
                 history.append(likelihood(after))
                 break
-            better = better[: len(better) // 2]
+            better = better[: len(better) // 4]
         else:
             break
     return classes, steps, history
