@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Four = Callable[[Column, Column, Column, Column], Sequence[Column]]
-
-
 def clip(value: Column, low: int, high: int) -> Column:
     return F.least(F.lit(high).cast("long"), F.greatest(F.lit(low).cast("long"), value))
 
@@ -35,74 +32,40 @@ def at(block: Column, n: int = 16) -> list[Column]:
     return [block[i] for i in range(n)]
 
 
-def along_rows(block: list[Column], f: Four) -> list[Column]:
-    return [value for y in range(4) for value in f(*block[4 * y : 4 * y + 4])]
-
-
-def along_columns(block: list[Column], f: Four) -> list[Column]:
-    done = [f(*block[x::4]) for x in range(4)]
-    return [done[x][y] for y in range(4) for x in range(4)]
-
+#: A pass over the lines of a 4x4 block: what each of a line's four values becomes, as expressions of {0} to {3}, and whether lines are rows or columns.
+Pass = tuple[Sequence[str], bool]
 
 # The multipliers and rounding terms of the transforms and of the colour conversions below are fixed values of the format and of the encoder's dumps.
-def dct_along_rows(residual: list[Column]) -> list[Column]:
-    def rows(a, b, c, d):
-        even, mid, odd, edge = a + d, b + c, b - c, a - d
-        return (even + mid) * 8, F.shiftright(odd * 2217 + edge * 5352 + 1812, 9), (even - mid) * 8, F.shiftright(edge * 2217 - odd * 5352 + 937, 9)
-
-    return along_rows(residual, rows)
-
-
-def dct_along_columns(values: list[Column]) -> list[Column]:
-    def columns(a, b, c, d):
-        even, mid, odd, edge = a + d, b + c, b - c, a - d
-        return (
-            F.shiftright(even + mid + 7, 4),
-            F.shiftright(odd * 2217 + edge * 5352 + 12000, 16) + (edge != 0).cast("long"),
-            F.shiftright(even - mid + 7, 4),
-            F.shiftright(edge * 2217 - odd * 5352 + 51000, 16),
-        )
-
-    return along_columns(values, columns)
-
-
-def _turned(a, b, c, d):
-    grow = lambda v: v + F.shiftright(v * 20091, 16)
-    sine = lambda v: F.shiftright(v * 35468, 16)
-    plus, minus, cross, straight = a + c, a - c, sine(b) - grow(d), grow(b) + sine(d)
-    return plus + straight, minus + cross, minus - cross, plus - straight
-
-
-def idct_along_columns(coefficients: list[Column]) -> list[Column]:
-    return along_columns(coefficients, _turned)
-
-
-def idct_along_rows(values: list[Column]) -> list[Column]:
-    return along_rows(values, lambda *v: [F.shiftright(x + 4, 3) for x in _turned(*v)])
-
-
-def _walsh(a, b, c, d):
-    even, odd = a + c, b + d
-    return even + odd, (a - c) + (b - d), (a - c) - (b - d), even - odd
-
-
-def wht_along_rows(values: list[Column]) -> list[Column]:
-    return along_rows(values, _walsh)
-
-
-def wht_along_columns(values: list[Column]) -> list[Column]:
-    return along_columns(values, lambda *v: [F.shiftright(x, 1) for x in _walsh(*v)])
-
-
-def inverse_wht(values: list[Column]) -> list[Column]:
-    def turned(a, b, c, d):
-        return (a + d) + (b + c), (b - c) + (a - d), (a + d) - (b + c), (a - d) - (b - c)
-
-    return along_rows(along_columns(values, turned), lambda *v: [F.shiftright(x + 3, 3) for x in turned(*v)])
-
-
-def hadamard(a: Column, b: Column, c: Column, d: Column) -> Sequence[Column]:
-    return (a + d) + (b + c), (a - d) + (b - c), (a + d) - (b + c), (a - d) - (b - c)
+_EVEN, _ODD, _EDGE = "({0} + {3} + {1} + {2})", "({1} - {2})", "({0} - {3})"
+_WALSH = ["({0} + {2}) + ({1} + {3})", "({0} - {2}) + ({1} - {3})", "({0} - {2}) - ({1} - {3})", "({0} + {2}) - ({1} + {3})"]
+_BACK = ["({0} + {3}) + ({1} + {2})", "({1} - {2}) + ({0} - {3})", "({0} + {3}) - ({1} + {2})", "({0} - {3}) - ({1} - {2})"]
+_SINE, _GROWN = "shiftright({%d} * 35468, 16)", "({%d} + shiftright({%d} * 20091, 16))"
+_CROSS, _STRAIGHT = f"({_SINE % 1} - {_GROWN % (3, 3)})", f"({_GROWN % (1, 1)} + {_SINE % 3})"
+_TURNED = ["({0} + {2}) + " + _STRAIGHT, "({0} - {2}) + " + _CROSS, "({0} - {2}) - " + _CROSS, "({0} + {2}) - " + _STRAIGHT]
+_DCT_ROWS = [
+    f"{_EVEN} * 8",
+    f"shiftright({_ODD} * 2217 + {_EDGE} * 5352 + 1812, 9)",
+    "({0} + {3} - {1} - {2}) * 8",
+    f"shiftright({_EDGE} * 2217 - {_ODD} * 5352 + 937, 9)",
+]
+_DCT_COLUMNS = [
+    f"shiftright({_EVEN} + 7, 4)",
+    f"shiftright({_ODD} * 2217 + {_EDGE} * 5352 + 12000, 16) + IF({_EDGE} <> 0, 1L, 0L)",
+    "shiftright({0} + {3} - {1} - {2} + 7, 4)",
+    f"shiftright({_EDGE} * 2217 - {_ODD} * 5352 + 51000, 16)",
+]
+_HADAMARD = ["({0} + {3}) + ({1} + {2})", "({0} - {3}) + ({1} - {2})", "({0} + {3}) - ({1} + {2})", "({0} - {3}) - ({1} - {2})"]
+FORWARD_DCT: list[Pass] = [(_DCT_ROWS, True), (_DCT_COLUMNS, False)]
+INVERSE_DCT: list[Pass] = [(_TURNED, False), ([f"shiftright({x} + 4, 3)" for x in _TURNED], True)]
+FORWARD_WHT: list[Pass] = [(_WALSH, True), ([f"shiftright({x}, 1)" for x in _WALSH], False)]
+INVERSE_WHT: list[Pass] = [(_BACK, False), ([f"shiftright({x} + 3, 3)" for x in _BACK], True)]
+HADAMARD: list[Pass] = [(_HADAMARD, True), (_HADAMARD, False)]
+
+
+def passed(column: str, rules: Sequence[str], rows: bool) -> Column:
+    """A 4x4 block after one pass, as one expression: made of text, as thousands of small columns take the driver longer than the engine takes for the work."""
+    lines = [[r.format(*(f"{column}[{4 * i + j if rows else 4 * j + i}]" for j in range(4))) for r in rules] for i in range(4)]
+    return F.expr(f"array({', '.join(lines[i][j] if rows else lines[j][i] for i in range(4) for j in range(4))})")
 
 
 def total(values) -> Column:

@@ -17,7 +17,7 @@ SUBBLOCK_OF = (0, 2, 3, 1)
 
 
 def looked_up(values: list[int], at: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), at.cast("int") + 1).cast("long")
+    return F.element_at(F.expr(f"array({', '.join(map(str, values))})"), at.cast("int") + 1).cast("long")
 
 
 def to_linear(sample: Column) -> Column:

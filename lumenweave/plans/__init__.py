@@ -1,8 +1,8 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from lumenweave.plans import blocks, frames, halo, images, records, scalars, tables, tokens
+from lumenweave.plans import blocks, containers, frames, halo, images, records, scalars, tables, tokens
 
-_MODULES = (blocks, frames, halo, images, records, scalars, tables, tokens)
+_MODULES = (blocks, containers, frames, halo, images, records, scalars, tables, tokens)
 
 
 def queries():

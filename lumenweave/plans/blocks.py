@@ -55,15 +55,15 @@ def fdct4x4(spark, sf_dir):
 
 
 def idct4x4(spark, sf_dir):
-    return O.transformed(_coded(spark, sf_dir), F.col("c"), B.idct_along_columns, B.idct_along_rows, "r").select("vec_id", "k", text(F.col("r")).alias("residual"))
+    return O.transformed(_coded(spark, sf_dir), "c", B.INVERSE_DCT, "r").select("vec_id", "k", text(F.col("r")).alias("residual"))
 
 
 def fwht(spark, sf_dir):
-    return O.transformed(_subs(spark, sf_dir), F.col("s"), B.wht_along_rows, B.wht_along_columns).select("vec_id", "k", text(F.col("c")).alias("coefficients"))
+    return O.transformed(_subs(spark, sf_dir), "s", B.FORWARD_WHT).select("vec_id", "k", text(F.col("c")).alias("coefficients"))
 
 
 def iwht(spark, sf_dir):
-    return _subs(spark, sf_dir).select("vec_id", "k", text(B.inverse_wht(B.at(F.col("s")))).alias("restored"))
+    return O.transformed(_subs(spark, sf_dir), "s", B.INVERSE_WHT).select("vec_id", "k", text(F.col("c")).alias("restored"))
 
 
 def quantize(spark, sf_dir):

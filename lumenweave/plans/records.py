@@ -26,36 +26,6 @@ def _chunk(tag: str, payload):
     return F.concat(F.lit(tag).cast("binary"), B.little_endian(n), payload, F.when(n % 2 == 1, F.unhex(F.lit("00"))).otherwise(F.lit("").cast("binary")))
 
 
-def riff_walk(spark, sf_dir):
-    """Place and size of the VP8 chunk among others before it; some files have none, or end within a chunk. Chunks are walked by their sizes."""
-    n = F.col("page_id").cast("long")
-    own = F.encode(F.substring(F.coalesce("html", F.lit("")), 1, 40), "utf-8")
-    extra = F.when(n % 3 == 0, _chunk("EXIF", F.encode(F.repeat(F.lit("e"), (n % 7).cast("int")), "utf-8"))).otherwise(F.lit("").cast("binary"))
-    body = F.concat(extra, F.when(n % 5 == 0, _chunk("ALPH", own)).otherwise(_chunk("VP8 ", own)))
-    whole = F.concat(F.lit("RIFF").cast("binary"), B.little_endian(F.octet_length(body).cast("long") + 4), F.lit("WEBP").cast("binary"), body)
-    data = F.when(n % 11 == 0, F.substring(whole, 1, 21)).otherwise(whole)
-    rows = _read(spark, sf_dir, "pages").select("page_id", data.alias("data")).withColumn("bytes", F.octet_length("data").cast("long"))
-    size = lambda at: B.load_little_endian(F.col("data"), (at + 5).cast("int"))
-    start = F.struct(F.lit(12).cast("long").alias("at"), F.lit(None).cast("long").alias("found"), F.lit(False).alias("bad"))
-
-    def step(s, _):
-        here = s["at"] + 8 <= F.col("bytes")
-        going = here & s["found"].isNull() & ~s["bad"]
-        n = size(s["at"])
-        bad = s["at"] + 8 + n > F.col("bytes")
-        hit = F.substring(F.col("data"), (s["at"] + 1).cast("int"), F.lit(4)) == F.lit("VP8 ").cast("binary")
-        return (
-            F.when(~going, s)
-            .when(bad, F.struct(s["at"].alias("at"), s["found"].alias("found"), F.lit(True).alias("bad")))
-            .when(hit, F.struct(s["at"].alias("at"), (s["at"] + 8).alias("found"), F.lit(False).alias("bad")))
-            .otherwise(F.struct((s["at"] + 8 + n + n % 2).alias("at"), s["found"].alias("found"), F.lit(False).alias("bad")))
-        )
-
-    rows = rows.withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(4)), start, step))
-    found = F.col("s.found")
-    return rows.select("page_id", found.alias("offset"), F.when(found.isNotNull(), size(F.col("s.at"))).alias("size"), F.when(F.col("s.bad"), "cut").when(found.isNull(), "no image").alias("error"))
-
-
 def png_chunk(spark, sf_dir):
     """Part names as PNG chunks: big-endian length, type, data and the CRC-32 of both."""
     data = F.col("p_name").cast("binary")
@@ -298,7 +268,7 @@ def step_lookup(spark, sf_dir):
 
 
 _ALL = (
-    binary_scan, riff_walk, png_chunk, samples_8bit, token_extra, bool_cost, scaled_steps, axis_ticks, number_texts, mode_names, option_parse, text_escapes, csv_lines, manifest_lines, report_lines,
+    binary_scan, png_chunk, samples_8bit, token_extra, bool_cost, scaled_steps, axis_ticks, number_texts, mode_names, option_parse, text_escapes, csv_lines, manifest_lines, report_lines,
     header_gates, header_compare, byte_equal, finite_points, image_paths, sorted_manifest, first_path, curve_points, nonzero_outliers, xorshift, filter_levels, edge_kinds, macroblock_lookup, step_lookup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -317,12 +287,6 @@ def _steps_sql() -> str:
 
 
 SQL = {
-    "riff_walk": """WITH o AS (SELECT page_id, CAST(page_id AS BIGINT) AS n, octet_length(encode(substr(coalesce(html, ''), 1, 40))) AS own FROM pages),
- s AS (SELECT page_id, n, own, CASE WHEN n % 3 = 0 THEN 8 + n % 7 + n % 7 % 2 ELSE 0 END AS extra FROM o),
- t AS (SELECT *, CASE WHEN n % 11 = 0 THEN 21 ELSE 12 + extra + 8 + own + own % 2 END AS total FROM s),
- e AS (SELECT *, CASE WHEN n % 3 = 0 AND 20 + n % 7 > total THEN 'cut' WHEN 20 + extra > total THEN 'no image' WHEN 20 + extra + own > total THEN 'cut' WHEN n % 5 = 0
- THEN 'no image' END AS error FROM t)
- SELECT page_id, CASE WHEN error IS NULL THEN 20 + extra END AS "offset", CASE WHEN error IS NULL THEN CAST(own AS BIGINT) END AS size, error FROM e""",
     "png_chunk": """WITH t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1,
  3988292384) ELSE c >> 1 END)) AS t),
  b AS (SELECT p_partkey, list_transform(string_split('tEXt' || p_name, ''), lambda c: CAST(ord(c) AS BIGINT)) AS b FROM part),
