@@ -55,6 +55,8 @@ def test_best_classes_gain_what_the_likelihood_does():
 
 def test_rounds_raise_the_likelihood(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(class_lm, "SEEDS", 200)
+    monkeypatch.setattr(class_lm, "TRIES", 10)  # few tokens tell little of many words, so that most moves together are wrong
+    monkeypatch.setattr(class_lm, "SETTLED", 0.0)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     corpus = class_lm.prepared(docs, F.col("doc_id") % 7 != 2)
     model = class_lm.fit(corpus)
