@@ -6,7 +6,9 @@ record's header. ``read_records`` opens records by their offsets alone. Files go
 under names of their own for every attempt; only names that a finished task returns are ever read.
 
 Defined cases: null html is an empty payload; null url becomes ``urn:none``; a null page_id is written without a number and never names a response; rows
-that share a payload's smallest page_id are all responses; repeated rows give repeated records; a damaged stream ends the job with its path in the error.
+that share a payload's smallest page_id are all responses; repeated rows give repeated records; a damaged stream ends the job with its path in the error; an empty table
+gives no archives and no rows; very long payloads are held one at a time when written and a chunk at a time when normalised; page ids must be whole numbers, as the
+records' own ids are made of them; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
