@@ -21,15 +21,15 @@ def sub_blocks(frame: DataFrame) -> DataFrame:
     return frame.select("vec_id", "label", F.posexplode(F.array(*(B.sub_block(F.col("p"), k) for k in range(4)))).alias("k", "s"))
 
 
-def transformed(rows: DataFrame, values: Column, along_rows, along_columns, name: str = "c") -> DataFrame:
-    """The rows with a transform of 4x4 values. The pass along rows is a column of its own, so that the pass along columns doesn't compute it anew for each value."""
-    half = rows.withColumn("_rows", F.array(*along_rows(B.at(values))))
-    return half.withColumn(name, F.array(*along_columns(B.at(F.col("_rows"))))).drop("_rows")
+def transformed(rows: DataFrame, column: str, passes: list[B.Pass], name: str = "c") -> DataFrame:
+    """The rows with ``name``, a transform of the 4x4 values in ``column``. The first pass is a column of its own, so that the second one doesn't compute it anew for each value."""
+    first, second = passes
+    return rows.withColumn("_first", B.passed(column, *first)).withColumn(name, B.passed("_first", *second)).drop("_first")
 
 
 def coefficients(subs: DataFrame) -> DataFrame:
     """... c: forward DCT of each 4x4 block against flat 128."""
-    return transformed(subs.withColumn("_r", F.transform("s", lambda v: v - 128)), F.col("_r"), B.dct_along_rows, B.dct_along_columns).drop("_r")
+    return transformed(subs.withColumn("_r", F.transform("s", lambda v: v - 128)), "_r", B.FORWARD_DCT).drop("_r")
 
 
 def text(values) -> Column:
@@ -64,10 +64,9 @@ def best_modes(residuals: DataFrame) -> DataFrame:
 
 
 def hadamard_cost(rows: DataFrame, block: str, name: str) -> DataFrame:
-    """Half the sum of the absolute Hadamard coefficients of a 4x4 block, rounded up. The pass along rows is a column of its own, so
-    that the pass along columns doesn't compute it anew for each value."""
-    half = rows.withColumn("_rows", F.array(*B.along_rows(B.at(F.col(block)), B.hadamard)))
-    return half.withColumn(name, F.shiftright(B.total(F.abs(v) for v in B.along_columns(B.at(F.col("_rows")), B.hadamard)) + 1, 1)).drop("_rows")
+    """Half the sum of the absolute Hadamard coefficients of a 4x4 block, rounded up."""
+    whole = transformed(rows, block, B.HADAMARD, "_had")
+    return whole.withColumn(name, F.shiftright(total(F.transform("_had", F.abs)) + 1, 1)).drop("_had")
 
 
 def pruned_modes(residuals: DataFrame, keep: int) -> DataFrame:

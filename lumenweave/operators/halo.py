@@ -109,10 +109,10 @@ def rate_distortion(candidates: DataFrame, dc: int, ac: int, weight: int) -> Dat
     ``cost``: 256 times the error, and ``weight`` times the rate. Every step is a column that the next one reads."""
     step = lambda i: F.when(i == 0, dc).otherwise(ac).cast("long")
     rows = candidates.withColumn("d", F.zip_with("s", "guess", lambda v, g: v - g))
-    rows = O.transformed(rows, F.col("d"), B.dct_along_rows, B.dct_along_columns, "coefficients")
+    rows = O.transformed(rows, "d", B.FORWARD_DCT, "coefficients")
     rows = rows.withColumn("q", F.transform("coefficients", lambda v, i: B.quantized(v, step(i))))
     rows = rows.withColumn("back", F.transform("q", lambda v, i: v * step(i)))
-    rows = O.transformed(rows, F.col("back"), B.idct_along_columns, B.idct_along_rows, "back")
+    rows = O.transformed(rows, "back", B.INVERSE_DCT, "back")
     again = F.zip_with("guess", "back", lambda g, v: B.clip(g + v, 0, 255))
     rows = rows.withColumn("error", O.total(F.transform(F.zip_with("s", again, lambda v, w: v - w), lambda v: v * v)))
     rows = rows.withColumn("rate", P.block_rate(F.col("q")) + (F.col("mode") > 0).cast("long"))

@@ -132,10 +132,10 @@ def transform_dump(planes: DataFrame) -> DataFrame:
     blocks = blocks.agg(F.transform(F.array_sort(F.collect_list(at)), lambda s: s["v"]).alias("s"))
     blocks = blocks.join(flat_predictions(planes), ["name", "plane", "my", "mx"], "left").withColumn("ref", F.coalesce("ref", F.lit(128)))
     residual = blocks.select("name", "plane", "my", "mx", "k", F.transform("s", lambda v: v - F.col("ref")).alias("s"))
-    coded = O.transformed(residual, F.col("s"), B.dct_along_rows, B.dct_along_columns).drop("s")
+    coded = O.transformed(residual, "s", B.FORWARD_DCT).drop("s")
     keys = ["name", "my", "mx"]
     firsts = coded.where("plane = 'y'").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", F.get("c", F.lit(0)).alias("d")))), lambda s: s["d"]).alias("d"))
-    y2 = O.transformed(firsts, F.col("d"), B.wht_along_rows, B.wht_along_columns).select(*keys, F.lit("y2").alias("plane"), F.lit(0).alias("k"), "c")
+    y2 = O.transformed(firsts, "d", B.FORWARD_WHT).select(*keys, F.lit("y2").alias("plane"), F.lit(0).alias("k"), "c")
     without = F.when(F.col("plane") == "y", F.transform("c", lambda v, i: F.when(i == 0, 0).otherwise(v).cast("long"))).otherwise(F.col("c"))
     return coded.withColumn("c", without).unionByName(y2)
 

@@ -36,8 +36,12 @@ def tree(codes: tuple[str, ...]) -> list[tuple[int, int, int, int]]:
 
 def table(spark: SparkSession, rows: list[tuple], names: tuple[str, ...]) -> DataFrame:
     """A small table of numbers, as literals in the plan."""
-    structs = F.array(*(F.struct(*(F.lit(v).cast("long").alias(n) for v, n in zip(r, names, strict=True))) for r in rows))
-    return spark.range(1).select(F.explode(structs).alias("r")).select("r.*")
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(f'({', '.join(f'{v}L' for v in r)})' for r in rows)} AS t({', '.join(names)})")
+
+
+def listed(values) -> Column:
+    """Numbers as one literal array."""
+    return F.expr(f"array({', '.join(map(str, values))})")
 
 
 def whole_log2(x: int) -> int:
@@ -73,7 +77,7 @@ def coded_blocks(embeddings: DataFrame, steps: dict[str, tuple[int, int]]) -> Da
     first = F.struct((F.col("br") % 4 * 4 + F.col("bc") % 4).alias("at"), F.get("c", F.lit(0)).alias("v"))
     groups = blocks.groupBy(*about, "r", "m").agg(F.collect_list(F.when(F.col("plane") == "y", first)).alias("firsts"))
     placed = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.coalesce(F.element_at(F.map_from_entries("firsts"), i.cast("long")), F.lit(0).cast("long")))
-    y2 = O.transformed(groups.withColumn("d", placed), F.col("d"), B.wht_along_rows, B.wht_along_columns)
+    y2 = O.transformed(groups.withColumn("d", placed), "d", B.FORWARD_WHT)
     y2 = y2.select(*about, F.lit("y2").alias("plane"), F.col("r").alias("br"), F.col("m").alias("bc"), F.when(F.col("mode") != SPLIT, F.col("c")).alias("c"))
     own = F.when((F.col("plane") == "y") & (F.col("mode") != SPLIT), F.transform("c", lambda v, i: F.when(i == 0, 0).otherwise(v).cast("long"))).otherwise(F.col("c"))
     every = blocks.select(*about, "plane", "br", "bc", own.alias("c")).unionByName(y2)
@@ -89,7 +93,7 @@ def with_contexts(blocks: DataFrame) -> DataFrame:
     coded) and ``ctx``: how many of the last coded blocks before it in its row and in its column have one."""
     kind = F.when(F.col("plane") == "y2", 1).when(F.col("plane") != "y", 2).when(F.col("mode") == SPLIT, 3).otherwise(0).cast("long")
     rows = blocks.withColumn("kind", kind).withColumn("first", F.when(F.col("kind") == 0, 1).otherwise(0))
-    rows = rows.withColumn("scanned", F.transform(F.array(*map(F.lit, ZIGZAG)), lambda i: F.get("c", i)))
+    rows = rows.withColumn("scanned", F.transform(listed(ZIGZAG), lambda i: F.get("c", i)))
     rows = rows.withColumn("has", F.exists("scanned", lambda v: v != 0).cast("int"))  # a level before the first place is zero
     before = lambda line, order: F.coalesce(F.last("has", ignorenulls=True).over(Window.partitionBy("picture", "plane", line).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("ctx", (before("br", "bc") + before("bc", "br")).cast("long")).drop("c")
@@ -104,7 +108,7 @@ def tokens(blocks: DataFrame) -> DataFrame:
     before = F.abs(F.get("scanned", F.col("i") - 1))
     begins, v = F.col("i") == F.col("first"), F.when(F.col("i") <= F.col("last"), F.get("scanned", F.col("i")))
     return rows.select(
-        *BLOCK, "kind", F.get(F.array(*map(F.lit, BANDS)), F.col("i")).cast("long").alias("band"), F.when(begins, F.col("outer")).otherwise(F.least(before, F.lit(2).cast("long"))).alias("ctx"),
+        *BLOCK, "kind", F.get(listed(BANDS), F.col("i")).cast("long").alias("band"), F.when(begins, F.col("outer")).otherwise(F.least(before, F.lit(2).cast("long"))).alias("ctx"),
         (~begins & (before == 0)).alias("after_zero"), F.when(v.isNull(), F.lit(END).cast("long")).otherwise(B.token_class(F.least(F.abs(v), F.lit(LARGEST)))).alias("token"), v.alias("v"),
     )
 
@@ -127,12 +131,12 @@ def bit_cost(probability: Column, bit: Column) -> Column:
 
 def extra_cost(token: Column, v: Column) -> Column:
     """Cost of a level's sign and of the bits that tell its magnitude within its category."""
-    places = [[(len(p) - 1 - j, 2048 - whole_log2(x), 2048 - whole_log2(256 - x)) for j, x in enumerate(p)] for p in EXTRA_PROBABILITIES]
-    names = ("shift", "zero", "one")
-    listed = F.array(*(F.array(*(F.struct(*(F.lit(x).cast("long").alias(n) for x, n in zip(place, names, strict=True))) for place in own)) for own in places))
-    above = F.least(F.abs(v), F.lit(LARGEST)) - F.get(F.array(*map(F.lit, CATEGORY_BASES)), (token - 5).cast("int"))
+    price = lambda x: 2048 - whole_log2(x)
+    own = (", ".join(f"struct({len(p) - 1 - j} AS shift, {price(x)}L AS zero, {price(256 - x)}L AS one)" for j, x in enumerate(p)) for p in EXTRA_PROBABILITIES)
+    places = F.expr(f"array({', '.join(f'array({o})' for o in own)})")
+    above = F.least(F.abs(v), F.lit(LARGEST)) - F.get(listed(CATEGORY_BASES), (token - 5).cast("int"))
     cost = lambda a, p: a + F.when(F.floor(above / F.pow(F.lit(2), p["shift"])) % 2 == 1, p["one"]).otherwise(p["zero"])
-    extra = F.when(token.between(5, 10), F.aggregate(F.get(listed, (token - 5).cast("int")), F.lit(0).cast("long"), cost)).otherwise(0)
+    extra = F.when(token.between(5, 10), F.aggregate(F.get(places, (token - 5).cast("int")), F.lit(0).cast("long"), cost)).otherwise(0)
     return extra + F.when(v != 0, 256).otherwise(0)
 
 

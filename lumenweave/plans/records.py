@@ -8,7 +8,7 @@ from lumenweave.functions import blocks as B
 from lumenweave.functions import frames as H
 from lumenweave.functions import planes as P
 from lumenweave.plans.blocks import _PX
-from lumenweave.sources.files import binary_files, has_suffix
+from lumenweave.sources.files import binary_files, has_suffix, parsed, quoted
 
 
 def _read(spark, sf_dir, name):
@@ -119,6 +119,18 @@ def csv_lines(spark, sf_dir):
     return e.select("user_id", F.concat(F.lit('"file '), F.col("user_id").cast("string"), F.lit('.webp",'), cell).alias("line"))
 
 
+def csv_points(spark, sf_dir):
+    """Events as quoted lines of delimited text and back, some of them damaged: a value that is no number, a value too few, one too many. Bad lines come back as they are."""
+    n = F.col("event_id")
+    kind = F.when(n % 5 == 1, F.concat(F.lit('a "b", '), "event_type")).otherwise(F.col("event_type"))
+    value = F.when(n % 17 == 3, F.lit("x1y")).otherwise(F.round("value", 2).cast("decimal(20,2)").cast("string"))
+    line = quoted(n, F.col("user_id"), kind, value)
+    line = F.when(n % 19 == 4, quoted(n, F.col("user_id"))).when(n % 23 == 5, F.concat(line, F.lit(",7"))).otherwise(line)
+    rows = _read(spark, sf_dir, "events").select("event_id", parsed(line, "id BIGINT, user BIGINT, kind STRING, value DOUBLE").alias("p"))
+    good = lambda c: F.when(F.col("p.bad").isNull(), F.col(f"p.{c}"))
+    return rows.select("event_id", *(good(c).alias(c) for c in ("id", "user", "kind", "value")), F.col("p.bad").alias("bad"))
+
+
 def manifest_lines(spark, sf_dir):
     """Lines of a manifest, some damaged, as path, quality and digest, or what is wrong."""
     n = F.col("p_partkey")
@@ -268,7 +280,7 @@ def step_lookup(spark, sf_dir):
 
 
 _ALL = (
-    binary_scan, png_chunk, samples_8bit, token_extra, bool_cost, scaled_steps, axis_ticks, number_texts, mode_names, option_parse, text_escapes, csv_lines, manifest_lines, report_lines,
+    binary_scan, png_chunk, samples_8bit, token_extra, bool_cost, scaled_steps, axis_ticks, number_texts, mode_names, option_parse, text_escapes, csv_lines, csv_points, manifest_lines, report_lines,
     header_gates, header_compare, byte_equal, finite_points, image_paths, sorted_manifest, first_path, curve_points, nonzero_outliers, xorshift, filter_levels, edge_kinds, macroblock_lookup, step_lookup,
 )
 QUERIES = {f.__name__: f for f in _ALL}
@@ -318,6 +330,11 @@ SQL = {
     "text_escapes": """WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
  SELECT doc_id, '"' || replace(t, '"', '""') || '"' AS csv, replace(replace(replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml FROM t""",
     "csv_lines": """SELECT user_id, '"file ' || user_id || '.webp",' || CASE WHEN min(event_id) % 5 = 0 THEN 'ERR' ELSE CAST(CAST(floor(min(value) * 1000) AS BIGINT) AS VARCHAR) END AS line FROM events GROUP BY 1""",
+    "csv_points": """WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 5 = 1 THEN 'a "b", ' || event_type ELSE event_type END AS kind, CAST(round(value, 2) AS DECIMAL(20, 2)) AS v, event_id % 17 = 3 AS no_number,
+  event_id % 19 = 4 AS few, event_id % 23 = 5 AS many FROM events),
+ l AS (SELECT *, CASE WHEN few THEN '"' || event_id || '","' || user_id || '"' ELSE '"' || event_id || '","' || user_id || '","' || replace(kind, '"', '""') || '","' || CASE WHEN no_number THEN 'x1y' ELSE CAST(v AS VARCHAR) END || '"' || CASE WHEN many THEN ',7' ELSE '' END END AS line FROM e)
+ SELECT event_id, CASE WHEN good THEN event_id END AS id, CASE WHEN good THEN user_id END AS user, CASE WHEN good THEN kind END AS kind, CASE WHEN good THEN CAST(v AS DOUBLE) END AS value, CASE WHEN NOT good THEN line END AS bad
+ FROM (SELECT *, NOT (few OR many OR no_number) AS good FROM l)""",
     "manifest_lines": """SELECT p_partkey, CASE WHEN good THEN 'dir/' || p_partkey || '.png' END AS path, CASE WHEN good THEN CAST(p_partkey % 101 AS INTEGER) END AS q,
  CASE WHEN good THEN sha256(p_name) END AS sha,
  CASE WHEN p_partkey % 11 = 0 THEN 'form' WHEN p_partkey % 7 = 0 THEN 'quality' END AS error FROM (SELECT *, p_partkey % 11 <> 0 AND p_partkey % 7 <> 0 AS good FROM part WHERE p_partkey % 13 <> 0)""",

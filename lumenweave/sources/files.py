@@ -44,3 +44,15 @@ def table_of(spark: SparkSession, path: str, required: dict[str, str], separator
 def write_table(rows: DataFrame, path: str, separator: str = ",") -> None:
     """Delimited text with a header; every value is quoted, and quotes in values are doubled."""
     rows.write.option("header", "true").option("sep", separator).option("quoteAll", "true").option("escape", '"').csv(path)
+
+
+def parsed(line: Column, schema: str, separator: str = ",") -> Column:
+    """A line of delimited text as a struct of ``schema``, and ``bad``: the line itself where a value isn't of its type or there are too few or too many, so that bad lines are rows that can
+    be looked at and not nulls. Values may be quoted, with quotes in them doubled."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "sep": separator, "quote": '"', "escape": '"'}
+    return F.from_csv(line, f"{schema}, bad STRING", options)
+
+
+def quoted(*values: Column, separator: str = ",") -> Column:
+    """A line of delimited text, as ``write_table`` writes it."""
+    return F.concat_ws(separator, *(F.concat(F.lit('"'), F.replace(v.cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for v in values))
