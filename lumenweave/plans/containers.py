@@ -8,6 +8,7 @@ from lumenweave.functions import blocks as B
 from lumenweave.functions import containers as C
 from lumenweave.operators import blocks as O
 from lumenweave.operators import images as I
+from lumenweave.sources import riff
 
 def _chunk(tag, payload):
     n = F.octet_length(payload).cast("long")
@@ -84,7 +85,17 @@ def row_filters(spark, sf_dir):
     return rows.select("name", F.size(F.coalesce("v", F.array().cast("array<bigint>"))).alias("bytes"), F.when(F.col("v").isNotNull(), F.sha2(F.unhex(I.little_endian_hex(F.col("v"), 1)), 256)).alias("sha"))
 
 
-_ALL = (riff_walk, riff_chunks, partition_sizes, filtered_rows, row_filters)
+def riff_files(spark, sf_dir):
+    """Every page as an image file of its own, written through the data source and read back: size and digest of the payload."""
+    folder, html = riff.shared_folder(spark), F.encode(F.coalesce("html", F.lit("")), "utf-8")
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.concat("page_id", F.lit(".webp")).alias("name"), html.alias("payload"))
+    riff.registered(spark)
+    rows.write.format("riff").mode("append").save(folder)
+    found = spark.read.format("riff").load(folder).where("tag = 'VP8 '")
+    return found.select(F.substring_index("name", ".", 1).cast("long").alias("page_id"), F.col("at").alias("offset"), "size", F.sha2("payload", 256).alias("sha"))
+
+
+_ALL = (riff_files, riff_walk, riff_chunks, partition_sizes, filtered_rows, row_filters)
 QUERIES = {f.__name__: f for f in _ALL}
 
 _EXTRA = "list_transform(range(0, n % 120), lambda i: 8 + i % 5 + i % 5 % 2)"
@@ -108,6 +119,7 @@ def _sql() -> dict[str, str]:
     near = lambda a, b: f"abs({left} + {above} - {corner} - {a}) <= abs({left} + {above} - {corner} - {b})"
     guess = f"CASE kind WHEN 1 THEN {left} WHEN 2 THEN {above} WHEN 3 THEN ({left} + {above}) // 2 WHEN 0 THEN 0 ELSE CASE WHEN {near(left, above)} AND {near(left, corner)} THEN {left} WHEN {near(above, corner)} THEN {above} ELSE {corner} END END"
     return {
+        "riff_files": """SELECT CAST(page_id AS BIGINT) AS page_id, CAST(20 AS BIGINT) AS "offset", CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS size, sha256(coalesce(html, '')) AS sha FROM pages""",
         "riff_walk": f"""{_WALK} SELECT t.page_id, CASE WHEN e IS NULL THEN s.here + 8 END AS "offset", CASE WHEN e IS NULL THEN CAST(s.size AS BIGINT) END AS size, coalesce(k, 0) AS chunks, e AS error FROM
  (SELECT t.page_id, k, CASE WHEN t.n % 19 = 3 THEN 'no container' WHEN cut THEN 'cut' WHEN NOT coalesce(image, false) THEN 'no image' END AS e FROM t LEFT JOIN (SELECT page_id, count(*) FILTER (reached AND fits) AS k,
  bool_or(reached AND NOT ended AND (NOT fits OR padless)) AS cut, bool_or(reached AND fits AND tag = 'VP8 ') AS image FROM s GROUP BY 1) g ON g.page_id = t.page_id) t LEFT JOIN s ON s.page_id = t.page_id AND s.tag = 'VP8 '""",
