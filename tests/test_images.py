@@ -7,15 +7,11 @@ import pytest
 
 from lumenweave.operators import images as I
 from lumenweave.plans import images as Q
+from tests.known_digests import KNOWN
 
-# SHA-256 over the lines "name digest" (with "q=N" between them where levels are quantized), in order of name and q as text, of the
-# thirty images' RGB bytes, planes, transform dumps and, at six qualities, quantized dumps.
-RGB, PLANES, DUMPS, LEVELS = (
-    "e7dfd9ac77ae22e1d6cfe70dffaa6b6e9c3f5a80e608122ff7eae1b48cf2329a",
-    "69553275e8530237e6eca0e171fad01849aa54f3ef557750cd38b2acba0f1603",
-    "62cc47cc12ccef0193385261e11245582e4d087148177b176aeb1a90e96df16d",
-    "45b47fa0058dba57f3168010e39ae59a910266beb00714607245e869980a676b",
-)
+# Fixed value: SHA-256 over the lines "name q=N digest" of the thirty images' levels at all six qualities, in order of name and q as text; the digests of one quality are in
+# ``known_digests`` one by one.
+LEVELS = "45b47fa0058dba57f3168010e39ae59a910266beb00714607245e869980a676b"
 
 
 def together(lines):
@@ -35,22 +31,21 @@ def of_blocks(rows):
 
 def test_corpus_has_the_known_pixels_and_planes(spark):
     rows = Q._digests(I.corpus(spark)).collect()
-    assert len(rows) == 30
-    assert together(f"{r.name} {r.rgb_sha}" for r in rows) == RGB
-    assert together(f"{r.name} {r.yuv_sha}" for r in rows) == PLANES
+    assert {r.name: (r.rgb_sha, r.yuv_sha) for r in rows} == {n: k[:2] for n, k in KNOWN.items()}
 
 
 def test_corpus_has_the_known_dumps(dump):
     images = {}
     for r in dump.collect():
         images.setdefault(r.name, []).append(r)
-    assert together(f"{n} {of_blocks(rows)}" for n, rows in images.items()) == DUMPS
+    assert {n: of_blocks(rows) for n, rows in images.items()} == {n: k[2] for n, k in KNOWN.items()}
 
 
 def test_corpus_has_the_known_levels(dump):
     images = {}
     for r in Q.quantized_dump(dump).collect():
         images.setdefault((r.name, r.q), []).append(r)
+    assert {n: of_blocks(rows) for (n, q), rows in images.items() if q == 75} == {n: k[3] for n, k in KNOWN.items()}
     assert together(f"{n} q={q} {of_blocks(rows)}" for (n, q), rows in images.items()) == LEVELS
 
 
