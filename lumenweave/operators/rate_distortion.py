@@ -2,25 +2,38 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest(ours: DataFrame, theirs: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), chunks: int = 64) -> DataFrame:
+def _edges_below(edges: list, value: Column) -> Column:
+    """How many of the sorted ``edges`` are below the value: the blocks of edges that are, then the edges of the next block."""
+    if not edges:
+        return F.lit(0)
+    step = isqrt(len(edges)) + 1
+    below = lambda part: F.size(F.filter(part, lambda e: e < value))
+    blocks = below(F.array(*map(F.lit, edges[step - 1 :: step]))) if step <= len(edges) else F.lit(0)
+    return blocks * step + below(F.slice(F.array(*map(F.lit, edges)), blocks * step + 1, step))
+
+
+def nearest(ours: DataFrame, theirs: DataFrame, group: str, value: str, tie: str, carry: tuple[str, ...] = (), chunk_rows: int = 1_000_000) -> DataFrame:
     """For each row of ``ours`` the row of ``theirs`` in its group with the closest value, as near_<value>, near_<tie> and near_<column> of ``carry``; of two
     as close the smaller value, of equal values the least ``tie``.
 
-    The closest is the last at or below or the first above. Each is a running last in a sort of its own direction, so the cost is that of two sorts. A group is cut
-    into chunks of the whole range of values, so that a large group is no single task's; what a chunk lacks comes from the chunks before and after it."""
+    The closest is the last at or below or the first above. Each is a running last in a sort of its own direction, so the cost is that of two sorts. Groups are cut
+    at quantiles of all values into chunks of about ``chunk_rows`` rows (64 chunks at least), so that neither a large group nor a crowd of values is one task's, unless they are equal; what a chunk
+    lacks comes from the chunks before and after it."""
     names = [value, tie, *carry]
     once = theirs.groupBy(group, value).agg(F.min(F.struct(tie, *carry)).alias("t")).select(group, value, F.struct(value, *(F.col(f"t.{c}").alias(c) for c in (tie, *carry))).alias("mark"))
     every = ours.select(value).union(theirs.select(value))
-    low, high = every.select(F.min(value)).scalar(), every.select(F.max(value)).scalar()
+    number = max(64, -(-every.count() // chunk_rows))
+    edges = every.agg(F.percentile_approx(value, [i / number for i in range(1, number)], 100 * number)).first()[0] or []
     both = ours.select(group, value, F.struct(*ours.columns).alias("own"), F.lit(None).cast(once.schema["mark"].dataType).alias("mark")).unionByName(
         once.select(group, value, F.lit(None).cast(ours.select(F.struct(*ours.columns).alias("o")).schema["o"].dataType).alias("own"), "mark")
     )
-    chunk = F.least(F.lit(chunks - 1), F.floor((F.col(value) - low) * chunks / F.greatest(high - low, F.lit(1)))).cast("int")
-    both = both.withColumn("chunk", F.coalesce(chunk, F.lit(0)))
+    both = both.withColumn("chunk", _edges_below(edges, F.col(value)))
 
     def running(order: Column, of: str, *by: str) -> Column:
         return F.last(of, True).over(Window.partitionBy(*by).orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
