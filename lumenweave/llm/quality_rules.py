@@ -15,6 +15,7 @@ counted whole; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 from functools import reduce
+from math import log, pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,18 +69,30 @@ def counted(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "stratum", *(c.cast("long").alias(name) for name, c in {"n_words": F.col("w.n"), "word_chars": F.col("word_chars"), "n_symbols": F.col("word_chars") - F.col("plain"), "n_dup_lines": F.col("x.d"), "n_repeat_words": F.col("w.r"), "n_lines": F.col("x.n"), "n_capitals": F.col("word_chars") - F.col("small")}.items()))
 
 
-def binomial_tail(k: Column, n: Column, p: float) -> Column:
-    """P(X <= k) of a binomial, term by term in logarithms."""
-    odds = float(p / (1 - p))
-    none = n * F.log(F.lit(1 - p))
-    start = F.struct(none.alias("term"), none.alias("total"))
+def _stirling_rest(m: Column) -> Column:
+    """ln m! less Stirling's formula."""
+    x = m.cast("double")
+    series = 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(m < 16, F.log(F.factorial(m)) - (x + 0.5) * F.log(x) + x - 0.5 * log(2 * pi)).otherwise(series)
 
-    def step(acc: Column, j: Column) -> Column:
-        term = acc["term"] + F.log((n - j + 1) * F.lit(odds) / j)
-        top = F.greatest(acc["total"], term)
-        return F.struct(term.alias("term"), (top + F.log1p(F.exp(F.least(acc["total"], term) - top))).alias("total"))
 
-    return F.exp(F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>")), start, step, lambda acc: acc["total"]))
+def binomial_tail(k: Column, n: Column, p: float) -> Column:
+    """P(X <= k) of a binomial. Terms are added from k away from the mean, where each is less than the one before: past twelve standard deviations they are below the last bit of
+    the sum, so that the work grows with the root of n."""
+    q = 1 - p
+    x, y, size = k.cast("double"), (n - k).cast("double"), n.cast("double")
+    apart = x * F.log(x / (size * p)) + y * F.log(y / (size * q))
+    first = F.exp(_stirling_rest(n) - _stirling_rest(k) - _stirling_rest(n - k) - apart + 0.5 * F.log(size / (2 * pi * x * y)))
+    above = x > size * p
+    terms = F.least(F.when(above, n - k).otherwise(k), F.ceil(12 * F.sqrt(size * p * q)) + 50)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(0.0).alias("total"))
+
+    def step(acc: Column, i: Column) -> Column:
+        ratio = F.when(above, (y - i + 1) * p / ((x + i) * q)).otherwise((x - i + 1) * q / ((y + i) * p))
+        return F.struct((acc["term"] * ratio).alias("term"), (acc["total"] + acc["term"] * ratio).alias("total"))
+
+    others = F.aggregate(F.sequence(F.lit(1).cast("long"), terms.cast("long")), start, step, lambda acc: acc["total"])
+    return F.when(k >= n, 1.0).when(k < 1, F.exp(size * log(q))).otherwise(F.when(above, 1 - first * others).otherwise(first * (1 + others)))
 
 
 def certified(counts: DataFrame, labels: DataFrame, risk: float = 0.02, error: float = 0.05, good_weight: float = 5.0) -> DataFrame:

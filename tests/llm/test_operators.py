@@ -183,6 +183,40 @@ def test_binomial_tail_is_exact(spark):
         assert abs(got - sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1))) < 1e-9
 
 
+def test_binomial_tail_of_many_rows(spark):
+    from math import erf, exp, lgamma, log, sqrt
+
+    def tail(k, n, p):
+        return sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * log(p) + (n - j) * log(1 - p)) for j in range(k + 1))
+
+    def ours(k, n, p):
+        rows = spark.createDataFrame([(k, n)], "k long, n long")
+        return rows.select(quality_rules.binomial_tail(F.col("k"), F.col("n"), p)).first()[0]
+
+    for n, k in ((40, 16), (40, 1), (17, 16), (5_000, 70), (5_000, 130), (100_000, 1_900), (100_000, 2_400), (3, 3), (0, 0)):
+        assert abs(ours(k, n, 0.02) / tail(k, n, 0.02) - 1) < 1e-7
+    n, k, p = 400_000_000, 7_995_000, 0.02  # laying out k numbers would not end
+    z = (k + 0.5 - n * p) / sqrt(n * p * (1 - p))
+    assert abs(ours(k, n, p) / (0.5 * (1 + erf(z / sqrt(2)))) - 1) < 0.01
+
+
+def test_simhash_cells_of_many_fingerprints_are_dealt_again(spark):
+    rng = np.random.default_rng(5)
+    low = rng.integers(0, 1 << 40, 600).astype(np.int64)
+    near = low[:200] ^ (1 << rng.integers(0, 40, 200)) ^ (1 << rng.integers(0, 40, 200))  # the upper bits of all are equal
+    prints = np.unique(np.r_[low, near]).astype(np.uint64)
+    nodes = spark.createDataFrame([(int(x),) for x in prints], "fp long")
+    for cell_rows in (100, 3):
+        found = {r.node: r.root for r in simhash.components(simhash.links(nodes, 4, cell_rows)).collect()}
+        root = {int(x): int(x) for x in prints}
+        close = np.argwhere(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4)
+        for _ in range(10):
+            for a, b in close.tolist():
+                a, b = int(prints[a]), int(prints[b])
+                root[a] = root[b] = min(root[a], root[b])
+        assert found == {x: r for x, r in root.items() if x != r}
+
+
 def test_certified_cutoffs_reject_few_good_texts(spark):
     rows = [(i, " ".join(f"w{i * j}" for j in range(60)) if i % 4 else " ".join(f"x{i * j}%%%" for j in range(60)), "en") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
