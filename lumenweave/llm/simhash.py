@@ -6,7 +6,8 @@ so many blocks deal fingerprints into cells where every linked pair meets. The n
 to some millions), so that cells stay small as the corpus grows. Inside a cell, distances to many
 reference fingerprints are tabled once; by the triangle inequality a pair whose coordinates differ by more than the
 radius in any pivot is no link, and only the rest is verified bit by bit. A cell hands on a spanning forest of its links,
-never its pairs. Cells above ``cell_rows`` are cut into chunks that meet pair by pair in tasks of their own.
+never its pairs. Cells above ``cell_rows`` are dealt out once more, by blocks of the bits that their key leaves open; only what is
+still above it, prints that agree in both keys, is cut into chunks that meet pair by pair in tasks of their own.
 
 Defined cases: no documents give no rows; other columns, whatever their names, are not read; very long texts are hashed in parts; null or wordless text has fingerprint 0 and is linked as any other; texts of fewer words than a shingle hash
 their whole word sequence; rows with a null id get a component but never name one; repeated rows share a component.
@@ -14,7 +15,7 @@ their whole word sequence; rows with a null id get a component but never name on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 from math import comb
 
@@ -61,13 +62,9 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def masks(blocks: int, radius: int) -> list[int]:
-    """The bits of every choice of ``blocks`` - ``radius`` of so many nearly equal blocks: a pair within the radius is equal in one of them."""
-    low, own = 0, []
-    for i in range(blocks):
-        width = (64 * (i + 1)) // blocks - (64 * i) // blocks
-        own.append(((1 << width) - 1) << low)
-        low += width
+def masks(blocks: int, radius: int, bits: Sequence[int] = range(64)) -> list[int]:
+    """Every choice of ``blocks`` - ``radius`` of so many nearly equal blocks of ``bits``: a pair within the radius is equal in one of them."""
+    own = [sum(1 << bit for bit in bits[len(bits) * i // blocks : len(bits) * (i + 1) // blocks]) for i in range(blocks)]
     return [_signed(sum(chosen)) for chosen in combinations(own, blocks - radius)]
 
 
@@ -114,6 +111,19 @@ def _roots(parent: np.ndarray) -> np.ndarray:
         parent[:] = above
 
 
+def _cut(rows: DataFrame, chosen: list[int], radius: int, cell_rows: int) -> DataFrame:
+    """Cells that are too large, dealt out again by blocks of the bits that their key leaves open. What is too large even then goes in chunks that meet in pairs."""
+    spark = rows.sparkSession
+    open_bits = [[bit for bit in range(64) if not mask >> bit & 1] for mask in chosen]
+    finer = [(t, s + 1, mask) for t, bits in enumerate(open_bits) for s, mask in enumerate(masks(radius + 2, radius, bits))]
+    again = rows.join(F.broadcast(spark.createDataFrame(finer, "t int, s int, mask long")), "t")  # a row a pair of choices: 225 for a radius of 4
+    again = written(again.select("t", "key", "s", F.col("fp").bitwiseAND(F.col("mask")).alias("finer"), "fp"), "finer-cells")
+    cell = ["t", "key", "s", "finer"]
+    parts = again.groupBy(*cell).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select(*cell, F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
+    chunked = again.join(parts, cell, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    return chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*cell, F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "fp")
+
+
 def links(nodes: DataFrame, radius: int = 4, cell_rows: int = 20_000) -> DataFrame:
     """Edges ``u``, ``v`` between distinct fingerprints ``fp`` of ``nodes`` whose components are those of all links."""
     if not 0 <= radius <= 16:
@@ -122,10 +132,14 @@ def links(nodes: DataFrame, radius: int = 4, cell_rows: int = 20_000) -> DataFra
     chosen = masks(best_blocks(nodes.count(), radius), radius)
     cells = F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(chosen))))
     dealt = nodes.select("fp", cells.alias("c")).select("fp", "c.t", "c.key")
-    large = dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("t", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("parts"))
-    chunked = dealt.join(large, ["t", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = chunked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("t", "key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "fp")
-    keys = ["t", "key", "a", "b"]
+    keys = ["t", "key", "s", "finer", "a", "b"]
+    whole = [F.lit(0).alias(name) for name in keys[2:]]
+    large = written(dealt.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("t", "key", F.lit(True).alias("large")), "large-cells")
+    if large.isEmpty():
+        met = dealt.select("t", "key", *whole, "fp")
+    else:
+        told = dealt.join(large, ["t", "key"], "left")
+        met = told.where("large IS NULL").select("t", "key", *whole, "fp").unionByName(_cut(told.where("large"), chosen, radius, cell_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in by_groups(keys, 200_000)(batches):
