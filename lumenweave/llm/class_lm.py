@@ -193,6 +193,16 @@ def _laid(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``size`` numbers, or of one row."""
+    for batch in batches:
+        ends, first = np.cumsum(batch["numbers"].value_lengths().to_numpy(zero_copy_only=False)), 0
+        while first < batch.num_rows:
+            last = max(first + 1, int(np.searchsorted(ends, size + (int(ends[first - 1]) if first else 0), side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def _after(values: np.ndarray, ends: np.ndarray, first: int) -> np.ndarray:
     """What stands before each value; ``first`` before the first of a row."""
     before = np.empty_like(values)
@@ -211,7 +221,7 @@ def _pair_counts(corpus: Corpus, of: np.ndarray, end: int, n: int) -> np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, total = shared.value, np.zeros(n * n, np.int64)
-        for batch in batches:
+        for batch in _slices(batches, 1 << 19):
             numbers, ends = _laid(batch)
             if len(numbers):
                 own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)].astype(np.int64)
@@ -266,22 +276,21 @@ def _moves(corpus: Corpus, classes: np.ndarray, table: np.ndarray, first: int, i
     shared, side = spark.sparkContext.broadcast((classes, table)), 2 * CLASSES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = shared.value[0]
+        kinds = shared.value[0].astype(np.uint8)
         for batch in batches:
             numbers, ends = _laid(batch)
-            own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)].astype(np.int64)
-            later = np.full(len(own), end, np.int64)
+            own = kinds[np.where(numbers >= 0, numbers, v - 1 - numbers)]
+            later = np.full(len(own), end, np.uint8)
             later[:-1] = own[1:]  # what follows the end of a text is the next one's first word, which no likelihood counts
-            ids, before = numbers.astype(np.int64), _after(own, ends, end)
-            for i in range(0, len(ids), 1 << 21):  # what is sorted at once
-                part = slice(i, i + (1 << 21))
-                at = np.flatnonzero(ids[part] >= first) + i
-                inner = at[ids[at] != corpus_end]
-                code, n = np.unique(np.r_[ids[at] * side + before[at], ids[inner] * side + CLASSES + later[inner]], return_counts=True)
+            before = _after(own, ends, end)
+            for i in range(0, len(numbers), 1 << 21):  # what is sorted at once; a code is below 2^31
+                at = np.flatnonzero(numbers[i : i + (1 << 21)] >= first) + i
+                inner = at[numbers[at] != corpus_end]
+                code, n = np.unique(np.r_[numbers[at] * side + before[at], numbers[inner] * side + (CLASSES + later[inner])], return_counts=True)
                 word, begins = np.unique(code // side, return_index=True)
                 kept, times = (code % side).astype(np.uint8).tobytes(), n.astype("<u4").tobytes()
                 cut = list(zip(begins.tolist(), [*begins[1:].tolist(), len(code)], strict=True)) if len(word) else []
-                yield pa.RecordBatch.from_pydict({"word": word, "k": pa.array([kept[a:b] for a, b in cut], pa.binary()), "n": pa.array([times[4 * a : 4 * b] for a, b in cut], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"word": word.astype(np.int64), "k": pa.array([kept[a:b] for a, b in cut], pa.binary()), "n": pa.array([times[4 * a : 4 * b] for a, b in cut], pa.binary())})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, table = shared.value
@@ -378,7 +387,7 @@ def scored(corpus: Corpus, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, base, seen = shared.value
-        for batch in batches:
+        for batch in _slices(batches, 1 << 19):
             numbers, ends = _laid(batch)
             own = m.classes[np.where(numbers >= 0, numbers, v - 1 - numbers)]
             known, place = numbers >= 0, np.maximum(numbers, 0)
