@@ -1,8 +1,10 @@
-"""Near copies by Jaccard similarity of word shingles, verified exactly.
+"""Near copies by SimHash and pivots, of word shingles, verified exactly by Jaccard similarity.
 
-Texts are sets of the 64-bit hashes of their runs of ``SHINGLE`` words; equal sets collapse into one node first. A node's 96 least permuted hashes
-are cut into 24 bands of four, and equal bands deal nodes into cells: a pair of Jaccard 0.8 misses all cells with probability (1 - 0.8^4)^24 = 3e-6.
-Cells of the same members are read once. Inside a cell pairs of different sizes or, by the triangle inequality of the Jaccard distance, of different
+Texts are sets of the 64-bit hashes of their runs of ``SHINGLE`` words; equal sets collapse into one node first. Nodes' SimHash fingerprints are searched as
+those of ``simhash``, by bit blocks and tables of distances to pivots, and what links of ``RADIUS`` bits or fewer connect is a cell: no pair within the radius
+is lost. A pair of Jaccard 0.8 differs in some ten bits, though, and a radius that holds nearly all such pairs (twenty) holds one random pair in 800 as
+well. So the pairs beyond the radius are met by least hashes: a node's 96 least permuted hashes are cut into 24 bands of four, and equal bands deal nodes into
+cells; a pair of Jaccard 0.8 misses all of these with probability (1 - 0.8^4)^24 = 3e-6. Cells of the same members are read once. Inside a cell pairs of different sizes or, by the triangle inequality of the Jaccard distance, of different
 distances to the cell's pivots are no links; all others that are not yet connected are compared set by set. Cells above ``cell_size`` shingles are cut
 into chunks that meet pair by pair in tasks of their own. A cell hands on a spanning forest of its links, never its pairs.
 
@@ -21,10 +23,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenweave.llm import simhash
 from lumenweave.llm.common import by_bytes, by_groups, written
 from lumenweave.llm.simhash import components
 
-SHINGLE, BANDS, ROWS, PIVOTS = 5, 24, 4, 8
+SHINGLE, RADIUS, BANDS, ROWS, PIVOTS = 5, 6, 24, 4, 8
 _ODD = np.array([xxhash.xxh64_intdigest(str(i), seed=11) | 1 for i in range(BANDS * ROWS)], dtype=np.uint64)
 _ADD = np.array([xxhash.xxh64_intdigest(str(i), seed=12) for i in range(BANDS * ROWS)], dtype=np.uint64)
 
@@ -40,6 +43,12 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[: len(words) - n + 1].tolist(), ends[n - 1 :].tolist(), strict=True)], np.uint64))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles; zero for the empty set."""
+    counts = sum((simhash.bit_counts(hashes[at : at + (1 << 16)]) for at in range(0, len(hashes), 1 << 16)), np.zeros(64, np.int64))
+    return simhash.majority(counts, len(hashes))
+
+
 def bands(hashes: np.ndarray) -> np.ndarray:
     """A key for each band; none for the empty set, which is a node of its own."""
     if not len(hashes):
@@ -79,9 +88,15 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
+def alike(prints: DataFrame) -> DataFrame:
+    """``fp``, ``root``: for each fingerprint within the radius of another one, what stands for all that such links connect. The empty set has none."""
+    return components(simhash.links(prints.where("size > 0").select("fp").distinct(), RADIUS)).select(F.col("node").alias("fp"), "root")
+
+
 def links(docs: DataFrame, prints: DataFrame, cell_size: int) -> DataFrame:
     """Edges ``u``, ``v`` between nodes whose components are those of all verified links."""
-    nodes = prints.groupBy("node").agg(F.min("th").alias("th"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = prints.where("size > 0").groupBy("node").agg(F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("size", "keys", "fp")))
+    nodes = nodes.join(alike(prints), "fp", "left").withColumn("keys", F.concat("keys", F.array(F.coalesce("root", "fp"))))
     dealt = nodes.select("node", "th", "size", F.posexplode("keys").alias("band", "key"))
     cells = dealt.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.expr("bit_xor(xxhash64(node))").alias("a"), F.expr("bit_xor(xxhash64(node, 1))").alias("b"))
     cells = cells.where("n > 1").groupBy("a", "b", "n").agg(F.min(F.struct("band", "key", "shingles")).alias("c"))
@@ -126,10 +141,11 @@ def near_copies(docs: DataFrame, cell_size: int = 1_000_000) -> DataFrame:
             sets = [shingles(t) for t in batch["text"].to_pylist()]
             node = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=13) for s in sets], np.uint64).view(np.int64)
             keys = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "th": batch["th"], "node": node, "size": pa.array(map(len, sets), pa.int64()), "keys": keys})
+            fp = np.array([fingerprint(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "th": batch["th"], "node": node, "size": pa.array(map(len, sets), pa.int64()), "keys": keys, "fp": fp})
 
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
-    prints = written(keyed.mapInArrow(sketched, f"doc_id {kind}, th long, node long, size long, keys array<long>"), "sketches")
+    prints = written(keyed.mapInArrow(sketched, f"doc_id {kind}, th long, node long, size long, keys array<long>, fp long"), "sketches")
     found = components(links(docs, prints, cell_size))
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th")
     nodes = prints.groupBy("node").agg(F.min(first).alias("first"))

@@ -44,8 +44,18 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     spans = list(zip(starts[: 1 - shingle].tolist(), ends[shingle - 1 :].tolist(), strict=True))
     for at in range(0, len(spans), 1 << 16):
         hashes = np.array([digest(joined[a:b], seed) for a, b in spans[at : at + (1 << 16)]], dtype="<u8")
-        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(spans), bitorder="little").view("<u8")[0])
+        total += bit_counts(hashes)
+    return majority(total, len(spans))
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """In how many of some 64-bit hashes each bit is set."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint of ``n`` hashes: the bits set in over half of them."""
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame:

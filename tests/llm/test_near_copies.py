@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+import xxhash
 
-from lumenweave.llm import near_copies
+from lumenweave.llm import near_copies, simhash
 
 
 def shingles(text):
@@ -70,6 +71,29 @@ def test_pipeline_decides_by_id_and_text(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(7, other, "x")]
 
 
+def test_fingerprints_link_what_no_band_does(spark):
+    """In a long text, one word of a least hash in every band is another one: no band is equal, few bits differ."""
+    words = [f"w{x}" for x in np.random.default_rng(5).integers(0, 10**6, 12_000)]
+    digests = np.array([xxhash.xxh64_intdigest(" ".join(words[i : i + 5])) for i in range(len(words) - 4)], np.uint64)
+    copy = list(words)
+    for band in range(near_copies.BANDS):
+        least = int((digests * near_copies._ODD[4 * band] + near_copies._ADD[4 * band]).argmin())
+        copy[least + 2] = f"new{band}"
+    a, b = (near_copies.shingles(" ".join(x)) for x in (words, copy))
+    assert 0.95 < len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 1
+    assert not (near_copies.bands(a) == near_copies.bands(b)).any()
+    assert (near_copies.fingerprint(a) ^ near_copies.fingerprint(b)).bit_count() <= near_copies.RADIUS
+    rows = [(1, " ".join(words)), (2, " ".join(copy)), (3, " ".join(reversed(words))), (4, ""), (5, None)]
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4)]
+
+
+def test_fingerprint_is_that_of_the_operator():
+    text = " ".join(f"w{i}" for i in range(300))
+    assert near_copies.fingerprint(near_copies.shingles(text)) == simhash.fingerprint(text, 5, 0)
+    assert near_copies.fingerprint(near_copies.shingles("")) == 0
+
+
 def test_forest_connects_what_all_pairs_do():
     rng = np.random.default_rng(4)
     base = [rng.choice(10**6, 80, replace=False) for _ in range(3)]
