@@ -80,7 +80,7 @@ def generate_patterns(spark, sf_dir):
     specs = spark.read.parquet(f"{sf_dir}/part.parquet").select(
         key.alias("name"), F.get(F.array(*map(F.lit, I.GENERATED)), (key % 5).cast("int")).alias("pattern"), (key % 7 + 8).cast("long").alias("w"), (F.col("p_size") % 11 + 8).cast("long").alias("h"),
     )
-    return I.digest(I.generated(specs), "name", F.struct("y", "x"), I.little_endian_hex(F.array("r", "g", "b"), 1))
+    return I.generated(specs).select("name", F.sha2("rgb", 256).alias("sha"))
 
 
 def lcg_noise(spark, sf_dir):

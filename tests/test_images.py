@@ -56,3 +56,25 @@ def test_noise_jumps_where_steps_lead(spark):
         want.append(state)
     got = spark.range(1, 601).select("id", I.noise_state(Q.F.col("id")).alias("s")).orderBy("id").collect()
     assert [r.s for r in got] == want
+
+
+def test_generated_images_have_no_rows_of_pixels(spark, sf_dir):
+    from lumenweave import plans
+
+    df = plans.queries()["generate_patterns"](spark, sf_dir)
+    assert df.count() == spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey").distinct().count()
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_generated_images_of_one_name_and_large_ones(spark):
+    rows = [(1, "noise", 9, 8), (1, "noise", 9, 8), (2, "rgbgrad", 8, 8), (2, "rgbgrad", 8, 9), (3, "noise", 300, 300), (4, "diag", None, 8), (None, "solid", 8, 8)]
+    got = {r.name: bytes(r.rgb) for r in I.generated(spark.createDataFrame(rows, "name long, pattern string, w long, h long")).collect()}
+    state, noise = 1, []
+    for _ in range(300 * 300):
+        state = (state * 1664525 + 1013904223) % 2**32
+        noise.append(bytes([state & 255, state >> 8 & 255, state >> 16 & 255]))
+    gradient = [[bytes([i % 8 * 255 // 7, i // 8 * 255 // (h - 1), (i % 8 + i // 8) * 255 // (h + 6)]) for i in range(8 * h)] for h in (8, 9)]
+    both = [b"".join(sorted(g[i] for g in gradient if i < len(g))) for i in range(72)]
+    assert got[1] == b"".join(p * 2 for p in noise[:72]) and got[2] == b"".join(both)
+    assert hashlib.sha256(got[3]).digest() == hashlib.sha256(b"".join(noise)).digest()
+    assert got[None] == bytes([17, 34, 51]) * 64 and set(got) == {1, 2, 3, None}
